@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, packing
+from ledgerloom.llm import decontaminate, fingerprint, language, licenses, lines, packing, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_language": language.op6_language,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL}
