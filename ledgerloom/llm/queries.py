@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, fingerprint, language, licenses, lines, packing, warc
+from ledgerloom.llm import decontaminate, fingerprint, language, licenses, lines, packing, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licenses": licenses.op4_licenses,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_language": language.op6_language,
+    "op7_repeats": repeats.op7_repeats,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_repeats": repeats.OP7_SQL}
