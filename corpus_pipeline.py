@@ -1,11 +1,73 @@
-"""Corpus preparation, from raw documents to packed training sequences."""
+"""Corpus preparation, from raw documents to packed training sequences.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns
+of ``documents``; a stage that changes a text sets n_chars, where there is such a column, to its new length.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import decontaminate, language, lines, near, packing
+from ledgerloom.llm.common import durable
+
+#: Least share of a text's letter n-grams that its language must have.
+LEAST_SCORE = 0.3
+ORACLE_SQL = None  # n-gram filters, signatures and tokenizers aren't expressible; tests/llm compare with brute force
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the labelled languages, go. Without any label nothing goes."""
+    model = language.train(docs)
+    if not model.languages:
+        return docs
+    found = language.predict(docs, model, lang_out="_lang_pred", score_out="_lang_score")
+    return found.filter((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines are cut; a document that has nothing else goes."""
+    out = lines.drop_repeated_chunks(docs, result="_dedup")
+    left = out.filter((F.col("_dedup.n_removed") == 0) | (F.length("text") > 0))
+    return _measured(left).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, and of rows repeated whole, the document with the least id stays."""
+    found = durable(near.near_duplicates(docs), "near")
+    stay = found.filter("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    joined = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "inner").select(*(docs[c] for c in docs.columns), "_rows")
+    repeated = joined.filter("_rows > 1").dropDuplicates(["doc_id", "text"])
+    return joined.filter("_rows = 1").unionByName(repeated).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts; the documents stay."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_contamination(docs, benchmark, result="_contamination")
+    return _measured(decontaminate.remove_spans(found, result="_contamination")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.tokenizer_file())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -291,9 +291,7 @@ def remove_spans(docs: DataFrame, *, text: str = "text", result: str = "contamin
             batch = batch.set_column(i, text, pa.array(texts, batch.schema.field(i).type))
             yield batch.select(columns)
 
-    hit = F.size(F.coalesce(F.col(f"{result}.spans"), F.array())) > 0
-    touched = docs.filter(hit).mapInArrow(run, schema)
-    return docs.filter(~hit).select(*columns).unionByName(touched)
+    return docs.mapInArrow(run, schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, fingerprint, language, licenses, lines, packing, repeats, warc
+from ledgerloom.llm import decontaminate, fingerprint, hmm, language, licenses, lines, near, packing, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_language": language.op6_language,
     "op7_repeats": repeats.op7_repeats,
+    "op8_near": near.op8_near,
+    "op9_hmm": hmm.op9_hmm,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_repeats": repeats.OP7_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_repeats": repeats.OP7_SQL, "op8_near": near.OP8_SQL}
