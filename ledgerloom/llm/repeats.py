@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,8 +143,8 @@ def repeated_places(rows: DataFrame) -> DataFrame:
     distinct = rows.groupBy("path").agg(F.min("_key").alias("first"), F.first("edges").alias("edges"))
     # An edge may lie on several paths where texts part: its first document is the least of theirs.
     edges = distinct.select("path", "first", F.posexplode("edges").alias("at", "edge"))
-    least = edges.groupBy("edge").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("edge", "least")
-    parted = edges.join(least, "edge").filter("least < first")
+    # One shuffle: distinct paths only meet here, so copies of a passage don't crowd an edge.
+    parted = edges.withColumn("least", F.min("first").over(Window.partitionBy("edge"))).filter("least < first")
     ahead = parted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("ahead"))  # one entry for each of a path's edges at most
     known = distinct.select("path", "first").join(ahead, "path", "left")
     placed = rows.select("_shard", "_key", "start", F.size("edges").alias("n"), "path").join(known, "path")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 
 
 def shard_count(total_bytes: int, size: int = SHARD_BYTES) -> int:
