@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ledgerloom.plans import analytics, commands, extraction, matching, relational, secondary, streams  # noqa: F401
+from ledgerloom.plans.registry import ORACLES, QUERIES  # noqa: F401
