@@ -40,10 +40,12 @@ def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lin
     split = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.split(text, "\n", -1).alias("_l"))
     hashed = split.withColumn("_h", F.transform("_l", _line_hash))
     cut = hashed.withColumn("_s", chunk_starts(F.col("_l"), mean_lines))
-    return cut.select("_key", "_l", "_s", F.posexplode("_s").alias("_no", "_from")).select(
-        "_key", "_no", (F.coalesce(F.get("_s", F.col("_no") + 1), F.size("_l")) - F.col("_from")).alias("_lines"),
-        F.array_join(F.slice("_l", F.col("_from") + 1, F.coalesce(F.get("_s", F.col("_no") + 1), F.size("_l")) - F.col("_from")), "\n").alias("_chunk"),
-    )
+    # Explode the chunks alone, so that no row carries the document's lines; outer, since Spark would otherwise infer
+    # a filter on the array and make it twice. No array is empty.
+    size = lambda at, k: F.coalesce(F.get("_s", k + 1), F.size("_l")) - at
+    made = F.transform("_s", lambda at, k: F.struct(size(at, k).alias("n"), F.array_join(F.slice("_l", at + 1, size(at, k)), "\n").alias("body")))
+    listed = cut.select("_key", made.alias("_c")).select("_key", F.posexplode_outer("_c").alias("_no", "_c"))
+    return listed.select("_key", "_no", F.col("_c.n").alias("_lines"), F.col("_c.body").alias("_chunk"))
 
 
 def repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
