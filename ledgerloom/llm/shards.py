@@ -30,6 +30,8 @@ def word_codes(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[
     """(distinct words, number of each word of all texts in turn, where each text's words start and, last, the end)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))  # string kernels misread slices
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = pc.dictionary_encode(parts.flatten())
