@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import analytics, matching, relational  # noqa: F401
+from ledgerloom.plans import analytics, extraction, matching, relational  # noqa: F401
 from ledgerloom.plans.registry import ORACLES, QUERIES  # noqa: F401
