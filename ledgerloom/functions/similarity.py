@@ -24,7 +24,7 @@ def jaro(a: str, b: str) -> float:
     if not first:
         return 0.0
     second = [b[j] for j, u in enumerate(used) if u]
-    m, swapped = len(first), sum(x != y for x, y in zip(first, second)) / 2
+    m, swapped = len(first), sum(x != y for x, y in zip(first, second)) // 2
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
