@@ -2,9 +2,10 @@
 
 An edge is k words in a row. Shards tell each other which edges may lie in two documents, by short hashes; the rest of
 the graph has one document only and is let go. Repeated edges that follow each other in a document are compacted into
-paths, cut where an edge's own hash says so, hence at the same places in every document. Spark joins then work on
-distinct paths: the first document of a path, the first document of each edge over all paths that have it, and back to
-the places of the paths. A place is a source coordinate: document, first word, number of edges.
+paths, cut where an edge's own hash says so, hence at the same places in every document. A path's rows carry its words,
+and Spark joins on the words themselves: all places of a path against its source coordinate (first document, first
+word), so that every long span is verified byte by byte. Where texts part, an edge lies on several paths; its first
+document is then the least of theirs.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ PATH_EDGES = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def edge_hashes(texts: pa.ChunkedArray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def edge_hashes(words: list[str], index: np.ndarray, bounds: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of every edge, row of its text, first word in it)."""
-    words, index, bounds = word_codes(texts)
     values = hash_words(words)[index] if len(words) else np.empty(0, np.uint64)
     n = len(values) - k + 1
     if n <= 0:
@@ -55,7 +55,8 @@ class _Graph:
 
     def __init__(self, table: pa.Table, key: str, k: int, bits: int):
         self.ids = _keys(table, key)
-        self.hash, self.row, self.word = edge_hashes(table.column("_text"), k)
+        self.words, self.index, self.bounds = word_codes(table.column("_text"))
+        self.hash, self.row, self.word = edge_hashes(self.words, self.index, self.bounds, k)
         order = np.argsort(self.hash, kind="stable")
         ordered, docs = self.hash[order], self.ids[self.row[order]]
         fresh = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, bool)
@@ -79,7 +80,7 @@ _MESSAGE_ARROW = pa.schema([("_shard", pa.int32()), ("_bucket", pa.int32()), ("_
 
 
 def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> DataFrame:
-    """Rows of the compacted graph: _shard, _key, start (first word), path (hash of its edges), edges."""
+    """Rows of the compacted graph: _shard, _key, start (first word), n (edges), words (of the path, joined by blanks)."""
     buckets = max(1, shards // 2)
 
     def tell(table: pa.Table) -> pa.Table:
@@ -100,9 +101,9 @@ def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> D
     replies = told.groupBy("_bucket").applyInArrow(meet, _MESSAGE)
     schema = T.StructType([
         T.StructField("_shard", T.IntegerType()), T.StructField("_key", T.LongType()), T.StructField("start", T.IntegerType()),
-        T.StructField("path", T.LongType()), T.StructField("edges", T.ArrayType(T.LongType())),
+        T.StructField("n", T.IntegerType()), T.StructField("words", T.StringType()),
     ])
-    arrow = pa.schema([("_shard", pa.int32()), ("_key", pa.int64()), ("start", pa.int32()), ("path", pa.int64()), ("edges", pa.list_(pa.int64()))])
+    arrow = pa.schema([("_shard", pa.int32()), ("_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
 
     def compact(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -121,37 +122,36 @@ def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> D
         joined = (row[1:] == row[:-1]) & (word[1:] == word[:-1] + 1) & (h[:-1] % np.uint64(PATH_EDGES) != 0)
         starts = np.concatenate(([0], np.flatnonzero(~joined) + 1))
         size = np.diff(np.append(starts, len(h)))
-        place = (np.arange(len(h)) - np.repeat(starts, size)).astype(np.uint64)
-        mixed = (h ^ (place * np.uint64(0xA24BAED4963EE407))) * _ODD
-        mixed ^= mixed >> np.uint64(29)
-        path = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts)
-        offsets = pa.array(np.append(starts, len(h)).astype(np.int32))
+        first = graph.bounds[row[starts]] + word[starts]
+        text = [" ".join([graph.words[i] for i in graph.index[a : a + n + k - 1].tolist()]) for a, n in zip(first.tolist(), size.tolist())]
         return pa.Table.from_arrays([
             pa.array(np.full(len(starts), table.column("_shard")[0].as_py(), np.int32)), pa.array(graph.ids[row[starts]]), pa.array(word[starts].astype(np.int32)),
-            pa.array(path.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))),
+            pa.array(size.astype(np.int32)), pa.array(text, pa.string()),
         ], schema=arrow)
 
     return docs.groupBy("_shard").cogroup(replies.groupBy("_shard")).applyInArrow(compact, schema)
 
 
-def repeated_places(rows: DataFrame) -> DataFrame:
-    """_shard, _key, start, n, firsts: the places whose edges, all or some, an earlier document has.
+def repeated_places(rows: DataFrame, k: int = K) -> DataFrame:
+    """_shard, _key, start, n, some: the places whose edges, all or some, an earlier document has.
 
-    ``firsts`` has each edge's first document; null: the path's own first document has them all.
+    ``some`` has the numbers of those edges; null: the path's source is in an earlier document, so all are.
     """
-    # A path's first document; equal edges, so any row's will do.
-    distinct = rows.groupBy("path").agg(F.min("_key").alias("first"), F.first("edges").alias("edges"))
-    # An edge may lie on several paths where texts part: its first document is the least of theirs.
-    edges = distinct.select("path", "first", F.posexplode("edges").alias("at", "edge"))
+    # Equal paths are one, with the least of their places as the source; partial minima come before the shuffle.
+    distinct = rows.groupBy("words").agg(F.min(F.struct("_key", "start")).alias("source")).withColumn("path", F.xxhash64("words"))
+    # The list is named twice, so that Spark makes it once and not for each edge.
+    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(F.slice("_w", i, k)))
+    listed = distinct.select("path", F.col("source._key").alias("first"), F.split("words", " ").alias("_w"))
+    edges = listed.select("path", "first", hashes.alias("e")).select("path", "first", F.posexplode_outer("e").alias("at", "edge"))
     # One shuffle: distinct paths only meet here, so copies of a passage don't crowd an edge.
     parted = edges.withColumn("least", F.min("first").over(Window.partitionBy("edge"))).filter("least < first")
     ahead = parted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("ahead"))  # one entry for each of a path's edges at most
-    known = distinct.select("path", "first").join(ahead, "path", "left")
-    placed = rows.select("_shard", "_key", "start", F.size("edges").alias("n"), "path").join(known, "path")
+    known = distinct.select("words", "path", "source").join(ahead, "path", "left")
+    placed = rows.join(known, "words")
     hits = F.filter(F.map_keys("ahead"), lambda at: F.element_at("ahead", at) < F.col("_key"))
     return placed.select(
         "_shard", "_key", "start", "n",
-        F.when(F.col("first") < F.col("_key"), F.lit(None)).otherwise(F.coalesce(hits, F.array().cast("array<int>"))).alias("some"),
+        F.when(F.col("source._key") < F.col("_key"), F.lit(None)).otherwise(F.coalesce(hits, F.array().cast("array<int>"))).alias("some"),
     ).filter("some IS NULL OR size(some) > 0")
 
 
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     keyed = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     cut = sharded(keyed, shards, key=key, text="_text")
     rows = durable(paths(cut, shards, bits, key=key, k=k), "paths")
-    places = repeated_places(rows)
+    places = repeated_places(rows, k)
     schema = T.StructType([
         T.StructField(key, T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
