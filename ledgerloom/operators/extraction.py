@@ -44,7 +44,7 @@ def ladder(messages: DataFrame, layers: list) -> DataFrame:
 
 def templates(messages: DataFrame, patterns: DataFrame) -> DataFrame:
     """msg_id and the fields of the first pattern (by its place) of the message's bank that matches."""
-    joined = messages.join(F.broadcast(patterns.select("bank", "place", "pattern").limit(10_000)), "bank").filter(F.expr("body RLIKE pattern"))  # declared patterns
+    joined = messages.join(patterns.select("bank", "place", "pattern"), "bank").filter(F.expr("body RLIKE pattern"))
     first = joined.groupBy("msg_id").agg(F.min_by(F.struct("body", "pattern", "place"), "place").alias("m"))
     part = lambda k: F.expr(f"regexp_extract(m.body, m.pattern, {k})")
     return first.select("msg_id", F.col("m.place").alias("place"), x.amount_minor(part(1)).alias("amount_minor"), part(2).alias("merchant"))
