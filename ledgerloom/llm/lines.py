@@ -36,30 +36,30 @@ def chunk_starts(lines: Column, mean_lines: int = MEAN_LINES) -> Column:
 
 
 def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
-    """One row for each chunk: key, _no, _lines, _chunk (its text), without chunks of null texts."""
+    """One row for each chunk: _key, _no, _chunk (its text), without chunks of null texts."""
     split = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.split(text, "\n", -1).alias("_l"))
     hashed = split.withColumn("_h", F.transform("_l", _line_hash))
     cut = hashed.withColumn("_s", chunk_starts(F.col("_l"), mean_lines))
     # Explode the chunks alone, so that no row carries the document's lines; outer, since Spark would otherwise infer
     # a filter on the array and make it twice. No array is empty.
     size = lambda at, k: F.coalesce(F.get("_s", k + 1), F.size("_l")) - at
-    made = F.transform("_s", lambda at, k: F.struct(size(at, k).alias("n"), F.array_join(F.slice("_l", at + 1, size(at, k)), "\n").alias("body")))
-    listed = cut.select("_key", made.alias("_c")).select("_key", F.posexplode_outer("_c").alias("_no", "_c"))
-    return listed.select("_key", "_no", F.col("_c.n").alias("_lines"), F.col("_c.body").alias("_chunk"))
+    made = F.transform("_s", lambda at, k: F.array_join(F.slice("_l", at + 1, size(at, k)), "\n"))
+    return cut.select("_key", made.alias("_c")).select("_key", F.posexplode_outer("_c").alias("_no", "_chunk"))
 
 
 def repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
-    """(_key, _no, _lines) of each chunk of several lines that has an earlier occurrence.
+    """(_key, _no) of each chunk of several lines that has an earlier occurrence.
 
-    Hashes find the candidates; only candidates carry their bytes through the shuffle that compares them.
+    Hashes find the candidates; the comparison is of their bytes. Both uses of the candidates take the same columns, so
+    that Spark shuffles the chunks for them once.
     """
-    several = chunks(docs, key=key, text=text, mean_lines=mean_lines).filter("_lines >= 2")
+    several = chunks(docs, key=key, text=text, mean_lines=mean_lines).filter(F.col("_chunk").contains("\n"))
     hashed = several.select(F.xxhash64("_chunk").alias("_hash"), "_key", "_no")
     # Rows that repeat a key are copies of one document: an occurrence is a (key, number).
     twice = hashed.groupBy("_hash").agg(F.min(F.struct("_key", "_no")).alias("a"), F.max(F.struct("_key", "_no")).alias("b")).filter("a < b").select("_hash")
-    candidates = several.withColumn("_hash", F.xxhash64("_chunk")).join(twice, "_hash", "left_semi")
+    candidates = several.withColumn("_hash", F.xxhash64("_chunk")).join(twice, "_hash", "left_semi").select("_key", "_no", "_chunk")
     first = candidates.groupBy("_chunk").agg(F.min(F.struct("_key", "_no")).alias("_first"))
-    return candidates.join(first, "_chunk").filter(F.struct("_key", "_no") > F.col("_first")).select("_key", "_no", "_lines")
+    return candidates.join(first, "_chunk").filter(F.struct("_key", "_no") > F.col("_first")).select("_key", "_no")
 
 
 def drop_repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES,
@@ -72,16 +72,20 @@ def drop_repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     """
     columns = [c for c in docs.columns if c != result]
     gone = repeated_chunks(docs, key=key, text=text, mean_lines=mean_lines)
-    lost = gone.distinct().groupBy("_key").agg(F.collect_set("_no").alias("_gone"), F.sum("_lines").alias("_lines"))
+    lost = gone.groupBy("_key").agg(F.collect_set("_no").alias("_gone"))  # the chunk numbers of one document
     joined = docs.select(*columns).join(lost, docs[key].eqNullSafe(lost["_key"]), "left")
     touched = joined.filter(F.col("_gone").isNotNull()).withColumn("_l", F.split(text, "\n", -1)).withColumn("_h", F.transform("_l", _line_hash))
     touched = touched.withColumn("_s", chunk_starts(F.col("_l"), mean_lines))
     # A line's chunk is the number of starts up to it, less one.
     spans = F.transform(F.col("_s"), lambda at, k: F.struct(at.alias("a"), (F.coalesce(F.get(F.col("_s"), k + 1), F.size("_l")) - at).alias("n"), k.alias("k")))
     kept = F.filter(spans, lambda c: ~F.array_contains(F.col("_gone"), c["k"]))
+    n_removed = F.size("_l") - F.aggregate(kept, F.lit(0), lambda n, c: n + c["n"])
     new_text = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(F.col("_l"), c["a"] + 1, c["n"]))), "\n")
     done = touched.withColumn(text, new_text).withColumn(
-        result, F.struct(F.size("_l").cast("long").alias("n_lines"), F.col("_lines").cast("long").alias("n_removed"), F.size("_gone").cast("long").alias("n_chunks")))
+        result, F.struct(F.size("_l").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.size("_gone").cast("long").alias("n_chunks")))
+    # A filter on the new text must not be pushed into it, where the lists above would be made anew for each line:
+    # the optimizer moves no filter below a column that isn't deterministic.
+    done = done.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0")
     whole = joined.filter(F.col("_gone").isNull()).withColumn(
         result, F.struct(F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_chunks")))
     return whole.select(*columns, result).unionByName(done.select(*columns, result))

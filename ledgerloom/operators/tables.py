@@ -104,3 +104,26 @@ def rule_states(outcomes: DataFrame) -> DataFrame:
 
     listed = outcomes.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ok"))).alias("o"))  # the outcomes of one rule
     return listed.select("rule_id", F.aggregate("o", start, step).alias("s")).select("rule_id", "s.*")
+
+
+def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """The table with ``rows`` in place of those with their keys; rows have one row for a key."""
+    return table.join(rows.select(*key), key, "left_anti").unionByName(rows.select(*table.columns))
+
+
+def transitioned(table: DataFrame, changes: DataFrame, key: str, allowed: list[tuple[str, str]]) -> DataFrame:
+    """The table with the asked statuses (key, to) where the step is allowed; others stay."""
+    legal = reduce(Column.__or__, ((F.col("status") == a) & (F.col("to") == b) for a, b in allowed))
+    joined = table.join(changes.select(key, "to"), key, "left")
+    return joined.select(*(F.when(F.coalesce(legal, F.lit(False)), F.col("to")).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in table.columns))
+
+
+def retagged(bridge: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
+    """Pairs of a payment and a tag, each once, with those to add and without those to remove."""
+    key = ["txn_id", "tag_id"]
+    return bridge.select(*key).unionByName(add.select(*key)).distinct().join(remove.select(*key), key, "left_anti")
+
+
+def newest(listing: DataFrame, group: list[str], order: list, keep: int) -> DataFrame:
+    """The ``keep`` newest entries of each group: what a pruning leaves."""
+    return listing.withColumn("_p", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_p") <= keep).drop("_p")

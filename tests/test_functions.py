@@ -140,3 +140,14 @@ def test_ladder_stops_at_the_first_complete_layer(spark):
 
     out = e.ladder(rows, [("generic", e.generic), ("again", second)])
     assert {r.msg_id: r.layer for r in out.collect()} == {"1": "generic", "2": "again"} and seen == [["2"]]
+
+
+def test_rewrites(spark):
+    table = spark.createDataFrame([(1, "new"), (2, "done"), (3, "new")], "id long, status string")
+    asked = spark.createDataFrame([(1, "done"), (2, "new"), (9, "done")], "id long, to string")
+    assert sorted(map(tuple, t.transitioned(table, asked, "id", [("new", "done")]).collect())) == [(1, "done"), (2, "done"), (3, "new")]
+    rows = spark.createDataFrame([(3, "x"), (4, "y")], "id long, status string")
+    assert sorted(map(tuple, t.upsert(table, rows, ["id"]).collect())) == [(1, "new"), (2, "done"), (3, "x"), (4, "y")]
+    tags = lambda *p: spark.createDataFrame(list(p), "txn_id string, tag_id long")
+    assert sorted(map(tuple, t.retagged(tags(("a", 1)), tags(("a", 1), ("b", 2), ("c", 3)), tags(("c", 3))).collect())) == [("a", 1), ("b", 2)]
+    assert sorted(r.id for r in t.newest(table.withColumn("g", F.lit(1)), ["g"], [F.desc("id")], 2).collect()) == [2, 3]
