@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ END_ID = 1
 #: Documents in a packing group, on average: a task holds their lengths and checksums only.
 GROUP_DOCS = 8192
 #: Distinct words whose ids a Python worker remembers; others are encoded anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 200_000
+#: Words that the tokenizer gets at once: its own records of a word take hundreds of bytes.
+ENCODE_WORDS = 16_384
 
 
 class CachedTokenizer:
@@ -53,6 +56,9 @@ class CachedTokenizer:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> None:
         """Append the ids of ``words``, whose places in ``known`` follow those there."""
         stems, tails, plain, other = [], [], {}, {}
@@ -68,9 +74,9 @@ class CachedTokenizer:
             stems.append(stem)
             tails.append(tail)
         # A run of letters ends with the only one of its ids that has the word's end.
-        joined = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        joined = np.concatenate([np.empty(0, np.int64), *(ids for block in batched(plain, ENCODE_WORDS) for ids in self._ids([" ".join(block)]))])
         ends = np.flatnonzero(self.closes[joined]) + 1
-        rest = [np.asarray(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False)]
+        rest = [ids for block in batched(other, ENCODE_WORDS) for ids in self._ids(list(block))]
         own = {w: k for k, w in enumerate([*plain, *other])}
         flat = np.concatenate((joined, *rest)).astype(np.uint32)
         size = np.concatenate((np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))))
@@ -173,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], "<u4")
-        for batch in sub_batches(batches, text, 12 << 20):
+        for batch in sub_batches(batches, text, 4 << 20):
             ids, bounds = tokenizer.encode(batch.column(text))
             ids, n, crcs = ids.astype("<u4"), (np.diff(bounds) + 1).tolist(), []
             for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
