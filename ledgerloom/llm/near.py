@@ -91,10 +91,10 @@ def sign(docs: DataFrame, key: str, text: str, bands: int, words: int) -> DataFr
     return rows.filter("_text IS NOT NULL").mapInArrow(run, schema)
 
 
-def link_block(sets: list[np.ndarray], side: np.ndarray, canon: np.ndarray, bucket: int, threshold: float) -> np.ndarray:
+def link_block(sets: list[np.ndarray], side: np.ndarray, canon: np.ndarray, bucket: int, threshold: float, across: bool) -> np.ndarray:
     """Which texts (rows) are linked with which (columns), of pairs whose first common band belongs to ``bucket``.
 
-    ``side`` is 0 or 1 for the two blocks; with both present, pairs lie across them only.
+    ``side`` is 0 or 1 for the two blocks; pairs lie across them only, if ``across``.
     """
     n = len(sets)
     first = np.zeros((n, n), np.int64)
@@ -103,7 +103,7 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, canon: np.ndarray, buck
         same = (own[:, None] == own[None, :]) & (own != 0)[:, None] & (first == 0)
         first[same] = np.broadcast_to(own[:, None], (n, n))[same]
     wanted = np.triu(first == bucket, 1)
-    if len(np.unique(side)) > 1:
+    if across:
         wanted &= side[:, None] != side[None, :]
     links = np.zeros((n, n), bool)
     size = np.array([len(s) for s in sets], np.int64)
@@ -141,13 +141,15 @@ def verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
     def verify(table: pa.Table) -> pa.Table:
         reps, at = np.unique(table.column("_rep").to_numpy(), return_index=True)  # repeated rows of the key count once
         table = table.take(pa.array(at))
-        if len(reps) < 2:
+        side, across = table.column("_side").to_numpy(), table.column("_i")[0].as_py() != table.column("_j")[0].as_py()
+        # Where one of two different blocks has no text, the pairs of the other belong to its group with itself.
+        if len(reps) < 2 or across and side.min() == side.max():
             return arrow.empty_table()
         grams, ends = shingles(table.column("_text"), words)
         sets = [np.unique(grams[a:b]) for a, b in zip(ends, ends[1:])]
         canon = np.array(table.column("_canon").to_pylist(), np.int64)
         copies = table.column("_copies").to_numpy()
-        links = link_block(sets, table.column("_side").to_numpy(), canon, table.column("_bucket")[0].as_py(), threshold)
+        links = link_block(sets, side, canon, table.column("_bucket")[0].as_py(), threshold, across)
         label = np.arange(len(reps))
         while True:
             least = np.minimum(label, np.where(links, label[None, :], len(reps)).min(1))

@@ -93,6 +93,13 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == near_brute(rows)
 
 
+def test_near_duplicates_of_a_block_without_texts(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_GRAMS", 40)  # two texts of 36 n-grams: two blocks, of which one is often empty
+    rows = [(2 * g + k, " ".join([f"g{g}w{j}" for j in range(39)] + [f"own{k}"])) for g in range(12) for k in range(2)]
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == near_brute(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark, none):
     assert near.near_duplicates(none).count() == 0
     rows = spark.createDataFrame([(1, "a b c", 9), (2, "A b  c", 9), (3, None, 9), (None, "a b c", 9), (4, " ", 9)], "doc_id long, text string, class_id int")
