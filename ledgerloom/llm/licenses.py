@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import alnum_words, documents, sub_batches
 
 THRESHOLD = 0.8
+#: Coefficients at the threshold match, whichever way it is rounded.
+EPSILON = 1e-9
 
 # Short licence notices in use, by SPDX identifier.
 TEMPLATES = [
@@ -77,11 +79,12 @@ class TemplateSet:
         shared: dict[int, int] = {}
         for a, b in own:
             for k in self.by_gram.get(self.code(self.words[a], self.words[b]), ()):
-                if t / (2 - t) <= len(self.grams[k]) / len(own) <= (2 - t) / t:
+                n, m = len(own), len(self.grams[k])
+                if 2 * min(n, m) >= t * (n + m) - EPSILON:
                     shared[k] = shared.get(k, 0) + 1
         found = [(2 * n / (len(own) + len(self.grams[k])), -k) for k, n in shared.items()]
         score, k = max(found, default=(0.0, 0))
-        return (score, -k) if score >= t else None
+        return (score, -k) if score >= t - EPSILON else None
 
     def scan(self, text: bytes | None) -> list[tuple[str, float, int | None]]:
         """(licence, coefficient, line from 1 or None for the whole text), a row for each matching piece."""

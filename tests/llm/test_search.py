@@ -141,5 +141,11 @@ def test_licence_scan_is_brute_force():
         assert (got is None) == (best[0] < 0.8) and (got is None or (abs(got[0] - best[0]) < 1e-9 and got[1] == -best[1]))
 
 
+def test_licence_scan_at_the_bound():
+    assert licenses.TemplateSet(licenses.TEMPLATES, 0.8).best(tokens_bytes("Released under the MIT License. See COPYING")) == (0.8, 0)
+    shorter = licenses.TemplateSet([("X", "a b c d e f g")], 0.8)
+    assert shorter.best(tokens_bytes("a b c d e")) == (0.8, 0)
+
+
 def tokens_bytes(text):
     return [w.encode() for w in tokens(text)]
