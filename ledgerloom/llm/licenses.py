@@ -1,13 +1,18 @@
 """Licence scan: normalised text against licence notices, by the Dice coefficient over word bigrams.
 
-A text is compared whole, and so is each of its lines, since notices stand on lines of their own. Only templates
-whose number of bigrams can give the wanted coefficient with that of the piece are compared: with sizes a and b it is
-2 min(a, b) / (a + b) at most.
+A text is compared whole, and so is each of its lines. For notices over several lines or inside a paragraph, and
+licence files inside longer texts, a window of each template's number of words slides over the words of the text.
+Only templates whose number of bigrams can give the wanted coefficient with that of the piece are compared: with sizes
+a and b it is 2 min(a, b) / (a + b) at most. So at least t m / (2 - t) bigrams of a template of m must be in a piece,
+and windows are scored only where so many lie close enough.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,8 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Whole licences, by the names of their files.
+BODIES = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(resources.files("ledgerloom.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
 
 
 class _Words(dict):
@@ -66,6 +73,9 @@ class TemplateSet:
                 self.by_gram.setdefault(c, []).append(k)
         self.table = np.zeros((len(self.words) + 1) ** 2, bool)
         self.table[list(self.by_gram)] = True
+        self.sizes = list(map(len, listed))
+        self.codes = np.array(sorted(self.by_gram), np.int64)
+        self.member = np.array([np.isin(self.codes, list(g)) for g in self.grams]).reshape(len(listed), len(self.codes))
 
     def code(self, a: int, b: int) -> int:
         return a * (len(self.words) + 1) + b
@@ -87,33 +97,132 @@ class TemplateSet:
         return (score, -k) if score >= t - EPSILON else None
 
     def scan(self, text: bytes | None) -> list[tuple[str, float, int | None]]:
-        """(licence, coefficient, line from 1 or None for the whole text), a row for each matching piece."""
-        if not text:
+        """(licence, coefficient, line from 1 where it begins or None for the whole text), a row for each match."""
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[bytes | None]) -> list[list[tuple[str, float, int | None]]]:
+        """The matches of each text: the text and its lines that match, and windows that stand for none of these.
+
+        Of windows and pieces that share half the words of the longer one or more, windows are dropped but for the one
+        with the largest coefficient; ties: the piece, then the first template, then the first window.
+        """
+        words: list[bytes] = []
+        line_at, first_line, text_at = [], [], []
+        for t in texts:
+            text_at.append(len(words))
+            first_line.append(len(line_at))
+            for x in t.split(b"\n") if t else ():
+                line_at.append(len(words))
+                words += alnum_words(x)
+        out: list[list] = [[] for _ in texts]
+        text_at, line_at, first_line = np.array([*text_at, len(words)]), np.array([*line_at, len(words)]), np.array([*first_line, len(line_at)])
+        if len(words) < 2 or not self.by_gram:
+            return out
+        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        code = ids[:-1] * (len(self.words) + 1) + ids[1:]
+        hits = np.flatnonzero(self.table[code])
+        text_of = np.searchsorted(text_at, hits, "right") - 1
+        inside = hits + 1 < text_at[text_of + 1]  # no bigram lies across two texts
+        hits, text_of = hits[inside], text_of[inside]
+        gram = np.searchsorted(self.codes, code[hits])
+        line_of = np.searchsorted(line_at, hits, "right") - 1
+        in_line = hits + 1 < line_at[line_of + 1]
+        lines, wholes, windows = set(), set(), []
+        for k, m in enumerate(map(len, self.grams)):
+            need = max(1, math.ceil((self.threshold * m - EPSILON) / (2 - self.threshold)))
+            own = np.flatnonzero(self.member[k][gram]) if m else ()
+            if len(own) < need:
+                continue
+            for pieces, owner, part in ((lines, line_of, own[in_line[own]]), (wholes, text_of, own)):
+                distinct = np.unique(owner[part] * len(self.codes) + gram[part])
+                pieces.update(np.flatnonzero(np.bincount(distinct // len(self.codes)) >= need).tolist())
+            windows += self.windows(words, hits[own], text_of[own], text_at, k, need)
+        found: list[list] = [[] for _ in texts]  # (-coefficient, 1 for a window, template, begin, end, line)
+        for x in sorted(lines):
+            if best := self.best(words[line_at[x] : line_at[x + 1]]):
+                d = int(np.searchsorted(first_line, x, "right")) - 1
+                found[d].append((-best[0], 0, best[1], int(line_at[x]), int(line_at[x + 1]), x - int(first_line[d]) + 1))
+        for d in sorted(wholes):
+            if first_line[d + 1] - first_line[d] > 1 and (best := self.best(words[text_at[d] : text_at[d + 1]])):
+                found[d].append((-best[0], 0, best[1], int(text_at[d]), int(text_at[d + 1]), 0))
+        for d, score, k, start in windows:
+            found[d].append((-score, 1, k, start, start + self.sizes[k], int(np.searchsorted(line_at, start, "right")) - int(first_line[d])))
+        for d, listed in enumerate(found):
+            if listed:
+                out[d] = [(self.names[k], score, line or None) for _, _, line, _, k, score in _uncontested(listed)]
+        return out
+
+    def windows(self, words: list[bytes], at: np.ndarray, text_of: np.ndarray, text_at: np.ndarray, k: int, need: int) -> list[tuple[int, float, int, int]]:
+        """(text, coefficient, k, first word) of each window that matches template k, whose bigrams stand at ``at``."""
+        size, m = self.sizes[k], len(self.grams[k])
+        a, b = at[: len(at) - need + 1], at[need - 1 :]
+        d = text_of[: len(a)]
+        low, high = np.maximum(b - (size - 2), text_at[d]), np.minimum(a, text_at[d + 1] - size)
+        close = (d == text_of[need - 1 :]) & (low <= high)
+        d, low, high = d[close], low[close], high[close]
+        if not len(d):
             return []
-        lines = text.split(b"\n")
-        pieces = [(None, alnum_words(text))] if len(lines) > 1 else []
-        pieces += [(k, alnum_words(x)) for k, x in enumerate(lines, 1)]
         out = []
-        for at, words in pieces:
-            ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            # Without as many template bigrams as the smallest coefficient asks for, no set is made.
-            hits = int(self.table[ids[:-1] * (len(self.words) + 1) + ids[1:]].sum()) if len(ids) > 1 else 0
-            if hits and (found := self.best(words)):
-                out.append((self.names[found[1]], found[0], at))
+        # Both bounds rise within a text: ranges of first words that touch are one.
+        new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (low[1:] > high[:-1] + 1))))
+        for i, j in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(d) - 1]):
+            lo, hi = int(low[i]), int(high[j])
+            part, known = words[lo : hi + size], {}
+            number = np.fromiter((known.setdefault(w, len(known)) for w in part), np.int64, len(part))
+            grams = number[:-1] * len(known) + number[1:]
+            order = np.argsort(grams, kind="stable")
+            before = np.full(len(grams), -1)
+            same = grams[order[1:]] == grams[order[:-1]]
+            before[order[1:][same]] = order[:-1][same]
+            q = np.arange(len(grams))
+            # A bigram is the first of its kind in the windows that begin after its last occurrence.
+            start, end = np.maximum(before + 1, q - (size - 2)), np.minimum(q, hi - lo)
+            shared = np.zeros(len(grams), bool)
+            shared[at[np.searchsorted(at, lo) : np.searchsorted(at, lo + len(grams))] - lo] = True
+
+            def count(of: np.ndarray) -> np.ndarray:
+                of = of & (start <= end)
+                change = np.bincount(start[of], minlength=hi - lo + 2) - np.bincount(end[of] + 1, minlength=hi - lo + 2)
+                return np.cumsum(change)[: hi - lo + 1]
+
+            total, both = count(np.ones(len(grams), bool)) + m, count(shared)
+            for x in np.flatnonzero(2 * both >= self.threshold * total - EPSILON).tolist():
+                out.append((int(d[i]), float(2 * both[x] / total[x]), k, lo + x))
         return out
 
 
+def _uncontested(found: list[tuple]) -> list[tuple]:
+    """(begin, window or not, line, end, template, coefficient) of the pieces and of the windows that stay, by line."""
+    kept: list[tuple] = []  # (begin, end), sorted
+    out = []
+    for negative, window, k, a, b, line in sorted(found):
+        if window:
+            # Who shares half of the longer one begins at most this window's length from it.
+            x = bisect_left(kept, (a - (b - a), 0))
+            contested = False
+            while x < len(kept) and kept[x][0] <= b and not contested:
+                c, e = kept[x]
+                contested = 2 * (min(b, e) - max(a, c)) >= max(b - a, e - c)
+                x += 1
+            if contested:
+                continue
+        insort(kept, (a, b))
+        out.append((a, window, line, b, k, -negative))
+    return sorted(out, key=lambda r: (r[2], r[0], r[1], r[4]))
+
+
 SCAN = T.StructType([
     T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("line", T.LongType()),
     T.StructField("matches", T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("line", T.LongType())]))),
 ])
 
 
-def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, key: str = "doc_id", text: str = "text",
+def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + BODIES, *, key: str = "doc_id", text: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
-    """key, the best licence with its coefficient and line (null: the whole text), and all matching pieces.
+    """key, the best licence with its coefficient and line (null: the whole text), and all matches.
 
-    Best is the largest coefficient, then the earliest piece. Null, empty and unmatched texts have a null licence and no
+    A match is the whole text, a line or a window, with the line where it begins. Best is the largest coefficient, then
+    the earliest line. Null, empty and unmatched texts have a null licence and no
     matches. Rows that repeat a key each have a row; other columns aren't read. Templates without two words match nothing.
     """
     schema = T.StructType([docs.schema[key], *SCAN.fields])
@@ -122,7 +231,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = TemplateSet(templates, threshold)
         for batch in sub_batches(batches, "_t"):
-            found = [known.scan(t) for t in batch.column("_t").to_pylist()]
+            found = known.scan_all(batch.column("_t").to_pylist())
             best = [max(f, key=lambda x: (x[1], -(x[2] or 0))) if f else (None, None, None) for f in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column(key), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array([b[2] for b in best], pa.int64()),

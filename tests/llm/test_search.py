@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 
@@ -147,5 +148,33 @@ def test_licence_scan_at_the_bound():
     assert shorter.best(tokens_bytes("a b c d e")) == (0.8, 0)
 
 
+def test_licence_scan_slides_windows():
+    scan = licenses.TemplateSet(licenses.TEMPLATES + licenses.BODIES, 0.8)
+    gpl, bsd = licenses.TEMPLATES[7][1], next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    wrapped = lambda t: "\n".join(f" * {x}" for x in textwrap.wrap(t, 72))
+    prose = " ".join(f"w{k % 700}" for k in range(3000))
+    assert scan.scan(f"/*\n{wrapped(gpl)}\n */\n{prose}".encode())[0] == ("GPL-3.0", 1.0, 2)
+    assert scan.scan(f"x\ny z\n{wrapped(bsd)}\n{prose}".encode()) == [("BSD-3-Clause", 1.0, 3)]
+    assert scan.scan(b"A note on old tables. This work is licensed under the GNU General Public License, version 3. And more of it.") == [("GPL-3.0", 1.0, 1)]
+    for name, body in licenses.BODIES:
+        assert (name, 1.0, 2) in scan.scan(f"{prose}\n{body.strip()}\n{prose}".encode())
+
+
+def test_licence_windows_are_brute_force():
+    r = random.Random(9)
+    names = [("A", "a b c a b d"), ("B", "b c d e"), ("C", "a a b")]
+    scan = licenses.TemplateSet(names, 0.8)
+    texts = [" ".join(r.choice("abcdexy") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    grams = lambda w: set(zip(w, w[1:]))
+    for text, got in zip(texts, scan.scan_all([t.encode() for t in texts])):
+        ws, want = text.split(), []
+        for name, body in names:
+            b = body.split()
+            for s in [range(k, k + len(b)) for k in range(len(ws) - len(b) + 1)] + [range(len(ws))]:
+                x, y = grams([ws[k] for k in s]), grams(b)
+                want += [(name, 2 * len(x & y) / (len(x) + len(y)))] * (5 * len(x & y) * 2 >= 4 * (len(x) + len(y)))
+        assert {(n, s) for n, s, _ in got} <= set(want) and max((s for _, s, _ in got), default=0) == max((s for _, s in want), default=0)
+
+
 def tokens_bytes(text):
     return [w.encode() for w in tokens(text)]
