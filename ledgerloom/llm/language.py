@@ -1,8 +1,9 @@
 """Language identification by language-bitmask n-gram filters.
 
 Character n-grams that are typical of a language go into one Bloom filter for all languages: a slot holds a bit for
-each language, and the AND over an n-gram's slots is the set of languages that contain it. A text is decided by the
-set bits of its n-grams for each language, less the false positives that the filter's filling lets expect.
+each language, in as many words as they need, and the AND over an n-gram's slots is the set of languages that contain
+it. A text is decided by the set bits of its n-grams for each language, less the false positives that the filter's
+filling lets expect, against the share of the language's typical n-grams in training that were common enough to learn.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ MIN_SHARE = 1e-5
 TYPICAL = 0.5
 SLOTS = 1 << 20
 HASHES = 3
-#: Languages in one filter: the bits of a slot. Of more languages the commonest are learned.
-LANGUAGES = 64
+#: Languages in one word of a slot.
+WORD = 64
 UNKNOWN = "und"
 
 _BLANK = 0x20
@@ -71,37 +72,51 @@ def _mix(code: np.ndarray, seed: int) -> np.ndarray:
 @dataclass
 class LanguageFilter:
     languages: list[str]
+    #: A row for each WORD languages.
     slots: np.ndarray
+    #: For each language, the share of its typical n-grams in training that were learned.
+    cover: np.ndarray
+
+    @classmethod
+    def empty(cls, languages: list[str], cover: list[float], size: int = SLOTS) -> LanguageFilter:
+        return cls(languages, np.zeros((-(-len(languages) // WORD), size), np.uint64), np.array(cover, float))
 
     @classmethod
     def build(cls, languages: list[str], grams: dict[str, np.ndarray], size: int = SLOTS) -> LanguageFilter:
-        slots = np.zeros(size, np.uint64)
+        out = cls.empty(languages, [1.0] * len(languages), size)
         for k, language in enumerate(languages):
-            for seed in range(HASHES):
-                at = np.unique(_mix(grams[language], seed) % np.uint64(size)).astype(np.int64)
-                slots[at] |= np.uint64(1 << k)
-        return cls(languages, slots)
+            out.add(k, grams[language])
+        return out
+
+    def add(self, k: int, grams: np.ndarray) -> None:
+        """Learn n-grams of language number k."""
+        slots = self.slots[k // WORD]
+        for seed in range(HASHES):
+            at = np.unique(_mix(grams, seed) % np.uint64(len(slots))).astype(np.int64)
+            slots[at] |= np.uint64(1 << (k % WORD))
 
-    def masks(self, code: np.ndarray) -> np.ndarray:
-        """The languages, as bits, that contain each n-gram."""
+    def masks(self, code: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages of a word, as bits, that contain each n-gram."""
         out = np.full(len(code), 2**64 - 1, np.uint64)
         for seed in range(HASHES):
-            out &= self.slots[(_mix(code, seed) % np.uint64(len(self.slots))).astype(np.int64)]
+            out &= self.slots[word][(_mix(code, seed) % np.uint64(self.slots.shape[1])).astype(np.int64)]
         return out
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, share of n-grams that it contains, less false positives); UNKNOWN if a text has no letter."""
+        """(language, share of n-grams that it contains, less false positives, by its cover); UNKNOWN if a text has no letter."""
         code, owner = gram_codes(texts)
         has_letter = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        mask = self.masks(code)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         part = np.zeros((len(self.languages), len(texts)))
         for k in range(len(self.languages)):
-            hits = np.bincount(owner, weights=((mask >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=len(texts))
-            false = float(np.mean((self.slots >> np.uint64(k)) & np.uint64(1))) ** HASHES
-            part[k] = (hits - false * total) / np.maximum(total * (1 - false), 1e-9)
+            word, bit = k // WORD, np.uint64(k % WORD)
+            if k % WORD == 0:
+                mask = self.masks(code, word)
+            hits = np.bincount(owner, weights=((mask >> bit) & np.uint64(1)).astype(float), minlength=len(texts))
+            false = float(np.mean((self.slots[word] >> bit) & np.uint64(1))) ** HASHES
+            part[k] = (hits - false * total) / np.maximum(total * (1 - false), 1e-9) / self.cover[k]
         best = np.argmax(part, axis=0)  # ties: the first in the order of the languages
         value = np.clip(part[best, np.arange(len(texts))], 0, 1)
         return [(self.languages[b], float(v)) if ok else (UNKNOWN, 0.0) for b, v, ok in zip(best.tolist(), value, has_letter)]
@@ -121,14 +136,21 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Lan
 
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     counts = durable(rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     # A gram's rows are one for a language, so the maximum below meets few rows for a key.
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    typical = shares.filter(F.col("share") >= MIN_SHARE).join(top, "gram").filter(F.col("share") >= TYPICAL * F.col("top"))
-    learned = typical.select("lang", "gram").toPandas()  # at most LANGUAGES / MIN_SHARE rows, whatever the corpus
-    languages = sorted(learned["lang"].unique().tolist())
-    return LanguageFilter.build(languages, {x: learned.loc[learned["lang"] == x, "gram"].to_numpy(np.int64) for x in languages})
+    typical = durable(shares.join(top, "gram").filter(F.col("share") >= TYPICAL * F.col("top")).select("lang", "gram", "share"), "language-grams")
+    common = F.col("share") >= MIN_SHARE
+    covers = typical.groupBy("lang").agg((F.sum(F.when(common, F.col("share"))) / F.sum("share")).alias("cover")).filter("cover > 0")
+    found = sorted((r.lang, r.cover) for r in covers.collect())  # a row for each language
+    model = LanguageFilter.empty([x for x, _ in found], [c for _, c in found])
+    for a in range(0, len(found), WORD):
+        names = model.languages[a : a + WORD]
+        learned = typical.filter(common & F.col("lang").isin(names)).select("lang", "gram").toPandas()  # at most WORD / MIN_SHARE rows, whatever the corpus
+        for language, grams in learned.groupby("lang")["gram"]:
+            model.add(a + names.index(language), grams.to_numpy(np.int64))
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageFilter, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score",
@@ -139,7 +161,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text: str = "text", lang_
     """
     columns = [c for c in (carry or docs.columns) if c not in (lang_out, score_out)]
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.cover))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = LanguageFilter(*shared.value)

@@ -78,6 +78,26 @@ def test_language_is_learned_and_held_out(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_language_learns_more_than_a_word_of_languages(spark):
+    r = random.Random(8)
+    rows = [(k, " ".join("".join(chr(0x4E00 + 20 * (k % 70) + r.randrange(6)) for _ in range(4)) for _ in range(40)), f"l{k % 70:02}") for k in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert len(model.languages) == 70
+    assert all(x.lang_pred == x.lang and x.score > 0.9 for x in language.predict(df, model).collect())
+
+
+def test_language_score_is_free_of_the_cut(spark, monkeypatch):
+    # Half of the n-grams are rarer than the cut, as with many n-grams of a large corpus.
+    r = random.Random(9)
+    text = " ".join(r.choice(["aba", "bab"]) if k % 2 else "".join(r.choice("cdefghijklmnop") for _ in range(3)) for k in range(2000))
+    df = spark.createDataFrame([(1, text, "x"), (2, "qrs tuv " * 100, "y")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MIN_SHARE", 2e-3)
+    model = language.train(df)
+    assert model.cover[0] < 0.8
+    assert [(x.lang_pred, round(x.score, 2)) for x in language.predict(df, model).orderBy("doc_id").collect()] == [("x", 1.0), ("y", 1.0)]
+
+
 def test_language_without_labels(spark, docs, none):
     model = language.train(docs.filter("lang IS NULL"))
     assert model.languages == [] and {r.lang_pred for r in language.predict(docs, model).collect()} == {"und"}
