@@ -94,16 +94,15 @@ def bad_links(chain: DataFrame, key: str, order: str, fields: list[str]) -> Data
 def rule_states(outcomes: DataFrame) -> DataFrame:
     """State of each rule after its outcomes in turn (rule_id, seq, ok): pending, active from 3, trusted from 10
     successes; inactive from 3 failures or, after the third outcome, under 0.7 successes. Inactive is final."""
-    start = F.struct(F.lit(0).alias("good"), F.lit(0).alias("bad"), F.lit("pending").alias("state"))
-
-    def step(a: Column, x: Column) -> Column:
-        good, bad = a["good"] + x["ok"].cast("int"), a["bad"] + (~x["ok"]).cast("int")
-        worse = (bad >= 3) | ((good + bad >= 3) & (good < 0.7 * (good + bad)))
-        state = F.when((a["state"] == "inactive") | worse, "inactive").when(good >= 10, "trusted").when(good >= 3, "active").otherwise(a["state"])
-        return F.struct(good.alias("good"), bad.alias("bad"), state.alias("state"))
-
-    listed = outcomes.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ok"))).alias("o"))  # the outcomes of one rule
-    return listed.select("rule_id", F.aggregate("o", start, step).alias("s")).select("rule_id", "s.*")
+    ok = F.coalesce(F.col("ok"), F.lit(False)).cast("int")
+    so_far = Window.partitionBy("rule_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = outcomes.select("rule_id", F.sum(ok).over(so_far).alias("_good"), F.sum(1 - ok).over(so_far).alias("_bad"))
+    n = F.col("_good") + F.col("_bad")
+    worse = (F.col("_bad") >= 3) | ((n >= 3) & (F.col("_good") < 0.7 * n))
+    # Counts only grow, so the last ones are the largest, and the state follows from them unless a limit was crossed.
+    last = counted.groupBy("rule_id").agg(F.max("_good").cast("int").alias("good"), F.max("_bad").cast("int").alias("bad"), F.max(worse).alias("_worse"))
+    state = F.when(F.col("_worse"), "inactive").when(F.col("good") >= 10, "trusted").when(F.col("good") >= 3, "active").otherwise("pending")
+    return last.select("rule_id", "good", "bad", state.alias("state"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:

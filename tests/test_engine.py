@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from ledgerloom.operators import tables
 from ledgerloom.sources import files
 from ledgerloom.streaming import pipeline as p
 
@@ -100,3 +102,22 @@ def test_no_query_has_a_nested_loop_or_a_product_of_tables(spark):
             continue
         text = plan(build(spark, SF))
         assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_rule_states_hold_no_array_of_outcomes(spark):
+    r = random.Random(3)
+    rules = {k: [r.random() < share for _ in range(r.randint(1, 25))] for k, share in enumerate([0.3, 0.7, 0.9, 0.97, 1.0] * 8)}
+    want = []
+    for k, oks in rules.items():
+        good = bad = 0
+        state = "pending"
+        for x in oks:
+            good, bad = good + x, bad + (not x)
+            if state == "inactive" or bad >= 3 or (good + bad >= 3 and good < 0.7 * (good + bad)):
+                state = "inactive"
+            elif good >= 3:
+                state = "trusted" if good >= 10 else "active"
+        want.append((k, good, bad, state))
+    got = tables.rule_states(spark.createDataFrame([(k, n, x) for k, oks in rules.items() for n, x in enumerate(oks)], "rule_id long, seq int, ok boolean"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
