@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +43,56 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
             yield batch.take(pa.array(np.arange(a, b))) if a else batch.slice(a, b - a)
 
 
+#: Spark's setting that frees a query's shuffle files when the query ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of working tables made within ``scratch``, for each of its nested uses.
+_scratch: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder named by ``spark.checkpoint.dir``."""
+    """A fresh path under the shared folder named by ``spark.checkpoint.dir``; without that setting on one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        # Only a session that names no shared folder (tests, a laptop) gets here.
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         root = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_work"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
 
+def write_freeing(df: DataFrame, path: str) -> None:
+    """Write Parquet and free the shuffle files that led to it: they serve no other query."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, None)
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_FREE_SHUFFLES) if before is None else conf.set(_FREE_SHUFFLES, before)
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+
+def durable(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or work_dir(df.sparkSession, name)
+    write_freeing(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the working tables made within, at the end. What is read later must be written elsewhere before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes in ``column`` over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -29,6 +29,10 @@ HASHES = 3
 #: Languages in one word of a slot.
 WORD = 64
 UNKNOWN = "und"
+#: Bytes of text that a task takes at a time; a longer text is taken whole.
+BATCH_BYTES = 1 << 20
+#: Distinct n-grams that a training task holds before it hands some on.
+HELD_GRAMS = 1 << 20
 
 _BLANK = 0x20
 
@@ -36,20 +40,23 @@ _BLANK = 0x20
 def gram_codes(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram codes of all texts, text number of each). Letters in lower case; others count as one blank."""
     lowered = [t.lower() if t else "" for t in texts]
-    sizes = np.array([len(t) + 1 for t in lowered], np.int64)
-    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in lowered])
+    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
     letter = _letters(points)
-    points = np.where(letter, points, _BLANK)
-    keep = letter | np.concatenate(([True], letter[:-1]))  # of blanks in a row the first only
-    points, owner = points[keep], owner[keep]
-    if len(points) < n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    code = np.zeros(len(points) - n + 1, np.int64)
+    keep = letter.copy()
+    keep[:1] = True
+    keep[1:] |= letter[:-1]  # of blanks in a row the first only
+    points, owner = np.where(letter, points, _BLANK)[keep], owner[keep]
+    del letter, keep
+    size = len(points) - n + 1
+    if size <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    inside = owner[:size] == owner[n - 1 :]
+    code = np.zeros(size, np.int64)
     for k in range(n):
-        code = (code << 21) | points[k : len(points) - n + 1 + k]
-    inside = owner[: len(code)] == owner[n - 1 :]
-    return code[inside], owner[: len(code)][inside]
+        code <<= 21
+        code |= points[k : size + k]
+    return code[inside], owner[:size][inside]
 
 
 _LETTER = np.zeros(0, bool)
@@ -63,10 +70,13 @@ def _letters(points: np.ndarray) -> np.ndarray:
 
 
 def _mix(code: np.ndarray, seed: int) -> np.ndarray:
-    x = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0xD1B54A32D192ED03) & (2**64 - 1))
+    x = code.astype(np.uint64)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x += np.uint64((seed * 0xD1B54A32D192ED03) & (2**64 - 1))
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(32)
+    return x
 
 
 @dataclass
@@ -127,12 +137,25 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Lan
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "t"):
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def told(language: str) -> pa.RecordBatch:
+            grams, n = known.pop(language)
+            return pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+
+        for batch in sub_batches(batches, "t", BATCH_BYTES):
             langs, texts = np.array(batch.column("l").to_pylist(), object), batch.column("t").to_pylist()
             for language in sorted(set(langs)):
                 code, _ = gram_codes([texts[k] for k in np.flatnonzero(langs == language)])
                 grams, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+                if language in known:
+                    grams, back = np.unique(np.concatenate((known[language][0], grams)), return_inverse=True)
+                    n = np.bincount(back, weights=np.concatenate((known[language][1], n))).astype(np.int64)
+                known[language] = grams, n.astype(np.int64)
+            while sum(len(g) for g, _ in known.values()) > HELD_GRAMS:
+                yield told(max(known, key=lambda k: len(known[k][0])))
+        for language in list(known):
+            yield told(language)
 
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     counts = durable(rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
@@ -165,7 +188,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = LanguageFilter(*shared.value)
-        for batch in sub_batches(batches, "_text"):
+        for batch in sub_batches(batches, "_text", BATCH_BYTES):
             found = learned.scores(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
