@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language, lines, near, packing
-from ledgerloom.llm.common import durable
+from ledgerloom.llm.common import durable, scratch, work_dir
 
 #: Least share of a text's letter n-grams that its language must have.
 LEAST_SCORE = 0.3
@@ -67,7 +67,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of ``documents``. A stage's working tables are removed when its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = work_dir(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
