@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,6 +31,14 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def give_back() -> None:
+    """Return what this Python process has freed to the machine, so that workers at rest don't crowd an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -41,6 +50,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
         for a, b in zip(starts, starts[1:]):
             # A copy: string kernels of Arrow misread slices that begin inside their buffers.
             yield batch.take(pa.array(np.arange(a, b))) if a else batch.slice(a, b - a)
+        give_back()
 
 
 #: Spark's setting that frees a query's shuffle files when the query ends.

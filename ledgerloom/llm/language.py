@@ -186,16 +186,18 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text: str = "text", lang_
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.cover))
 
+    sent = text if text in columns else "_text"  # a text that is carried is sent once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = LanguageFilter(*shared.value)
-        for batch in sub_batches(batches, "_text", BATCH_BYTES):
-            found = learned.scores(batch.column("_text").to_pylist())
+        for batch in sub_batches(batches, sent, BATCH_BYTES):
+            found = learned.scores(batch.column(sent).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 [*columns, lang_out, score_out],
             )
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, *([] if sent == text else [F.col(text).alias(sent)])).mapInArrow(run, schema)
 
 
 def held_out(part: int, of: int, key: str = "doc_id") -> F.Column:

@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], "<u4")
-        for batch in sub_batches(batches, text, 4 << 20):
+        for batch in sub_batches(batches, text, 2 << 20):
             ids, bounds = tokenizer.encode(batch.column(text))
             ids, n, crcs = ids.astype("<u4"), (np.diff(bounds) + 1).tolist(), []
             for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
