@@ -4,8 +4,8 @@ An edge is k words in a row. Shards tell each other which edges may lie in two d
 the graph has one document only and is let go. Repeated edges that follow each other in a document are compacted into
 paths, cut where an edge's own hash says so, hence at the same places in every document. A path's rows carry its words,
 and Spark joins on the words themselves: all places of a path against its source coordinate (first document, first
-word), so that every long span is verified byte by byte. Where texts part, an edge lies on several paths; its first
-document is then the least of theirs.
+word), so that every long span is verified byte by byte. Where texts part, an edge lies on several paths: hashes find
+those edges, and their words are compared; their first document is then the least of the paths'.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import documents, durable, text_bytes
-from ledgerloom.llm.shards import bucket_bounds, hash_words, pack, pack_sorted, shard_count, sharded, unpack_sorted, word_codes
+from ledgerloom.llm.shards import TOLD, Exchange, hash_words, shard_count, sharded, word_codes
 
 K = 13
 #: A path has so many edges on average before it is cut.
@@ -55,6 +55,7 @@ class _Graph:
 
     def __init__(self, table: pa.Table, key: str, k: int, bits: int):
         self.ids = _keys(table, key)
+        self.rows = _keys(table, "_row")
         self.words, self.index, self.bounds = word_codes(table.column("_text"))
         self.hash, self.row, self.word = edge_hashes(self.words, self.index, self.bounds, k)
         order = np.argsort(self.hash, kind="stable")
@@ -75,47 +76,27 @@ class _Graph:
         return out
 
 
-_MESSAGE = T.StructType([T.StructField("_shard", T.IntegerType()), T.StructField("_bucket", T.IntegerType()), T.StructField("_keys", T.BinaryType())])
-_MESSAGE_ARROW = pa.schema([("_shard", pa.int32()), ("_bucket", pa.int32()), ("_keys", pa.binary())])
-
-
 def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> DataFrame:
-    """Rows of the compacted graph: _shard, _key, start (first word), n (edges), words (of the path, joined by blanks)."""
-    buckets = max(1, shards // 2)
+    """Rows of the compacted graph: _shard, _key, _row, start (first word), n (edges), words (of the path, joined by blanks)."""
+    exchange = Exchange.of(shards, 2, bits)
 
     def tell(table: pa.Table) -> pa.Table:
-        graph = _Graph(table, key, k, bits)
-        bounds = bucket_bounds(graph.short, buckets, bits)
-        shard = table.column("_shard")[0].as_py()
-        full = np.flatnonzero(np.diff(bounds)).tolist()
-        return pa.table([[shard] * len(full), full, [pack_sorted(graph.short[bounds[b] : bounds[b + 1]]) for b in full]], schema=_MESSAGE_ARROW)
-
-    def meet(table: pa.Table) -> pa.Table:
-        own = [unpack_sorted(x) for x in table.column("_keys").to_pylist()]
-        everything = np.sort(np.concatenate(own))
-        shared = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        bits_of = [pack(np.packbits(np.isin(x, shared, assume_unique=True))) for x in own]
-        return table.set_column(2, "_keys", pa.array(bits_of, pa.binary())).cast(_MESSAGE_ARROW)
-
-    told = docs.groupBy("_shard").applyInArrow(tell, _MESSAGE)
-    replies = told.groupBy("_bucket").applyInArrow(meet, _MESSAGE)
+        short = _Graph(table, key, k, bits).short
+        return exchange.tell(table.column("_shard")[0].as_py(), short, np.ones(len(short), np.uint64))
+
+    told = docs.groupBy("_shard").applyInArrow(tell, TOLD)
+    answers = exchange.answers(told, exchange.meet(told, most=2))
     schema = T.StructType([
-        T.StructField("_shard", T.IntegerType()), T.StructField("_key", T.LongType()), T.StructField("start", T.IntegerType()),
-        T.StructField("n", T.IntegerType()), T.StructField("words", T.StringType()),
+        T.StructField("_shard", T.IntegerType()), T.StructField("_key", T.LongType()), T.StructField("_row", T.LongType()),
+        T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.StringType()),
     ])
-    arrow = pa.schema([("_shard", pa.int32()), ("_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
+    arrow = pa.schema([("_shard", pa.int32()), ("_key", pa.int64()), ("_row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
 
     def compact(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return arrow.empty_table()
         graph = _Graph(table, key, k, bits)
-        bounds = bucket_bounds(graph.short, buckets, bits)
-        elsewhere = np.zeros(len(graph.short), bool)
-        for b, raw in zip(answer.column("_bucket").to_pylist(), answer.column("_keys").to_pylist()):
-            n = int(bounds[b + 1] - bounds[b])
-            packed = np.frombuffer(pa.decompress(raw[8:], -(-n // 8), "zstd", asbytes=True), np.uint8)
-            elsewhere[bounds[b] : bounds[b + 1]] = np.unpackbits(packed, count=n).astype(bool)
-        at = np.flatnonzero(graph.repeated(elsewhere))
+        at = np.flatnonzero(graph.repeated(exchange.sums(graph.short, answer) > 1))
         if not len(at):
             return arrow.empty_table()
         h, row, word = graph.hash[at], graph.row[at], graph.word[at]
@@ -125,32 +106,42 @@ def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> D
         first = graph.bounds[row[starts]] + word[starts]
         text = [" ".join([graph.words[i] for i in graph.index[a : a + n + k - 1].tolist()]) for a, n in zip(first.tolist(), size.tolist())]
         return pa.Table.from_arrays([
-            pa.array(np.full(len(starts), table.column("_shard")[0].as_py(), np.int32)), pa.array(graph.ids[row[starts]]), pa.array(word[starts].astype(np.int32)),
-            pa.array(size.astype(np.int32)), pa.array(text, pa.string()),
+            pa.array(np.full(len(starts), table.column("_shard")[0].as_py(), np.int32)), pa.array(graph.ids[row[starts]]), pa.array(graph.rows[row[starts]]),
+            pa.array(word[starts].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(text, pa.string()),
         ], schema=arrow)
 
-    return docs.groupBy("_shard").cogroup(replies.groupBy("_shard")).applyInArrow(compact, schema)
+    return docs.groupBy("_shard").cogroup(answers.groupBy("_shard")).applyInArrow(compact, schema)
+
+
+def _edge_hash(words: F.Column) -> F.Column:
+    return F.xxhash64(words)
 
 
 def repeated_places(rows: DataFrame, k: int = K) -> DataFrame:
-    """_shard, _key, start, n, some: the places whose edges, all or some, an earlier document has.
+    """_shard, _key, _row, start, n, some: the places whose edges, all or some, an earlier document has.
 
     ``some`` has the numbers of those edges; null: the path's source is in an earlier document, so all are.
     """
     # Equal paths are one, with the least of their places as the source; partial minima come before the shuffle.
-    distinct = rows.groupBy("words").agg(F.min(F.struct("_key", "start")).alias("source")).withColumn("path", F.xxhash64("words"))
-    # The list is named twice, so that Spark makes it once and not for each edge.
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(F.slice("_w", i, k)))
+    distinct = rows.groupBy("words").agg(F.min(F.struct("_key", "_row", "start")).alias("source"))
+    distinct = durable(distinct.withColumn("path", F.monotonically_increasing_id()), "distinct-paths")  # written, so numbers stay
     listed = distinct.select("path", F.col("source._key").alias("first"), F.split("words", " ").alias("_w"))
-    edges = listed.select("path", "first", hashes.alias("e")).select("path", "first", F.posexplode_outer("e").alias("at", "edge"))
-    # One shuffle: distinct paths only meet here, so copies of a passage don't crowd an edge.
-    parted = edges.withColumn("least", F.min("first").over(Window.partitionBy("edge"))).filter("least < first")
+    # The list is named twice, so that Spark makes it once and not for each edge.
+    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: _edge_hash(F.slice("_w", i, k)))
+    edges = listed.select("path", hashes.alias("e")).select("path", F.posexplode_outer("e").alias("at", "edge"))
+    # Only distinct paths meet here, so copies of a passage don't crowd an edge.
+    several = edges.groupBy("edge").agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a < b").select("edge")
+    meeting = edges.join(several, "edge", "left_semi").groupBy("path").agg(F.collect_list("at").alias("ats"))  # of one path's edges at most
+    spoken = F.transform("ats", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("_w", i + 1, F.least(F.lit(k), F.size("_w"))), " ").alias("edge")))
+    worded = meeting.join(listed, "path").select("path", "first", spoken.alias("x")).select("path", "first", F.explode_outer("x").alias("x")).select("path", "first", "x.at", "x.edge")
+    least = worded.groupBy("edge").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("edge", "least")
+    parted = worded.join(least, "edge").filter("least < first")
     ahead = parted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("ahead"))  # one entry for each of a path's edges at most
-    known = distinct.select("words", "path", "source").join(ahead, "path", "left")
+    known = distinct.join(ahead, "path", "left").select("words", "source", "ahead")
     placed = rows.join(known, "words")
     hits = F.filter(F.map_keys("ahead"), lambda at: F.element_at("ahead", at) < F.col("_key"))
     return placed.select(
-        "_shard", "_key", "start", "n",
+        "_shard", "_key", "_row", "start", "n",
         F.when(F.col("source._key") < F.col("_key"), F.lit(None)).otherwise(F.coalesce(hits, F.array().cast("array<int>"))).alias("some"),
     ).filter("some IS NULL OR size(some) > 0")
 
@@ -160,16 +151,18 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     A word goes if k words in a row that hold it also begin in a document with a smaller key; all is judged on the input.
     Null and empty texts have no words and get an empty text. Rows that repeat a key are no earlier documents for each
-    other. Rows without a key keep all words and are no one's earlier document. Other columns aren't read.
-    The key is a whole number.
+    other, each of them is judged by its own text, and equal rows get equal results. Rows without a key keep all words
+    and are no one's earlier document. Of no rows come none. Other columns aren't read, whatever their names; the key is
+    a whole number. A very long text is one row of a shard and is taken whole.
     """
     total = text_bytes(docs, text)
     shards = shard_count(total)
     bits = min(63, max(16, int(total // 4).bit_length() + 7))
-    keyed = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    cut = sharded(keyed, shards, key=key, text="_text")
-    rows = durable(paths(cut, shards, bits, key=key, k=k), "paths")
-    places = repeated_places(rows, k)
+    keyed = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    keyed = keyed.withColumn("_row", F.xxhash64("_text"))  # tells rows that repeat a key apart
+    cut = sharded(keyed, shards, ["_key", "_row"], ["_key", "_row", "_text"])
+    rows = durable(paths(cut, shards, bits, key="_key", k=k), "paths")
+    places = durable(repeated_places(rows, k), "places")
     schema = T.StructType([
         T.StructField(key, T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -177,20 +170,19 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     arrow = pa.schema([(key, pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def remove(table: pa.Table, gone: pa.Table) -> Iterator[pa.RecordBatch]:
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for doc, start, n, some in zip(*(gone.column(c).to_pylist() for c in ("_key", "start", "n", "some"))):
-            own = spans.setdefault(doc, [])
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for doc, row, start, n, some in zip(*(gone.column(c).to_pylist() for c in ("_key", "_row", "start", "n", "some"))):
+            own = spans.setdefault((doc, row), [])
             own += [(start, start + n + k - 1)] if some is None else [(start + x, start + x + k) for x in some]
         out = []
-        for doc, body in zip(table.column(key).to_pylist(), table.column("_text").to_pylist()):
+        for doc, row, body in zip(*(table.column(c).to_pylist() for c in ("_key", "_row", "_text"))):
             words = body.encode().split()
             merged: list[tuple[int, int]] = []
-            for a, b in sorted(spans.get(doc, ())):
+            for a, b in sorted(spans.get((doc, row), ())):
                 if merged and a <= merged[-1][1]:
                     merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
                 else:
                     merged.append((a, b))
-            merged = [(a, min(b, len(words))) for a, b in merged if a < len(words)]  # rows that repeat a key may have other texts
             kept, last = [], 0
             for a, b in merged:
                 kept += words[last:a]

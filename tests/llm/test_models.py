@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -146,16 +147,90 @@ def test_forward_is_the_sum_over_paths():
         assert abs(g - math.log(p)) < 1e-9
 
 
+def brute_expected(model, texts):
+    """Baum-Welch counts by the plain recursions, text by text."""
+    k = len(model.start)
+    starts, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+    for t in texts:
+        alpha = [model.start * model.emit[t[0]]]
+        for x in t[1:]:
+            alpha.append((alpha[-1] @ model.move) * model.emit[x])
+        beta = [np.ones(k)]
+        for x in reversed(t[1:]):
+            beta.insert(0, model.move @ (model.emit[x] * beta[0]))
+        p = alpha[-1].sum()
+        starts += alpha[0] * beta[0] / p
+        for j, x in enumerate(t):
+            emissions[x] += alpha[j] * beta[j] / p
+            if j:
+                moves += np.outer(alpha[j - 1], model.emit[x] * beta[j]) * model.move / p
+    return starts, moves, emissions
+
+
+def test_expected_counts_are_brute_force():
+    r = np.random.default_rng(3)
+    texts = sorted((r.integers(0, 7, n).tolist() for n in (1, 1, 2, 5, 5, 9, 30)), key=len, reverse=True)
+    model = hmm.Model.initial(7, 3)
+    got = model.expected(np.array(sum(texts, [])), np.cumsum([0, *map(len, texts)]))
+    for g, w in zip(got, brute_expected(model, texts)):
+        assert np.allclose(g, w, rtol=1e-4, atol=1e-5)
+
+
 def test_baum_welch_raises_the_likelihood():
     r = np.random.default_rng(2)
-    windows = np.concatenate([r.integers(0, 3, (16, 40)), r.integers(3, 6, (16, 40))], axis=1)
+    symbols = np.concatenate([r.integers(0, 3, 16 * 40), r.integers(3, 6, 16 * 40)])
+    bounds = np.arange(0, len(symbols) + 1, 16)
     model, last = hmm.Model.initial(6, 2), -np.inf
     for _ in range(6):
-        total = model.log_likelihood(windows.T.ravel(), np.arange(0, 16 * 80 + 1, 16)).sum()
+        total = model.log_likelihood(symbols, bounds).sum()
         assert total >= last - 1e-3
         last = total
-        s, m, e = model.expected(windows, np.full(80, 16))
+        s, m, e = model.expected(symbols, bounds)
+        model = hmm.Model(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(0))
+
+
+def test_trained_scores_are_brute_force(spark, monkeypatch):
+    """The whole query: training from the words of training texts, then the likelihood of each text."""
+    monkeypatch.setattr(hmm, "BATCH_SYMBOLS", 40)
+    monkeypatch.setattr(hmm, "COMMON_SHARE", 0.03)
+    monkeypatch.setattr(hmm, "shard_count", lambda total: 7)
+    r = random.Random(4)
+    texts = {k: " ".join(r.choice(["The", "cat", "sat", "on", "mats", "hats", "bats", f"x{r.randint(0, 30)}"]) for _ in range(r.randint(0, 30))) for k in range(40)}
+    rows = [(k, t) for k, t in texts.items()]
+    low = {k: t.lower().split() for k, t in texts.items()}
+    learns = {k for k in texts if k % 7 != 2}
+    c = Counter(w for k in learns for w in low[k])
+    total = sum(c.values()) + len(learns)
+    key = lambda w: (xxhash.xxh3_64_intdigest(w) & ~255) | hmm.word_class(w)
+    common = sorted((w for w in c if c[w] >= math.ceil(0.03 * total)), key=key)
+    symbol = lambda w: hmm._END + 1 + common.index(w) if w in common else hmm.word_class(w)
+    coded = {k: [*map(symbol, w), hmm._END] for k, w in low.items()}
+    model = hmm.Model.initial(hmm._END + 1 + len(common))
+    for _ in range(hmm.ITERATIONS):
+        s, m, e = brute_expected(model, [coded[k] for k in learns])
+        s, m, e = s + 1, m + 1, e + 0.05
         model = hmm.Model(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(0))
+    rest = Counter()
+    for w in c:
+        if w not in common:
+            rest[hmm.word_class(w)] += c[w]
+            rest[hmm.word_class(w), "words"] += 1
+
+    def share(w):
+        return 1.0 if w in common else (c[w] + 1) / (rest[hmm.word_class(w)] + rest[hmm.word_class(w), "words"] + 1)
+
+    want = {}
+    for k, t in coded.items():
+        now, out = model.start * model.emit[t[0]], 0.0
+        for x in t[1:]:
+            out += math.log10(now.sum())
+            now = (now / now.sum()) @ model.move * model.emit[x]
+        want[k] = out + math.log10(now.sum()) + sum(math.log10(share(w)) for w in low[k])
+    df = spark.createDataFrame([(*x, "clash", True) for x in rows], "doc_id long, text string, score string, _train boolean")
+    one, many = ({r.doc_id: r.score for r in hmm.score(df.repartition(n), train_on=F.col("doc_id") % 7 != 2).collect()} for n in (1, 7))
+    for k in texts:
+        assert abs(one[k] - want[k]) < 1e-3 * max(1, abs(want[k]))
+        assert abs(one[k] - many[k]) < 1e-9 * max(1, abs(one[k]))
 
 
 def test_model_is_proper_over_words():
