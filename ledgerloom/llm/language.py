@@ -1,9 +1,10 @@
 """Language identification by language-bitmask n-gram filters.
 
-Character n-grams that are typical of a language go into one Bloom filter for all languages: a slot holds a bit for
-each language, in as many words as they need, and the AND over an n-gram's slots is the set of languages that contain
-it. A text is decided by the set bits of its n-grams for each language, less the false positives that the filter's
-filling lets expect, against the share of the language's typical n-grams in training that were common enough to learn.
+The character n-grams of each language go into one bit-sliced Bloom filter: a slot holds a bit for each language, in as
+many words as they need, and the AND over an n-gram's slots is the set of all languages that contain it. A text is
+decided by the set bits of its n-grams for each language, less the false positives that the filter's filling lets
+expect. A language contains the n-grams with at least ``least_share`` of all its n-grams in training; hits are taken
+against the share that these have there, so that a score doesn't move with how many rare ones a large corpus has.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import documents, durable, sub_batches
 
-GRAM = 3
-#: n-grams rarer than this share of a language's n-grams aren't learned: at most 1 / MIN_SHARE of them for a language.
-MIN_SHARE = 1e-5
-#: An n-gram belongs to a language if its share there is at least this part of its largest share in any language.
-TYPICAL = 0.5
+GRAM = 4
+#: A language contains an n-gram with at least this share of its n-grams: at most 1 / LEAST_SHARE of them.
+LEAST_SHARE = 1e-5
+#: Slots of a filter, or more if a language has many n-grams.
 SLOTS = 1 << 20
+SLOTS_PER_GRAM = 8
 HASHES = 3
 #: Languages in one word of a slot.
 WORD = 64
@@ -38,25 +39,27 @@ _BLANK = 0x20
 
 
 def gram_codes(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram codes of all texts, text number of each). Letters in lower case; others count as one blank."""
-    lowered = [t.lower() if t else "" for t in texts]
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in lowered])
-    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
+    """(n-gram hashes of all texts, text number of each). Letters in lower case; others, and both ends, are one blank."""
+    lowered = [f" {t.lower() if t else ''} " for t in texts]
+    sizes = np.array([len(t) for t in lowered], np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    points = np.frombuffer("".join(lowered).encode("utf-32-le"), np.uint32)
     letter = _letters(points)
     keep = letter.copy()
-    keep[:1] = True
     keep[1:] |= letter[:-1]  # of blanks in a row the first only
+    keep[np.cumsum(sizes) - sizes] = True
     points, owner = np.where(letter, points, _BLANK)[keep], owner[keep]
     del letter, keep
     size = len(points) - n + 1
     if size <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int32)
     inside = owner[:size] == owner[n - 1 :]
-    code = np.zeros(size, np.int64)
+    code = np.zeros(size, np.uint64)
     for k in range(n):
-        code <<= 21
-        code |= points[k : size + k]
-    return code[inside], owner[:size][inside]
+        code += points[k : size + k]
+        code *= np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    return code[inside].view(np.int64), owner[:size][inside]
 
 
 _LETTER = np.zeros(0, bool)
@@ -84,7 +87,7 @@ class LanguageFilter:
     languages: list[str]
     #: A row for each WORD languages.
     slots: np.ndarray
-    #: For each language, the share of its typical n-grams in training that were learned.
+    #: For each language, the share of its n-grams in training that the filter contains.
     cover: np.ndarray
 
     @classmethod
@@ -132,8 +135,14 @@ class LanguageFilter:
         return [(self.languages[b], float(v)) if ok else (UNKNOWN, 0.0) for b, v, ok in zip(best.tolist(), value, has_letter)]
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> LanguageFilter:
-    """Learn from all rows with a language: n-grams are counted in the tasks and summed by Spark."""
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE) -> LanguageFilter:
+    """Learn from all rows with a language: n-grams are counted in the tasks and summed by Spark.
+
+    ``least_share`` bounds what the driver gets: 1 / least_share n-grams of a language. With 0 every n-gram that occurs is
+    learned, whatever their number. Null texts and null languages teach nothing; a repeated row counts each time; of no
+    rows, or of texts without a letter, no language is learned. Other columns aren't read. A very long text is counted
+    whole.
+    """
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +169,14 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Lan
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     counts = durable(rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
-    # A gram's rows are one for a language, so the maximum below meets few rows for a key.
-    top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    typical = durable(shares.join(top, "gram").filter(F.col("share") >= TYPICAL * F.col("top")).select("lang", "gram", "share"), "language-grams")
-    common = F.col("share") >= MIN_SHARE
-    covers = typical.groupBy("lang").agg((F.sum(F.when(common, F.col("share"))) / F.sum("share")).alias("cover")).filter("cover > 0")
-    found = sorted((r.lang, r.cover) for r in covers.collect())  # a row for each language
-    model = LanguageFilter.empty([x for x, _ in found], [c for _, c in found])
+    learned = durable(counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= least_share * F.col("total")).select("lang", "gram", (F.col("n") / F.col("total")).alias("share")), "language-grams")
+    found = sorted((r.lang, r.cover, r.n) for r in learned.groupBy("lang").agg(F.sum("share").alias("cover"), F.count("*").alias("n")).collect())  # a row for each language
+    size = max(SLOTS, 1 << (SLOTS_PER_GRAM * max((n for _, _, n in found), default=1)).bit_length() - 1)
+    model = LanguageFilter.empty([x for x, _, _ in found], [c for _, c, _ in found], size)
     for a in range(0, len(found), WORD):
         names = model.languages[a : a + WORD]
-        learned = typical.filter(common & F.col("lang").isin(names)).select("lang", "gram").toPandas()  # at most WORD / MIN_SHARE rows, whatever the corpus
-        for language, grams in learned.groupby("lang")["gram"]:
+        part = learned.filter(F.col("lang").isin(names)).select("lang", "gram").toPandas()  # at most WORD / least_share rows, whatever the corpus
+        for language, grams in part.groupby("lang")["gram"]:
             model.add(a + names.index(language), grams.to_numpy(np.int64))
     return model
 
@@ -180,7 +185,9 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text: str = "text", lang_
             carry: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` with the predicted language and its score; ``text`` alone is looked at.
 
-    A null text or one without a letter gets ``und`` and 0. Columns named like the results are replaced.
+    A null text or one without a letter, and any text under a model of no language, gets ``und`` and 0. Of languages
+    with one score the first in order is taken. Repeated rows get the same result, null keys are rows like others, a very
+    long text is read whole. Columns named like the results are replaced.
     """
     columns = [c for c in (carry or docs.columns) if c not in (lang_out, score_out)]
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
@@ -206,6 +213,7 @@ def held_out(part: int, of: int, key: str = "doc_id") -> F.Column:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = train(docs.filter(~held_out(2, 4)))
+    apart = F.coalesce(held_out(2, 4), F.lit(False))  # a row without an id is none of those held out
+    model = train(docs.filter(~apart))
     out = predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out(2, 4), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", apart.alias("held_out"), "lang_pred", "score")

@@ -88,17 +88,45 @@ def test_language_learns_more_than_a_word_of_languages(spark):
     assert all(x.lang_pred == x.lang and x.score > 0.9 for x in language.predict(df, model).collect())
 
 
-def test_language_score_is_free_of_the_cut(spark, monkeypatch):
+def test_language_score_is_free_of_the_cut(spark):
     # Half of the n-grams are rarer than the cut, as with many n-grams of a large corpus.
     r = random.Random(9)
     text = " ".join(r.choice(["aba", "bab"]) if k % 2 else "".join(r.choice("cdefghijklmnop") for _ in range(3)) for k in range(2000))
     df = spark.createDataFrame([(1, text, "x"), (2, "qrs tuv " * 100, "y")], "doc_id long, text string, lang string")
-    monkeypatch.setattr(language, "MIN_SHARE", 2e-3)
-    model = language.train(df)
+    model = language.train(df, least_share=2e-3)
     assert model.cover[0] < 0.8
     assert [(x.lang_pred, round(x.score, 2)) for x in language.predict(df, model).orderBy("doc_id").collect()] == [("x", 1.0), ("y", 1.0)]
 
 
+def test_language_is_brute_force(spark):
+    """Sets of n-grams in place of the filter, over odd rows too."""
+    rows = [(k, speech(lang or "en", k, 12) + (" Zoë, und 1 'l'été" if k % 5 == 0 else ""), lang) for k, lang in zip(range(24), itertools.cycle([*SYLLABLES, None]))]
+    rows += [(90, None, "en"), (91, "", "de"), (92, "12 !", "fr"), (93, "a", "en"), (None, speech("de", 93, 9), "de"), (3, rows[3][1], rows[3][2]), (94, speech("fr", 1, 3000), None)]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        t = re.sub(" +", " ", f" {t} ")
+        return [t[a : a + language.GRAM] for a in range(len(t) - language.GRAM + 1)]
+
+    counts = {}
+    for _, t, lang in rows:
+        if lang and t is not None:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    for least in (0.0, 0.01):
+        kept = {x: {g for g, n in c.items() if n >= least * sum(c.values())} for x, c in counts.items()}
+        cover = {x: sum(counts[x][g] for g in kept[x]) / sum(counts[x].values()) for x in kept}
+        got = language.predict(df, language.train(df, least_share=least)).collect()
+        assert len(got) == len(rows)
+        for (_, t, _), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r.doc_id, r.text, r.lang)))):
+            own = grams(t)
+            part = {x: min(1, sum(g in kept[x] for g in own) / len(own) / cover[x]) if own else 0.0 for x in sorted(kept)}
+            if not any(map(str.isalpha, t or "")):
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+            else:
+                assert abs(r.score - max(part.values())) < 1e-3 and part[r.lang_pred] >= max(part.values()) - 1e-3
+
+
 def test_language_without_labels(spark, docs, none):
     model = language.train(docs.filter("lang IS NULL"))
     assert model.languages == [] and {r.lang_pred for r in language.predict(docs, model).collect()} == {"und"}
