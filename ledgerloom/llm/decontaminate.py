@@ -9,7 +9,7 @@ No shuffle is needed: a document never leaves its task.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +25,9 @@ WINDOW = 10
 #: Phrase words sent to the tasks at once; a larger benchmark is searched in several passes.
 PHRASE_BLOCK = 4_000_000
 SAMPLE = 16
+#: Text bytes that are indexed at a time.
+SHARD_BYTES = 4 << 20
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 class _Vocabulary(dict):
@@ -221,77 +224,63 @@ _FOUND_ARROW = pa.struct([
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", item_id: str = "item_id",
                        item_text: str = "text", carry: list[str] | None = None, result: str = "contamination",
-                       shard_bytes: int = 16 << 20) -> DataFrame:
+                       shard_bytes: int = SHARD_BYTES, cut: bool = False) -> DataFrame:
     """Each row of ``docs`` (columns ``carry``, all by default) with a struct ``result``: words, hit spans, items.
 
-    Null and empty texts have no words and no hits. Items that are null or have no word are in no result; items
-    with one id count once; an item without an id hits words but isn't named. Repeated rows get equal results.
-    An empty benchmark hits nothing. A column of ``docs`` that is named like ``result`` is replaced.
+    ``cut`` also takes the spans out of a carried ``text``, with the characters between their words; rows without spans
+    keep their text as it is. Null and empty texts have no words and no hits. Items that are null or have no word are in
+    no result; items with one id count once; an item without an id hits words but isn't named. Repeated rows get equal
+    results; null ids are values like others. An empty benchmark hits nothing. A column of ``docs`` that is named like
+    ``result`` is replaced. A very long text is a shard of its own. The benchmark goes through the driver in blocks and
+    its blocks to all tasks: it is taken to be small beside the documents.
     """
     carry = [c for c in (carry or docs.columns) if c != result]
+    own = text if text in carry else "_text"  # a text that is carried is sent once
     out_schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(result, _FOUND)])
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
     items = ((r.i, bytes(r.t) if r.t is not None else None) for r in rows.toLocalIterator())
-    key, struct_key = "_text_bytes", "_found"
-    out = docs.select(*carry, F.col(text).cast("binary").alias(key), F.lit(None).cast(_FOUND).alias(struct_key))
-    blocks = item_windows(items, window)
-    first = True
-    for block in blocks:
-        out = _search_pass(out, block, key, struct_key, shard_bytes)
-        first = False
-    if first:
-        out = _search_pass(out, {}, key, struct_key, shard_bytes)
-    return out.select(*carry, F.col(struct_key).alias(result)).to(out_schema)
-
-
-def _search_pass(df: DataFrame, windows: dict, key: str, struct_key: str, shard_bytes: int) -> DataFrame:
+    out = docs.select(*carry, *([] if own == text else [F.col(text).alias(own)]), F.lit(None).cast(_FOUND).alias("_found"))
+    block: dict = {}
+    for following in item_windows(items, window):
+        if block:
+            out = _search_pass(out, block, own, shard_bytes, False)
+        block = following
+    out = _search_pass(out, block, own, shard_bytes, cut)
+    return out.select(*carry, F.col("_found").alias(result)).to(out_schema)
+
+
+def _search_pass(df: DataFrame, windows: dict, text: str, shard_bytes: int, cut: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast({k: sorted(v, key=str) for k, v in windows.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases({k: {x for x in v if x is not None} for k, v in shared.value.items()})
-        for batch in sub_batches(batches, key, shard_bytes):
-            texts, before = batch.column(key).to_pylist(), batch.column(struct_key).to_pylist()
-            rows = []
-            for (n, spans, items), old in zip(find_in_shard(texts, phrases), before):
+        for batch in sub_batches(batches, text, shard_bytes):
+            texts, before = batch.column(text).cast(pa.binary()).to_pylist(), batch.column("_found").to_pylist()
+            rows, changed = [], False
+            for k, ((n, spans, items), old) in enumerate(zip(find_in_shard(texts, phrases), before)):
                 if old:
                     spans = merge_spans(spans + [(s["start"], s["end"]) for s in old["spans"]])
                     items = items | set(old["items"])
                 rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
-            at = batch.schema.get_field_index(struct_key)
-            yield batch.set_column(at, struct_key, pa.array(rows, _FOUND_ARROW))
+                if cut and spans:
+                    texts[k], changed = without_spans(texts[k], spans), True
+            batch = batch.set_column(batch.schema.get_field_index("_found"), "_found", pa.array(rows, _FOUND_ARROW))
+            if changed:
+                at = batch.schema.get_field_index(text)
+                batch = batch.set_column(at, text, pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
+            yield batch
 
     return df.mapInArrow(run, df.schema)
 
 
-def remove_spans(docs: DataFrame, *, text: str = "text", result: str = "contamination") -> DataFrame:
-    """Cut the found word spans out of the texts, with the characters between their words; drops ``result``.
-
-    Rows without spans keep their text as it is.
-    """
-    columns = [c for c in docs.columns if c != result]
-    schema = docs.select(*columns).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-        for batch in batches:
-            texts, found = batch.column(text).to_pylist(), batch.column(result).to_pylist()
-            for k, f in enumerate(found):
-                if not f or not f["spans"]:
-                    continue
-                raw = texts[k].encode()
-                at = [m.span() for m in word.finditer(raw)]
-                kept, last = [], 0
-                for s in f["spans"]:
-                    kept.append(raw[last : at[s["start"]][0]])
-                    last = at[s["end"] - 1][1]
-                texts[k] = b"".join([*kept, raw[last:]]).decode()
-            i = batch.schema.get_field_index(text)
-            batch = batch.set_column(i, text, pa.array(texts, batch.schema.field(i).type))
-            yield batch.select(columns)
-
-    return docs.mapInArrow(run, schema)
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the words of the spans and what stands between them."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*kept, text[last:]])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import documents, durable, sub_batches
+from ledgerloom.llm.common import documents, durable, give_back, sub_batches
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shards import hash_words, word_codes
 
@@ -77,7 +77,7 @@ def sign(docs: DataFrame, key: str, text: str, bands: int, words: int) -> DataFr
     schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_text_id", T.BinaryType()), T.StructField("_grams", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "_text", 6 << 20):
+        for batch in sub_batches(batches, "_text", 2 << 20):
             grams, ends = shingles(batch.column("_text"), words)
             has = np.diff(ends) > 0
             values = band_hashes(grams, ends, bands)
@@ -158,6 +158,8 @@ def verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
                 break
             label = least
         linked = links.any(1)
+        del grams, sets, canon
+        give_back()
         return pa.table([pa.array(reps[linked]), pa.array(reps[label[linked]]), pa.array((links @ copies)[linked].astype(np.int64))], schema=arrow)
 
     return members.groupBy("_bucket", "_i", "_j").applyInArrow(verify, schema)

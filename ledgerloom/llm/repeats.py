@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import documents, durable, text_bytes
+from ledgerloom.llm.common import documents, durable, give_back, text_bytes
 from ledgerloom.llm.shards import TOLD, Exchange, hash_words, shard_count, sharded, word_codes
 
 K = 13
@@ -105,6 +105,7 @@ def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> D
         size = np.diff(np.append(starts, len(h)))
         first = graph.bounds[row[starts]] + word[starts]
         text = [" ".join([graph.words[i] for i in graph.index[a : a + n + k - 1].tolist()]) for a, n in zip(first.tolist(), size.tolist())]
+        give_back()
         return pa.Table.from_arrays([
             pa.array(np.full(len(starts), table.column("_shard")[0].as_py(), np.int32)), pa.array(graph.ids[row[starts]]), pa.array(graph.rows[row[starts]]),
             pa.array(word[starts].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(text, pa.string()),

@@ -72,7 +72,7 @@ def test_phrase_blocks_add_up(spark, docs, texts, monkeypatch):
 def test_removal_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "Keep this, one two three four. And -- this!"), (2, "clean"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "One TWO three, four")], "item_id long, text string")
-    out = {r.doc_id: r.text for r in d.remove_spans(d.find_contamination(docs, bench)).collect()}
+    out = {r.doc_id: r.text for r in d.find_contamination(docs, bench, cut=True).collect()}
     assert out == {1: "Keep this, . And -- this!", 2: "clean", 3: None}
 
 
