@@ -49,8 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts; the documents stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(docs, benchmark, result="_contamination")
-    return _measured(decontaminate.remove_spans(found, result="_contamination")).select(*docs.columns)
+    return _measured(decontaminate.find_contamination(docs, benchmark, result="_contamination", cut=True)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
