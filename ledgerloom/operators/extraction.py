@@ -100,35 +100,6 @@ def date_check(rows: DataFrame) -> DataFrame:
     return rows.select("msg_id", F.when(swap, swapped).otherwise(F.col("event_date")).alias("event_date"), F.when(swap, "swapped").when(far, "far").otherwise("ok").alias("check"))
 
 
-# Statement line grammars, in order; groups are date, description, amount and marker.
-GRAMMARS = [
-    ("marked", r"^([0-9]{2}/[0-9]{2}/[0-9]{4}) (.+?) ([0-9][0-9,]*\.[0-9]{2}) (DR|CR)$"),
-    ("signed", r"^([0-9]{2}/[0-9]{2}/[0-9]{4}) (.+?) ()([+-][0-9][0-9,]*\.[0-9]{2})$"),
-    ("serial", r"^[0-9]+ ([0-9]{2}-[A-Z]{3}-[0-9]{4}) (.+?) ([0-9][0-9,]*\.[0-9]{2}) (Dr|Cr)$"),
-]
-
-
-def statement_rows(lines: DataFrame) -> DataFrame:
-    """statement_id, line_no, entry_date, description, amount_minor, direction of the lines that a grammar reads.
-
-    A date alone on its line belongs to the next line; such a next line is taken with it.
-    """
-    w = Window.partitionBy("statement_id").orderBy("line_no")
-    alone = F.col("line").rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$")
-    joined = lines.withColumn("_head", alone).withColumn("_before", F.lag("_head").over(w)).withColumn("_date", F.lag("line").over(w))
-    whole = joined.filter(~F.col("_head")).withColumn("line", F.when(F.col("_before"), F.concat_ws(" ", "_date", "line")).otherwise(F.col("line")))
-    part = None
-    for name, g in GRAMMARS:
-        fields = F.struct(F.lit(name).alias("grammar"), *(F.regexp_extract("line", g, k + 1).alias(n) for k, n in enumerate(("d", "text", "amount", "mark"))))
-        part = F.when(F.col("line").rlike(g), fields) if part is None else part.when(F.col("line").rlike(g), fields)
-    found = whole.withColumn("p", part).filter("p IS NOT NULL")
-    signed = F.col("p.grammar") == "signed"
-    return found.select(
-        "statement_id", "line_no", x.parse_date(F.initcap(F.lower("p.d")), ["dd/MM/yyyy", "dd-MMM-yyyy"]).alias("entry_date"), F.trim("p.text").alias("description"),
-        x.amount_minor(F.when(signed, F.col("p.mark")).otherwise(F.col("p.amount"))).alias("amount_minor"),
-        x.strict_direction(F.when(signed, F.substring("p.mark", 1, 1)).otherwise(F.col("p.mark"))).alias("direction"))
-
-
 LINES = T.StructType([T.StructField("page", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
 
 

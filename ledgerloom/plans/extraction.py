@@ -270,21 +270,6 @@ def grounding_filter(v: Views):
     return messages(v).filter(found).select("msg_id")
 
 
-LINES = """CASE line_no % 5 WHEN 0 THEN concat({d}, ' SUPPLIER ', CAST(merchant_id AS STRING), ' ', {a}, ' DR') WHEN 1 THEN concat({d}, ' SUPPLIER ', CAST(merchant_id AS STRING), ' +', {a}) WHEN 2 THEN {d} WHEN 3 THEN concat('SUPPLIER ', CAST(merchant_id AS STRING), ' ', {a}, ' CR') ELSE 'Opening balance' END""".format(d=_DAY.replace("'-'", "'/'"), a=_AMOUNT)
-
-
-@query("statement_rows", """, li AS (SELECT order_id AS statement_id, row_number() OVER (PARTITION BY order_id ORDER BY line_no, txn_id) AS line_no, """ + LINES + """ AS line, best_event_time, merchant_id, amount_minor, line_no AS n FROM live), h AS (SELECT *, lag(line) OVER (PARTITION BY statement_id ORDER BY line_no) AS b, regexp_matches(line, '^[0-9]{2}/[0-9]{2}/[0-9]{4}$') AS head FROM li),
-j AS (SELECT *, CASE WHEN regexp_matches(coalesce(b, ''), '^[0-9]{2}/[0-9]{2}/[0-9]{4}$') THEN b || ' ' || line ELSE line END AS w FROM h WHERE NOT head),
-p AS (SELECT *, CASE WHEN regexp_matches(w, '^([0-9]{2}/[0-9]{2}/[0-9]{4}) (.+?) ([0-9][0-9,]*\\.[0-9]{2}) (DR|CR)$') THEN 1 WHEN regexp_matches(w, '^([0-9]{2}/[0-9]{2}/[0-9]{4}) (.+?) ()([+-][0-9][0-9,]*\\.[0-9]{2})$') THEN 2 END AS g FROM j)
-SELECT statement_id, line_no, CAST(strptime(substr(w, 1, 10), '%d/%m/%Y') AS DATE) AS entry_date, CASE g WHEN 1 THEN regexp_extract(w, '^[0-9/]{10} (.+?) [0-9][0-9,]*\\.[0-9]{2} (DR|CR)$', 1) ELSE regexp_extract(w, '^[0-9/]{10} (.+?) [+-][0-9][0-9,]*\\.[0-9]{2}$', 1) END AS description, amount_minor,
-CASE WHEN g = 1 AND w LIKE '%DR' THEN 'debit' ELSE 'credit' END AS direction FROM p WHERE g IS NOT NULL""")
-def statement_rows(v: Views):
-    from pyspark.sql import Window
-
-    lines = v.live.select(F.col("order_id").alias("statement_id"), F.row_number().over(Window.partitionBy("order_id").orderBy("line_no", "txn_id")).alias("n"), F.expr(LINES).alias("line"))
-    return e.statement_rows(lines.withColumnRenamed("n", "line_no"))
-
-
 @query("statement_metadata", """, t AS (SELECT o_orderkey, concat('BANK', o_orderkey % 9, ' Credit Card Statement', chr(10), 'Card No XXXX ', lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0'), chr(10), 'Total Due    Minimum Due', chr(10), CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR), '.00    ', CAST(o_orderkey % 1000 AS VARCHAR), '.00') AS page FROM orders)
 SELECT o_orderkey, regexp_extract(page, '^(BANK[0-9]+)', 1) AS issuer, regexp_extract(page, 'XXXX ([0-9]{4})', 1) AS mask, CAST(round(TRY_CAST(regexp_extract(string_split(page, chr(10))[4], '^([0-9.]+)', 1) AS DOUBLE) * 100) AS BIGINT) AS total_due_minor, CAST(round(TRY_CAST(regexp_extract(string_split(page, chr(10))[4], ' ([0-9.]+)$', 1) AS DOUBLE) * 100) AS BIGINT) AS minimum_due_minor FROM t""")
 def statement_metadata(v: Views):

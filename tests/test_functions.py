@@ -11,6 +11,7 @@ from ledgerloom.functions import similarity as s
 from ledgerloom.functions import text as x
 from ledgerloom.operators import dashboard as d
 from ledgerloom.operators import extraction as e
+from ledgerloom.operators import statements
 from ledgerloom.operators import matching as m
 from ledgerloom.operators import tables as t
 
@@ -124,10 +125,39 @@ def test_phrase_prefix_crosses_punctuation(spark):
     assert t.phrase_prefix(df, "--", ["name"]).count() == 0
 
 
+STATEMENT_LINES = [
+    # (statement, issuer, kind, line) and what it gives: (date, description, minor units, direction, reference)
+    (1, "HDFC Bank", "credit_card", "01/02/2024", None),
+    (1, "HDFC Bank", "credit_card", "SHOP 1,000.50 CR", ("2024-02-01", "SHOP", 100050, "credit", None)),
+    (1, "HDFC Bank", "credit_card", "02/02/2024 UPI 123456789012 CAFE 5.00 Dr", ("2024-02-02", "UPI 123456789012 CAFE", 500, "debit", "123456789012")),
+    (1, "HDFC Bank", "credit_card", "02/02/2024 PAYMENT - THANK YOU 5.00 CR", None),
+    (1, "HDFC Bank", "credit_card", "03/02/2024 BAR -7.25", None),
+    (1, "HDFC Bank", "credit_card", "99/02/2024 BAD DATE 7.25 DR", None),
+    (2, "ICICI", "credit_card", "03-02-2024 INN  1.00 - 1.00", ("2024-02-03", "INN", 100, "debit", None)),
+    (2, "ICICI", "credit_card", "03/02/2024 REFUND  - 2.00 2.00", ("2024-02-03", "REFUND", 200, "credit", None)),
+    (2, "ICICI", "credit_card", "03/02/2024 NOTHING  - - -", None),
+    (3, "Axis", "x", "04/02/2024 IN +3.00", ("2024-02-04", "IN", 300, "credit", None)),
+    (4, "American (Amex)", "x", "12/31/2023 TAXI -4.00", ("2023-12-31", "TAXI", 400, "credit", None)),
+    (4, "American (Amex)", "x", "31/12/2023 TAXI 4.00", None),
+    (5, "ICICI", "bank_account", "05/02/2024 RENT CHQ77 05/02/2024 900.00 - 1.00", ("2024-02-05", "RENT", 90000, "debit", "CHQ77")),
+    (6, "State (SBI)", "credit_card", "4 05-FEB-2024 INN 1.00 Dr", ("2024-02-05", "INN", 100, "debit", None)),
+    (7, "Other", "x", "5.2.24 | 00:00 SHOES   MISC + C1,234.00 x", ("2024-02-05", "SHOES", 123400, "credit", None)),
+    (7, "Other", "x", "BOOKS AND", None),
+    (7, "Other", "x", "12 Jun 98 55.00 D", ("1998-06-12", "BOOKS AND PAPER", 5500, "debit", None)),
+    (7, "Other", "x", "PAPER", None),
+    (7, "Other", "x", "1/1/24 Grand Total 99.00", None),
+    (7, "Other", "x", "1/1/24 X9 99.00", None),
+    (8, "HDFC Bank", "credit_card", "01/02/2024 ONLY UNIVERSAL Rs. 8.00", ("2024-02-01", "ONLY UNIVERSAL", 800, "debit", None)),
+    (8, "HDFC Bank", "credit_card", None, None),
+]
+
+
 def test_statement_grammars(spark):
-    rows = [(1, 1, "01/02/2024"), (1, 2, "SHOP 1,000.50 CR"), (1, 3, "02/02/2024 CAFE 5.00 DR"), (1, 4, "03/02/2024 BAR -7.25"), (1, 5, "4 05-FEB-2024 INN 1.00 Dr"), (1, 6, "Opening balance 10.00")]
-    got = [(r.line_no, str(r.entry_date), r.description, r.amount_minor, r.direction) for r in e.statement_rows(spark.createDataFrame(rows, "statement_id long, line_no int, line string")).orderBy("line_no").collect()]
-    assert got == [(2, "2024-02-01", "SHOP", 100050, "credit"), (3, "2024-02-02", "CAFE", 500, "debit"), (4, "2024-02-03", "BAR", 725, "debit"), (5, "2024-02-05", "INN", 100, "debit")]
+    rows = [(*r[:3], k, r[3]) for k, r in enumerate(STATEMENT_LINES)]
+    lines = spark.createDataFrame(rows, "statement_id long, issuer string, kind string, line_no int, line string")
+    got = {r.line_no: (str(r.entry_date), r.description, r.amount_minor, r.direction, r.reference_id) for r in statements.statement_rows(lines).collect()}
+    assert got == {k: r[4] for k, r in enumerate(STATEMENT_LINES) if r[4]}
+    assert statements.statement_rows(lines.limit(0)).count() == 0
 
 
 def test_ladder_stops_at_the_first_complete_layer(spark):
