@@ -4,8 +4,9 @@ An edge is k words in a row. Shards tell each other which edges may lie in two d
 the graph has one document only and is let go. Repeated edges that follow each other in a document are compacted into
 paths, cut where an edge's own hash says so, hence at the same places in every document. A path's rows carry its words,
 and Spark joins on the words themselves: all places of a path against its source coordinate (first document, first
-word), so that every long span is verified byte by byte. Where texts part, an edge lies on several paths: hashes find
-those edges, and their words are compared; their first document is then the least of the paths'.
+word), so that every long span is verified byte by byte. Where texts part, an edge lies on several paths; it then occurs
+more often than its path does. Of such paths hashes find the edges that meet, and their words are compared; the first
+document of such an edge is the least of the paths'.
 """
 
 from __future__ import annotations
@@ -67,36 +68,42 @@ class _Graph:
         short = ordered >> np.uint64(64 - bits)
         new = np.concatenate(([True], short[1:] != short[:-1])) if len(short) else np.empty(0, bool)
         self.short = short[new]
+        self.counts = np.diff(np.append(np.flatnonzero(new), len(short))).astype(np.uint64)
         self.order, self.local, self.slot = order, twice[group], np.cumsum(new) - 1
 
-    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
-        """For each edge in document order: whether two documents may have it."""
-        out = np.zeros(len(self.hash), bool)
-        out[self.order] = self.local | elsewhere[self.slot]
-        return out
+    def repeated(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each edge in document order: whether two documents may have it, and how often it may occur at most."""
+        out, often = np.zeros(len(self.hash), bool), np.zeros(len(self.hash), np.int64)
+        out[self.order] = self.local | (sums > self.counts.astype(np.int64))[self.slot]
+        often[self.order] = sums[self.slot]
+        return out, often
 
 
 def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> DataFrame:
-    """Rows of the compacted graph: _shard, _key, _row, start (first word), n (edges), words (of the path, joined by blanks)."""
+    """Rows of the compacted graph: _shard, _key, _row, start (first word), n (edges), often, words (of the path, joined by blanks).
+
+    ``often`` is no less than the number of places at which any of the path's edges occurs.
+    """
     exchange = Exchange.of(shards, 2, bits)
 
     def tell(table: pa.Table) -> pa.Table:
-        short = _Graph(table, key, k, bits).short
-        return exchange.tell(table.column("_shard")[0].as_py(), short, np.ones(len(short), np.uint64))
+        graph = _Graph(table, key, k, bits)
+        return exchange.tell(table.column("_shard")[0].as_py(), graph.short, graph.counts)
 
     told = docs.groupBy("_shard").applyInArrow(tell, TOLD)
-    answers = exchange.answers(told, exchange.meet(told, most=2))
+    answers = exchange.answers(told, exchange.meet(told))
     schema = T.StructType([
         T.StructField("_shard", T.IntegerType()), T.StructField("_key", T.LongType()), T.StructField("_row", T.LongType()),
-        T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.StringType()),
+        T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("often", T.LongType()), T.StructField("words", T.StringType()),
     ])
-    arrow = pa.schema([("_shard", pa.int32()), ("_key", pa.int64()), ("_row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
+    arrow = pa.schema([("_shard", pa.int32()), ("_key", pa.int64()), ("_row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("often", pa.int64()), ("words", pa.string())])
 
     def compact(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return arrow.empty_table()
         graph = _Graph(table, key, k, bits)
-        at = np.flatnonzero(graph.repeated(exchange.sums(graph.short, answer) > 1))
+        repeated, often = graph.repeated(exchange.sums(graph.short, answer))
+        at = np.flatnonzero(repeated)
         if not len(at):
             return arrow.empty_table()
         h, row, word = graph.hash[at], graph.row[at], graph.word[at]
@@ -108,7 +115,7 @@ def paths(docs: DataFrame, shards: int, bits: int, *, key: str, k: int = K) -> D
         give_back()
         return pa.Table.from_arrays([
             pa.array(np.full(len(starts), table.column("_shard")[0].as_py(), np.int32)), pa.array(graph.ids[row[starts]]), pa.array(graph.rows[row[starts]]),
-            pa.array(word[starts].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(text, pa.string()),
+            pa.array(word[starts].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.maximum.reduceat(often[at], starts)), pa.array(text, pa.string()),
         ], schema=arrow)
 
     return docs.groupBy("_shard").cogroup(answers.groupBy("_shard")).applyInArrow(compact, schema)
@@ -124,9 +131,10 @@ def repeated_places(rows: DataFrame, k: int = K) -> DataFrame:
     ``some`` has the numbers of those edges; null: the path's source is in an earlier document, so all are.
     """
     # Equal paths are one, with the least of their places as the source; partial minima come before the shuffle.
-    distinct = rows.groupBy("words").agg(F.min(F.struct("_key", "_row", "start")).alias("source"))
+    distinct = rows.groupBy("words").agg(F.min(F.struct("_key", "_row", "start")).alias("source"), F.count("*").alias("places"), F.max("often").alias("often"))
     distinct = durable(distinct.withColumn("path", F.monotonically_increasing_id()), "distinct-paths")  # written, so numbers stay
-    listed = distinct.select("path", F.col("source._key").alias("first"), F.split("words", " ").alias("_w"))
+    # An edge that another path has too occurs more often than this path. (So does one that the path has twice.)
+    listed = distinct.filter("often > places").select("path", F.col("source._key").alias("first"), F.split("words", " ").alias("_w"))
     # The list is named twice, so that Spark makes it once and not for each edge.
     hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: _edge_hash(F.slice("_w", i, k)))
     edges = listed.select("path", hashes.alias("e")).select("path", F.posexplode_outer("e").alias("at", "edge"))
@@ -134,12 +142,12 @@ def repeated_places(rows: DataFrame, k: int = K) -> DataFrame:
     several = edges.groupBy("edge").agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a < b").select("edge")
     meeting = edges.join(several, "edge", "left_semi").groupBy("path").agg(F.collect_list("at").alias("ats"))  # of one path's edges at most
     spoken = F.transform("ats", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("_w", i + 1, F.least(F.lit(k), F.size("_w"))), " ").alias("edge")))
-    worded = meeting.join(listed, "path").select("path", "first", spoken.alias("x")).select("path", "first", F.explode_outer("x").alias("x")).select("path", "first", "x.at", "x.edge")
+    worded = durable(meeting, "meeting-edges").join(listed, "path").select("path", "first", spoken.alias("x")).select("path", "first", F.explode_outer("x").alias("x")).select("path", "first", "x.at", "x.edge")
     least = worded.groupBy("edge").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("edge", "least")
     parted = worded.join(least, "edge").filter("least < first")
     ahead = parted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("ahead"))  # one entry for each of a path's edges at most
-    known = distinct.join(ahead, "path", "left").select("words", "source", "ahead")
-    placed = rows.join(known, "words")
+    known = distinct.join(durable(ahead, "edges-ahead"), "path", "left").select("words", "source", "ahead")
+    placed = rows.drop("often").join(known, "words")
     hits = F.filter(F.map_keys("ahead"), lambda at: F.element_at("ahead", at) < F.col("_key"))
     return placed.select(
         "_shard", "_key", "_row", "start", "n",

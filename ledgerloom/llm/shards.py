@@ -128,8 +128,8 @@ class Exchange:
     def _grouped(self, told: DataFrame) -> DataFrame:
         return told.select("*", F.floor(F.col("_shard") / self.width).cast("int").alias("_group"))
 
-    def meet(self, told: DataFrame, most: int | None = None, digest: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
-        """The sums of each group's keys, no more than ``most``; and one ``digest`` of the keys and sums of each bucket."""
+    def meet(self, told: DataFrame, digest: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+        """The sums of each group's keys; and one ``digest`` of the keys and sums of each bucket."""
 
         def merge(table: pa.Table) -> pa.Table:
             _, every, counts = _summed(table)
@@ -139,9 +139,8 @@ class Exchange:
 
         def total(table: pa.Table) -> pa.Table:
             own, every, counts = _summed(table)
-            told = counts if most is None else np.minimum(counts, np.uint64(most))
             at = zip(*(table.column(c).to_pylist() for c in ("_group", "_range", "_bucket")))
-            return _table([(*names, pack(told[np.searchsorted(every, keys)]), digest(every, counts) if digest and not k else None) for k, (names, keys) in enumerate(zip(at, own))], _MET)
+            return _table([(*names, pack(counts[np.searchsorted(every, keys)]), digest(every, counts) if digest and not k else None) for k, (names, keys) in enumerate(zip(at, own))], _MET)
 
         return self._grouped(told).groupBy("_group", "_range").applyInArrow(merge, _MERGED).groupBy("_bucket").applyInArrow(total, _MET)
 
