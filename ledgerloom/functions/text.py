@@ -37,12 +37,6 @@ def parse_date(text: Column, formats: list[str]) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats))
 
 
-def ambiguous_date(text: Column) -> Column:
-    """A numeric date whose day and month could be swapped."""
-    a, b = F.regexp_extract(text, r"^([0-9]{2})[-/]([0-9]{2})", 1).try_cast("int"), F.regexp_extract(text, r"^([0-9]{2})[-/]([0-9]{2})", 2).try_cast("int")
-    return F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False))
-
-
 def direction(text: Column) -> Column:
     """The earliest verb decides; a tie is a debit; null without a verb."""
     place = lambda p: F.when(text.rlike(p), F.length(F.regexp_extract(text, r"(?s)^(.*?)" + p.removeprefix("(?i)").join(("(?i:", ")")), 1)))
@@ -66,26 +60,6 @@ def mask_digits(text: Column) -> Column:
     return F.when(text.contains("@"), text).when(text.rlike("[Xx*]"), F.regexp_replace(behind, "[^0-9]", "")).otherwise(F.right(digits, F.lit(4)))
 
 
-# Words that carry no merchant, and signs of payment aggregators.
-STOPWORDS = ["THE", "AND", "FOR", "YOUR", "BANK", "PAYMENT", "TXN", "UPI", "REF"]
-AGGREGATORS = ["PAYU", "RAZ", "PYTM", "CCA"]
-
-
-def clean_merchant(text: Column) -> Column:
-    """Upper case, without an aggregator's prefix, long numbers at the end and repeated blanks."""
-    upper = F.upper(F.trim(text))
-    head = F.substring_index(upper, "*", 1)
-    split = F.when(upper.contains("*") & head.isin(*AGGREGATORS), F.regexp_replace(upper, r"^[^*]*\*", "")).otherwise(upper)
-    return F.trim(F.regexp_replace(F.regexp_replace(split, r"[ #]*[0-9]{4,}$", ""), " +", " "))
-
-
-def plausible_merchant(cleaned: Column) -> Column:
-    """At least three letters or digits, and stopwords fewer than half of the words."""
-    words = F.filter(F.split(cleaned, " "), lambda w: w != "")
-    stop = F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, STOPWORDS)), w)))
-    return (F.length(F.regexp_replace(cleaned, "[^A-Z0-9]", "")) >= 3) & (stop * 2 < F.size(words))
-
-
 def html_text(html: Column) -> Column:
     """Text of HTML: scripts and styles dropped, block ends as line feeds, tags dropped, six entities decoded."""
     out = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
@@ -110,31 +84,3 @@ PII = [
     (r"(?i)(?:Rs\.?|INR)\s*[0-9][0-9,.]*", "[AMOUNT]"),
     (r"[0-9]{6,}", "[NUMBER]"),
 ]
-
-# Channels by the first of these words, in order.
-CHANNELS = [("upi", "UPI"), ("neft", "NEFT"), ("imps", "IMPS"), ("atm", "ATM"), ("card", "CARD"), ("a/c", "ACCOUNT"), ("statement", "STATEMENT")]
-
-
-def channel(text: Column) -> Column:
-    """The first keyword, as a whole word, decides; OTHER without one."""
-    out = None
-    for word, name in CHANNELS:
-        found = F.concat(F.lit(" "), F.lower(text), F.lit(" ")).rlike(rf"[^a-z0-9]{word}[^a-z0-9]")
-        out = F.when(found, name) if out is None else out.when(found, name)
-    return out.otherwise("OTHER")
-
-
-# Message classes by the first pattern that matches, in order.
-CLASSES = [
-    ("otp", r"(?i)\botp\b|one time password"), ("kyc", r"(?i)\bkyc\b"), ("statement", r"(?i)statement .*(?:ready|generated)"),
-    ("mandate_cancel", r"(?i)mandate .*(?:cancel|revoked)"), ("mandate_register", r"(?i)mandate .*(?:registered|created)"),
-    ("marketing", r"(?i)\b(?:loan|offer)\b"), ("failure", r"(?i)\b(?:failed|declined)\b"), ("reminder", r"(?i)\b(?:due on|reminder)\b"),
-    ("transaction", r"(?i)(?:debited|credited|spent|received)"), ("balance", r"(?i)\bbalance\b"),
-]
-
-
-def content_class(text: Column) -> Column:
-    out = None
-    for name, pattern in CLASSES:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
-    return out.otherwise("unknown")

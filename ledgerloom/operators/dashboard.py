@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.matching import day_bucket
 from ledgerloom.views import ts
 
 
@@ -121,9 +122,15 @@ def group_counts(rows: DataFrame, column: str, missing: str = "unknown") -> Data
 
 
 def merchant_spikes(counted: DataFrame, factor: float = 3.0) -> DataFrame:
-    """Debits over ``factor`` times the merchant's mean of the 30 days before, the payment's own moment excluded."""
-    w = "OVER (PARTITION BY merchant_id ORDER BY best_event_time RANGE BETWEEN INTERVAL '30 00:00:00' DAY TO SECOND PRECEDING AND INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING)"
-    rows = counted.filter(F.col("direction") == "debit").withColumn("trailing_avg", F.expr(f"avg(amount_minor) {w}"))
+    """Debits over ``factor`` times the merchant's mean of the 30 days before, the payment's own moment excluded.
+
+    A window holds 30 days of a merchant and, as guests, the 30 days before them, so a busy merchant is many windows.
+    """
+    debits = counted.filter(F.col("direction") == "debit")
+    own = day_bucket(F.col("best_event_time"), 30)
+    spread = debits.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    w = "OVER (PARTITION BY merchant_id, _bucket ORDER BY best_event_time RANGE BETWEEN INTERVAL '30 00:00:00' DAY TO SECOND PRECEDING AND INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING)"
+    rows = spread.withColumn("trailing_avg", F.expr(f"avg(amount_minor) {w}")).filter("_bucket = _own")
     return rows.filter(F.col("amount_minor") > factor * F.col("trailing_avg")).select("txn_id", "merchant_id", "amount_minor", F.round("trailing_avg", 4).alias("trailing_avg"))
 
 

@@ -50,14 +50,26 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.select("obs_id", "cand_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6).alias("score"))
 
 
-def decided(observations: DataFrame, scores: DataFrame) -> DataFrame:
-    """new without a viable candidate; scored with one, or with a lead over the second beyond the margin; else ambiguous."""
+def exact_matches(observations: DataFrame, canonical: DataFrame, tolerance_seconds: int = 120) -> DataFrame:
+    """The earliest candidate with the observation's fingerprint (the keys and the minute), if the times agree to the second's tolerance."""
+    minute = lambda c: F.date_trunc("minute", F.col(c)).alias("_minute")
+    left = observations.select("obs_id", *KEYS, "event_time", minute("event_time"))
+    right = canonical.select("cand_id", *KEYS, F.col("event_time").alias("cand_time"), minute("event_time"))
+    first = left.join(right, [*KEYS, "_minute"]).groupBy("obs_id").agg(F.min_by(F.struct("cand_id", "cand_time", "event_time"), F.struct("cand_time", "cand_id")).alias("m"))
+    return first.filter(seconds_between("m.cand_time", "m.event_time") <= tolerance_seconds).select("obs_id", F.col("m.cand_id").alias("exact_id"))
+
+
+def decided(observations: DataFrame, scores: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+    """exact with a verified fingerprint (obs_id, exact_id), score 1; new without a viable candidate; scored with one, or with
+    a lead over the second beyond the margin; else ambiguous."""
     w = Window.partitionBy("obs_id").orderBy(F.desc("score"), "cand_id")
     ranked = scores.filter(F.col("score") >= VIABLE).withColumns({"place": F.row_number().over(w), "second": F.lead("score").over(w)}).filter("place = 1")
     joined = observations.select("obs_id").join(ranked.select("obs_id", "cand_id", "score", "second"), "obs_id", "left")
+    joined = joined.join(exact, "obs_id", "left") if exact is not None else joined.withColumn("exact_id", F.lit(None).cast("string"))
     clear = F.col("second").isNull() | (F.round(F.col("score") - F.col("second"), 6) > MARGIN)
-    decision = F.when(F.col("cand_id").isNull(), "new").when(clear, "scored").otherwise("ambiguous")
-    return joined.select("obs_id", decision.alias("decision"), F.when(decision == "scored", F.col("cand_id")).alias("cand_id"), "score")
+    decision = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("cand_id").isNull(), "new").when(clear, "scored").otherwise("ambiguous")
+    return joined.select("obs_id", decision.alias("decision"), F.coalesce("exact_id", F.when(decision == "scored", F.col("cand_id"))).alias("cand_id"),
+                         F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
 
 
 def clusters(scores: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -82,20 +94,53 @@ def fingerprint_matches(sightings: DataFrame, tolerance_seconds: int = 120) -> D
     return first.select("obs_id", F.col("m.other_id").alias("other_id"), (F.abs(F.timestamp_diff("SECOND", F.col("m.other_time"), F.col("m.event_time"))) <= tolerance_seconds).alias("verified"))
 
 
+def day_bucket(time: Column, days: int) -> Column:
+    """Times no more than ``days`` apart are in one bucket or in neighbours."""
+    return F.floor(F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")) / days)
+
+
+def near_in_time(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, days: int, back_only: bool = False) -> DataFrame:
+    """Pairs that agree on ``on`` and are ``days`` apart at most; the keys are joined with time buckets, so that a busy key is many."""
+    around = F.sequence(F.lit(-1), F.lit(0 if back_only else 1))
+    b = day_bucket(F.col(left_time), days)
+    spread = left.withColumn("_bucket", F.explode(F.transform(around, lambda k: b + k)))
+    pairs = spread.join(right.withColumn("_bucket", day_bucket(F.col(right_time), days)), [*on, "_bucket"]).drop("_bucket")
+    back = F.col(right_time).between(F.timestamp_add("DAY", F.lit(-days), F.col(left_time)), F.col(left_time))
+    return pairs.filter(back if back_only else within(right_time, left_time, days))
+
+
 def as_of(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left_time: str, right_id: str, right_time: str, days: int, condition: Column | None = None) -> DataFrame:
     """For each left row the latest right row at or before it, ``days`` back at most; ties: the least right id."""
-    back = F.col(right_time).between(F.timestamp_add("DAY", F.lit(-days), F.col(left_time)), F.col(left_time))
-    joined = left.join(right, on).filter(back if condition is None else back & condition)
+    joined = near_in_time(left, right, on, left_time, right_time, days, back_only=True)
     w = Window.partitionBy(left_id).orderBy(F.desc(right_time), right_id)
-    return joined.withColumn("_p", F.row_number().over(w)).filter("_p = 1").drop("_p")
+    return (joined if condition is None else joined.filter(condition)).withColumn("_p", F.row_number().over(w)).filter("_p = 1").drop("_p")
 
 
-def merged(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One value a column and canonical row: the best non-null by (source rank, confidence, time, id)."""
-    rank = F.when(F.col("source_pipeline") == "statement", 3).when(F.col("source_pipeline") == "manual", 2).otherwise(1)
-    order = F.struct(rank, "confidence", "event_time", "obs_id")
-    best = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns]
-    return rows.groupBy("cand_id").agg(*best, F.when(F.countDistinct("source_pipeline") > 1, "merged").otherwise(F.concat(F.min("source_pipeline"), F.lit("_only"))).alias("source_mix"))
+def merged(rows: DataFrame, gain: float = 0.15) -> DataFrame:
+    """Ledger rows after their observations, in the order of time and id.
+
+    ``rows`` has cand_id, source_mix and the ledger's reference_id, merchant, amount_minor as old_*, and the observation's
+    own. A statement overwrites with what it has. A message fills what is missing once there is a statement; before, it
+    overwrites if its confidence is more than ``gain`` over that of the message before it. Manual rows change nothing.
+    """
+    order = F.struct("event_time", "obs_id")
+    before = Window.partitionBy("cand_id").orderBy("event_time", "obs_id").rowsBetween(Window.unboundedPreceding, -1)
+    email, statement = F.col("source_pipeline") == "email", F.col("source_pipeline") == "statement"
+    seen = rows.withColumns({"_stated": F.coalesce(F.max(statement).over(before), F.lit(False)), "_last": F.last(F.when(email, F.col("confidence")), ignorenulls=True).over(before)})
+    alone = (F.col("source_mix") == "email_only") & ~F.col("_stated")
+    better = F.coalesce(F.round(F.col("confidence") - F.col("_last"), 6) > gain, F.lit(False))
+    marked = seen.withColumns({"_writes": statement | email & alone & better, "_fills": email & ~alone})
+
+    def final(field: str, writes: Column, fills: Column | None) -> Column:
+        has = F.col(field).isNotNull()
+        ways = [F.max_by(field, F.when(writes & has, order)), F.first(f"old_{field}")]
+        return F.coalesce(*ways, *([] if fills is None else [F.min_by(field, F.when(fills & has, order))])).alias(field)
+
+    mix = F.first("source_mix")
+    return marked.groupBy("cand_id").agg(
+        final("reference_id", F.col("_writes"), F.col("_fills")), final("merchant", F.col("_writes"), F.col("_fills")), final("amount_minor", statement, None),
+        F.max_by("event_time", F.when(statement, order)).cast("date").alias("posting_date"),
+        F.when((mix == "email_only") & F.max(statement), "merged").when((mix == "statement_only") & F.max(email), "merged").otherwise(mix).alias("source_mix"))
 
 
 def fuzzy_merchants(raw: DataFrame, merchants: DataFrame, threshold: float = 0.92) -> DataFrame:

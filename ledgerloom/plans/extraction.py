@@ -105,26 +105,6 @@ def learned_rules_apply(v: Views):
     return e.learned(messages(v).withColumn("template", F.concat(F.lit("t"), (F.col("order_id") % 6).cast("string"))), F.broadcast(rules))  # declared rules
 
 
-@query("content_class", MESSAGES + "SELECT msg_id, CASE " + " ".join(f"WHEN regexp_matches(body, '{p}') THEN '{n}'" for n, p in x.CLASSES) + " ELSE 'unknown' END AS class FROM messages")
-def content_class(v: Views):
-    return messages(v).select("msg_id", x.content_class(F.col("body")).alias("class"))
-
-
-@query("channel_detect", MESSAGES + "SELECT msg_id, CASE " + " ".join(f"WHEN regexp_matches(' ' || lower(body) || ' ', '[^a-z0-9]{w}[^a-z0-9]') THEN '{n}'" for w, n in x.CHANNELS) + " ELSE 'OTHER' END AS channel FROM messages")
-def channel_detect(v: Views):
-    return messages(v).select("msg_id", x.channel(F.col("body")).alias("channel"))
-
-
-@query("phrase_coverage", "SELECT phrase FROM (SELECT unnest(['otp is', 'statement for', 'debited from', 'credited to', 'loan offer', 'you spent']) AS phrase) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(['otp', 'statement', 'debit', 'offer']) AS term) t WHERE contains(p.phrase, t.term))")
-def phrase_coverage(v: Views):
-    phrases = v.spark.createDataFrame([(p,) for p in ("otp is", "statement for", "debited from", "credited to", "loan offer", "you spent")], "phrase string")
-    terms = [F.col("phrase").contains(t) for t in ("otp", "statement", "debit", "offer")]
-    reached = terms[0]
-    for t in terms[1:]:
-        reached = reached | t
-    return phrases.filter(~reached)
-
-
 @query("amount_parse", ", t AS (SELECT l_orderkey, CASE l_orderkey % 5 WHEN 0 THEN 'Rs.' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.50' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ',000.25.' WHEN 2 THEN '.5' WHEN 3 THEN 'none' ELSE '99999999999999' END AS s, l_linenumber FROM lineitem) SELECT DISTINCT s, " + _duck_minor("regexp_replace(s, '([A-Za-z])\\.', '\\1', 'g')") + " AS amount_minor, TRY_CAST(replace(s, ',', '') AS DOUBLE) IS NOT NULL AS is_number FROM t")
 def amount_parse(v: Views):
     k, q = F.col("l_orderkey") % 5, F.col("l_quantity").cast("long").cast("string")
@@ -132,31 +112,6 @@ def amount_parse(v: Views):
     return v.table("lineitem").select(s.alias("s")).distinct().select("s", x.parse_amount(F.col("s")).alias("amount_minor"), F.replace("s", F.lit(","), F.lit("")).try_cast("double").isNotNull().alias("is_number"))
 
 
-@query("date_parse", """, t AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%d-%b-%Y') ELSE 'soon' END AS s FROM orders)
-SELECT s, CAST(coalesce(try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%d-%b-%Y')) AS DATE) AS parsed,
-  coalesce(TRY_CAST(nullif(regexp_extract(s, '^([0-9]{2})[-/]([0-9]{2})', 1), '') AS INT) <= 12 AND TRY_CAST(nullif(regexp_extract(s, '^([0-9]{2})[-/]([0-9]{2})', 2), '') AS INT) <= 12 AND regexp_extract(s, '^([0-9]{2})[-/]([0-9]{2})', 1) <> regexp_extract(s, '^([0-9]{2})[-/]([0-9]{2})', 2), false) AS ambiguous FROM t""")
-def date_parse(v: Views):
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    s = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "dd-MMM-yyyy")).otherwise("soon")
-    return v.table("orders").select(s.alias("s")).distinct().select("s", x.parse_date(F.col("s"), ["dd/MM/yyyy", "yyyy-MM-dd", "dd-MMM-yyyy"]).alias("parsed"), x.ambiguous_date(F.col("s")).alias("ambiguous"))
-
-
-RAW_MERCHANT = "CASE p_partkey % 4 WHEN 0 THEN concat('PAYU*', p_name, '  shop') WHEN 1 THEN concat(p_name, ' #', CAST(p_partkey + 10000 AS STRING)) WHEN 2 THEN 'THE BANK TXN' ELSE concat('A*', p_name) END"
-_STOP = ", ".join(f"'{w}'" for w in x.STOPWORDS)
-_AGG = ", ".join(f"'{w}'" for w in x.AGGREGATORS)
-
-
-@query("merchant_clean", f""", t AS (SELECT DISTINCT {RAW_MERCHANT} AS raw FROM part), c AS (SELECT raw, trim(regexp_replace(regexp_replace(CASE WHEN contains(upper(raw), '*') AND split_part(upper(raw), '*', 1) IN ({_AGG}) THEN regexp_replace(upper(raw), '^[^*]*\\*', '') ELSE upper(raw) END, '[ #]*[0-9]{{4,}}$', ''), ' +', ' ', 'g')) AS cleaned FROM t),
-w AS (SELECT *, list_filter(string_split(cleaned, ' '), lambda w: w <> '') AS ws FROM c)
-SELECT raw, cleaned, length(regexp_replace(cleaned, '[^A-Z0-9]', '', 'g')) >= 3 AND len(list_filter(ws, lambda w: w IN ({_STOP}))) * 2 < len(ws) AS plausible,
-CAST(round(greatest(0.0, least(1.0, 0.9 - CASE WHEN regexp_matches(cleaned, '[0-9]') THEN 0.2 ELSE 0.0 END - CASE WHEN len(list_filter(ws, lambda w: w IN ({_STOP}))) > 0 THEN 0.15 ELSE 0.0 END)), 2) AS DOUBLE) AS confidence FROM w""")
-def merchant_clean(v: Views):
-    rows = v.table("part").select(F.expr(RAW_MERCHANT).alias("raw")).distinct().withColumn("cleaned", x.clean_merchant(F.col("raw")))
-    stops = F.exists(F.split("cleaned", " "), lambda w: w.isin(*x.STOPWORDS))
-    confidence = 0.9 - F.when(F.col("cleaned").rlike("[0-9]"), 0.2).otherwise(0.0) - F.when(stops, 0.15).otherwise(0.0)
-    return rows.select("raw", "cleaned", x.plausible_merchant(F.col("cleaned")).alias("plausible"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 2).alias("confidence"))
-
-
 @query("merchant_display", "SELECT DISTINCT p_name, CASE WHEN contains(p_name, 'ring') THEN 'Ring & Co' ELSE upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) END AS display FROM part")
 def merchant_display(v: Views):
     return v.table("part").select("p_name").distinct().select("p_name", F.when(F.col("p_name").contains("ring"), "Ring & Co").otherwise(F.initcap("p_name")).alias("display"))

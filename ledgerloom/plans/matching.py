@@ -20,8 +20,12 @@ scores AS (SELECT obs_id, cand_id, round(greatest(0.0, least(1.0, coalesce(0.30
   + 0.15 + CASE WHEN (source_pipeline = 'statement' AND source_mix = 'email_only') OR (source_pipeline = 'email' AND source_mix = 'statement_only') THEN 0.05 ELSE 0.0 END)), 6) AS score FROM timed)
 """
 DECISIONS = SCORES + """, ranked AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM scores WHERE score >= 0.55 WINDOW w AS (PARTITION BY obs_id ORDER BY score DESC, cand_id)),
-decisions AS (SELECT o.obs_id, CASE WHEN cand_id IS NULL THEN 'new' WHEN second IS NULL OR round(score - second, 6) > 0.15 THEN 'scored' ELSE 'ambiguous' END AS decision,
-  CASE WHEN cand_id IS NOT NULL AND (second IS NULL OR round(score - second, 6) > 0.15) THEN cand_id END AS cand_id, score FROM observations o LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (obs_id))
+same AS (SELECT o.obs_id, c.cand_id AS exact_id, abs(date_diff('second', c.event_time, o.event_time)) AS off FROM observations o JOIN canonical c USING (instrument_id, amount_minor, currency, direction)
+  WHERE date_trunc('minute', o.event_time) = date_trunc('minute', c.event_time) QUALIFY row_number() OVER (PARTITION BY o.obs_id ORDER BY c.event_time, c.cand_id) = 1),
+exact AS (SELECT obs_id, exact_id FROM same WHERE off <= 120),
+decisions AS (SELECT o.obs_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN cand_id IS NULL THEN 'new' WHEN second IS NULL OR round(score - second, 6) > 0.15 THEN 'scored' ELSE 'ambiguous' END AS decision,
+  coalesce(exact_id, CASE WHEN cand_id IS NOT NULL AND (second IS NULL OR round(score - second, 6) > 0.15) THEN cand_id END) AS cand_id, CASE WHEN exact_id IS NOT NULL THEN 1.0 ELSE score END AS score
+  FROM observations o LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (obs_id) LEFT JOIN exact USING (obs_id))
 """
 
 
@@ -30,7 +34,7 @@ def scores(v: Views) -> DataFrame:
 
 
 def decisions(v: Views) -> DataFrame:
-    return m.decided(v.observations, scores(v))
+    return m.decided(v.observations, scores(v), m.exact_matches(v.observations, v.canonical))
 
 
 @query("match_exact_key", "SELECT obs_id, min(cand_id) AS cand_id FROM observations o JOIN canonical c USING (instrument_id, amount_minor, currency, direction, reference_id) GROUP BY 1")
@@ -57,7 +61,7 @@ def reconcile_decisions(v: Views):
 CASE WHEN max(r.score) OVER (PARTITION BY obs_id) > 0.75 THEN 'close_scores' ELSE 'weak_evidence' END AS reason FROM ranked r JOIN (SELECT obs_id FROM decisions WHERE decision = 'ambiguous') USING (obs_id)""")
 def ambiguity_clusters(v: Views):
     s = scores(v)
-    return m.clusters(s, m.decided(v.observations, s))
+    return m.clusters(s, m.decided(v.observations, s, m.exact_matches(v.observations, v.canonical)))
 
 
 @query("canonical_new", DECISIONS + """SELECT sha256(concat_ws('|', o.obs_id, 'canonical')) AS canonical_id, o.obs_id, instrument_id, amount_minor, coalesce(merchant_raw, 'Unknown') AS merchant, o.source_pipeline || '_only' AS source_mix
@@ -67,20 +71,30 @@ def canonical_new(v: Views):
     return new.select(m.fingerprint(F.col("obs_id"), F.lit("canonical")).alias("canonical_id"), "obs_id", "instrument_id", "amount_minor", F.coalesce("merchant_raw", F.lit("Unknown")).alias("merchant"), F.concat("source_pipeline", F.lit("_only")).alias("source_mix"))
 
 
-@query("match_quality", DECISIONS + """SELECT count(*) AS observations, count(*) FILTER (decision = 'scored') AS matched, count(*) FILTER (decision = 'scored' AND substr(cand_id, 2, length(obs_id) - 1) <> substr(obs_id, 2)) AS false_merges,
+@query("match_quality", DECISIONS + """SELECT count(*) AS observations, count(*) FILTER (decision IN ('exact', 'scored')) AS matched, count(*) FILTER (decision IN ('exact', 'scored') AND substr(cand_id, 2, length(obs_id) - 1) <> substr(obs_id, 2)) AS false_merges,
 count(*) FILTER (decision = 'ambiguous') AS ambiguous, count(*) FILTER (decision = 'new') AS separate FROM decisions""")
 def match_quality(v: Views):
     wrong = F.expr("substr(cand_id, 2, length(obs_id) - 1) <> substr(obs_id, 2)")
-    return decisions(v).agg(F.count("*").alias("observations"), F.count_if(F.col("decision") == "scored").alias("matched"), F.count_if((F.col("decision") == "scored") & wrong).alias("false_merges"),
+    return decisions(v).agg(F.count("*").alias("observations"), F.count_if(F.col("decision").isin("exact", "scored")).alias("matched"), F.count_if(F.col("decision").isin("exact", "scored") & wrong).alias("false_merges"),
                             F.count_if(F.col("decision") == "ambiguous").alias("ambiguous"), F.count_if(F.col("decision") == "new").alias("separate"))
 
 
-@query("canonical_merge", PAIRS + """, r AS (SELECT *, CASE source_pipeline WHEN 'statement' THEN 3 WHEN 'manual' THEN 2 ELSE 1 END AS rank FROM pairs)
-SELECT cand_id, arg_max(merchant_raw, (rank, confidence, event_time, obs_id)) FILTER (merchant_raw IS NOT NULL) AS merchant_raw, arg_max(reference_id, (rank, confidence, event_time, obs_id)) FILTER (reference_id IS NOT NULL) AS reference_id,
-CASE WHEN count(DISTINCT source_pipeline) > 1 THEN 'merged' ELSE min(source_pipeline) || '_only' END AS source_mix FROM r GROUP BY 1""")
+@query("canonical_merge", """, r AS (SELECT o.*, o.merchant_raw AS merchant, c.cand_id, c.source_mix, c.reference_id AS old_reference, CASE WHEN c.order_id % 3 <> 0 THEN c.merchant_name END AS old_merchant, c.amount_minor - c.order_id % 2 AS old_amount
+  FROM observations o JOIN canonical c USING (instrument_id, direction) WHERE c.event_time BETWEEN o.event_time - INTERVAL 30 DAY AND o.event_time + INTERVAL 30 DAY),
+s AS (SELECT *, coalesce(bool_or(source_pipeline = 'statement') OVER b, false) AS stated, last_value(CASE WHEN source_pipeline = 'email' THEN confidence END IGNORE NULLS) OVER b AS before FROM r
+  WINDOW b AS (PARTITION BY cand_id ORDER BY event_time, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, source_pipeline = 'statement' OR (source_pipeline = 'email' AND source_mix = 'email_only' AND NOT stated AND coalesce(round(confidence - before, 6) > 0.15, false)) AS writes,
+  source_pipeline = 'email' AND (source_mix <> 'email_only' OR stated) AS fills FROM s)
+SELECT cand_id, coalesce(arg_max(reference_id, (event_time, obs_id)) FILTER (writes AND reference_id IS NOT NULL), any_value(old_reference), arg_min(reference_id, (event_time, obs_id)) FILTER (fills AND reference_id IS NOT NULL)) AS reference_id,
+  coalesce(arg_max(merchant, (event_time, obs_id)) FILTER (writes AND merchant IS NOT NULL), any_value(old_merchant), arg_min(merchant, (event_time, obs_id)) FILTER (fills AND merchant IS NOT NULL)) AS merchant,
+  coalesce(arg_max(amount_minor, (event_time, obs_id)) FILTER (source_pipeline = 'statement'), any_value(old_amount)) AS amount_minor, CAST(max(event_time) FILTER (source_pipeline = 'statement') AS DATE) AS posting_date,
+  CASE WHEN any_value(source_mix) = 'email_only' AND bool_or(source_pipeline = 'statement') OR any_value(source_mix) = 'statement_only' AND bool_or(source_pipeline = 'email') THEN 'merged' ELSE any_value(source_mix) END AS source_mix FROM t GROUP BY 1""")
 def canonical_merge(v: Views):
-    rows = m.candidates(v.observations, v.canonical.drop("source_mix"))
-    return m.merged(rows, ["merchant_raw", "reference_id"])
+    # A wide net of thirty days, so that a ledger row has many observations.
+    old = v.canonical.select("cand_id", "instrument_id", "direction", "source_mix", F.col("event_time").alias("cand_time"), F.col("reference_id").alias("old_reference_id"),
+                             F.when(F.col("order_id") % 3 != 0, F.col("merchant_name")).alias("old_merchant"), (F.col("amount_minor") - F.col("order_id") % 2).alias("old_amount_minor"))
+    rows = m.near_in_time(v.observations.withColumnRenamed("merchant_raw", "merchant"), old, ["instrument_id", "direction"], "event_time", "cand_time", 30)
+    return m.merged(rows)
 
 
 SIGHTINGS = """, s0 AS (SELECT obs_id, order_id % 2 = 0 AS linked, event_time, instrument_id, amount_minor, currency, direction FROM observations UNION ALL
@@ -141,7 +155,7 @@ SELECT obs_id, min(cand_id) AS cand_id FROM p GROUP BY 1 HAVING count(*) = 1""")
 def crossref_unique(v: Views):
     right = v.canonical.select("cand_id", "instrument_id", F.col("event_time").alias("cand_time"), F.col("reference_id").alias("cand_ref"), F.col("amount_minor").alias("cand_minor"))
     agrees = F.coalesce(F.col("cand_ref").contains(F.col("reference_id")), F.lit(False)) | (F.col("cand_minor") == F.col("amount_minor"))
-    pairs = v.observations.join(right, "instrument_id").filter(m.within("event_time", "cand_time", 3) & agrees)
+    pairs = m.near_in_time(v.observations, right, ["instrument_id"], "event_time", "cand_time", 3).filter(agrees)
     return pairs.groupBy("obs_id").agg(F.min("cand_id").alias("cand_id"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import classify as c
 from ledgerloom.functions import similarity as s
 from ledgerloom.functions import text as x
 from ledgerloom.operators import dashboard as d
@@ -42,9 +43,9 @@ def test_masks(spark, raw, mask):
     assert one(spark, x.mask_digits(F.col("a")), a=raw) == mask
 
 
-@pytest.mark.parametrize("raw, cleaned", [("payu*Shop  one", "SHOP ONE"), ("cafe #12345", "CAFE"), ("  x ", "X"), ("A*B", "A*B")])
+@pytest.mark.parametrize("raw, cleaned", [("payu*Shop  one", "SHOP ONE"), ("cafe 12345", "CAFE"), ("  x ", "X"), ("A*B", "A"), ("to SQ * tea*x", "TEA"), (None, None)])
 def test_merchants(spark, raw, cleaned):
-    assert one(spark, x.clean_merchant(F.col("a")), a=raw) == cleaned
+    assert one(spark, c.clean_merchant(F.col("a")), a=raw) == cleaned
 
 
 @pytest.mark.parametrize("body, side", [("debited then credited", "debit"), ("credited, not debited", "credit"), ("none", None)])
