@@ -114,8 +114,41 @@ def test_fingerprints_of_odd_tables(spark, none):
 
 def test_spans_and_extensions():
     a, b = f.SpanIndex(f.code_points("xxhello world, hello")), f.SpanIndex(f.code_points("hello worms"))
-    assert a.common_extension(2, b, 0) == 9 and a.equal(15, b, 0, 5) and not a.equal(2, b, 0, 11)
-    assert a.common_extension(0, b, 0) == 0 and a.common_extension(20, b, 0) == 0
+    assert a.common_extension(np.array([2, 0, 20]), b, np.zeros(3, int), np.array([11, 11, 0])).tolist() == [9, 0, 0]
+    assert a.equal(np.array([15, 2]), b, np.array([0, 0]), np.array([5, 11])).tolist() == [True, False]
+
+
+def test_likeness_and_extensions_are_brute_force(spark):
+    """In many ranges, with repeated, null and empty texts: shares of spans and common beginnings, counted plainly."""
+    r = random.Random(3)
+    base = "".join(r.choice("ab ü😀") for _ in range(400))
+    texts = {k: base[: r.randint(0, 400)] + "".join(r.choice("abc") for _ in range(r.randint(0, 300))) for k in range(60)}
+    texts |= {100: "", 101: None, 102: base, 103: base, 104: "ab" * 400, 105: "x"}
+    df = spark.createDataFrame([(k, t, "c") for k, t in texts.items()], "doc_id long, text string, near_next string").repartition(5)
+    rows = {x.doc_id: x for x in f.fingerprints(df, part_bytes=900).collect()}
+    assert len(rows) == len(texts)
+    spans = lambda t: {t[a : a + f.WIDTH] for a in range(len(t) - f.WIDTH + 1)} or ({t} if t else set())
+    begin = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    order = sorted(texts, reverse=True)
+    off = []
+    for k, after in zip(order, order[1:] + order[:1]):
+        t, n = texts[k] or "", texts[after] or ""
+        cut = len(t) // 2
+        e = t[: len(t) - cut] + n[:cut]
+        for other, near, shared in ((e, rows[k].near_edited, rows[k].shared_edited), (n, rows[k].near_next, rows[k].shared_next)):
+            x, y = spans(t), spans(other)
+            share = 1.0 if t == other else len(x & y) / len(x | y) if x | y else 0.0
+            assert shared == begin(t, other) and abs(near - share) <= (1e-9 if len(x | y) <= f.SKETCH else 0.25)
+            off.append(abs(near - share))
+    assert np.mean(off) < 0.05
+    assert rows[102].fingerprint == rows[103].fingerprint
+
+
+def test_fingerprints_of_a_hot_key(spark):
+    rows = [(7, f"text {k}") for k in range(200)] + [(None, f"none {k}") for k in range(50)] + [(8, "same")] * 40 + [(9, "first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    few, many = (sorted(map(repr, f.fingerprints(df, part_bytes=n).collect())) for n in (1 << 20, 100))
+    assert few == many and len(few) == len(rows)
 
 
 def test_licences(spark):
