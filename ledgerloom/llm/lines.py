@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents
+from ledgerloom.llm.common import documents, durable
 
 #: A chunk has so many lines on average.
 MEAN_LINES = 4
@@ -23,52 +23,72 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def chunk_starts(lines: Column, mean_lines: int = MEAN_LINES) -> Column:
-    """Indexes, from 0, of the lines that begin a chunk; the line hashes stand in the column _h."""
+def chunk_starts(lines: Column, mean_lines: int = MEAN_LINES, hashes: Column | None = None) -> Column:
+    """Indexes, from 0, of the lines that begin a chunk; the line hashes stand in the column _h by default."""
+    hashes = F.col("_h") if hashes is None else hashes
 
     def begins(i: Column) -> Column:
         # The rolling hash of the three lines that end before line i.
-        h = [F.get(F.col("_h"), i - k) for k in (1, 2, 3)]
+        h = [F.get(hashes, i - k) for k in (1, 2, 3)]
         roll = (F.coalesce(h[0], F.lit(0)) + F.coalesce(h[1], F.lit(0)) * ROLL_BASE + F.coalesce(h[2], F.lit(0)) * ROLL_BASE**2) % ROLL_MODULUS
         return (i == 0) | (roll % mean_lines == 0)
 
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
 
 
+def _chunk_texts(text: Column, mean_lines: int) -> Column:
+    """The texts of the chunks, in turn."""
+    # Each list is an argument of a lambda, so that Spark makes it once and not for each of its elements.
+    lists = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.struct(lines.alias("l"), F.transform(lines, _line_hash).alias("h")))
+    cut = F.transform(lists, lambda x: F.struct(x["l"].alias("l"), chunk_starts(x["l"], mean_lines, x["h"]).alias("s")))
+    size = lambda x, at, k: F.coalesce(F.get(x["s"], k + 1), F.size(x["l"])) - at
+    return F.get(F.transform(cut, lambda x: F.transform(x["s"], lambda at, k: F.array_join(F.slice(x["l"], at + 1, size(x, at, k)), "\n"))), F.lit(0))
+
+
+def _chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """One row for each chunk: _key, _no, _chunk (its text), without chunks of null texts."""
-    split = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.split(text, "\n", -1).alias("_l"))
-    hashed = split.withColumn("_h", F.transform("_l", _line_hash))
-    cut = hashed.withColumn("_s", chunk_starts(F.col("_l"), mean_lines))
-    # Explode the chunks alone, so that no row carries the document's lines; outer, since Spark would otherwise infer
-    # a filter on the array and make it twice. No array is empty.
-    size = lambda at, k: F.coalesce(F.get("_s", k + 1), F.size("_l")) - at
-    made = F.transform("_s", lambda at, k: F.array_join(F.slice("_l", at + 1, size(at, k)), "\n"))
-    return cut.select("_key", made.alias("_c")).select("_key", F.posexplode_outer("_c").alias("_no", "_chunk"))
+    made = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), _chunk_texts(F.col(text), mean_lines).alias("_c"))
+    # Outer, since Spark would otherwise infer a filter on the array and make it twice. No array is empty.
+    return made.select("_key", F.posexplode_outer("_c").alias("_no", "_chunk"))
 
 
 def repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """(_key, _no) of each chunk of several lines that has an earlier occurrence.
 
-    Hashes find the candidates; the comparison is of their bytes. Both uses of the candidates take the same columns, so
-    that Spark shuffles the chunks for them once.
+    Hashes find the candidates; then the bytes of all chunks with one hash are compared, as the least and the greatest of
+    them, which tasks work out for their own rows first: copies of a common chunk don't meet with their texts.
     """
+    place = F.struct("_key", "_no")
     several = chunks(docs, key=key, text=text, mean_lines=mean_lines).filter(F.col("_chunk").contains("\n"))
-    hashed = several.select(F.xxhash64("_chunk").alias("_hash"), "_key", "_no")
+    hashed = several.select(_chunk_hash(F.col("_chunk")).alias("_hash"), "_key", "_no")
     # Rows that repeat a key are copies of one document: an occurrence is a (key, number).
-    twice = hashed.groupBy("_hash").agg(F.min(F.struct("_key", "_no")).alias("a"), F.max(F.struct("_key", "_no")).alias("b")).filter("a < b").select("_hash")
-    candidates = several.withColumn("_hash", F.xxhash64("_chunk")).join(twice, "_hash", "left_semi").select("_key", "_no", "_chunk")
-    first = candidates.groupBy("_chunk").agg(F.min(F.struct("_key", "_no")).alias("_first"))
-    return candidates.join(first, "_chunk").filter(F.struct("_key", "_no") > F.col("_first")).select("_key", "_no")
+    twice = hashed.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last").select("_hash", "_first")
+    candidates = durable(hashed.join(twice, "_hash"), "chunk-candidates")
+    asked = candidates.groupBy("_key").agg(F.collect_set("_no").alias("_asked")).withColumnRenamed("_key", "_k")  # the chunk numbers of one document
+    named = docs.select(key, text).join(asked, docs[key].eqNullSafe(asked["_k"])).filter(F.col(text).isNotNull())
+    made = named.select(F.col(key).alias("_key"), "_asked", _chunk_texts(F.col(text), mean_lines).alias("_c"))
+    spoken = made.select("_key", F.explode_outer(F.transform("_asked", lambda n: F.struct(n.alias("_no"), F.get("_c", n).alias("_chunk")))).alias("x")).select("_key", "x.*")
+    compared = spoken.filter(F.col("_chunk").isNotNull()).withColumn("_hash", _chunk_hash(F.col("_chunk")))
+    odd = durable(compared.groupBy("_hash").agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high")).filter("_low < _high").select("_hash"), "chunk-collisions")
+    found = candidates.join(odd, "_hash", "left_anti").filter(place > F.col("_first")).select("_key", "_no")
+    # Chunks that differ under one hash: few, if any. Their texts tell them apart.
+    apart = compared.join(odd, "_hash", "left_semi")
+    first = apart.groupBy("_chunk").agg(F.min(place).alias("_first"))
+    return found.unionByName(apart.join(first, "_chunk").filter(place > F.col("_first")).select("_key", "_no"))
 
 
 def drop_repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mean_lines: int = MEAN_LINES,
                          result: str = "dedup") -> DataFrame:
     """Rows of ``docs`` with the kept text and a struct ``result`` (n_lines, n_removed lines, n_chunks removed).
 
-    Null texts stay null and empty texts empty, with nothing removed. Rows that repeat a key lose the same chunks.
-    A null key is a key like any other. Other columns are kept; one named like ``result`` is replaced.
-    A document that loses all its chunks has an empty text.
+    Null texts stay null and empty texts empty, with nothing removed. Rows that repeat a key lose the same chunks; of
+    places with one text the least (key, number) keeps it. A null key is a key like any other. No rows give none. A very
+    long text takes time in proportion to its lines, in one task. Other columns are kept; one named like ``result`` is
+    replaced. A document that loses all its chunks has an empty text.
     """
     columns = [c for c in docs.columns if c != result]
     gone = repeated_chunks(docs, key=key, text=text, mean_lines=mean_lines)
@@ -76,13 +96,13 @@ def drop_repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     joined = docs.select(*columns).join(lost, docs[key].eqNullSafe(lost["_key"]), "left")
     touched = joined.filter(F.col("_gone").isNotNull()).withColumn("_l", F.split(text, "\n", -1)).withColumn("_h", F.transform("_l", _line_hash))
     touched = touched.withColumn("_s", chunk_starts(F.col("_l"), mean_lines))
-    # A line's chunk is the number of starts up to it, less one.
-    spans = F.transform(F.col("_s"), lambda at, k: F.struct(at.alias("a"), (F.coalesce(F.get(F.col("_s"), k + 1), F.size("_l")) - at).alias("n"), k.alias("k")))
-    kept = F.filter(spans, lambda c: ~F.array_contains(F.col("_gone"), c["k"]))
-    n_removed = F.size("_l") - F.aggregate(kept, F.lit(0), lambda n, c: n + c["n"])
-    new_text = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(F.col("_l"), c["a"] + 1, c["n"]))), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_s") - 1), "_gone")
+    spans = F.transform(kept, lambda k: F.struct(F.get("_s", k).alias("a"), (F.coalesce(F.get("_s", k + 1), F.size("_l")) - F.get("_s", k)).alias("n")))
+    touched = touched.withColumn("_kept", spans)
+    n_kept = F.aggregate("_kept", F.lit(0), lambda n, c: n + c["n"])
+    new_text = F.array_join(F.flatten(F.transform("_kept", lambda c: F.slice(F.col("_l"), c["a"] + 1, c["n"]))), "\n")
     done = touched.withColumn(text, new_text).withColumn(
-        result, F.struct(F.size("_l").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.size("_gone").cast("long").alias("n_chunks")))
+        result, F.struct(F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - n_kept).cast("long").alias("n_removed"), (F.size("_s") - F.size("_kept")).cast("long").alias("n_chunks")))
     # A filter on the new text must not be pushed into it, where the lists above would be made anew for each line:
     # the optimizer moves no filter below a column that isn't deterministic.
     done = done.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0")

@@ -155,8 +155,11 @@ def line_brute(rows):
     return out
 
 
-def test_line_chunks_are_brute_force(spark):
+@pytest.mark.parametrize("meeting", [False, True])
+def test_line_chunks_are_brute_force(spark, monkeypatch, meeting):
     r = random.Random(4)
+    if meeting:  # hashes that often meet by chance: bytes decide
+        monkeypatch.setattr(lines, "_chunk_hash", lambda chunk: F.pmod(F.xxhash64(chunk), F.lit(9)))
     block = [f"common line {k}" for k in range(40)]
     rows = []
     for i in range(30):
@@ -174,6 +177,13 @@ def test_line_chunks_are_brute_force(spark):
             assert got[i][1] == len(t.split("\n")) and (got[i][2] > 0) == (want[i] != t)
 
 
+def test_line_chunks_of_a_very_long_text(spark):
+    text = "\n".join(f"line {k % 9000}" for k in range(60_000))
+    rows = [(1, text), (2, text), (3, "line 1\nline 2")]
+    got = {x.doc_id: x.text for x in lines.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == line_brute(rows)
+
+
 def test_line_chunks_of_odd_tables(spark, none):
     assert lines.drop_repeated_chunks(none).count() == 0
     t = "\n".join(f"l{k}" for k in range(30))
