@@ -131,28 +131,3 @@ def layout_lines(glyphs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=LINES.names)
 
     return glyphs.groupBy("page").applyInPandas(page, LINES)  # a page has a few thousand glyphs
-
-
-def domain_suffixes(domain: Column) -> Column:
-    """The domain and the domains above it, longest first."""
-    labels = F.split(domain, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-
-
-def sender_verdicts(senders: DataFrame, registry: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """sender, verdict, bank: exact or by suffix verified; a registered name inside a foreign domain is a spoof; close spelling a typosquat."""
-    from ledgerloom.functions.similarity import damerau
-
-    known = registry.select("bank", F.col("domain").alias("registered"))
-    suffixes = senders.select("sender", F.posexplode(domain_suffixes(F.col("sender"))).alias("depth", "registered"))
-    verified = suffixes.join(known, "registered").groupBy("sender").agg(F.min_by(F.struct("bank", "depth"), "depth").alias("v"))
-    rest = senders.join(verified.select("sender"), "sender", "left_anti")
-    # The registry is a small dimension; its first labels block the comparison by length.
-    first = known.withColumn("label", F.substring_index("registered", ".", 1))
-    labels = rest.select("sender", F.explode(F.split("sender", r"[.-]")).alias("own")).distinct()
-    inside = labels.join(first, F.col("own") == F.col("label")).groupBy("sender").agg(F.min("bank").alias("spoofed"))
-    sized = labels.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(1), F.length("own") - 2), F.length("own") + 2)))
-    close = sized.join(first.withColumn("_n", F.length("label")), "_n").filter((F.col("own") != F.col("label")) & (damerau("own", "label") >= threshold)).groupBy("sender").agg(F.min("bank").alias("close"))
-    joined = senders.join(verified, "sender", "left").join(inside, "sender", "left").join(close, "sender", "left")
-    verdict = F.when(F.col("v.depth") == 0, "verified").when(F.col("v.depth") > 0, "verified_suffix").when(F.col("spoofed").isNotNull(), "spoof").when(F.col("sender").contains("xn--"), "punycode").when(F.col("close").isNotNull(), "typosquat").otherwise("unknown")
-    return joined.select("sender", verdict.alias("verdict"), F.coalesce("v.bank", "spoofed", "close").alias("bank"))

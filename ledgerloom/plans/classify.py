@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as c
+from ledgerloom.operators import senders
 from ledgerloom.plans.registry import query
 from ledgerloom.views import Views
 
@@ -102,3 +103,36 @@ WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f'({_sql(t)})' for t in FEW_T
 def phrase_coverage(v: Views):
     phrases = v.spark.createDataFrame([(p,) for p in PHRASES], "phrase string").distinct()
     return phrases.filter(c.unreachable(F.col("phrase"), FEW_TERMS))
+
+
+#: (domain, bank, classification)
+REGISTRY = [("bankone.example", "ONE", "transaction_candidate"), ("alerts.bankone.example", "ONE ALERTS", "statement_candidate"), ("banktwo.example", "TWO", "statement_candidate"), ("promo.example", "PROMO", "noise")]
+NAMES = ["bank one", "bank two"]
+APPROVED = [(" Own.Example ", "OWN", "transaction_candidate"), ("papers.example", "PAPERS", "statement_candidate")]
+OVERRIDES = [("banktwo.example", "OLD", 1), ("BankTwo.example", "TWO & CO", 2), ("unknown.example", "GRANTED?", 3), ("own.example", " ", 4)]
+_PASS, _FAIL = "mx; spf=pass; dkim=pass; dmarc=pass", "mx; spf=fail; dkim=fail; dmarc=fail"
+#: (From headers, authentication, verdict, bank); {n} is the merchant's number.
+SENDER_CASES = [
+    (["Bank One <a{n}@bankone.example>"], _PASS, "transaction", "ONE"), (["x@mail{n}.BankOne.example."], None, "transaction", "ONE"), (["x@eu.alerts.bankone.example"], _PASS, "statement", "ONE ALERTS"),
+    (["x@banktwo.example"], _PASS, "statement", "TWO & CO"), (["x@promo.example"], _FAIL, "noise", None), (["x@bankone.example.evil{n}.test"], _PASS, "spoof_inside", None), (["x@mybankone.example"], _PASS, "spoof_inside", None),
+    (["x@bаnkone.example"], _PASS, "spoof_lookalike", None), (["x@a.xn--bnkone-{n}.example"], _PASS, "spoof_punycode", None), (["x@bankoen.example"], _PASS, "spoof_spelling", None), (["The Bank Two Desk <x@mail{n}.test>"], _PASS, "spoof_name", None),
+    (["x@unknown.example"], _PASS, "unknown", None), (["x@bankone.example"], _FAIL, "spoof_auth", None), (["x@own.example"], _PASS, "transaction", "OWN"), (["Bank One <x@papers.example>"], None, "statement", "PAPERS"), (["x@own.example"], _FAIL, "spoof_auth", None),
+    (["x@bankone.example", "y@bankone.example"], _PASS, "spoof_headers", None), ([], _PASS, "invalid", None), (["  "], _PASS, "invalid", None), (["nobody"], _PASS, "invalid", None), (None, None, "invalid", None),
+]
+
+
+@query("sender_verify", f"SELECT txn_id AS msg_id, verdict, bank FROM live JOIN (VALUES {_values(SENDER_CASES, 2, 3)}) c(k, verdict, bank) ON {_CASE.format(n=len(SENDER_CASES))}")
+def sender_verify(v: Views):
+    rows = _cased(v, SENDER_CASES, "froms array<string>, auth string, expected string, expected_bank string")
+    froms = F.transform("froms", lambda h: F.replace(h, F.lit("{n}"), F.col("merchant_id").cast("string")))
+    messages = rows.select(F.col("txn_id").alias("msg_id"), froms.alias("froms"), "auth")
+    table = lambda data, schema: v.spark.createDataFrame(data, schema)
+    return senders.sender_gate(messages, table(REGISTRY, "domain string, bank string, classification string"), table([(n,) for n in NAMES], "name string"),
+                               table(APPROVED, "domain string, bank string, classification string"), table(OVERRIDES, "domain string, bank string, set_at long"))
+
+
+@query("wrong_bank_overrides", """, r AS (SELECT 'D' || (merchant_id % 40) || '.example' AS domain, CASE WHEN order_id % 5 = 0 THEN ' ' ELSE 'BANK' || (order_id % 7) END AS bank, txn_id AS feedback_id, best_event_time AS reported_at FROM live)
+SELECT lower(domain) AS domain, bank, feedback_id FROM r WHERE trim(bank) <> '' QUALIFY row_number() OVER (PARTITION BY lower(domain) ORDER BY reported_at DESC, feedback_id DESC) = 1""")
+def wrong_bank_overrides(v: Views):
+    bank = F.when(F.col("order_id") % 5 == 0, " ").otherwise(F.concat(F.lit("BANK"), (F.col("order_id") % 7).cast("string")))
+    return senders.latest_overrides(v.live.select(F.concat(F.lit("D"), (F.col("merchant_id") % 40).cast("string"), F.lit(".example")).alias("domain"), bank.alias("bank"), F.col("txn_id").alias("feedback_id"), F.col("best_event_time").alias("reported_at")))

@@ -244,12 +244,3 @@ def layout_lines(v: Views):
     col, row = F.col("i") % 3, F.floor(F.col("i") / 3)
     glyphs = rows.select("page", "text", (col * 20.0).alias("x0"), (col * 20.0 + 10).alias("x1"), (row * 10.0).alias("y0"), (row * 10.0 + 8).alias("y1"))
     return e.layout_lines(glyphs)
-
-
-SENDERS = [("alerts.bankone.example",), ("bankone.example",), ("bankone-secure.example",), ("xn--bnkone.example",), ("bankoen.example",), ("other.example",)]
-REGISTRY = [("ONE", "bankone.example"), ("TWO", "banktwo.example")]
-
-
-@query("sender_verify", "SELECT * FROM (VALUES ('alerts.bankone.example', 'verified_suffix', 'ONE'), ('bankone.example', 'verified', 'ONE'), ('bankone-secure.example', 'spoof', 'ONE'), ('xn--bnkone.example', 'punycode', 'ONE'), ('bankoen.example', 'typosquat', 'ONE'), ('other.example', 'unknown', NULL)) t(sender, verdict, bank)")
-def sender_verify(v: Views):
-    return e.sender_verdicts(v.spark.createDataFrame(SENDERS, "sender string"), v.spark.createDataFrame(REGISTRY, "bank string, domain string"))
