@@ -10,10 +10,13 @@ AMOUNT_BEFORE = r"(?i)(?:Rs\.?|INR|USD|\$)\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
 AMOUNT_BEHIND = r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:INR|USD)"
 REFERENCE = r"(?:^|[^0-9])([0-9]{12})(?:[^0-9]|$)"
 MASKED = r"(?i)(?:a/c|card|account)\s*(?:no\.?|ending)?\s*[Xx*]*([0-9]{4})"
-MERCHANT = r"(?i) (?:at|by|to) ([A-Z][A-Z0-9 #&]+?)(?: on |\.|$)"
+MERCHANT = r"(?i) (?:at|towards) ([A-Z][A-Z0-9 #&]+?)(?: on | via |\.|$)"
+MERCHANT_LOOSE = r"(?i) (?:by|to|from) ([A-Z][A-Z0-9 #&]+?)(?: on | via |\.|$)"
+PAYMENT_ADDRESS = r"([a-z0-9][a-z0-9._-]*@[a-z]{2,})(?:[^a-z0-9.]|$)"
 DATE_TEXT = r"([0-9]{2}[-/][0-9]{2}[-/][0-9]{4})"
-DEBIT = r"(?i)(?:debited|spent|paid|withdrawn)"
-CREDIT = r"(?i)(?:credited|received|refunded|deposited)"
+DEBIT_VERBS = ["debited", "spent", "paid", "withdrawn"]
+CREDIT_VERBS = ["credited", "received", "refunded", "deposited"]
+VERB = f"(?i)({'|'.join([*DEBIT_VERBS, *CREDIT_VERBS])})"
 
 
 def group(text: Column, pattern: str, index: int = 1) -> Column:
@@ -38,10 +41,14 @@ def parse_date(text: Column, formats: list[str]) -> Column:
 
 
 def direction(text: Column) -> Column:
-    """The earliest verb decides; a tie is a debit; null without a verb."""
-    place = lambda p: F.when(text.rlike(p), F.length(F.regexp_extract(text, r"(?s)^(.*?)" + p.removeprefix("(?i)").join(("(?i:", ")")), 1)))
-    d, c = place(DEBIT), place(CREDIT)
-    return F.when(d.isNotNull() & (c.isNull() | (d <= c)), "debit").when(c.isNotNull(), "credit")
+    """The earliest verb decides; null without a verb."""
+    verb = F.lower(F.regexp_extract(text, VERB, 1))
+    return F.when(verb.isin(*DEBIT_VERBS), "debit").when(verb.isin(*CREDIT_VERBS), "credit")
+
+
+def merchant(text: Column) -> Column:
+    """Behind a sure label, else behind one that may name a person, else a payment address."""
+    return F.trim(F.coalesce(group(text, MERCHANT), group(text, MERCHANT_LOOSE), group(text, PAYMENT_ADDRESS)))
 
 
 def strict_direction(marker: Column) -> Column:

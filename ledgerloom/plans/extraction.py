@@ -22,11 +22,11 @@ BODY = f"""CASE order_id % 6
   WHEN 4 THEN concat('Your statement for card XX', {_MASK}, ' is ready. Total due Rs ', {_AMOUNT})
   ELSE concat('Avail loan offer upto Rs ', {_AMOUNT}, ' now, write to sales@bank', CAST(merchant_id AS STRING), '.example') END"""
 _COLUMNS = f"txn_id AS msg_id, concat('BANK', CAST(merchant_id % 5 AS STRING)) AS bank, {BODY} AS body, CAST(best_event_time AS DATE) AS delivered, order_id, line_no, merchant_id, instrument_id, amount_minor AS true_minor, best_event_time"
-MESSAGES = f", messages AS (SELECT {_COLUMNS} FROM live WHERE line_no <= 3)\n"
+MESSAGES = f", messages AS (SELECT {_COLUMNS} FROM live)\n"
 
 
 def messages(v: Views) -> DataFrame:
-    return v.live.filter("line_no <= 3").selectExpr(*_split(_COLUMNS))
+    return v.live.selectExpr(*_split(_COLUMNS))
 
 
 def _split(columns: str) -> list[str]:
@@ -51,12 +51,9 @@ def _duck_minor(text: str) -> str:
     return f"CASE WHEN {value} <= 1e15 THEN CAST({value} AS BIGINT) END"
 
 
-def _duck_place(p: str) -> str:
-    return f"CASE WHEN regexp_matches(body, '{p}') THEN length(regexp_extract(body, '(?s)^(.*?)(?i:{p.removeprefix('(?i)')})', 1)) END"
-
-
-_DIRECTION = f"CASE WHEN {_duck_place(x.DEBIT)} IS NOT NULL AND ({_duck_place(x.CREDIT)} IS NULL OR {_duck_place(x.DEBIT)} <= {_duck_place(x.CREDIT)}) THEN 'debit' WHEN {_duck_place(x.CREDIT)} IS NOT NULL THEN 'credit' END"
-_MERCHANT = f"trim({_duck_group('body', x.MERCHANT)})"
+_VERB = f"lower(regexp_extract(body, '{x.VERB}', 1))"
+_DIRECTION = f"CASE WHEN {_VERB} IN ({', '.join(map(repr, x.DEBIT_VERBS))}) THEN 'debit' WHEN {_VERB} <> '' THEN 'credit' END"
+_MERCHANT = f"trim(coalesce({_duck_group('body', x.MERCHANT)}, {_duck_group('body', x.MERCHANT_LOOSE)}, {_duck_group('body', x.PAYMENT_ADDRESS)}))"
 _DATE = f"CAST(try_strptime(replace({_duck_group('body', x.DATE_TEXT)}, '/', '-'), '%d-%m-%Y') AS DATE)"
 _CURRENCY = "CASE WHEN regexp_matches(body, 'USD|\\$') THEN 'USD' WHEN regexp_matches(body, '(?i)Rs|INR') THEN 'INR' END"
 GENERIC = MESSAGES + f""", generic AS (SELECT msg_id, {_duck_minor(_RAW)} AS amount_minor, {_CURRENCY} AS currency, {_DIRECTION} AS direction, {_MERCHANT} AS merchant, {_DATE} AS event_date,
@@ -81,16 +78,32 @@ def gate3_routing(v: Views):
 @query("token_extract", MESSAGES + """SELECT msg_id, CASE WHEN order_id % 6 IN (0, 1, 3, 4, 5) THEN true_minor END AS amount_minor, CASE WHEN order_id % 6 IN (0, 1, 2) THEN 'SUPPLIER ' || merchant_id END AS merchant,
 CASE order_id % 6 WHEN 0 THEN 'debit' WHEN 1 THEN 'credit' WHEN 2 THEN 'debit' END AS direction FROM messages""")
 def token_extract(v: Views):
-    return e.scan_tokens(messages(v))
+    return e.tokens(messages(v)).select("msg_id", "token.*")
+
+
+#: BANK3 has a pattern that takes a mask for the amount, BANK1 one of mandates, and BANK0 one that reads no amount.
+PATTERNS = [(f"BANK{b}", p, r, side, False) for b in range(4) for p, (r, side) in enumerate([
+    (r"Rs\.([0-9.]+) debited .* at ([A-Z0-9 ]+) on ", "debit"), (r"INR [0-9.]+ credited to A/c XX([0-9]+) by ([A-Z0-9 ]+) on " if b == 3 else r"INR ([0-9.]+) credited .* by ([A-Z0-9 ]+) on ", "credit")])]
+PATTERNS += [("BANK1", -1, r"Rs\.([0-9.]+) (debited) ", "debit", True), ("BANK0", -1, r"(debited) .* at ([A-Z0-9 ]+) on ", "debit", False)]
 
 
-PATTERNS = [(f"BANK{b}", p, r) for b in range(4) for p, r in enumerate([r"Rs\.([0-9.]+) debited .* at ([A-Z0-9 ]+) on ", r"INR ([0-9.]+) credited .* by ([A-Z0-9 ]+) on "])]
+def _patterns(v: Views) -> DataFrame:
+    return v.spark.createDataFrame(PATTERNS, "bank string, place long, pattern string, direction string, is_mandate boolean")
 
 
-@query("template_extract", MESSAGES + """SELECT msg_id, order_id % 6 AS place, true_minor AS amount_minor, 'SUPPLIER ' || merchant_id AS merchant FROM messages WHERE order_id % 6 IN (0, 1) AND bank <> 'BANK4'""")
+_TPL = "CASE WHEN bank = 'BANK3' AND order_id % 6 = 1 THEN instrument_id % 10000 * 100 ELSE true_minor END"
+
+
+@query("template_extract", MESSAGES + f"""SELECT msg_id, order_id % 6 AS place, {_TPL} AS amount_minor, CASE order_id % 6 WHEN 0 THEN 'debit' ELSE 'credit' END AS direction, 'SUPPLIER ' || merchant_id AS merchant, delivered AS event_date
+FROM messages WHERE order_id % 6 IN (0, 1) AND bank <> 'BANK4'""")
 def template_extract(v: Views):
-    patterns = v.spark.createDataFrame(PATTERNS, "bank string, place long, pattern string")
-    return e.templates(messages(v), patterns)
+    return e.templates(messages(v), _patterns(v))
+
+
+@query("ladder_extract", GENERIC + f"""SELECT msg_id, CASE WHEN t THEN 'template' ELSE 'generic' END AS layer, CASE WHEN t THEN {_TPL} ELSE g.amount_minor END AS amount_minor, g.direction, g.merchant, coalesce(g.event_date, delivered) AS event_date,
+  CASE WHEN NOT t THEN g.confidence WHEN {_TPL} = true_minor THEN 0.95 ELSE 0.4 END AS confidence FROM generic g JOIN (SELECT *, order_id % 6 IN (0, 1) AND bank <> 'BANK4' AS t FROM messages) m USING (msg_id)""")
+def ladder_extract(v: Views):
+    return e.ladder(messages(v), _patterns(v))
 
 
 RULES = [(f"r{b}{k}", f"BANK{b}", field, pattern, tpl, conf, succ) for b in range(5) for k, (field, pattern, tpl, conf, succ) in enumerate([
@@ -237,10 +250,10 @@ def statement_metadata(v: Views):
     return lines.select("o_orderkey", x.group(F.col("page"), "^(BANK[0-9]+)").alias("issuer"), x.group(F.col("page"), "XXXX ([0-9]{4})").alias("mask"), x.amount_minor(x.group(below, "^([0-9.]+)")).alias("total_due_minor"), x.amount_minor(x.group(below, " ([0-9.]+)$")).alias("minimum_due_minor"))
 
 
-@query("layout_lines", """SELECT doc_id AS page, k - 1 AS line_no, array_to_string(string_split(left(text, 60), ' ')[(k - 1) * 3 + 1 : k * 3], ' ') AS line FROM (SELECT doc_id, text, unnest(range(1, CAST(ceil(len(string_split(left(text, 60), ' ')) / 3.0) AS INT) + 1)) AS k FROM (SELECT doc_id, translate(text, chr(10), '_') AS text FROM documents WHERE length(text) > 0 AND doc_id % 5 = 0))""")
+@query("layout_lines", """SELECT doc_id AS page, k - 1 AS line_no, array_to_string(string_split(text, ' ')[(k - 1) * 3 + 1 : k * 3], ' ') AS line FROM (SELECT doc_id, text, unnest(range(1, CAST(ceil(len(string_split(text, ' ')) / 3.0) AS INT) + 1)) AS k FROM (SELECT doc_id, translate(text, chr(10), '_') AS text FROM documents WHERE length(text) > 0))""")
 def layout_lines(v: Views):
-    words = F.split(F.left(F.translate("text", "\n", "_"), F.lit(60)), " ")
-    rows = v.table("documents").filter((F.length("text") > 0) & (F.col("doc_id") % 5 == 0)).select(F.col("doc_id").alias("page"), F.posexplode(words).alias("i", "text"))
+    words = F.split(F.translate("text", "\n", "_"), " ")
+    rows = v.table("documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("page"), F.posexplode(words).alias("i", "text"))
     col, row = F.col("i") % 3, F.floor(F.col("i") / 3)
     glyphs = rows.select("page", "text", (col * 20.0).alias("x0"), (col * 20.0 + 10).alias("x1"), (row * 10.0).alias("y0"), (row * 10.0 + 8).alias("y1"))
     return e.layout_lines(glyphs)

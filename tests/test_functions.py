@@ -161,16 +161,21 @@ def test_statement_grammars(spark):
     assert statements.statement_rows(lines.limit(0)).count() == 0
 
 
-def test_ladder_stops_at_the_first_complete_layer(spark):
-    rows = spark.createDataFrame([("1", "Rs.5.00 debited from A/c XX1234 at SHOP on 01-02-2024. "), ("2", "hello")], "msg_id string, body string")
-    seen = []
-
-    def second(rest):
-        seen.append([r.msg_id for r in rest.collect()])
-        return e.generic(rest)
-
-    out = e.ladder(rows, [("generic", e.generic), ("again", second)])
-    assert {r.msg_id: r.layer for r in out.collect()} == {"1": "generic", "2": "again"} and seen == [["2"]]
+def test_ladder(spark):
+    patterns = spark.createDataFrame([("A", 0, "took Rs ([0-9]+) for ([A-Z]+)", "debit", False), ("A", 1, "([0-9][0-9.]*) debited .* at ([A-Z]+)", "debit", False)], "bank string, place long, pattern string, direction string, is_mandate boolean")
+    day = dt.date(2024, 3, 4)
+    rows = [
+        ("1", "A", "Rs.5.00 debited from A/c XX1234 at SHOP on 01-02-2024. ", day),  # the second pattern
+        ("2", "B", "Rs.5.00 debited from A/c XX1234 at SHOP on 01-02-2024. ", day),  # another bank
+        ("3", "A", "INR 7.00 spent; took Rs 9 for TEA", day),  # amounts disagree
+        ("4", "B", "hello", day), ("5", "B", None, day),
+        ("6", "B", "received inr 12 by Ann's", day),  # only the words' scan reads the name
+    ]
+    got = {r.msg_id: tuple(r)[1:] for r in e.ladder(spark.createDataFrame(rows, "msg_id string, bank string, body string, delivered date"), patterns).collect()}
+    first = dt.date(2024, 2, 1)
+    assert got["1"] == ("template", 500, "debit", "SHOP", first, 0.95) and got["2"] == ("generic", 500, "debit", "SHOP", first, 0.7)
+    assert got["3"] == ("template", 900, "debit", "TEA", day, 0.4) and got["4"][1:4] == got["5"][1:4] == (None, None, None)
+    assert got["6"] == ("token", 1200, "credit", "Ann's", day, 0.4)
 
 
 def test_rewrites(spark):
