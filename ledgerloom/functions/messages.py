@@ -135,3 +135,10 @@ def payment_addresses(text: Column, owner: Column) -> Column:
 def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     """Time that the rest will take at the pace so far; null before anything is done."""
     return F.when(done > 0, F.round(elapsed * (total - done) / done, 3))
+
+
+def statement_name(issuer: Column, mask: Column, period_end: Column) -> Column:
+    """The issuer's first word in capitals, the digits of the instrument's mask and the month; parts that are missing are left out."""
+    bank = F.coalesce(F.nullif(F.upper(F.substring_index(F.trim(issuer), " ", 1)), F.lit("")), F.lit("Statement"))
+    digits = F.nullif(F.right(F.regexp_replace(mask, "[^0-9]", ""), F.lit(4)), F.lit(""))
+    return F.concat_ws(" ", bank, digits, F.date_format(period_end, "MMM yyyy"))

@@ -60,6 +60,12 @@ def tolerant_direction(marker: Column) -> Column:
     return F.when(F.lower(marker).contains("cr"), "credit").otherwise("debit")
 
 
+def currency_code(mark: Column) -> Column:
+    """INR for rupee marks, USD for the dollar sign, else the mark in capitals; null for none."""
+    m = F.upper(F.rtrim(F.trim(mark), F.lit(".")))
+    return F.when(m.isin("RS", "₹", "INR"), "INR").when(m.isin("$", "USD"), "USD").otherwise(F.nullif(m, F.lit("")))
+
+
 def mask_digits(text: Column) -> Column:
     """Digits behind the last mask character, else the last four digits; addresses with an @ stay."""
     behind = F.regexp_extract(text, r"[Xx*]([^Xx*]*)$", 1)

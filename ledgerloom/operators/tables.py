@@ -126,3 +126,20 @@ def retagged(bridge: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
 def newest(listing: DataFrame, group: list[str], order: list, keep: int) -> DataFrame:
     """The ``keep`` newest entries of each group: what a pruning leaves."""
     return listing.withColumn("_p", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_p") <= keep).drop("_p")
+
+
+def batch_eta(items: DataFrame, batch: str) -> DataFrame:
+    """``batch``, eta_seconds: the mean of the finished items that were timed, for each that isn't finished; null without one."""
+    return items.groupBy(batch).agg(F.round(F.avg(F.when(F.col("finished"), F.col("seconds"))) * F.count_if(~F.col("finished")), 3).alias("eta_seconds"))
+
+
+def manual_observations(entries: DataFrame) -> DataFrame:
+    """Entries made by hand as observations, which are sure; those without an amount are none."""
+    return entries.filter("amount_minor > 0").select(F.concat(F.lit("m-"), "txn_id").alias("obs_id"), "instrument_id", "amount_minor", "currency", "direction", "event_time",
+                                                     F.lit(1.0).alias("confidence"), F.lit("manual").alias("source_pipeline"))
+
+
+def last_rule(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """txn_id, category of the bank's last rule (by its place) whose pattern the description has; lines without one are left out."""
+    hits = lines.join(rules, "bank").filter(F.expr("description RLIKE pattern"))
+    return hits.groupBy("txn_id").agg(F.max_by("category", "place").alias("category"))
