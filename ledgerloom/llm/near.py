@@ -1,9 +1,10 @@
 """Near-duplicate documents: a Jaccard join on sets of word 5-grams by MinHash banding.
 
 Equal texts are one class from the start. Distinct texts get MinHash signatures; they are shuffled on the hashes of
-their bands, and texts that share a bucket are verified on their full sets. Buckets with the same members are verified
-once, a pair only in the bucket of its first common band, and large buckets in pairs of blocks. A block returns a row
-for each text (its links, the least text it is tied to), never its pairs.
+their bands, and texts that share a bucket are verified on their full sets. The least text of a bucket leads it; the
+buckets of one leader are verified together, so that a text is sent once to them all, and a pair only with the leader
+of its first common bucket. Large groups are verified in pairs of blocks. A block returns a row for each text (its
+links, the least text it is tied to), never its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ROWS = 5
 #: Texts and n-grams of a block, at most on average; a task holds two blocks.
 BLOCK_TEXTS, BLOCK_GRAMS = 1024, 1_500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for no leader.
+_NONE = -(2**63)
 
 
 def bands_for(threshold: float, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -91,18 +94,22 @@ def sign(docs: DataFrame, key: str, text: str, bands: int, words: int) -> DataFr
     return rows.filter("_text IS NOT NULL").mapInArrow(run, schema)
 
 
-def link_block(sets: list[np.ndarray], side: np.ndarray, canon: np.ndarray, bucket: int, threshold: float, across: bool) -> np.ndarray:
-    """Which texts (rows) are linked with which (columns), of pairs whose first common band belongs to ``bucket``.
+def link_block(sets: list[np.ndarray], side: np.ndarray, leads: np.ndarray, leader: int, threshold: float, across: bool) -> np.ndarray:
+    """Which texts (rows) are linked with which (columns), of pairs whose first common bucket ``leader`` leads.
+
+    ``leads`` has the leader of each text's bucket in each band; a text is in one bucket of a band, so two with the same
+    leader in a band share the bucket.
 
     ``side`` is 0 or 1 for the two blocks; pairs lie across them only, if ``across``.
     """
     n = len(sets)
-    first = np.zeros((n, n), np.int64)
-    for b in range(canon.shape[1]):
-        own = canon[:, b]
-        same = (own[:, None] == own[None, :]) & (own != 0)[:, None] & (first == 0)
-        first[same] = np.broadcast_to(own[:, None], (n, n))[same]
-    wanted = np.triu(first == bucket, 1)
+    wanted, met = np.zeros((n, n), bool), np.zeros((n, n), bool)
+    for b in range(leads.shape[1]):
+        own = leads[:, b]
+        same = (own[:, None] == own[None, :]) & (own != _NONE)[:, None] & ~met
+        met |= same
+        wanted |= same & (own == leader)[:, None]
+    wanted = np.triu(wanted, 1)
     if across:
         wanted &= side[:, None] != side[None, :]
     links = np.zeros((n, n), bool)
@@ -147,9 +154,9 @@ def verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
             return arrow.empty_table()
         grams, ends = shingles(table.column("_text"), words)
         sets = [np.unique(grams[a:b]) for a, b in zip(ends, ends[1:])]
-        canon = np.array(table.column("_canon").to_pylist(), np.int64)
+        leads = np.array(table.column("_leads").to_pylist(), np.int64)
         copies = table.column("_copies").to_numpy()
-        links = link_block(sets, side, canon, table.column("_bucket")[0].as_py(), threshold, across)
+        links = link_block(sets, side, leads, table.column("_leader")[0].as_py(), threshold, across)
         label = np.arange(len(reps))
         while True:
             least = np.minimum(label, np.where(links, label[None, :], len(reps)).min(1))
@@ -158,11 +165,11 @@ def verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
                 break
             label = least
         linked = links.any(1)
-        del grams, sets, canon
+        del grams, sets, leads
         give_back()
         return pa.table([pa.array(reps[linked]), pa.array(reps[label[linked]]), pa.array((links @ copies)[linked].astype(np.int64))], schema=arrow)
 
-    return members.groupBy("_bucket", "_i", "_j").applyInArrow(verify, schema)
+    return members.groupBy("_leader", "_i", "_j").applyInArrow(verify, schema)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
@@ -171,31 +178,28 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     A link is another row, with a Jaccard similarity of ``threshold`` or more on distinct n-grams; equal texts are linked.
     Texts that are null or have no word, and rows without a key, have no links and are classes of their own (with the
-    key as id). Rows that repeat a key and text count as one row each time they are joined. Other columns aren't read.
-    The key is a whole number.
+    key as id). Rows that repeat a key and text count as one row each time they are joined; no rows give none. Other
+    columns aren't read, whatever their names. A very long text is taken whole. The key is a whole number.
     """
     bands = bands_for(threshold, recall)
     signed = durable(sign(docs, key, text, bands, words), "signatures")
     reps = signed.groupBy("_text_id").agg(F.min("_key").alias("_rep"), F.count("*").alias("_copies"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
     reps = durable(reps, "texts")
     banded = reps.select("_rep", "_grams", F.posexplode("_bands").alias("_band", "_hash"))
-    buckets = banded.groupBy("_band", "_hash").agg(
-        F.count("*").alias("_n"), F.min("_rep").alias("_lead"), F.bit_xor(F.xxhash64("_rep")).alias("_x"), F.sum("_grams").alias("_sum"),
-        F.bit_xor(F.xxhash64(F.lit("again"), "_rep")).alias("_y")).filter("_n > 1").withColumn("_id", F.xxhash64("_band", "_hash"))
-    # Buckets with the same members are one, with the least of their ids.
-    alike = buckets.groupBy("_n", "_lead", "_x", "_y", "_sum").agg(F.min("_id").alias("_bucket"))
-    canonical = durable(buckets.join(alike, ["_n", "_lead", "_x", "_y", "_sum"]).select("_band", "_hash", "_bucket", F.greatest(F.ceil(F.col("_n") / BLOCK_TEXTS), F.ceil(F.col("_sum") / BLOCK_GRAMS)).cast("int").alias("_blocks")), "buckets")
-    held = banded.join(canonical, ["_band", "_hash"]).groupBy("_rep").agg(F.collect_list(F.struct("_band", "_bucket", "_blocks")).alias("_held"))  # one entry for each band at most
-    of_band = F.map_from_entries(F.transform("_held", lambda x: F.struct(x["_band"], x["_bucket"])))
-    canon = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.try_element_at(F.col("_of"), b), F.lit(0)))
-    candidates = held.withColumn("_of", of_band).select("_rep", canon.alias("_canon"), F.array_distinct(F.transform("_held", lambda x: F.struct(x["_bucket"], x["_blocks"]))).alias("_in"))
+    buckets = banded.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.min("_rep").alias("_lead")).filter("_n > 1").drop("_n")
+    held = banded.join(buckets, ["_band", "_hash"]).groupBy("_rep", "_grams").agg(F.map_from_entries(F.collect_list(F.struct("_band", "_lead"))).alias("_of"))  # one entry for each band at most
+    leads = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.try_element_at(F.col("_of"), b), F.lit(_NONE)))
+    held = durable(held.select("_rep", "_grams", leads.alias("_leads"), F.array_distinct(F.map_values("_of")).alias("_leaders")), "candidates")
+    sizes = held.select("_grams", F.explode("_leaders").alias("_leader")).groupBy("_leader").agg(F.count("*").alias("_n"), F.sum("_grams").alias("_sum"))
+    sizes = sizes.select("_leader", F.greatest(F.ceil(F.col("_n") / BLOCK_TEXTS), F.ceil(F.col("_sum") / BLOCK_GRAMS)).cast("int").alias("_blocks"))
     texts = docs.select(F.col(key).cast("long").alias("_rep"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_text_id"), F.col(text).alias("_text"))
-    wanted = candidates.join(reps.select("_rep", "_text_id", "_copies"), "_rep")
+    wanted = held.select("_rep", "_leads", F.explode("_leaders").alias("_leader")).join(sizes, "_leader").groupBy("_rep", "_leads").agg(F.collect_list(F.struct("_leader", "_blocks")).alias("_in"))
+    wanted = wanted.join(reps.select("_rep", "_text_id", "_copies"), "_rep")
     found = texts.join(wanted, ["_rep", "_text_id"])
-    one = found.select("_rep", "_copies", "_text", "_canon", F.explode("_in").alias("_b")).select("_rep", "_copies", "_text", "_canon", F.col("_b._bucket").alias("_bucket"), F.col("_b._blocks").alias("_blocks"))
+    one = found.select("_rep", "_copies", "_text", "_leads", F.explode("_in").alias("_b")).select("_rep", "_copies", "_text", "_leads", "_b._leader", "_b._blocks")
     one = one.withColumn("_own", F.pmod(F.xxhash64("_rep"), "_blocks").cast("int"))
     pairs = one.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    members = pairs.select("_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "_rep", "_copies", "_text", "_canon")
+    members = pairs.select("_leader", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "_rep", "_copies", "_text", "_leads")
     links = durable(verified(members, words, threshold), "links")
     joined = components(links.select(F.col("_rep").alias("a"), F.col("_root").alias("b")))
     total = links.groupBy("_rep").agg(F.sum("_links").alias("_links"))
