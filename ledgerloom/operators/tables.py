@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def filtered(ledger: DataFrame, *, date_from: str | None = None, date_to: str | None = None, **equal: object) -> DataFrame:
@@ -84,6 +88,55 @@ def keep_best(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_p", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_p = 1").drop("_p")
 
 
+def chained(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """The rows with prev_hash and row_hash: the SHA-256 of the hash before and the fields, along each key's order.
+
+    A task carries one hash from row to row, so a long log takes time, not memory.
+    """
+    texts = F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields))
+    dealt = rows.withColumn("_fields", texts).repartition(key).sortWithinPartitions(key, order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, last = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for who, own in zip(batch.column(key).to_pylist(), batch.column("_fields").to_pylist()):
+                if who != owner:
+                    owner, last = who, ""
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{own}".encode()).hexdigest()
+                after.append(last)
+            kept = [batch.column(f.name) for f in rows_schema]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(after, pa.string())], schema.names)
+
+    rows_schema = rows.schema.fields
+    return dealt.mapInArrow(run, schema)
+
+
+def moving_average(rows: DataFrame, key: str, order: list[str], value: str, weight: float) -> DataFrame:
+    """key, ema: the exponential average along each key's order, the first value taken whole, nulls left out. A task carries one number on."""
+    dealt = rows.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"), *order).repartition(key).sortWithinPartitions(key, *order).select(key, "_v")
+    schema = T.StructType([rows.schema[key], T.StructField("ema", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = average = nothing = object()
+        for batch in batches:
+            done: list[tuple] = []
+            for who, x in zip(batch.column(key).to_pylist(), batch.column("_v").to_pylist()):
+                if who != owner:
+                    done += [] if owner is nothing else [(owner, average)]
+                    owner, average = who, x
+                else:
+                    average = weight * x + (1 - weight) * average
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.column(key).type), pa.array([a for _, a in done], pa.float64())], schema.names)
+            kind = batch.column(key).type
+        if owner is not nothing:
+            yield pa.RecordBatch.from_arrays([pa.array([owner], kind), pa.array([average], pa.float64())], schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def bad_links(chain: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """Rows of a hash chain whose hash isn't that of their fields and the hash before, or whose link is broken."""
     before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(key).orderBy(order)), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import dashboard as d
+from ledgerloom.operators import tables as t
 from ledgerloom.plans.registry import query
 from ledgerloom.views import EVENTS_NOW, NOW, Views, ts
 
@@ -49,7 +50,7 @@ def dashboard_summary(v: Views):
 @query("category_spend_month", """, s AS (SELECT category_id, sum(amount_minor) AS s FROM counted WHERE direction = 'debit' AND best_event_time >= TIMESTAMP '2001-05-01' AND best_event_time < TIMESTAMP '2001-06-01' GROUP BY 1)
 SELECT c.category_id, budget_minor, CAST(coalesce(s, 0) AS BIGINT) AS spend_minor, CASE WHEN budget_minor > 0 THEN coalesce(s, 0) * 100.0 / budget_minor ELSE 0.0 END AS utilization_pct FROM categories c LEFT JOIN s USING (category_id)""")
 def category_spend_month(v: Views):
-    return d.category_spend(v.categories, v.counted, "2001-05-01")
+    return d.category_spend(v.categories, v.counted_by_category, "2001-05-01")
 
 
 def _trend(period: str, days: int) -> str:
@@ -80,7 +81,7 @@ def top_merchants(v: Views):
 @query("pending_review", """, m AS (SELECT l.* FROM ledger l JOIN open_clusters c ON c.cluster_id = l.order_id), u AS (SELECT * FROM ledger WHERE extraction_method = 'llm' AND is_deleted)
 SELECT (SELECT count(DISTINCT txn_id) FROM m) + (SELECT count(*) FROM u) AS pending, CAST((SELECT coalesce(sum(amount_minor), 0) FROM m) + (SELECT coalesce(sum(amount_minor), 0) FROM u) AS BIGINT) AS pending_minor""")
 def pending_review(v: Views):
-    return d.pending_review(v.open_clusters, v.ledger, v.ledger.filter((F.col("extraction_method") == "llm") & F.col("is_deleted")))
+    return d.pending_review(v.open_clusters, v.payments, v.payments.filter((F.col("extraction_method") == "llm") & F.col("is_deleted")))
 
 
 BALANCES = """, net AS (SELECT instrument_id, sum(CASE WHEN direction = 'debit' THEN -amount_minor ELSE amount_minor END) AS net FROM live GROUP BY 1),
@@ -103,7 +104,7 @@ def portfolio_totals(v: Views):
 @query("topk_other", """, s AS (SELECT category_id, sum(amount_minor) AS spend_minor FROM counted WHERE direction = 'debit' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY spend_minor DESC, category_id) AS p FROM s)
 SELECT CASE WHEN p <= 6 THEN category_id ELSE 'Other' END AS category_id, CAST(sum(spend_minor) AS BIGINT) AS spend_minor FROM r GROUP BY 1""")
 def topk_other(v: Views):
-    spent = v.counted.filter(F.col("direction") == "debit").groupBy("category_id").agg(F.sum("amount_minor").alias("spend_minor"))
+    spent = v.counted_by_category.filter(F.col("direction") == "debit").groupBy("category_id").agg(F.sum("amount_minor").alias("spend_minor"))
     return d.top_k_and_other(spent, "category_id", "spend_minor", 6)
 
 
@@ -160,13 +161,13 @@ CASE WHEN m BETWEEN 5 AND 9 THEN 'weekly' WHEN m BETWEEN 25 AND 35 THEN 'monthly
 
 @query("recurring_detect", RECURRING + "SELECT * FROM recurring")
 def recurring_detect(v: Views):
-    return d.recurring(v.counted, ["merchant_id", "category_id"])
+    return d.recurring(v.counted_by_category, ["merchant_id", "category_id"])
 
 
 @query("recurring_summary", RECURRING + "SELECT r.merchant_id, coalesce(m.name, 'Unknown merchant') AS merchant_name, amount_minor, cadence FROM recurring r LEFT JOIN (SELECT * FROM merchants WHERE merchant_id % 5 <> 0) m USING (merchant_id)")
 def recurring_summary(v: Views):
     known = v.merchants.filter(F.col("merchant_id") % 5 != 0).select("merchant_id", "name")
-    found = d.recurring(v.counted, ["merchant_id", "category_id"])
+    found = d.recurring(v.counted_by_category, ["merchant_id", "category_id"])
     return found.join(known, "merchant_id", "left").select("merchant_id", F.coalesce("name", F.lit("Unknown merchant")).alias("merchant_name"), "amount_minor", "cadence")
 
 
@@ -274,6 +275,4 @@ def run_summaries(v: Views):
 
 @query("ema", """SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.3 * x + 0.7 * a), 6) AS ema FROM events GROUP BY 1""")
 def ema(v: Views):
-    series = v.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))  # one user's events
-    folded = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0]["value"], lambda a, x: 0.3 * x["value"] + 0.7 * a)
-    return series.select("user_id", F.round(folded, 6).alias("ema"))
+    return t.moving_average(v.events, "user_id", ["ts", "event_id"], "value", 0.3).select("user_id", F.round("ema", 6).alias("ema"))

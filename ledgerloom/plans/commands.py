@@ -50,14 +50,8 @@ def corrections_apply_revert(v: Views):
 def audit_chain_verify(v: Views):
     # A chain for each user; rows that 97 divides have been changed after their hash was made.
     fields = ["event_id", "event_type"]
-    listed = v.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))  # one user's log
-    step = lambda a, x: F.concat(a, F.array(F.struct(
-        x["event_id"].alias("event_id"), x["event_type"].alias("event_type"), F.element_at(a, -1)["row_hash"].alias("prev_hash"),
-        F.sha2(F.concat_ws("|", F.element_at(a, -1)["row_hash"], x["event_id"].cast("string"), x["event_type"]).cast("binary"), 256).alias("row_hash"))))
-    start = F.array(F.struct(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("prev_hash"), F.lit("").alias("row_hash")))
-    chain = listed.select("user_id", F.explode(F.aggregate("e", start, step)).alias("r")).select("user_id", "r.*").filter("event_id IS NOT NULL")
-    broken = F.col("event_id") % 97 == 0
-    tampered = chain.withColumn("row_hash", F.when(broken, F.lit("0")).otherwise(F.col("row_hash")))
+    chain = t.chained(v.events.select("user_id", *fields), "user_id", "event_id", fields)
+    tampered = chain.withColumn("row_hash", F.when(F.col("event_id") % 97 == 0, F.lit("0")).otherwise(F.col("row_hash")))
     return t.bad_links(tampered, "user_id", "event_id", fields).select("event_id")
 
 

@@ -19,7 +19,7 @@ _FILTER = "direction = 'debit' AND category_id = 'PROMO' AND authorization_time
 
 
 def _filtered(v: Views):
-    return t.filtered(v.live, date_from="2000-01-01", date_to="2000-12-31", direction="debit", category_id="PROMO")
+    return t.filtered(v.live_by_category, date_from="2000-01-01", date_to="2000-12-31", direction="debit", category_id="PROMO")
 
 
 @query("ledger_filtered_page", f"SELECT txn_id, authorization_time, coalesce(name, 'Unknown') AS merchant, coalesce(category_id, 'UNCATEGORIZED') AS category, coalesce(status, 'PENDING') AS status, amount_minor FROM (SELECT * FROM live WHERE {_FILTER} ORDER BY authorization_time DESC, txn_id LIMIT 50 OFFSET 50) LEFT JOIN (SELECT * FROM merchants WHERE merchant_id % 7 <> 0) USING (merchant_id)")
@@ -82,7 +82,7 @@ def unassigned_open(v: Views):
 
 @query("scan_coverage", "SELECT count(*) AS missed, min(txn_id) AS sample FROM (SELECT txn_id FROM live EXCEPT SELECT txn_id FROM (SELECT txn_id FROM live WHERE direction = 'debit' UNION SELECT txn_id FROM live WHERE category_id = 'PROMO'))")
 def scan_coverage(v: Views):
-    covered = v.live.filter("direction = 'debit'").select("txn_id").union(v.live.filter("category_id = 'PROMO'").select("txn_id")).distinct()
+    covered = v.live.filter("direction = 'debit'").select("txn_id").union(v.live_by_category.filter("category_id = 'PROMO'").select("txn_id")).distinct()
     return v.live.select("txn_id").distinct().join(covered, "txn_id", "left_anti").agg(F.count("*").alias("missed"), F.min("txn_id").alias("sample"))
 
 
@@ -142,7 +142,7 @@ def soft_delete(v: Views):
 def category_reassign(v: Views):
     # Of the categories asked for, system ones (here: STANDARD) stay.
     asked = v.categories.filter(F.col("category_id").isin("PROMO", "SMALL", "STANDARD") & (F.col("category_id") != "STANDARD")).select("category_id", F.lit(True).alias("gone"))
-    return v.live.join(asked, "category_id", "left").select("txn_id", F.when(F.col("gone"), "Others").otherwise(F.col("category_id")).alias("category_id"))
+    return v.live_by_category.join(asked, "category_id", "left").select("txn_id", F.when(F.col("gone"), "Others").otherwise(F.col("category_id")).alias("category_id"))
 
 
 @query("field_patch_diff", """, p AS (SELECT txn_id, CASE WHEN order_id % 2 = 0 THEN 'X' END AS status, CASE WHEN order_id % 3 = 0 THEN 'LARGE' END AS category_id FROM live WHERE line_no = 2)
@@ -150,7 +150,7 @@ SELECT txn_id, 'status' AS field, l.status AS before, p.status AS after FROM liv
 SELECT txn_id, 'category_id', l.category_id, p.category_id FROM live l JOIN p USING (txn_id) WHERE p.category_id IS NOT NULL AND p.category_id IS DISTINCT FROM l.category_id""")
 def field_patch_diff(v: Views):
     patches = v.live.filter("line_no = 2").select("txn_id", F.when(F.col("order_id") % 2 == 0, "X").alias("status"), F.when(F.col("order_id") % 3 == 0, "LARGE").alias("category_id"))
-    return t.patched(v.live, patches, "txn_id", ["status", "category_id"])[1]
+    return t.patched(v.live_by_category, patches, "txn_id", ["status", "category_id"])[1]
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ("customer", "orders", "lineitem", "events")))

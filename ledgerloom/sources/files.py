@@ -44,8 +44,9 @@ def archive_rows(ledger: DataFrame, archived: DataFrame, now: str, years: int) -
     return old.join(archived.select("txn_id"), "txn_id", "left_anti").withColumn("year", F.year("best_event_time"))
 
 
-def write_archive(ledger: DataFrame, path: str, archived: DataFrame, now: str, years: int = 5) -> None:
-    archive_rows(ledger, archived, now, years).repartition("year").write.mode("append").partitionBy("year").parquet(path)
+def write_archive(ledger: DataFrame, path: str, archived: DataFrame, now: str, years: int = 5, files: int = 16) -> None:
+    """Append to a folder for each year, ``files`` files each at most, so that no year is one task."""
+    archive_rows(ledger, archived, now, years).repartition("year", F.pmod(F.xxhash64("txn_id"), F.lit(files))).write.mode("append").partitionBy("year").parquet(path)
 
 
 def export(tables: dict[str, DataFrame], folder: str) -> None:

@@ -39,24 +39,33 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def ledger(self) -> DataFrame:
-        """One row for each payment; deleted rows are among them."""
-        rows = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    def payments(self) -> DataFrame:
+        """One row for each payment, without its category; deleted rows are among them."""
+        rows = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         amount = minor("l_extendedprice")
         return rows.select(
             F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", amount).alias("txn_id"),
             F.col("l_orderkey").alias("order_id"), F.col("o_custkey").alias("instrument_id"), amount.alias("amount_minor"), F.lit("INR").alias("currency"),
             F.when(F.col("l_returnflag") == "R", "credit").otherwise("debit").alias("direction"),
             F.col("l_shipdate").alias("best_event_time"), F.col("o_orderdate").alias("authorization_time"),
-            F.col("l_suppkey").alias("merchant_id"), F.col("p_type").alias("category_id"), F.col("l_linestatus").alias("status"),
+            F.col("l_suppkey").alias("merchant_id"), F.col("l_linestatus").alias("status"),
             ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 97 == 0).alias("is_deleted"),
             pick("l_orderkey", "template", "generic", "token", "crossref", "llm").alias("extraction_method"),
             F.when(F.col("l_orderkey") % 4 == 0, F.lit(None)).otherwise(F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("reference_id"),
-            F.col("l_linenumber").alias("line_no"),
+            F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("part_id"),
         )
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """Payments with their category: for queries that ask for it, since it costs a join."""
+        return self.payments.join(self.table("part").select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("category_id")), "part_id").drop("part_id")
+
     @cached_property
     def live(self) -> DataFrame:
+        return self.payments.filter(~F.col("is_deleted")).drop("part_id")
+
+    @cached_property
+    def live_by_category(self) -> DataFrame:
         return self.ledger.filter(~F.col("is_deleted"))
 
     @cached_property
@@ -71,10 +80,17 @@ class Views:
     def open_clusters(self) -> DataFrame:
         return self.clusters.filter(F.col("status") == "open")
 
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.open_clusters.select(F.col("cluster_id").alias("order_id")), "order_id", "left_anti")
+
     @cached_property
     def counted(self) -> DataFrame:
         """Live payments outside of open clusters, as the analytics count them."""
-        return self.live.join(self.open_clusters.select(F.col("cluster_id").alias("order_id")), "order_id", "left_anti")
+        return self._counted(self.live)
+
+    @cached_property
+    def counted_by_category(self) -> DataFrame:
+        return self._counted(self.live_by_category)
 
     @cached_property
     def merchants(self) -> DataFrame:
