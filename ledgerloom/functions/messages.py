@@ -142,3 +142,45 @@ def statement_name(issuer: Column, mask: Column, period_end: Column) -> Column:
     bank = F.coalesce(F.nullif(F.upper(F.substring_index(F.trim(issuer), " ", 1)), F.lit("")), F.lit("Statement"))
     digits = F.nullif(F.right(F.regexp_replace(mask, "[^0-9]", ""), F.lit(4)), F.lit(""))
     return F.concat_ws(" ", bank, digits, F.date_format(period_end, "MMM yyyy"))
+
+
+# Month names in file names, in order; patterns of year and month in digits, with the groups' order.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+FILE_PERIODS = [(r"(?:^|[-_])([0-9]{4})[-_]([0-9]{2})(?:[-_]|$)", 1, 2), (r"(?:^|[-_])([0-9]{2})[-_]([0-9]{4})(?:[-_]|$)", 2, 1), (r"(?:^|[-_ ])([0-9]{4})([0-9]{2})(?:[-_ ]|$)", 1, 2)]
+
+
+def file_period_end(name: Column) -> Column:
+    """The last day of the month that a file's name tells, in digits or by name; null before 2000 and without one."""
+    stem = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
+    tried = []
+    for pattern, year, month in FILE_PERIODS:
+        y, m = (group(stem, pattern, k).try_cast("int") for k in (year, month))
+        tried.append(F.when(m.between(1, 12) & (y >= 2000), F.try_make_timestamp(y, m, F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)).cast("date")))
+    for k, month in enumerate(MONTHS):
+        for pattern in (rf"{month}[-_]?([0-9]{{4}})", rf"([0-9]{{4}})[-_]?{month}"):
+            y = group(stem, pattern, 1).try_cast("int")
+            tried.append(F.when(y >= 2000, F.try_make_timestamp(y, F.lit(k + 1), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)).cast("date")))
+    return F.last_day(F.coalesce(*tried))
+
+
+# Names of brands and what stands for them in lower case; company endings and their forms, in order.
+BRANDS = [
+    ("Zomato", ["zomato"]), ("Swiggy", ["swiggy"]), ("Blinkit", ["blinkit", "blinkmerc"]), ("Flipkart", ["flipkart"]), ("Amazon", ["amazon"]), ("Airtel", ["airtel", "bhartiairtel"]),
+    ("Reliance Jio", ["jio"]), ("CRED", ["dreamplug", "cred"]), ("Uber", ["uber"]), ("Ola", ["ola"]), ("Netflix", ["netflix"]), ("Spotify", ["spotify"]),
+    ("MakeMyTrip", ["make my trip", "makemytrip"]), ("BookMyShow", ["bookmyshow"]), ("Zepto", ["zepto"]),
+]
+ENDINGS = [("PVTLTD", " Pvt Ltd"), ("LTD", " Ltd"), ("TECHNOLOGIES", " Tech"), ("TECHNOLOGI", " Tech"), ("SERVICES", " Services"), ("PAYMENTS", " Payments"), ("SOLUTIONS", " Solutions")]
+
+
+def display_name(raw: Column) -> Column:
+    """A merchant's name for people: a brand's, else the name with its endings spelt out, in title case if it is all in capitals."""
+    low = F.lower(F.trim(raw))
+    brand = None
+    for name, parts in BRANDS:
+        found = F.exists(F.array(*map(F.lit, parts)), lambda p: low.contains(p))
+        brand = F.when(found, name) if brand is None else brand.when(found, name)
+    spelt = F.trim(raw)
+    for ending, form in ENDINGS:
+        spelt = F.regexp_replace(spelt, f"(?i){ending}", form)
+    own = F.when(spelt == F.upper(spelt), F.initcap(spelt)).otherwise(spelt)
+    return F.when(F.coalesce(raw, F.lit("")) == "", "Unknown Merchant").otherwise(F.coalesce(brand, own))

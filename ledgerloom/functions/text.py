@@ -84,16 +84,17 @@ def html_text(html: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """E-mail addresses, card numbers, amounts and long numbers replaced by their kinds."""
+    """E-mail addresses, card numbers, amounts and long numbers replaced by their kinds, and what stands behind the name of a secret."""
     for pattern, kind in PII:
         text = F.regexp_replace(text, pattern, kind)
-    return text
+    return F.regexp_replace(text, SECRET, "$1: [REDACTED]")
 
 
 # What counts as personal, in the order in which it is replaced.
 PII = [
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
     (r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "[CARD]"),
-    (r"(?i)(?:Rs\.?|INR)\s*[0-9][0-9,.]*", "[AMOUNT]"),
+    (r"(?i)(?:Rs\.?|INR|₹)\s*[0-9][0-9,.]*", "[AMOUNT]"),
     (r"[0-9]{6,}", "[NUMBER]"),
 ]
+SECRET = r"(?i)(bearer|token|password|secret)\s*[:=]\s*\S+"

@@ -90,6 +90,19 @@ _case_query("statement_display_name", [
     ("HDFC Bank", "credit_card", "XXXX1234", "2024-02-29", "HDFC 1234 Feb 2024"), ("Some Other Bank Ltd", "bank_account", None, "2023-12-31", "SOME Dec 2023"), (None, "credit_card", "99", None, "Statement 99"), ("ICICI", "wallet", "XX7", "2024-01-31", "ICICI 7 Jan 2024"),
 ], lambda issuer, kind, mask, end: g.statement_name(issuer, mask, end.cast("date")))
 
+_case_query("filename_period", [
+    ("stmt_2024-02.pdf", "2024-02-29"), ("2024_12_card.PDF", "2024-12-31"), ("x-03-2023.pdf", "2023-03-31"), ("card 202401.pdf", "2024-01-31"), ("Stmt-Feb2023.pdf", "2023-02-28"), ("2022_nov.pdf", "2022-11-30"),
+    ("card-13-2023.pdf", None), ("jan1999.pdf", None), ("x20240131.pdf", None), ("plain.pdf", None), (None, None), ("march_2024.pdf", None), ("mar_2024 jan-2020.pdf", "2020-01-31"),
+], g.file_period_end)
+
+_case_query("merchant_display", [
+    ("ZOMATO LTD MUMBAI", "Zomato"), ("ACME PVTLTD", "ACME  Pvt  Ltd"), ("ACMETECHNOLOGIES", "ACME Tech"), ("iTea House", "iTea House"), ("TEA HOUSE", "Tea House"), ("", "Unknown Merchant"), (None, "Unknown Merchant"), ("  Make My Trip x", "MakeMyTrip"),
+], g.display_name)
+
+_case_query("redaction", [
+    ("mail a.b@c.example now", "mail [EMAIL] now"), ("card 1234-5678 9012 3456", "card [CARD]"), ("paid ₹ 1,234.50", "paid [AMOUNT]"), ("Password = hunter2 x", "Password: [REDACTED] x"), ("id 1234567", "id [NUMBER]"), ("12345", "12345"), (None, None),
+], x.redact)
+
 _case_query("progress_eta", [
     ("2", "10", "4.0", "16.0"), ("0", "10", "4.0", None), ("10", "10", "5.0", "0.0"), (None, "3", "1.0", None),
 ], lambda done, total, elapsed: g.eta_seconds(done.cast("int"), total.cast("int"), elapsed.cast("double")))

@@ -125,11 +125,6 @@ def amount_parse(v: Views):
     return v.table("lineitem").select(s.alias("s")).distinct().select("s", x.parse_amount(F.col("s")).alias("amount_minor"), F.replace("s", F.lit(","), F.lit("")).try_cast("double").isNotNull().alias("is_number"))
 
 
-@query("merchant_display", "SELECT DISTINCT p_name, CASE WHEN contains(p_name, 'ring') THEN 'Ring & Co' ELSE upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) END AS display FROM part")
-def merchant_display(v: Views):
-    return v.table("part").select("p_name").distinct().select("p_name", F.when(F.col("p_name").contains("ring"), "Ring & Co").otherwise(F.initcap("p_name")).alias("display"))
-
-
 _HTML = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?i)<(?:br|/p|/div|/tr|/li|/h[1-6])[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'),
 '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' *\n\s*', chr(10), 'g'))"""
 
@@ -153,19 +148,10 @@ def identifier_clean(v: Views):
     return v.table("customer").select(s.alias("s")).distinct().select("s", x.mask_digits(F.col("s")).alias("mask"))
 
 
-@query("filename_period", """, t AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'stmt_' || strftime(o_orderdate, '%Y-%m') || '.pdf' WHEN 1 THEN 'stmt' || strftime(o_orderdate, '%m%Y') || '.pdf' ELSE strftime(o_orderdate, '%b') || '_' || strftime(o_orderdate, '%Y') || '.pdf' END AS f FROM orders)
-SELECT f, CAST(last_day(CAST(coalesce(try_strptime(regexp_extract(f, '([0-9]{4}-[0-9]{2})', 1), '%Y-%m'), try_strptime(regexp_extract(f, '([0-9]{6})', 1), '%m%Y'), try_strptime(regexp_extract(f, '([A-Z][a-z]{2}_[0-9]{4})', 1), '%b_%Y')) AS DATE)) AS DATE) AS period_end FROM t""")
-def filename_period(v: Views):
-    k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
-    f = F.when(k == 0, F.concat(F.lit("stmt_"), F.date_format(d, "yyyy-MM"), F.lit(".pdf"))).when(k == 1, F.concat(F.lit("stmt"), F.date_format(d, "MMyyyy"), F.lit(".pdf"))).otherwise(F.concat(F.date_format(d, "MMM"), F.lit("_"), F.date_format(d, "yyyy"), F.lit(".pdf")))
-    found = F.coalesce(*(F.try_to_timestamp(x.group(F.col("f"), p), F.lit(fmt)) for p, fmt in (("([0-9]{4}-[0-9]{2})", "yyyy-MM"), ("([0-9]{6})", "MMyyyy"), ("([A-Z][a-z]{2}_[0-9]{4})", "MMM_yyyy"))))
-    return v.table("orders").select(f.alias("f")).distinct().select("f", F.last_day(found.cast("date")).alias("period_end"))
-
-
 def _duck_redact(text: str) -> str:
     for pattern, kind in x.PII:
         text = f"regexp_replace({text}, '{pattern}', '{kind}', 'g')"
-    return text
+    return f"regexp_replace({text}, '{x.SECRET}', '\\1: [REDACTED]', 'g')"
 
 
 @query("pii_redact", MESSAGES + f"SELECT msg_id, {_duck_redact('body')} AS redacted FROM messages")
