@@ -64,12 +64,13 @@ def repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     place = F.struct("_key", "_no")
     several = chunks(docs, key=key, text=text, mean_lines=mean_lines).filter(F.col("_chunk").contains("\n"))
-    hashed = several.select(_chunk_hash(F.col("_chunk")).alias("_hash"), "_key", "_no")
-    # Rows that repeat a key are copies of one document: an occurrence is a (key, number).
-    twice = hashed.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last").select("_hash", "_first")
+    hashed = durable(several.select(_chunk_hash(F.col("_chunk")).alias("_hash"), "_key", "_no"), "chunk-hashes")
+    # Rows that repeat a key are copies of one document: an occurrence is a (key, number). The table is written, since Spark
+    # splits the rows of a hot hash only in a join that no aggregate stands before.
+    twice = durable(hashed.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last").select("_hash", "_first"), "repeated-hashes")
     candidates = durable(hashed.join(twice, "_hash"), "chunk-candidates")
     asked = candidates.groupBy("_key").agg(F.collect_set("_no").alias("_asked")).withColumnRenamed("_key", "_k")  # the chunk numbers of one document
-    named = docs.select(key, text).join(asked, docs[key].eqNullSafe(asked["_k"])).filter(F.col(text).isNotNull())
+    named = docs.select(key, text).join(asked.hint("merge"), docs[key].eqNullSafe(asked["_k"])).filter(F.col(text).isNotNull())
     made = named.select(F.col(key).alias("_key"), "_asked", _chunk_texts(F.col(text), mean_lines).alias("_c"))
     spoken = made.select("_key", F.explode_outer(F.transform("_asked", lambda n: F.struct(n.alias("_no"), F.get("_c", n).alias("_chunk")))).alias("x")).select("_key", "x.*")
     compared = spoken.filter(F.col("_chunk").isNotNull()).withColumn("_hash", _chunk_hash(F.col("_chunk")))
@@ -93,7 +94,7 @@ def drop_repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     columns = [c for c in docs.columns if c != result]
     gone = repeated_chunks(docs, key=key, text=text, mean_lines=mean_lines)
     lost = gone.groupBy("_key").agg(F.collect_set("_no").alias("_gone"))  # the chunk numbers of one document
-    joined = docs.select(*columns).join(lost, docs[key].eqNullSafe(lost["_key"]), "left")
+    joined = docs.select(*columns).join(lost.hint("merge"), docs[key].eqNullSafe(lost["_key"]), "left")
     touched = joined.filter(F.col("_gone").isNotNull()).withColumn("_l", F.split(text, "\n", -1)).withColumn("_h", F.transform("_l", _line_hash))
     touched = touched.withColumn("_s", chunk_starts(F.col("_l"), mean_lines))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_s") - 1), "_gone")
