@@ -143,17 +143,27 @@ def merged(rows: DataFrame, gain: float = 0.15) -> DataFrame:
         F.when((mix == "email_only") & F.max(statement), "merged").when((mix == "statement_only") & F.max(email), "merged").otherwise(mix).alias("source_mix"))
 
 
+def _letters(text: Column) -> Column:
+    """The characters of a text, each with its number among its like: sets of them share what the texts share."""
+    chars = F.split(text, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
+
+
 def fuzzy_merchants(raw: DataFrame, merchants: DataFrame, threshold: float = 0.92) -> DataFrame:
     """raw, the best merchant by Jaro-Winkler at or over the threshold (ties: the least name), and the score.
 
     Blocked without loss: with m common characters Jaro is at most (m/|a| + m/|b| + 1) / 3, and the first four
     characters add at most 0.4 of what is missing to 1. For a score s the shorter length is therefore at least
-    3 (s - 0.4) / 0.6 - 2 of the longer one, and the join is on the lengths that this leaves.
+    3 (s - 0.4) / 0.6 - 2 of the longer one, and the join is on the lengths that this leaves; of the pairs only those go
+    to Python that have so many characters in common.
     """
-    least = max(0.0, 3 * (threshold - 0.4) / 0.6 - 2)
-    names = merchants.select("name").distinct().withColumn("_size", F.length("name"))
-    texts = raw.select("raw").distinct().filter(F.length("raw") > 0)
+    jaro = (threshold - 0.4) / 0.6
+    least = max(0.0, 3 * jaro - 2)
+    names = merchants.select("name").distinct().withColumn("_size", F.length("name")).withColumn("_b", _letters(F.lower("name")))
+    texts = raw.select("raw").distinct().filter(F.length("raw") > 0).withColumn("_a", _letters(F.lower("raw")))
     sizes = F.explode(F.sequence(F.ceil(F.length("raw") * least).cast("int"), F.floor(F.length("raw") / max(least, 0.1)).cast("int"))).alias("_size")
-    pairs = texts.select("raw", sizes).join(names, "_size")
+    pairs = texts.select("raw", "_a", sizes).join(names, "_size")
+    common = F.size(F.array_intersect("_a", "_b"))
+    pairs = pairs.filter(common / F.size("_a") + common / F.size("_b") + 1 >= 3 * jaro - 1e-6).select("raw", "name")
     good = pairs.withColumn("score", F.round(jaro_winkler(F.lower("raw"), F.lower("name")), 6)).filter(F.col("score") >= threshold)
     return good.groupBy("raw").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("name"))).alias("m")).select("raw", "m.name", "m.score")
