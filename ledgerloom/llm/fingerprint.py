@@ -195,7 +195,7 @@ def with_next(docs: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES
     return every.repartitionById(max(1, len(heads)), "_range").sortWithinPartitions("_range", "_guest", *order, text).drop("_hash")
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batch_chars: int = 2 << 20, part_bytes: int = PART_BYTES) -> DataFrame:
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batch_chars: int = 1 << 20, part_bytes: int = PART_BYTES) -> DataFrame:
     """Fingerprint of each text and of its edited text, which ends like the next document begins (descending key).
 
     near_*: likeness to the edited and to the next text, an estimate from the ``SKETCH`` smallest span hashes; it's exact
