@@ -19,12 +19,26 @@ def domain_suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
+#: Letters of the pieces by which texts and names inside them meet.
+PIECE = 3
+
+
+def _pieces(text: Column, n: Column) -> Column:
+    return F.when(n <= F.length(text), F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda a: F.substring(text, a, n))).otherwise(F.array().cast("array<string>"))
+
+
 def containing(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """(``column``, ``name``) for each text that has a name inside; an equality join on the text's pieces of the names' lengths."""
-    sizes = names.select(F.length("name").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("sizes"))  # one row, a number for each length
-    pieces = F.flatten(F.transform("sizes", lambda n: F.when(n <= F.length(column), F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda a: F.substring(F.col(column), a, n))).otherwise(F.array().cast("array<string>"))))
-    spread = texts.select(column).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
-    return spread.select(column, F.explode(F.array_distinct(pieces)).alias("name")).join(names, "name")
+    """(``column``, ``name`` and its other columns) for each text that has a name inside.
+
+    A name is looked for where a text has the name's rarest piece of three letters; a shorter name is its own piece.
+    """
+    named = names.filter("name <> ''")
+    pieces = named.select("name").distinct().select("name", F.explode(F.array_distinct(_pieces(F.col("name"), F.least(F.lit(PIECE), F.length("name"))))).alias("_piece"))
+    often = pieces.groupBy("_piece").agg(F.count("*").alias("_often"))
+    rarest = pieces.join(often, "_piece").groupBy("name").agg(F.min(F.struct("_often", "_piece"))["_piece"].alias("_piece"))
+    spread = F.flatten(F.array(*(_pieces(F.col(column), F.lit(n)) for n in range(1, PIECE + 1))))
+    met = texts.select(column).distinct().select(column, F.explode(F.array_distinct(spread)).alias("_piece")).join(rarest, "_piece")
+    return met.filter(F.contains(column, "name")).drop("_piece").join(named, "name")
 
 
 def sender_verdicts(domains: DataFrame, registry: DataFrame) -> DataFrame:

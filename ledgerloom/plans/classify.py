@@ -84,7 +84,7 @@ def merchant_clean(v: Views):
 
 
 @query("date_parse", f""", d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderkey % {len(DATE_CASES)} AS k FROM orders)
-SELECT CASE k {' '.join(f"WHEN {k} THEN strftime(d, '{f}')" for k, (_, f) in enumerate(DATE_CASES))} END AS s, d AS parsed, k IN {_DIGITS} AND day(d) <= 12 AND day(d) <> month(d) AS ambiguous FROM d""")
+SELECT DISTINCT CASE k {' '.join(f"WHEN {k} THEN strftime(d, '{f}')" for k, (_, f) in enumerate(DATE_CASES))} END AS s, d AS parsed, k IN {_DIGITS} AND day(d) <= 12 AND day(d) <> month(d) AS ambiguous FROM d""")
 def date_parse(v: Views):
     k, d = F.col("o_orderkey") % len(DATE_CASES), F.col("o_orderdate")
     s = None
