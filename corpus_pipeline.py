@@ -38,12 +38,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, and of rows repeated whole, the document with the least id stays."""
+    """Of each class of near duplicates one text of the least id stays, once.
+
+    An id that names several texts keeps each of them that stands first in its own class. Rows alike in id and text are
+    one document: of these the row stays whose other columns come first as JSON. Without an id or a word each row
+    is a class of its own, but for rows alike in id and text.
+    """
     found = durable(near.near_duplicates(docs), "near")
-    stay = found.filter("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    joined = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "inner").select(*(docs[c] for c in docs.columns), "_rows")
-    repeated = joined.filter("_rows > 1").dropDuplicates(["doc_id", "text"])
-    return joined.filter("_rows = 1").unionByName(repeated).select(*docs.columns)
+    stay = found.filter("first").groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).agg(F.count("*").alias("_rows"))
+    # The row as one column, so that no name of its own clashes.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), near.text_id(F.col("text")).alias("_text"))
+    joined = rows.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_text_id")))
+    others = F.struct(F.lit(0), *(F.col("_row")[c] for c in docs.columns if c not in ("doc_id", "text")))
+    one = joined.filter("_rows > 1").groupBy("_doc", "_text").agg(F.min_by("_row", F.to_json(others)).alias("_row"))
+    return joined.filter("_rows = 1").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

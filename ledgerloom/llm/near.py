@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,11 @@ def band_hashes(grams: np.ndarray, ends: np.ndarray, bands: int, rows: int = ROW
     return out.view(np.int64)
 
 
+def text_id(text: Column) -> Column:
+    """Equal for equal texts; null for null."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def sign(docs: DataFrame, key: str, text: str, bands: int, words: int) -> DataFrame:
     """_key, _text_id (hash of the text), _bands, _grams for each row that has a key and a word."""
     schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_text_id", T.BinaryType()), T.StructField("_grams", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
@@ -90,7 +95,7 @@ def sign(docs: DataFrame, key: str, text: str, bands: int, words: int) -> DataFr
                 pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * bands), pa.array(values.ravel())),
             ], schema.names)
 
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_text_id"), F.col(text).alias("_text"))
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), text_id(F.col(text)).alias("_text_id"), F.col(text).alias("_text"))
     return rows.filter("_text IS NOT NULL").mapInArrow(run, schema)
 
 
@@ -176,17 +181,20 @@ def verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
                     recall: float = RECALL) -> DataFrame:
-    """key, class_id, n_links: a class is tied together by links; its id is its least key.
+    """key, class_id, n_links, text_id, first: a class is tied together by links; its id is its least key.
 
     A link is another row, with a Jaccard similarity of ``threshold`` or more on distinct n-grams; equal texts are linked.
     Texts that are null or have no word, and rows without a key, have no links and are classes of their own (with the
-    key as id). Rows that repeat a key and text count as one row each time they are joined; no rows give none. Other
+    key as id). A key that names several texts has a row for each of them. Rows that repeat a key and text count as one
+    row each time they are joined; no rows give none. ``text_id`` tells texts apart (SHA-256); ``first`` holds for the
+    rows of one text of each class, that of the least key (of several such texts, the one with the least id). Other
     columns aren't read, whatever their names. A very long text is taken whole. The key is a whole number.
     """
     bands = bands_for(threshold, recall)
     signed = durable(sign(docs, key, text, bands, words), "signatures")
-    reps = signed.groupBy("_text_id").agg(F.min("_key").alias("_rep"), F.count("*").alias("_copies"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
-    reps = durable(reps, "texts")
+    reps = signed.groupBy("_text_id").agg(F.min("_key").alias("_least"), F.count("*").alias("_copies"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
+    # Numbers of the distinct texts, fixed by the write: two texts can share a key.
+    reps = durable(reps.withColumn("_rep", F.monotonically_increasing_id()), "texts")
     banded = reps.select("_rep", "_grams", F.posexplode("_bands").alias("_band", "_hash"))
     buckets = banded.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.min("_rep").alias("_lead")).filter("_n > 1").drop("_n")
     held = banded.join(buckets, ["_band", "_hash"]).groupBy("_rep", "_grams").agg(F.map_from_entries(F.collect_list(F.struct("_band", "_lead"))).alias("_of"))  # one entry for each band at most
@@ -195,10 +203,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sizes = held.select("_grams", F.explode("_leaders").alias("_leader")).groupBy("_leader").agg(F.count("*").alias("_n"), F.sum("_grams").alias("_sum"))
     # Written, since Spark splits a hot leader's rows only in a join that no aggregate stands before.
     sizes = durable(sizes.select("_leader", F.greatest(F.ceil(F.col("_n") / BLOCK_TEXTS), F.ceil(F.col("_sum") / BLOCK_GRAMS)).cast("int").alias("_blocks")), "leaders")
-    texts = docs.select(F.col(key).cast("long").alias("_rep"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_text_id"), F.col(text).alias("_text"))
+    texts = docs.select(F.col(key).cast("long").alias("_least"), text_id(F.col(text)).alias("_text_id"), F.col(text).alias("_text"))
     wanted = held.select("_rep", "_leads", F.explode("_leaders").alias("_leader")).join(sizes, "_leader").groupBy("_rep", "_leads").agg(F.collect_list(F.struct("_leader", "_blocks")).alias("_in"))
-    wanted = wanted.join(reps.select("_rep", "_text_id", "_copies"), "_rep")
-    found = texts.join(wanted, ["_rep", "_text_id"])
+    wanted = wanted.join(reps.select("_rep", "_least", "_text_id", "_copies"), "_rep")
+    found = texts.join(wanted, ["_least", "_text_id"])
     one = found.select("_rep", "_copies", "_text", "_leads", F.explode("_in").alias("_b")).select("_rep", "_copies", "_text", "_leads", "_b._leader", "_b._blocks")
     one = one.withColumn("_own", F.pmod(F.xxhash64("_rep"), "_blocks").cast("int"))
     pairs = one.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
@@ -206,16 +214,21 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = durable(verified(members, words, threshold), "links")
     joined = components(links.select(F.col("_rep").alias("a"), F.col("_root").alias("b")))
     total = links.groupBy("_rep").agg(F.sum("_links").alias("_links"))
-    classes = reps.select("_text_id", "_rep", "_copies").join(total, "_rep", "left").join(joined, F.col("_rep") == joined["a"], "left")
-    classes = classes.select("_text_id", F.coalesce("b", "_rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
-    keyed = signed.select("_key", "_text_id").join(classes, "_text_id").select(F.col("_key").alias(key), "class_id", "n_links")
+    classes = reps.select("_text_id", "_rep", "_least", "_copies").join(total, "_rep", "left").join(joined, F.col("_rep") == joined["a"], "left")
+    # Only classes of several texts need their least key worked out.
+    classes = classes.select("_text_id", "_least", F.when(F.col("_links") > 0, F.coalesce("b", "_rep")).alias("_class"), (F.coalesce(F.col("_links"), F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
+    classes = durable(classes, "classes")
+    heads = durable(classes.filter("_class IS NOT NULL").groupBy("_class").agg(F.min(F.struct("_least", "_text_id")).alias("_head")), "heads")
+    classes = classes.join(heads, "_class", "left").select("_text_id", F.coalesce("_head._least", "_least").alias("class_id"), "n_links", (F.coalesce(F.col("_head._text_id"), F.col("_text_id")) == F.col("_text_id")).alias("_leads"))
+    keyed = signed.select("_key", "_text_id").join(classes, "_text_id").select(F.col("_key").alias(key), "class_id", "n_links", F.col("_text_id").alias("text_id"), (F.col("_leads") & (F.col("_key") == F.col("class_id"))).alias("first"))
     has_word = F.col(text).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")
-    bare = docs.filter(F.col(key).isNull() | ~F.coalesce(has_word, F.lit(False))).select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    bare = docs.filter(F.col(key).isNull() | ~F.coalesce(has_word, F.lit(False)))
+    bare = bare.select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), text_id(F.col(text)).alias("text_id"), F.lit(True).alias("first"))
     return keyed.unionByName(bare)
 
 
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
 
 OP8_SQL = r"""

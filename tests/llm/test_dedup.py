@@ -196,3 +196,12 @@ def test_line_chunks_of_odd_tables(spark, none):
 def test_line_dedup_plan_is_native(spark, docs):
     plan = lines.drop_repeated_chunks(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_near_duplicates_of_a_key_with_several_texts(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f"), (5, "A b c d e f"), (5, "u v w x y z"), (7, "a b c d e f"), (7, "u v w x y z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.first) for r in near.near_duplicates(rows).collect())
+    assert got == [(1, 1, 2, True), (5, 1, 2, False), (5, 5, 1, True), (7, 1, 2, False), (7, 5, 1, False)]
+    # One key may name two texts of one class: one of them stands first.
+    rows = spark.createDataFrame([(3, "a b c d e f"), (3, "A b c d e f")], "doc_id long, text string")
+    assert sorted((r.class_id, r.n_links, r.first) for r in near.near_duplicates(rows).collect()) == [(3, 1, False), (3, 1, True)]

@@ -354,3 +354,14 @@ def test_pipeline_of_no_documents(spark, none, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_near_dedup_keeps_each_text_once(spark):
+    schema = "doc_id long, text string, lang string, source string, _rows long, first string"
+    t, u = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, t, "en", "b", 1, "f"), (1, t, "en", "a", 2, None), (5, t, "en", "s", 1, "f"), (5, u, "en", "s", 1, "f"), (6, None, None, None, None, None),
+            (6, None, None, "x", None, None), (None, t, "en", "s", 1, "f"), (None, None, None, None, None, None), (8, "", None, None, None, None), (9, "", None, None, None, None)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "_rows", "first"]
+    got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+    assert got == sorted([(1, t, "a"), (5, u, "s"), (6, None, "x"), (None, t, "s"), (None, None, None), (8, "", None), (9, "", None)], key=str)
