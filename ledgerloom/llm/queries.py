@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, fingerprint, hmm, language, licenses, lines, near, packing, repeats, warc
+from ledgerloom.llm import decontaminate, fingerprint, hmm, htmltext, language, licenses, lines, near, packing, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_near": near.op8_near,
     "op9_hmm": hmm.op9_hmm,
     "op10_packing": packing.op10_packing,
+    "op13_html_text": htmltext.op13_html_text,
 }
-ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_repeats": repeats.OP7_SQL, "op8_near": near.OP8_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_repeats": repeats.OP7_SQL, "op8_near": near.OP8_SQL, "op13_html_text": htmltext.OP13_SQL}
