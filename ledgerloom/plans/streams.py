@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query
-from ledgerloom.streaming import pipeline as p
-from ledgerloom.views import Views
+from ledgerloom.streaming import alerts, pipeline as p
+from ledgerloom.views import EVENTS_NOW, Views
 
 _VALUES = "count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_minor"
 
@@ -38,3 +38,29 @@ def backfill_available_now(v: Views):
     kept = source.filter("event_type <> 'view'").select("event_id", "user_id", "event_type")
     p.backfill(kept, p.append_once(f"{folder}/table", ["event_id"]), f"{folder}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{folder}/table")
+
+
+def _feeds(v: Views):
+    """Errors are doubtful sightings of a user's feed, all else its syncs."""
+    named = v.events.withColumnRenamed("user_id", "feed")
+    return named.filter("event_type = 'error'").select("feed", F.col("event_id").alias("sighting_id"), "ts"), named.filter("event_type <> 'error'").select("feed", "ts")
+
+
+@query("absence_alerts", """SELECT user_id AS feed, event_id AS sighting_id, ts + INTERVAL 2 HOUR AS due FROM events e
+WHERE event_type = 'error' AND ts + INTERVAL 2 HOUR <= TIMESTAMP '2024-01-20 00:00:00'
+AND NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type <> 'error' AND s.ts >= e.ts AND s.ts <= e.ts + INTERVAL 2 HOUR)""")
+def absence_alerts(v: Views):
+    """Doubtful sightings whose feed stayed silent, as of a fixed time."""
+    return alerts.absences(*_feeds(v), until=EVENTS_NOW)
+
+
+@query("threshold_alerts", """, lim AS (SELECT c_custkey AS instrument_id, c_custkey % 5 * 2000000 AS limit_minor, CASE c_custkey % 3 WHEN 0 THEN [50, 100] WHEN 1 THEN [80, 90, 100] ELSE [25, 75] END AS levels FROM customer),
+s AS (SELECT instrument_id, strftime(best_event_time, '%Y-%m') AS month, sum(amount_minor) AS spent FROM counted WHERE direction = 'debit' GROUP BY 1, 2),
+l AS (SELECT instrument_id, limit_minor, unnest(levels) AS level FROM lim WHERE limit_minor > 0)
+SELECT instrument_id, month, CAST(level AS BIGINT) AS level FROM s JOIN l USING (instrument_id) WHERE spent * 100 >= level * limit_minor""")
+def threshold_alerts(v: Views):
+    """Levels of its own limit that each instrument's spending reached in each month."""
+    k = F.col("c_custkey")
+    levels = F.when(k % 3 == 0, "[100, 50.5]").when(k % 3 == 1, "unreadable").otherwise("[75, 25, 25]")
+    limits = v.table("customer").select(k.alias("instrument_id"), (k % 5 * 2_000_000).alias("limit_minor"), levels.alias("levels"))
+    return alerts.thresholds(v.counted.filter("direction = 'debit'").select("instrument_id", F.col("best_event_time").alias("ts"), "amount_minor"), limits)
