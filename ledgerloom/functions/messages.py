@@ -59,10 +59,12 @@ def snippet(body: Column, length: int = 240) -> Column:
 
 
 def plain_body(text: Column) -> Column:
-    """Without quoted lines and what follows a signature mark; blank lines squeezed."""
-    above = F.regexp_replace(text, r"(?s)(?:^|\n)-- ?\n.*$", "")
-    lines = F.filter(F.split(above, "\n"), lambda s: ~F.ltrim(s).startswith(">"))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n\s*\n+", "\n"))
+    """Without quoted lines and what follows a line of two dashes; at most one blank line in a row."""
+    # A list as the argument of a lambda is made once.
+    lines = F.transform(F.array(F.split(text, "\r?\n")), lambda ls: F.struct(ls.alias("l"), F.array_position(F.transform(ls, lambda s: F.trim(s)), "--").alias("end")))
+    above = F.get(F.transform(lines, lambda x: F.when(x["end"] > 0, F.slice(x["l"], F.lit(1), (x["end"] - 1).cast("int"))).otherwise(x["l"])), F.lit(0))
+    kept = F.transform(F.filter(above, lambda s: ~F.ltrim(s).startswith(">")), lambda s: F.regexp_replace(s, r"\s+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def event_clock(epoch_ms: Column) -> Column:

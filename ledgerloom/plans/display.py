@@ -42,7 +42,7 @@ _case_query("sender_risk", [
 ], lambda verdict, h, n, p: F.concat(F.format_number(g.sender_risk(verdict, h, n.cast("int"), p.cast("int"))["score"], 1), F.lit(" "), F.array_join(g.sender_risk(verdict, h, n.cast("int"), p.cast("int"))["signals"], ",")))
 
 _case_query("body_text", [
-    ("hi\n> quoted\n\n\nbye\n-- \nme", "hi\nbye|hi > quoted bye -- me"), ("one", "one|one"), (" a \n b ", "a \n b|a b"), ("x" * 300, "x" * 300 + "|" + "x" * 240 + "…"), ("", "|"),
+    ("hi\n> quoted\n\n\nbye\n-- \nme", "hi\n\nbye|hi > quoted bye -- me"), ("one", "one|one"), (" a \n b ", "a\n b|a b"), ("x" * 300, "x" * 300 + "|" + "x" * 240 + "…"), ("", "|"),
 ], lambda b: F.concat(g.plain_body(b), F.lit("|"), g.snippet(b)))
 
 _case_query("event_clock", [
