@@ -20,8 +20,8 @@ VERB = f"(?i)({'|'.join([*DEBIT_VERBS, *CREDIT_VERBS])})"
 
 
 def group(text: Column, pattern: str, index: int = 1) -> Column:
-    """A group of the first match, null without a match."""
-    return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
+    """A group of the first match, null without a match; the match is made once."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, index)), lambda s: s != ""), F.lit(0))
 
 
 def amount_minor(text: Column) -> Column:
@@ -40,6 +40,30 @@ def parse_date(text: Column, formats: list[str]) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats))
 
 
+def calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """A date of whole numbers, null for none; years of two digits are 1969 to 2068."""
+    whole = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    return F.try_make_timestamp(whole, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+
+_MONTHS = "january february march april may june july august september october november december".split()
+
+
+def month_number(name: Column, long: bool = False) -> Column:
+    """The month of an English name, of three letters or (``long``) whole; null for another text."""
+    low, out = F.lower(name), None
+    for k, month in enumerate(_MONTHS, 1):
+        fits = low.isin(month, month[:3]) if long else low == month[:3]
+        out = F.when(fits, k) if out is None else out.when(fits, k)
+    return out
+
+
+def parts(text: Column, pattern: str, count: int) -> Column:
+    """The groups of a pattern that is anchored on both sides, in one match; null without a match."""
+    joined = F.regexp_replace(text, pattern, "\x01".join(["", *(f"${k}" for k in range(1, count + 1))]))
+    return F.get(F.transform(F.filter(F.array(joined), lambda s: s.startswith("\x01")), lambda s: F.slice(F.split(s, "\x01"), 2, count)), F.lit(0))
+
+
 def direction(text: Column) -> Column:
     """The earliest verb decides; null without a verb."""
     verb = F.lower(F.regexp_extract(text, VERB, 1))

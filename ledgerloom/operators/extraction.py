@@ -30,10 +30,10 @@ def ladder(messages: DataFrame, patterns: DataFrame) -> DataFrame:
     The event date is the delivery's where the text has none. Where the generic layer reads another amount than the one
     taken, the confidence falls by a fifth, to 0.4 at most.
     """
-    found = templates(messages, patterns).select("msg_id", F.struct(F.lit("template").alias("layer"), "amount_minor", "direction", "merchant", "event_date", F.lit(0.95).alias("confidence")).alias("template"))
-    rows = tokens(generic(messages)).join(found, "msg_id", "left")
+    read = tokens(generic(messages))
+    rows = read.join(_declared(patterns), "bank", "left").withColumn("template", _by_template(F.col("event_date")))
     layers = [
-        F.col("template"),
+        F.when(F.col("template").isNotNull(), F.struct(F.lit("template").alias("layer"), "template.amount_minor", "template.direction", "template.merchant", "template.event_date", F.lit(0.95).alias("confidence"))),
         F.struct(F.lit("generic").alias("layer"), "amount_minor", "direction", "merchant", "event_date", "confidence"),
         F.struct(F.lit("token").alias("layer"), F.col("token.amount_minor").alias("amount_minor"), F.col("token.direction").alias("direction"), F.col("token.merchant").alias("merchant"), F.lit(None).cast("date").alias("event_date"), F.lit(0.4).alias("confidence")),
     ]
@@ -47,16 +47,30 @@ def ladder(messages: DataFrame, patterns: DataFrame) -> DataFrame:
     return rows.withColumn("x", best).select("msg_id", "x.layer", "x.amount_minor", "x.direction", "x.merchant", F.coalesce("x.event_date", "delivered").alias("event_date"), F.round(confidence, 2).alias("confidence"))
 
 
-def templates(messages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """msg_id, place and the fields of the first pattern (by its place) of the message's bank that reads an amount, else of
-    the first that matches; a pattern's groups are amount, merchant and, if it has one, date. Patterns of mandates are left out."""
-    declared = patterns.filter("NOT is_mandate").select("bank", "place", "pattern", "direction")
-    joined = messages.join(declared, "bank").filter(F.expr("body RLIKE pattern"))
-    part = lambda k: F.expr(f"regexp_extract(body, pattern, {k})")
-    read = joined.select("msg_id", "place", "direction", x.amount_minor(part(1)).alias("amount_minor"), F.nullif(part(2), F.lit("")).alias("merchant"),
-                         x.parse_date(F.translate(F.regexp_extract("body", x.DATE_TEXT, 1), "/", "-"), ["dd-MM-yyyy"]).alias("event_date"))
+def _declared(patterns: DataFrame) -> DataFrame:
+    """bank, _patterns: what is declared for a bank, by place; a bank has a few patterns. Those of mandates are left out."""
+    return patterns.filter("NOT is_mandate").groupBy("bank").agg(F.array_sort(F.collect_list(F.struct("place", "pattern", "direction"))).alias("_patterns"))
+
+
+def _by_template(event_date: Column) -> Column:
+    """struct(place, amount_minor, direction, merchant, event_date) by the _patterns of a row with its body; null if none matches.
+
+    A pattern's groups are amount and merchant. The first, by its place, that reads an amount counts, else the first that matches.
+    """
+    body = F.col("body")
+    part = lambda p, k: F.call_function("regexp_extract", body, p["pattern"], F.lit(k))
+    hits = F.filter("_patterns", lambda p: F.call_function("rlike", body, p["pattern"]))
+    read = F.transform(hits, lambda p: F.struct(x.amount_minor(part(p, 1)).alias("amount_minor"), p["place"].alias("place"), p["direction"].alias("direction"), F.nullif(part(p, 2), F.lit("")).alias("merchant"), event_date.alias("event_date")))
+    best = F.array_min(F.transform(read, lambda r: F.struct(r["amount_minor"].isNull().alias("none"), r["place"].alias("place"), r.alias("r"))))["r"]
     fields = ["place", "amount_minor", "direction", "merchant", "event_date"]
-    return read.groupBy("msg_id").agg(F.min_by(F.struct(*fields), F.struct(F.col("amount_minor").isNull(), "place")).alias("m")).select("msg_id", *(f"m.{f}" for f in fields))
+    return F.get(F.transform(F.array(best), lambda r: F.when(r.isNotNull(), F.struct(*(r[f].alias(f) for f in fields)))), F.lit(0))
+
+
+def templates(messages: DataFrame, patterns: DataFrame) -> DataFrame:
+    """msg_id, place, amount_minor, direction, merchant, event_date by the patterns of the message's bank, for those that one reads."""
+    date = x.parse_date(F.translate(x.group(F.col("body"), x.DATE_TEXT), "/", "-"), ["dd-MM-yyyy"])
+    found = messages.join(_declared(patterns), "bank").withColumn("m", _by_template(date)).filter("m IS NOT NULL")
+    return found.select("msg_id", "m.*")
 
 
 _TOKEN_AMOUNT = r"(?i)(?:^|\s)[.,]*(?:rs|inr)[.,]*\s+([0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)\.*(?=\s|$)"

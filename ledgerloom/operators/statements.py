@@ -6,10 +6,13 @@ one. All is column expressions: a line sees its neighbours through one window ov
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as x
+from ledgerloom.functions.classify import bound
 
 # A word in the issuer's name, the kind of instrument (null: any), the grammar; the first that fits counts.
 ISSUERS = [
@@ -17,44 +20,52 @@ ISSUERS = [
     ("hdfc", None, "account"), ("icici", None, "account"), ("sbi", None, "serial"),
 ]
 
-_SLASHED, _AMOUNT, _CELL = r"[0-9]{2}/[0-9]{2}/[0-9]{4}", r"[0-9,]+\.[0-9]{2}", r"(?:[0-9,]+\.[0-9]{2}|-)"
-# Groups are named by GROUPS; "" is an empty group.
-GRAMMARS = {
-    "marked": rf"^({_SLASHED})\s+(.+?)\s+({_AMOUNT})\s+(DR|CR|Dr|Cr)\s*$",
-    "columns": rf"^([0-9]{{2}}[/-][0-9]{{2}}[/-][0-9]{{4}})\s+(.+?)\s{{2,}}({_CELL})\s+({_CELL})\s+{_CELL}\s*$",
-    "signed": rf"^({_SLASHED})\s+(.+?)\s+([+-])({_AMOUNT})\s*$",
-    "month_first": rf"^({_SLASHED})\s+(.+?)\s+(-?)({_AMOUNT})\s*$",
-    "account": rf"^({_SLASHED})\s+(.+?)\s+(\S*)\s+{_SLASHED}\s+({_CELL})\s+({_CELL})\s+{_AMOUNT}\s*$",
-    "serial": rf"(?i)^[0-9]+\s+([0-9]{{2}}-[a-z]{{3}}-[0-9]{{4}})\s+(.+?)\s+({_AMOUNT})\s+(dr|cr)\s*$",
-}
-GROUPS = {
-    "marked": ("day", "text", "amount", "mark"), "columns": ("day", "text", "out", "in"), "signed": ("day", "text", "mark", "amount"),
-    "month_first": ("day", "text", "minus", "amount"), "account": ("day", "text", "reference", "out", "in"), "serial": ("day", "text", "amount", "mark"),
+_SLASHED, _AMOUNT, _CELL, _TEXT = r"[0-9]{2}/[0-9]{2}/[0-9]{4}", r"[0-9,]+\.[0-9]{2}", r"(?:[0-9,]+\.[0-9]{2}|-)", r".+?"
+#: A line of each grammar from left to right: name of a cell ("" if it isn't read), what stands in it, what stands before it.
+GRAMMARS: dict[str, list[tuple[str, str, str]]] = {
+    "marked": [("day", _SLASHED, ""), ("text", _TEXT, r"\s+"), ("amount", _AMOUNT, r"\s+"), ("mark", "DR|CR|Dr|Cr", r"\s+")],
+    "columns": [("day", "[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}", ""), ("text", _TEXT, r"\s+"), ("out", _CELL, r"\s{2,}"), ("in", _CELL, r"\s+"), ("", _CELL, r"\s+")],
+    "signed": [("day", _SLASHED, ""), ("text", _TEXT, r"\s+"), ("mark", "[+-]", r"\s+"), ("amount", _AMOUNT, "")],
+    "month_first": [("day", _SLASHED, ""), ("text", _TEXT, r"\s+"), ("minus", "-?", r"\s+"), ("amount", _AMOUNT, "")],
+    "account": [("day", _SLASHED, ""), ("text", _TEXT, r"\s+"), ("reference", r"\S*", r"\s+"), ("", _SLASHED, r"\s+"), ("out", _CELL, r"\s+"), ("in", _CELL, r"\s+"), ("", _AMOUNT, r"\s+")],
+    "serial": [("", "[0-9]+", ""), ("day", "[0-9]{2}-[A-Za-z]{3}-[0-9]{4}", r"\s+"), ("text", _TEXT, r"\s+"), ("amount", _AMOUNT, r"\s+"), ("mark", "[Dd][Rr]|[Cc][Rr]", r"\s+")],
 }
-#: Date, time, description, sign, currency, amount, marker, a glyph; the description may stand on lines beside it.
-UNIVERSAL = (
-    r"^([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{1,2}[ /-][A-Za-z]{3}[ /-]?,? ?[0-9]{2,4})(?:\s*\|\s*[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
-    r"\s+(\S.*?)??\s*([+-])?\s*(?:[C`₹]|Rs\.?|INR)?\s*([0-9][0-9,]*\.[0-9]{2})(?:\s+(Dr|Cr|DR|CR|D|C))?(?:\s+\S{1,2})?\s*$"
-)
+#: The universal line is read token by token. From the left: a date, perhaps a time behind a bar, the rest.
+_NUMBERED, _NAMED = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}", r"[0-9]{1,2}[ /-][A-Za-z]{3}[ /-]?,? ?[0-9]{2,4}"
+DATED = rf"^({_NUMBERED}|{_NAMED})(?:\s*\|\s*[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?\s+(.*)$"
+#: Of the rest, from the right: a glyph of one or two signs, a marker, the amount.
+PRICED = r"^(.*?)([0-9][0-9,]*\.[0-9]{2})(?:\s+([Dd]r|[Cc]r|DR|CR|D|C))?(?:\s+\S{1,2})?\s*$"
+#: Before the amount: a mark of the currency (a misread sign among them), before that a sign; what is left describes it.
+CURRENCY, SIGN = r"\s*(?:[C`₹]|Rs\.?|INR)?\s*$", r"\s*([+-]?)" 
 # Texts of lines that are no transaction, on words in lower case with one blank between.
 EXCLUDED = [
     "opening balance", "closing balance", "previous balance", "brought forward", "carried forward", "total transactions", "grand total", "sub total", "subtotal",
     "total amount", "reward point", "loyalty point", "payment received", "payment thank", "cr limit", "credit limit",
 ]
 EXCLUDED_WHOLE = ["", "date", "description", "amount", "dr", "cr"]
-# Date formats of statements, in order of trial.
-DATES = [
-    "d/M/yy", "d-M-yy", "d.M.yy", "d MMM yy", "d-MMM-yy", "d/MMM/yy", "d MMM, yy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d-MMM-yyyy", "d/MMM/yyyy",
-    "yyyy-M-d", "d MMM, yyyy",
-]
+#: Dates of statements: numbers with one separator twice; a day, a month's name and a year; year, month and day.
+_DATE_NUMBERS = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{2}|[0-9]{4})$"
+_DATE_NAMED = r"^([0-9]{1,2})(?:([ /-])([A-Za-z]{3})\2|\s([A-Za-z]{3}),\s)([0-9]{4}|[0-9]{2})$"
+_DATE_ISO = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
 _ALONE = r"^\s*(?:[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}|[0-9]{2}-[A-Za-z]{3}-[0-9]{4})"
 
 
 def statement_date(text: Column) -> Column:
-    """A date in any of the formats; months in any case; years of two digits are 1969 to 2068."""
-    clean = F.initcap(F.lower(F.trim(text)))
-    short = x.parse_date(clean, [f for f in DATES if "yyyy" not in f])
-    return F.coalesce(F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short), x.parse_date(clean, [f for f in DATES if "yyyy" in f]))
+    """A date of any of the shapes; months in any case; years of two digits are 1969 to 2068."""
+    return bound(F.trim(text), _read_date)
+
+
+def _read_date(t: Column) -> Column:
+    whole = lambda p, k: F.get(p, F.lit(k)).try_cast("int")
+    name = lambda p: x.month_number(F.concat(F.get(p, F.lit(2)), F.get(p, F.lit(3))))
+    return (F.when(t.rlike(_DATE_NUMBERS), bound(x.parts(t, _DATE_NUMBERS, 4), lambda p: x.calendar_date(whole(p, 3), whole(p, 2), whole(p, 0))))
+            .when(t.rlike(_DATE_NAMED), bound(x.parts(t, _DATE_NAMED, 5), lambda p: x.calendar_date(whole(p, 4), name(p), whole(p, 0))))
+            .when(t.rlike(_DATE_ISO), bound(x.parts(t, _DATE_ISO, 3), lambda p: x.calendar_date(whole(p, 0), whole(p, 1), whole(p, 2)))))
+
+
+def _month_first(day: Column) -> Column:
+    at = lambda a, n: F.substring(day, a, n).try_cast("int")
+    return x.calendar_date(at(7, 4), at(1, 2), at(4, 2))
 
 
 def excluded(description: Column) -> Column:
@@ -93,15 +104,22 @@ def _merge_broken(lines: DataFrame) -> DataFrame:
     return rows.filter(~(F.col("_alone") & F.col("_joins"))).withColumn("line", whole).drop("_alone", "_free", "_before", "_joins")
 
 
+_CELLS = ("day", "text", "amount", "mark", "minus", "out", "in", "reference")
+
+
+def _cells(at: dict[str, int]) -> Callable[[Column], Column]:
+    """All cells from the groups of a match, those without a group empty."""
+    return lambda g: F.when(g.isNotNull(), F.struct(*((F.get(g, F.lit(at[c])) if c in at else F.lit("")).alias(c) for c in _CELLS)))
+
+
 def _by_grammar(line: Column) -> Column:
-    """struct of the groups that the line's own grammar reads, null if it reads none."""
-    names = ("day", "text", "amount", "mark", "minus", "out", "in", "reference")
+    """struct of the cells that the line's own grammar reads, null if it reads none; a line is matched once."""
     out = None
-    for name, pattern in GRAMMARS.items():
-        at = {g: k + 1 for k, g in enumerate(GROUPS[name])}
-        fields = F.struct(*((F.regexp_extract(line, pattern, at[g]) if g in at else F.lit("")).alias(g) for g in names))
-        hit = (F.col("grammar") == name) & line.rlike(pattern)
-        out = F.when(hit, fields) if out is None else out.when(hit, fields)
+    for name, cells in GRAMMARS.items():
+        pattern = "^" + "".join(f"{gap}({what})" if cell else f"{gap}(?:{what})" for cell, what, gap in cells) + r"\s*$"
+        read = [cell for cell, _, _ in cells if cell]
+        found = bound(x.parts(line, pattern, len(read)), _cells({c: k for k, c in enumerate(read)}))
+        out = F.when(F.col("grammar") == name, found) if out is None else out.when(F.col("grammar") == name, found)
     return out
 
 
@@ -115,7 +133,7 @@ def statement_rows(lines: DataFrame) -> DataFrame:
     p = F.col("p")
     cell = lambda c: F.when(~p[c].isin("", "-"), p[c])
     own = F.struct(
-        F.when(F.col("grammar") == "month_first", x.parse_date(p["day"], ["MM/dd/yyyy"])).otherwise(statement_date(p["day"])).alias("entry_date"), F.trim(p["text"]).alias("description"),
+        F.when(F.col("grammar") == "month_first", _month_first(p["day"])).otherwise(statement_date(p["day"])).alias("entry_date"), F.trim(p["text"]).alias("description"),
         x.amount_minor(F.coalesce(F.nullif(p["amount"], F.lit("")), cell("out"), cell("in"))).alias("amount_minor"),
         F.when(F.col("grammar") == "month_first", F.when(p["minus"] == "-", "credit").otherwise("debit")).when(cell("out").isNotNull(), "debit").when(cell("in").isNotNull(), "credit")
         .otherwise(x.strict_direction(p["mark"])).alias("direction"),
@@ -127,18 +145,31 @@ def statement_rows(lines: DataFrame) -> DataFrame:
     return read.filter("_known AND own IS NOT NULL").select("statement_id", "line_no", "own.*").unionByName(_universal(read.filter("NOT _known")))
 
 
+def _universal_cells(line: Column) -> Column:
+    """struct(day, text, sign, amount, mark) of a line that the universal grammar reads, else null."""
+
+    def priced(head: Column) -> Column:
+        def described(tail: Column) -> Column:
+            before = F.get(tail, F.lit(0))
+            fields = {"day": F.get(head, F.lit(0)), "text": F.regexp_replace(before, SIGN + CURRENCY, ""), "sign": F.regexp_extract(before, SIGN + CURRENCY, 1), "amount": F.get(tail, F.lit(1)), "mark": F.get(tail, F.lit(2))}
+            return F.when(tail.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))
+
+        return bound(x.parts(F.get(head, F.lit(1)), PRICED, 3), described)
+
+    return bound(x.parts(line, DATED, 2), priced)
+
+
 def _universal(rows: DataFrame) -> DataFrame:
     """The same columns by the universal grammar."""
     near = Window.partitionBy("statement_id").orderBy("line_no")
     line = F.col("line")
-    is_row = line.rlike(UNIVERSAL)
-    usable = F.when(~is_row & ~line.rlike(r"[0-9][0-9,]*\.[0-9]{2}") & (_letters(line) >= 2), line)
-    seen = rows.withColumns({"_row": is_row, "_usable": usable}).withColumn("_beside", F.concat_ws(" ", F.lag("_usable").over(near), F.lead("_usable").over(near)))
-    part = {n: F.regexp_extract("line", UNIVERSAL, k + 1) for k, n in enumerate(("_day", "_text", "_sign", "_amount", "_mark"))}
-    found = seen.filter("_row").withColumns(part).withColumn("_text", F.when(F.col("_text") == "", F.col("_beside")).otherwise(F.trim("_text")))
-    first = F.trim(F.get(F.filter(F.split("_text", "   "), lambda s: F.trim(s) != ""), F.lit(0)))  # the first column of the description
-    direction = F.when(F.upper("_mark").isin("CR", "C"), "credit").when(F.upper("_mark").isin("DR", "D"), "debit").when(F.col("_sign") == "+", "credit").otherwise("debit")
-    out = found.filter(~excluded(F.col("_text")) & (_letters(F.col("_text")) >= 3)).select(
-        "statement_id", "line_no", statement_date(F.col("_day")).alias("entry_date"), F.when(_letters(first) >= 3, first).otherwise(F.trim("_text")).alias("description"),
-        x.amount_minor(F.col("_amount")).alias("amount_minor"), direction.alias("direction"), reference(F.col("_text")).alias("reference_id"))
+    read = rows.withColumn("_u", _universal_cells(line))
+    usable = F.when(F.col("_u").isNull() & ~line.rlike(r"[0-9][0-9,]*\.[0-9]{2}") & (_letters(line) >= 2), line)
+    seen = read.withColumn("_usable", usable).withColumn("_beside", F.concat_ws(" ", F.lag("_usable").over(near), F.lead("_usable").over(near)))
+    found = seen.filter("_u IS NOT NULL").select("statement_id", "line_no", "_beside", "_u.*").withColumn("text", F.when(F.col("text") == "", F.col("_beside")).otherwise(F.trim("text")))
+    first = F.trim(F.get(F.filter(F.split("text", "   "), lambda s: F.trim(s) != ""), F.lit(0)))  # the first column of the description
+    direction = F.when(F.upper("mark").isin("CR", "C"), "credit").when(F.upper("mark").isin("DR", "D"), "debit").when(F.col("sign") == "+", "credit").otherwise("debit")
+    out = found.filter(~excluded(F.col("text")) & (_letters(F.col("text")) >= 3)).select(
+        "statement_id", "line_no", statement_date(F.col("day")).alias("entry_date"), F.when(_letters(first) >= 3, first).otherwise(F.trim("text")).alias("description"),
+        x.amount_minor(F.col("amount")).alias("amount_minor"), direction.alias("direction"), reference(F.col("text")).alias("reference_id"))
     return out.filter("entry_date IS NOT NULL AND amount_minor IS NOT NULL")
