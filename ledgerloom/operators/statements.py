@@ -7,6 +7,7 @@ one. All is column expressions: a line sees its neighbours through one window ov
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,10 +72,7 @@ def _month_first(day: Column) -> Column:
 def excluded(description: Column) -> Column:
     """Balances, totals, limits, points and headings."""
     words = F.trim(F.regexp_replace(F.lower(description), r"[^\p{L}\p{N}]+", " "))
-    found = words.isin(*EXCLUDED_WHOLE)
-    for text in EXCLUDED:
-        found |= words.contains(text)
-    return found
+    return bound(words, lambda w: reduce(Column.__or__, (w.contains(text) for text in EXCLUDED), w.isin(*EXCLUDED_WHOLE)))
 
 
 def reference(text: Column) -> Column:
