@@ -8,12 +8,14 @@ tournament tree over the free room of the bins to find the first that fits.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,22 +174,31 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
 
     A null or empty text is the end id alone. Rows that repeat a key are documents of their own, each with its
     pieces; a null key is kept. Other columns of ``docs`` aren't read. No rows give no pieces.
-    The group of a document is drawn from a hash of its key, length and checksums, so a task that runs again draws alike.
+    The group of a document is drawn from a hash of its key, length, checksums, its task and how many rows like it the task
+    had before: a task that runs again draws alike, and rows that are all alike are spread over the groups. Equal sizes are
+    placed in the order of their keys. A very long text is encoded whole and cut into pieces.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    measured = T.StructType([docs.schema[key], T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))])
+    measured = T.StructType([docs.schema[key], T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("before", T.LongType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], "<u4")
+        # Rows alike get the numbers 0, 1, 2 ... of their task in any order: what matters is how many there are.
+        task, seen = TaskContext.get().partitionId() << 32, Counter()
         for batch in sub_batches(batches, text, 2 << 20):
             ids, bounds = tokenizer.encode(batch.column(text))
             ids, n, crcs = ids.astype("<u4"), (np.diff(bounds) + 1).tolist(), []
             for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
                 whole = np.concatenate((ids[a:b], end))
                 crcs.append([zlib.crc32(whole[k : k + sequence].tobytes()) for k in range(0, len(whole), sequence)])
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], [key, "n", "crcs"])
-
-    drawn = docs.select(key, text).mapInArrow(measure, measured).withColumn("g", F.pmod(F.xxhash64(key, "n", "crcs"), F.lit(groups)))
+            before = []
+            for like in zip(batch.column(key).to_pylist(), n, map(tuple, crcs)):
+                like = hash(like)  # of numbers mostly; a chance meeting only leaves a number out
+                before.append(task + seen[like])
+                seen[like] += 1
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(before, pa.int64())], [key, "n", "crcs", "before"])
+
+    drawn = docs.select(key, text).mapInArrow(measure, measured).withColumn("g", F.pmod(F.xxhash64(key, "n", "crcs", "before"), F.lit(groups)))
     out_schema = T.StructType([docs.schema[key], *PIECES.fields])
 
     def fit(table: pa.Table) -> pa.Table:
