@@ -103,12 +103,15 @@ def parse_record(raw: bytes) -> dict:
 def with_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to, is_revisit: of equal payloads the largest page_id is the response.
 
-    Rows that repeat a page_id are one page's copies: none of them revisits itself. A null html is an empty payload.
+    Rows that repeat a page_id are one page's copies: none of them revisits itself. A null html is an empty payload. A null
+    page_id is less than any other, and a page with it revisits nothing. A very long page is taken whole. No rows give
+    none. Other columns aren't read, whatever their names.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"_digest": F.sha2("payload", 256), "_size": F.octet_length("payload")})
     shared = rows.filter(F.col("_size") >= min_bytes).groupBy("_digest", "_size").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_least"))
-    shared = shared.filter("_last > _least").select("_digest", "_size", "_last")
+    # Written, since Spark splits the rows of a hot payload only in a join that no aggregate stands before.
+    shared = durable(shared.filter("_last > _least").select("_digest", "_size", "_last"), "shared-payloads")
     joined = rows.join(shared, ["_digest", "_size"], "left")
     revisit = F.col("_last").isNotNull() & F.coalesce(F.col("page_id") != F.col("_last"), F.lit(False))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("_last")).alias("refers_to"), revisit.alias("is_revisit"))
