@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ WIDTH = 32
 SKETCH = 64
 #: Text bytes in a range of rows, on average.
 PART_BYTES = 12 << 20
+#: The ranges are no more than this, however much text there is.
+MOST_PARTS = 20_000
 
 
 class PrefixHash:
@@ -153,16 +156,24 @@ FINGERPRINTS = T.StructType([
 ])
 
 
-def _tree(cuts: list[F.Column]) -> F.Column:
-    """How many of the conditions hold, each of which implies those before it; a balanced tree, so few are looked at."""
+def _reached(heads: list[tuple], key: F.Column, text_hash: F.Column, key_type: T.DataType) -> F.Column:
+    """How many of ``heads`` (sorted) a row has reached: a binary search in one constant, whatever their number."""
+    if not heads:
+        return F.lit(0)
+    rows = json.dumps([{"k": str(k) if k is not None else None, "h": h} for k, h in heads])
+    listed = F.from_json(F.lit(rows), T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("h", T.LongType())])))
 
-    def among(low: int, high: int) -> F.Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(cuts[mid], among(mid + 1, high)).otherwise(among(low, mid))
+    def step(at: F.Column, _: F.Column) -> F.Column:
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        head = F.get(listed, mid)
+        k = head["k"].cast(key_type)
+        # Keys descend and null ones come last; rows with one key stand in the order of their hashes.
+        beyond = F.when(key.isNull(), k.isNotNull() | (text_hash >= head["h"])).when(k.isNull(), False).otherwise((key < k) | ((key == k) & (text_hash >= head["h"])))
+        open_still = at["low"] < at["high"]
+        return F.struct(F.when(open_still & beyond, mid + 1).otherwise(at["low"]).alias("low"), F.when(open_still & ~beyond, mid).otherwise(at["high"]).alias("high"))
 
-    return among(0, len(cuts))
+    steps = F.sequence(F.lit(1), F.lit(len(heads).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(heads)).alias("high")), step)["low"]
 
 
 def with_next(docs: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -170,10 +181,11 @@ def with_next(docs: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES
     _range, _guest, key, text.
 
     A range's rows are sorted; the guest row comes last, the last range's guest is the first row of all. Ranges hold
-    about ``part_bytes`` of text, whatever the keys are; the texts are shuffled once.
+    about ``part_bytes`` of text, whatever the keys are, and more where that would make over ``MOST_PARTS`` of them (a range
+    is sorted and read in blocks, not held); the texts are shuffled once. A row for each range goes through the driver.
     """
     own = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("_hash", F.xxhash64(text))
-    parts = shard_count(text_bytes(own, text), part_bytes)
+    parts = min(MOST_PARTS, shard_count(text_bytes(own, text), part_bytes))
     order = [F.col(key).desc_nulls_last(), F.col("_hash").asc()]
     # The ranges that Spark makes of the bare keys; a row for each.
     first = own.select(key, "_hash").repartitionByRange(parts, *order).select(F.spark_partition_id().alias("p"), key, "_hash")
@@ -181,11 +193,7 @@ def with_next(docs: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES
     heads = [tuple(r.head) for r in first.groupBy("p").agg(least.alias("head")).orderBy("p").collect()]
     heads = list(dict.fromkeys(heads))  # rows that are all alike can be more than a range
 
-    def reaches(k, h) -> F.Column:
-        same = (F.col(key).isNull() if k is None else F.col(key) == F.lit(k)) & (F.col("_hash") >= F.lit(h))
-        return F.col(key).isNull() & same if k is None else F.coalesce((F.col(key) < F.lit(k)) | same, F.lit(True))
-
-    rows = own.withColumn("_range", _tree([reaches(*head) for head in heads[1:]]))
+    rows = own.withColumn("_range", _reached(heads[1:], F.col(key), F.col("_hash"), docs.schema[key].dataType))
     # A head is the guest of the range before; the first one is the last range's.
     known = docs.sparkSession.createDataFrame(
         [(k, h, (n - 1) % len(heads)) for n, (k, h) in enumerate(heads)], T.StructType([T.StructField("_k", docs.schema[key].dataType), T.StructField("_h", T.LongType()), T.StructField("_to", T.IntegerType())]))

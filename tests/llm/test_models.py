@@ -365,3 +365,20 @@ def test_pipeline_near_dedup_keeps_each_text_once(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "_rows", "first"]
     got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
     assert got == sorted([(1, t, "a"), (5, u, "s"), (6, None, "x"), (None, t, "s"), (None, None, None), (8, "", None), (9, "", None)], key=str)
+
+
+def test_packing_spreads_rows_alike(spark):
+    df = spark.createDataFrame([(7, "a b c")] * 4000, "doc_id long, text string").repartition(4)
+    out = packing.pack(df, packing.tokenizer_file(), group_docs=500)
+    groups = Counter(r.sequence_id >> 40 for r in out.collect())
+    assert sum(groups.values()) == 4000 and len(groups) == 8 and max(groups.values()) < 1000
+    # A task that runs again, with its rows in another order, draws alike.
+    again = packing.pack(df.sortWithinPartitions("text"), packing.tokenizer_file(), group_docs=500)
+    assert Counter(r.sequence_id >> 40 for r in again.collect()) == groups
+
+
+def test_warc_of_a_page_without_id_and_a_hot_payload(spark):
+    rows = [(k, "u", "same") for k in range(300)] + [(None, "u", "same"), (None, None, None), (400, "u", "x" * 300_000)]
+    out = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum(r.is_revisit for r in out) == 299 and {r.refers_to for r in out if r.is_revisit} == {299}
+    assert [r.is_revisit for r in out if r.page_id is None] == [False, False] and len(out) == 303

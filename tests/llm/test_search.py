@@ -211,3 +211,10 @@ def test_licence_windows_are_brute_force():
 
 def tokens_bytes(text):
     return [w.encode() for w in tokens(text)]
+
+
+def test_the_plan_of_ranges_does_not_grow_with_them(spark):
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(3000)], "doc_id long, text string").repartition(4)
+    sizes = [len(f.with_next(df, "doc_id", "text", n)._jdf.queryExecution().analyzed().toString().split("named_struct")) for n in (20_000, 200)]
+    assert sizes[0] == sizes[1]
+    assert f.with_next(df, "doc_id", "text", 200).select("_range").distinct().count() > 100
