@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import tables as t
+from ledgerloom.operators import textindex
 from ledgerloom.plans.registry import query
+from ledgerloom.session import shared_path
 from ledgerloom.views import NOW, Views, ts
 
 
@@ -49,6 +51,20 @@ def fts_prefix(v: Views):
     return t.phrase_prefix(v.table("documents"), "MIT lic", ["text"]).select("doc_id")
 
 
+@query("fts_phrases", """, d AS (SELECT doc_id, list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM benchmark),
+p AS (SELECT item_id, ' ' || ws[2] || ' ' || ws[3] || ' ' || left(ws[4], 2) AS p FROM b WHERE len(ws) >= 4)
+SELECT DISTINCT item_id, doc_id FROM d, p WHERE contains(' ' || array_to_string(ws, ' '), p)""")
+def fts_phrases(v: Views):
+    """Through a text index of all documents: a phrase of three words of each benchmark item, the last cut to two letters."""
+    path = shared_path(v.spark, "textindex")
+    textindex.write_index(v.table("documents"), path, key="doc_id", columns=["text"])
+    ws = t.tokens(F.col("text"))
+    phrase = F.concat_ws(" ", F.get(ws, F.lit(1)), F.get(ws, F.lit(2)), F.left(F.get(ws, F.lit(3)), F.lit(2)))
+    asked = v.table("benchmark").filter(F.size(ws) >= 4).select("item_id", phrase.alias("phrase"))
+    return textindex.search_phrases(v.spark, path, asked, phrase_id="item_id").select("item_id", F.col("_key").alias("doc_id"))
+
+
 @query("unprocessed_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber = 1) AND o_orderkey % 37 <> 0 AND o_orderkey % 41 <> 0")
 def unprocessed_anti(v: Views):
     keys = v.table("lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query
+from ledgerloom.session import shared_path
 from ledgerloom.streaming import alerts, pipeline as p
 from ledgerloom.views import EVENTS_NOW, Views
 
@@ -32,8 +31,7 @@ def events_session(v: Views):
 @query("backfill_available_now", "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'view'")
 def backfill_available_now(v: Views):
     """All events through a stream with a checkpoint into a table, which is the result."""
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    folder = f"{root.rstrip('/')}/backfill-{uuid.uuid4().hex}"
+    folder = shared_path(v.spark, "backfill")
     source = v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
     kept = source.filter("event_type <> 'view'").select("event_id", "user_id", "event_type")
     p.backfill(kept, p.append_once(f"{folder}/table", ["event_id"]), f"{folder}/checkpoint").awaitTermination()
