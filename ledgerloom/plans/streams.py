@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_path
-from ledgerloom.streaming import alerts, pipeline as p
+from ledgerloom.streaming import alerts, late, pipeline as p
 from ledgerloom.views import EVENTS_NOW, Views
 
 _VALUES = "count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_minor"
@@ -62,3 +62,12 @@ def threshold_alerts(v: Views):
     levels = F.when(k % 3 == 0, "[100, 50.5]").when(k % 3 == 1, "unreadable").otherwise("[75, 25, 25]")
     limits = v.table("customer").select(k.alias("instrument_id"), (k % 5 * 2_000_000).alias("limit_minor"), levels.alias("levels"))
     return alerts.thresholds(v.counted.filter("direction = 'debit'").select("instrument_id", F.col("best_event_time").alias("ts"), "amount_minor"), limits)
+
+
+@query("late_matches", """, a AS (SELECT obs_id, instrument_id, amount_minor, direction, event_time FROM observations), b AS (SELECT cand_id, instrument_id, amount_minor, direction, event_time FROM canonical)
+SELECT obs_id AS alert_id, cand_id AS statement_id, CASE WHEN cand_id IS NULL THEN 'unmatched' ELSE 'matched' END AS status FROM a LEFT JOIN b ON a.instrument_id = b.instrument_id AND a.amount_minor = b.amount_minor AND a.direction = b.direction
+AND b.event_time BETWEEN a.event_time - INTERVAL 3 DAY AND a.event_time + INTERVAL 3 DAY""")
+def late_matches(v: Views):
+    """Sightings and the ledger rows that confirm them within three days, and sightings that stay alone."""
+    on = ["instrument_id", "amount_minor", "direction"]
+    return late.matches(v.observations.select(F.col("obs_id").alias("id"), F.col("event_time").alias("ts"), *on), v.canonical.select(F.col("cand_id").alias("id"), F.col("event_time").alias("ts"), *on), on)

@@ -17,9 +17,13 @@ def event_stream(spark: SparkSession, folder: str, *, max_files: int = 16) -> Da
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", max_files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "3 days") -> DataFrame:
-    """Replays of a key within the delay are dropped; state is let go behind the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def deduplicated(events: DataFrame, key: str = "event_id", delay: str | None = "3 days") -> DataFrame:
+    """Replays of a key within the delay are dropped; state is let go behind the watermark.
+
+    Without a delay each key is known for all time: a batch looks up its own keys in the state, which grows with them (on
+    disk, with the RocksDB store).
+    """
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key]) if delay else events.dropDuplicates([key])
 
 
 def windowed(events: DataFrame, window: Column, delay: str | None = None) -> DataFrame:
@@ -43,8 +47,27 @@ def matched_within(left: DataFrame, right: DataFrame, on: list[str], days: int =
     return a.join(b, reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & near)
 
 
+def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch sink with a folder for each batch: one that runs again replaces its own, and nothing is read.
+
+    With ``deduplicated`` before it, each key is in the table once, however large that is. Read it with ``read_batches``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
+
+
 def append_once(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch sink that leaves out keys the table has: a batch that runs again adds nothing."""
+    """A batch sink that leaves out keys the table has: a batch that runs again adds nothing.
+
+    It reads the keys of the whole table for each batch; where the table is large, use ``deduplicated`` and ``replace_batch``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
