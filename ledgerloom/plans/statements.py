@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.messages import grouped_digits
+from ledgerloom.operators import headers
 from ledgerloom.operators import statements as s
 from ledgerloom.plans.registry import query
 from ledgerloom.views import Views
@@ -42,3 +45,27 @@ SELECT order_id AS statement_id, n * 10 + CASE WHEN q <> 8 AND (p = 0 AND n % 3
   CASE WHEN p = 4 THEN 'REF' || order_id WHEN p = 5 OR p = 0 AND q <> 8 AND n % 3 <> 2 THEN ref END AS reference_id FROM n""")
 def statement_rows(v: Views):
     return s.statement_rows(statement_lines(v))
+
+
+_DAY = "CAST(o_orderdate AS DATE)"
+
+
+@query("statement_headers", f""", o AS (SELECT *, {_DAY} AS d, CAST(round(o_totalprice * 100) AS BIGINT) AS m, o_orderkey % 3 AS k FROM orders)
+SELECT o_orderkey AS statement_id, CASE k WHEN 0 THEN 'HDFC' WHEN 1 THEN 'SBI' ELSE 'Axis' END AS issuer, CASE WHEN k < 2 THEN d - 30 END AS period_start, CASE WHEN k < 2 THEN d - 1 END AS period_end, CASE WHEN k = 0 THEN d END AS statement_date,
+CASE WHEN k <> 1 THEN d + 18 END AS due_date, CASE WHEN k > 0 THEN m // 20 END AS minimum_minor, m AS total_minor, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS mask, CASE k WHEN 0 THEN 'VISA' WHEN 1 THEN 'RuPay' END AS network FROM o""")
+def statement_headers(v: Views):
+    """Headers in three layouts: beside the labels, on the line after them, in the columns below."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 3
+    minor = F.round(F.col("o_totalprice") * 100).cast("long")
+    money = lambda m: F.concat(grouped_digits(F.floor(m / 100)), F.lit("."), F.lpad((m % 100).cast("string"), 2, "0"))
+    total, least = money(minor), money(F.floor(minor / 20))
+    day = lambda n, form: F.date_format(F.date_add(d, n), form)
+    mask = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
+    beside = F.concat(F.lit("HDFC Bank Credit Card No.      526873XXXXXX"), mask, F.lit("\nStatement Date        "), day(0, "dd MMM, yyyy"), F.lit("\nTOWN 211011    Billing Period    "), day(-30, "dd MMM, yyyy"), F.lit(" - "), day(-1, "dd MMM, yyyy"),
+                      F.lit("\nPayment Due Date: "), day(18, "dd/MM/yyyy"), F.lit("   VISA\nTotal Amount Due Rs. "), total)
+    after = F.concat(F.lit("SBI RuPay Card Number\nXXXX XXXX XXXX "), mask, F.lit("\nfor Statement Period: "), day(-30, "dd MMM yy"), F.lit(" to "), day(-1, "dd MMM yy"), F.lit("\n*Total Amount Due ( ` )\n"), total, F.lit("\n**Minimum Amount Due ( ` )\n"), least)
+    below = F.concat(F.lit("Axis Bank  Card No: 533467******"), mask, F.lit("\nTotal Payment Due      Minimum Payment Due      Payment Due Date\n"), F.rpad(total, 23, " "), F.rpad(least, 25, " "), day(18, "dd/MM/yyyy"))
+    text = F.when(k == 0, beside).when(k == 1, after).otherwise(below)
+    # Split over two pages behind a cover for some.
+    pages = v.table("orders").select(F.col("o_orderkey").alias("statement_id"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), F.when(F.col("o_orderkey") % 5 == 0, "cover").otherwise(text).alias("text")), F.struct(F.lit(2).alias("page_no"), F.when(F.col("o_orderkey") % 5 == 0, text).otherwise("Card No. XXXX 0000").alias("text")))).alias("p"))
+    return headers.statement_headers(pages.select("statement_id", "p.*"))
