@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import clusters
 from ledgerloom.operators import matching as m
 from ledgerloom.plans.registry import query
+from ledgerloom.session import shared_path
 from ledgerloom.views import Views
 
 PAIRS = """, pairs AS (
@@ -316,3 +318,19 @@ def observations_normalized(v: Views):
 
     return v.observations.select("obs_id", "instrument_id", F.abs("amount_minor").alias("amount_minor"), F.when(F.col("direction").isin("credit", "debit"), F.col("direction")).otherwise("debit").alias("direction"),
                                  F.coalesce("event_time", ts(NOW)).alias("event_time"), F.coalesce(F.upper(F.trim("merchant_raw")), F.lit("UNKNOWN")).alias("merchant"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")).alias("confidence"))
+
+
+@query("cluster_growth", """, s AS (SELECT obs_id, instrument_id, order_id % 3 AS amount_minor, direction, event_time FROM observations),
+g AS (SELECT *, CASE WHEN event_time <= lag(event_time) OVER w + INTERVAL 3 DAY THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY instrument_id, amount_minor, direction ORDER BY event_time, obs_id)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument_id, amount_minor, direction ORDER BY event_time, obs_id ROWS UNBOUNDED PRECEDING) AS c FROM g)
+SELECT obs_id, min(obs_id) OVER (PARTITION BY instrument_id, amount_minor, direction, c) AS first_id, count(*) OVER (PARTITION BY instrument_id, amount_minor, direction, c) AS n_members FROM n""")
+def cluster_growth(v: Views):
+    """Clusters of all observations, grown in three batches."""
+    rows = v.observations.select("obs_id", "instrument_id", (F.col("order_id") % 3).alias("amount_minor"), "direction", "event_time", "order_id")
+    members = v.spark.createDataFrame([], rows.select(F.lit("").alias("cluster_id"), *clusters.MEMBER[1:]).schema)
+    for batch in range(3):
+        path = shared_path(v.spark, "clusters")
+        clusters.grow(members, rows.filter(F.col("order_id") * 5 % 7 % 3 == batch).drop("order_id")).write.parquet(path)
+        members = v.spark.read.parquet(path)
+    whole = Window.partitionBy("cluster_id")
+    return members.select("obs_id", F.min("obs_id").over(whole).alias("first_id"), F.count("*").over(whole).alias("n_members"))
