@@ -41,6 +41,15 @@ def containing(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return met.filter(F.contains(column, "name")).drop("_piece").join(named, "name")
 
 
+def unreachable_phrases(phrases: DataFrame, terms: DataFrame) -> DataFrame:
+    """The distinct ``phrase`` that no ``term`` reaches: one does if all its words are somewhere in the phrase."""
+    asked = terms.filter("term IS NOT NULL").select("term", F.array_distinct(F.filter(F.split("term", " "), lambda w: w != "")).alias("_ws")).distinct()
+    words = asked.select("term", F.size("_ws").alias("_k"), F.explode("_ws").alias("name"))
+    listed = phrases.filter("phrase IS NOT NULL").select("phrase").distinct()
+    found = containing(listed, "phrase", words.select("name").distinct()).join(words, "name").groupBy("phrase", "term", "_k").agg(F.count("*").alias("_n"))
+    return listed.join(found.filter("_n = _k").select("phrase"), "phrase", "left_anti")
+
+
 def sender_verdicts(domains: DataFrame, registry: DataFrame) -> DataFrame:
     """domain, verdict, bank for distinct ``domain``; ``registry`` has domain, bank and classification.
 

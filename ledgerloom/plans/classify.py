@@ -93,16 +93,15 @@ def date_parse(v: Views):
     return v.table("orders").select(s.alias("s")).distinct().select("s", c.message_date(F.col("s")).alias("p")).select("s", "p.*")
 
 
-PHRASES = [*c.TRANSACTION_VERBS, *c.BALANCE_TERMS]
-#: With these terms alone some phrases can't be reached.
-FEW_TERMS = ["spent", "debited", "card used", "payment", "balance", "refund of", "transfer of"]
-
-
-@query("phrase_coverage", f"""SELECT DISTINCT phrase FROM (VALUES {', '.join(f'({_sql(p)})' for p in PHRASES)}) p(phrase)
-WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f'({_sql(t)})' for t in FEW_TERMS)}) t(term) WHERE len(list_filter(string_split(term, ' '), lambda w: NOT contains(phrase, w))) = 0)""")
+@query("phrase_coverage", """, p AS (SELECT DISTINCT lower(p_name || ' ' || p_type) AS phrase FROM part), t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1) || ' ' || left(split_part(p_type, ' ', 1), 4)) AS term FROM part WHERE p_partkey % 97 = 0)
+SELECT phrase FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE len(list_filter(string_split(term, ' '), lambda w: NOT contains(phrase, w))) = 0)""")
 def phrase_coverage(v: Views):
-    phrases = v.spark.createDataFrame([(p,) for p in PHRASES], "phrase string").distinct()
-    return phrases.filter(c.unreachable(F.col("phrase"), FEW_TERMS))
+    """Descriptions of parts that no search term made from some of them reaches."""
+    part = v.table("part")
+    phrases = part.select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("phrase"))
+    word = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
+    terms = part.filter("p_partkey % 97 = 0").select(F.lower(F.concat_ws(" ", word("p_name"), F.left(word("p_type"), F.lit(4)))).alias("term"))
+    return senders.unreachable_phrases(phrases, terms)
 
 
 #: (domain, bank, classification)

@@ -186,13 +186,13 @@ def date_crosscheck(v: Views):
     return e.date_check(messages(v).withColumn("event_date", made))
 
 
-@query("mandate_extract", """, m AS (SELECT order_id, CASE order_id % 3 WHEN 0 THEN concat('Mandate registered for SUPPLIER ', merchant_id, ' of Rs ', amount_minor, ' monthly') WHEN 1 THEN concat('Mandate for SUPPLIER ', merchant_id, ' cancelled') ELSE 'Mandate update' END AS body, line_no FROM live WHERE line_no = 1)
-SELECT order_id, nullif(regexp_extract(body, '(SUPPLIER [0-9]+)', 1), '') AS merchant, TRY_CAST(nullif(regexp_extract(body, 'Rs ([0-9]+)', 1), '') AS BIGINT) AS amount, contains(body, 'cancelled') AS cancelled FROM m WHERE regexp_matches(body, 'SUPPLIER [0-9]+')""")
+@query("mandate_extract", """, m AS (SELECT txn_id, merchant_id, amount_minor, order_id % 3 AS k FROM live WHERE order_id % 3 < 2)
+SELECT txn_id, 'SUPPLIER ' || merchant_id AS merchant, CASE WHEN k = 0 THEN amount_minor END AS amount, k = 1 AS cancelled FROM m""")
 def mandate_extract(v: Views):
     k, who = F.col("order_id") % 3, F.col("merchant_id").cast("string")
     body = F.when(k == 0, F.concat(F.lit("Mandate registered for SUPPLIER "), who, F.lit(" of Rs "), F.col("amount_minor").cast("string"), F.lit(" monthly"))).when(k == 1, F.concat(F.lit("Mandate for SUPPLIER "), who, F.lit(" cancelled"))).otherwise("Mandate update")
-    rows = v.live.filter("line_no = 1").select("order_id", body.alias("body"))
-    return rows.select("order_id", x.group(F.col("body"), "(SUPPLIER [0-9]+)").alias("merchant"), x.group(F.col("body"), "Rs ([0-9]+)").try_cast("long").alias("amount"), F.col("body").contains("cancelled").alias("cancelled")).filter("merchant IS NOT NULL")
+    rows = v.live.select("txn_id", body.alias("body"))
+    return rows.select("txn_id", x.group(F.col("body"), "(SUPPLIER [0-9]+)").alias("merchant"), x.group(F.col("body"), "Rs ([0-9]+)").try_cast("long").alias("amount"), F.col("body").contains("cancelled").alias("cancelled")).filter("merchant IS NOT NULL")
 
 
 @query("mandate_cancel", """, act AS (SELECT o_orderkey AS mandate_id, o_custkey, o_orderkey % 50 AS merchant, CASE WHEN o_orderkey % 2 = 0 THEN 'ext' || o_orderkey END AS external_id FROM orders WHERE o_orderkey % 3 = 0), can AS (SELECT o_orderkey AS cancel_id, o_custkey, o_orderkey % 50 AS merchant, CASE WHEN o_orderkey % 4 = 0 THEN 'ext' || (o_orderkey - o_orderkey % 6) END AS external_id FROM orders WHERE o_orderkey % 3 = 1),

@@ -289,14 +289,14 @@ def missing_data_alerts(v: Views):
     return waiting.join(marks, "issuer_name", "left").filter(F.col("mark").isNull() | (F.col("mark") < F.col("event_time"))).select("cluster_id", "issuer_name")
 
 
-@query("emi_groups", """, e AS (SELECT merchant_id * 1000 + instrument_id % 1000 AS group_id, txn_id, amount_minor, best_event_time, amount_minor * 6 AS original_minor FROM live WHERE line_no = 1),
-g AS (SELECT *, row_number() OVER w AS n, first_value(txn_id) OVER w AS parent FROM e WINDOW w AS (PARTITION BY group_id ORDER BY best_event_time, txn_id))
-SELECT group_id, count(*) AS installments, CAST(sum(amount_minor) AS BIGINT) AS paid_minor, max(original_minor) AS original_minor, min(parent) AS parent, string_agg(txn_id, ',' ORDER BY best_event_time, txn_id) AS txns FROM g GROUP BY 1 HAVING count(*) > 1""")
+@query("emi_groups", """, e AS (SELECT merchant_id * 1000 + instrument_id % 1000 AS group_id, txn_id, amount_minor, best_event_time, amount_minor * 6 AS original_minor FROM live),
+g AS (SELECT *, first_value(txn_id) OVER w AS parent, first_value(txn_id) OVER (PARTITION BY group_id ORDER BY best_event_time DESC, txn_id DESC) AS last FROM e WINDOW w AS (PARTITION BY group_id ORDER BY best_event_time, txn_id))
+SELECT group_id, count(*) AS installments, CAST(sum(amount_minor) AS BIGINT) AS paid_minor, max(original_minor) AS original_minor, min(parent) AS parent, min(last) AS latest FROM g GROUP BY 1 HAVING count(*) > 1""")
 def emi_groups(v: Views):
-    rows = v.live.filter("line_no = 1").select((F.col("merchant_id") * 1000 + F.col("instrument_id") % 1000).alias("group_id"), "txn_id", "amount_minor", "best_event_time")
+    rows = v.live.select((F.col("merchant_id") * 1000 + F.col("instrument_id") % 1000).alias("group_id"), "txn_id", "amount_minor", "best_event_time")
+    order = F.struct("best_event_time", "txn_id")
     grouped = rows.groupBy("group_id").agg(
-        F.count("*").alias("installments"), F.sum("amount_minor").alias("paid_minor"), F.max(F.col("amount_minor") * 6).alias("original_minor"), F.min_by("txn_id", F.struct("best_event_time", "txn_id")).alias("parent"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("best_event_time", "txn_id"))), lambda x: x["txn_id"]), ",").alias("txns"))
+        F.count("*").alias("installments"), F.sum("amount_minor").alias("paid_minor"), F.max(F.col("amount_minor") * 6).alias("original_minor"), F.min_by("txn_id", order).alias("parent"), F.max_by("txn_id", order).alias("latest"))
     return grouped.filter("installments > 1")
 
 
