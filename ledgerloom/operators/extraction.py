@@ -94,13 +94,28 @@ def learned(messages: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("_p", F.row_number().over(w)).filter("_p = 1").select("msg_id", "field", "value", "rule_id")
 
 
+#: Days that a message may come after its payment, and how many times closer a swapped date has to be.
+DELAY_DAYS, CLOSER = 7, 3
+#: Confidence of a reading that disagrees with another, at most.
+DOUBT = 0.4
+
+
 def date_check(rows: DataFrame) -> DataFrame:
-    """Swap day and month where that is within a week of the delivery and three times closer; flag what is far off."""
-    swapped = F.when(F.dayofmonth("event_date") <= 12, F.try_make_timestamp(F.year("event_date"), F.dayofmonth("event_date"), F.month("event_date"), F.lit(0), F.lit(0), F.lit(0.0)).cast("date"))
+    """msg_id, event_date, check, confidence against the day of delivery, for dates whose day could be their month (``ambiguous``).
+
+    Day and month are swapped where that is within a week of the delivery and three times closer. Where both readings are
+    further off, the date is ``far`` and the confidence falls to 0.4 at most. Other dates, and rows without a date or a
+    delivery, stay as they are.
+    """
+    day, month = F.dayofmonth("event_date"), F.month("event_date")
+    swapped = F.when(F.col("ambiguous") & (day <= 12) & (day != month), F.try_make_timestamp(F.year("event_date"), day, month, F.lit(0), F.lit(0), F.lit(0.0)).cast("date"))
+    read = rows.select("msg_id", "event_date", "delivered", "confidence", swapped.alias("_swapped"))
     off = lambda d: F.abs(F.datediff(d, F.col("delivered")))
-    swap = F.coalesce((off(swapped) <= 7) & (off(swapped) * 3 < off(F.col("event_date"))), F.lit(False))
-    far = (off(F.col("event_date")) > 7) & (F.coalesce(off(swapped), F.lit(8)) > 7)
-    return rows.select("msg_id", F.when(swap, swapped).otherwise(F.col("event_date")).alias("event_date"), F.when(swap, "swapped").when(far, "far").otherwise("ok").alias("check"))
+    own, other = off(F.col("event_date")), off(F.col("_swapped"))
+    swap = F.coalesce((other <= DELAY_DAYS) & (other * CLOSER < F.greatest(own, F.lit(1))), F.lit(False))
+    far = F.coalesce((own > DELAY_DAYS) & (other > DELAY_DAYS), F.lit(False))
+    doubted = F.when(far & ~swap, F.least(F.coalesce("confidence", F.lit(DOUBT)), F.lit(DOUBT))).otherwise(F.col("confidence"))
+    return read.select("msg_id", F.when(swap, F.col("_swapped")).otherwise(F.col("event_date")).alias("event_date"), F.when(swap, "swapped").when(far, "far").otherwise("ok").alias("check"), doubted.alias("confidence"))
 
 
 LINES = T.StructType([T.StructField("page", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])

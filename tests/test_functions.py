@@ -187,3 +187,18 @@ def test_rewrites(spark):
     tags = lambda *p: spark.createDataFrame(list(p), "txn_id string, tag_id long")
     assert sorted(map(tuple, t.retagged(tags(("a", 1)), tags(("a", 1), ("b", 2), ("c", 3)), tags(("c", 3))).collect())) == [("a", 1), ("b", 2)]
     assert sorted(r.id for r in t.newest(table.withColumn("g", F.lit(1)), ["g"], [F.desc("id")], 2).collect()) == [2, 3]
+
+
+def test_dates_against_the_delivery(spark):
+    from ledgerloom.operators import extraction
+
+    day = dt.date
+    cases = {  # date, delivery, confidence: date, check, confidence
+        "close": (day(2024, 3, 5), day(2024, 3, 6), 0.7, day(2024, 3, 5), "ok", 0.7), "swapped": (day(2024, 5, 3), day(2024, 3, 6), 0.7, day(2024, 3, 5), "swapped", 0.7),
+        "far": (day(2024, 5, 3), day(2024, 9, 6), 0.7, day(2024, 5, 3), "far", 0.4), "far, unsure": (day(2024, 5, 3), day(2024, 9, 6), None, day(2024, 5, 3), "far", 0.4),
+        "low": (day(2024, 5, 3), day(2024, 9, 6), 0.3, day(2024, 5, 3), "far", 0.3), "no month": (day(2024, 5, 23), day(2024, 9, 6), 0.7, day(2024, 5, 23), "ok", 0.7),
+        "same": (day(2024, 5, 5), day(2024, 9, 6), 0.7, day(2024, 5, 5), "ok", 0.7), "null": (None, day(2024, 9, 6), 0.7, None, "ok", 0.7),
+    }
+    rows = spark.createDataFrame([(k, *c[:3], k != "not") for k, c in cases.items()], "msg_id string, event_date date, delivered date, confidence double, ambiguous boolean")
+    got = {r.msg_id: (r.event_date, r.check, r.confidence) for r in extraction.date_check(rows).collect()}
+    assert got == {k: c[3:] for k, c in cases.items()}
