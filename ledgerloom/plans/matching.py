@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import clusters
+from ledgerloom.operators import clusters, post
 from ledgerloom.operators import matching as m
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_path
@@ -334,3 +334,16 @@ def cluster_growth(v: Views):
         members = v.spark.read.parquet(path)
     whole = Window.partitionBy("cluster_id")
     return members.select("obs_id", F.min("obs_id").over(whole).alias("first_id"), F.count("*").over(whole).alias("n_members"))
+
+
+@query("post_processed", REFUNDS + """, link AS (SELECT refund_id, debit_id FROM refunds r JOIN debits d USING (instrument_id, amount_minor) WHERE debit_time BETWEEN refund_time - INTERVAL 30 DAY AND refund_time QUALIFY row_number() OVER (PARTITION BY refund_id ORDER BY debit_time DESC, debit_id) = 1)
+SELECT debit_id AS txn_id, NULL AS parent_id, NULL AS subtype, CASE WHEN debit_id IN (SELECT debit_id FROM link) THEN 'refunded' ELSE 'posted' END AS status, ['UBER INDIA', 'CORNER SHOP', 'SWIGGY LIMITED', NULL, NULL][order_id % 5 + 1] AS merchant, ['transport', 'own', 'food', 'own', 'own'][order_id % 5 + 1] AS category_id FROM debits
+UNION ALL SELECT r.refund_id, l.debit_id, CASE WHEN l.debit_id IS NOT NULL THEN 'refund' END, 'posted', NULL, 'own' FROM refunds r LEFT JOIN link l USING (refund_id)""")
+def post_processed(v: Views):
+    """Debits and refunds through the whole chain."""
+    names = F.array(*map(F.lit, ["Uber India 12345", "Corner Shop", "RAZ*SWIGGY LIMITED", "for your card", None]))
+    raw = F.get(names, (F.col("order_id") % 5).cast("int"))
+    own = debits(v).select(F.col("debit_id").alias("txn_id"), "instrument_id", F.lit("debit").alias("direction"), "amount_minor", F.col("debit_time").alias("best_event_time"), raw.alias("merchant_raw"))
+    back = refunds(v).select(F.col("refund_id").alias("txn_id"), "instrument_id", F.lit("credit").alias("direction"), "amount_minor", F.col("refund_time").alias("best_event_time"), F.lit("Amazon").alias("merchant_raw"))
+    rows = own.unionByName(back).select("*", F.lit("own").alias("category_id"), F.lit("posted").alias("status"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("installments"), F.lit(None).cast("long").alias("original_minor"))
+    return post.post_process(rows).drop("group_id")
