@@ -27,7 +27,7 @@ END_ID = 1
 #: Documents in a packing group, on average: a task holds their lengths and checksums only.
 GROUP_DOCS = 8192
 #: Distinct words whose ids a Python worker remembers; others are encoded anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: Words that the tokenizer gets at once: its own records of a word take hundreds of bytes.
 ENCODE_WORDS = 16_384
 
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
         tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], "<u4")
         # Rows alike get the numbers 0, 1, 2 ... of their task in any order: what matters is how many there are.
         task, seen = TaskContext.get().partitionId() << 32, Counter()
-        for batch in sub_batches(batches, text, 2 << 20):
+        for batch in sub_batches(batches, text, 4 << 20):
             ids, bounds = tokenizer.encode(batch.column(text))
             ids, n, crcs = ids.astype("<u4"), (np.diff(bounds) + 1).tolist(), []
             for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
