@@ -27,7 +27,7 @@ def test_auth_and_risk(spark):
 
 def test_bodies(spark):
     assert value(spark, g.snippet(F.lit(" a \n b "))) == "a b" and len(value(spark, g.snippet(F.lit("x" * 300)))) == 241
-    assert value(spark, g.plain_body(F.lit("hi\n> quoted\n\n\nbye\n-- \nme"))) == "hi\nbye"
+    assert value(spark, g.plain_body(F.lit("hi\n> quoted\n\n\nbye\n-- \nme"))) == "hi\n\nbye"
 
 
 @pytest.mark.parametrize("ms, want", [(1704067200000, dt.datetime(2024, 1, 1, 5, 30)), (1704067200, dt.datetime(2024, 1, 1, 5, 30)), (5_000_000_000_000, None), (-1, None)])
