@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import tables as t
 from ledgerloom.operators import textindex
+from ledgerloom.operators.duplicates import duplicate_statements
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_path
 from ledgerloom.views import NOW, Views, ts
@@ -232,6 +233,20 @@ def statement_observations(v: Views):
     return v.live.select(h(F.col("order_id"), F.col("line_no"), F.col("txn_id")).alias("obs_id"), h(F.col("instrument_id"), F.col("amount_minor"), F.col("direction"), F.date_format("best_event_time", "yyyy-MM-dd'T'00:00")).alias("fingerprint"), "txn_id")
 
 
+@query("statement_duplicates", """, o AS (SELECT o_orderkey, o_custkey, date_trunc('month', o_orderdate)::DATE AS m, o_orderkey % 4 AS k FROM orders),
+known AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), cycles AS (SELECT DISTINCT o_custkey, m FROM known WHERE o_orderkey % 10 <> 0)
+SELECT o_orderkey AS statement_id, CASE WHEN o_orderkey % 6 = 3 AND o_orderkey - 1 IN (SELECT o_orderkey FROM known) THEN 'file' WHEN NOT EXISTS (SELECT 1 FROM cycles c WHERE c.o_custkey = o.o_custkey AND c.m = o.m) THEN NULL WHEN k = 1 AND year(m) >= 2000 THEN 'name' ELSE 'cycle' END AS reason FROM o WHERE o_orderkey % 2 = 1""")
+def statement_duplicates(v: Views):
+    """Odd orders as statements, against the even ones: some are the file of the order before, others of a month that its card has."""
+    k, month = F.col("o_orderkey"), F.trunc("o_orderdate", "month")
+    hash_of = lambda n: F.sha2(F.concat(F.lit("file"), n.cast("string")).cast("binary"), 256)
+    rows = v.table("orders").select(k, F.col("o_custkey").alias("instrument_id"), month.alias("period_start"), F.last_day("o_orderdate").alias("period_end"))
+    known = rows.filter(k % 2 == 0).select(hash_of(k).alias("file_hash"), "instrument_id", "period_start", "period_end", (k % 10 == 0).alias("is_duplicate"))
+    name = F.when(k % 4 == 1, F.concat(F.lit("Card_"), F.date_format("period_start", "yyyy-MM"), F.lit(".pdf"))).otherwise("statement.pdf")
+    incoming = rows.filter(k % 2 == 1).select(k.alias("statement_id"), hash_of(F.when(k % 6 == 3, k - 1).otherwise(-k)).alias("file_hash"), "instrument_id", name.alias("filename"), "period_start", "period_end")
+    return duplicate_statements(incoming, known, known.select("file_hash").limit(0))
+
+
 @query("statement_dups", """, a AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m') AS period FROM orders), k AS (SELECT o_custkey, period FROM a WHERE o_orderkey % 2 = 0) SELECT o_orderkey FROM a WHERE o_orderkey % 2 = 1 AND EXISTS (SELECT 1 FROM k WHERE k.o_custkey = a.o_custkey AND k.period = a.period)""")
 def statement_dups(v: Views):
     rows = v.table("orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"))
