@@ -139,6 +139,20 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     return F.when(done > 0, F.round(elapsed * (total - done) / done, 3))
 
 
+# Words in a message's body and the bank that they tell, in order of trial; names that tell nothing.
+BANK_WORDS = [("hdfc", "HDFC Bank"), ("indusind", "IndusInd Bank"), ("icici", "ICICI Bank"), ("axis", "Axis Bank"), ("sbi", "SBI Bank"), ("kotak", "Kotak Bank")]
+NO_BANK, NO_NAMES = "Bank Alert", ["", "Bank Alert", "Bank / Service Alert"]
+
+
+def bank_name(sender: Column, body: Column) -> Column:
+    """The sender's name without its address and quotes; for a name that tells nothing the bank that the body names, else a general one."""
+    shown = F.when(sender.contains("<"), F.regexp_replace(F.trim(F.substring_index(sender, "<", 1)), "^[\"']|[\"']$", "")).otherwise(sender)
+    low, told = F.lower(body), None
+    for word, bank in BANK_WORDS:
+        told = F.when(low.contains(word), bank) if told is None else told.when(low.contains(word), bank)
+    return F.when(F.coalesce(shown, F.lit("")).isin(*NO_NAMES), F.coalesce(told, F.lit(NO_BANK))).otherwise(shown)
+
+
 def statement_name(issuer: Column, mask: Column, period_end: Column) -> Column:
     """The issuer's first word in capitals, the digits of the instrument's mask and the month; parts that are missing are left out."""
     bank = F.coalesce(F.nullif(F.upper(F.substring_index(F.trim(issuer), " ", 1)), F.lit("")), F.lit("Statement"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.messages import bank_name
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import mail
 from ledgerloom.views import Views
@@ -35,3 +36,14 @@ def mail_parts(v: Views):
     payload = F.when(n % 5 == 0, _multi("mixed", held, pdf, other)).otherwise(_multi("mixed", held))
     walked = v.table("pages").select("page_id", mail.message_parts(payload).alias("p")).select("page_id", "p.*")
     return walked.select("page_id", "plain", F.sha2("html", 256).alias("html_sha256"), F.array_join(F.transform("pdfs", lambda p: p["filename"]), ",").alias("pdfs"), F.get("pdfs", F.lit(1))["content"].cast("string").alias("content"))
+
+
+@query("bank_by_body", """, w AS (SELECT doc_id, ['HDFC', 'IndusInd', 'ICICI', 'Axis', 'SBI', 'Kotak', 'none'][doc_id % 7 + 1] AS w, text FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?i)hdfc|indusind|icici|axis|sbi|kotak'))
+SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'Own "Name" Ltd' WHEN w = 'none' THEN 'Bank Alert' ELSE w || ' Bank' END AS bank FROM w""")
+def bank_by_body(v: Views):
+    """Texts that name no bank themselves, with a bank's name at their end, under senders that tell little."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    word = F.get(F.array(*map(F.lit, ["HDFC", "IndusInd", "ICICI", "Axis", "SBI", "Kotak", "none"])), (n % 7).cast("int"))
+    sender = F.get(F.array(F.lit(None).cast("string"), F.lit("Bank Alert"), F.lit("Bank / Service Alert <x@y.example>"), F.lit("'Own \"Name\" Ltd' <a@b.example>")), (n % 4).cast("int"))
+    rows = v.table("documents").filter(~text.rlike("(?i)hdfc|indusind|icici|axis|sbi|kotak"))
+    return rows.select("doc_id", bank_name(sender, F.concat_ws(" ", "text", word)).alias("bank"))
