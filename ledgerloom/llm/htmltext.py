@@ -76,6 +76,7 @@ class Block:
     main: int  # number of the article or main element around, 0 for none
     parent: int  # number of the innermost container
     doubt: int  # 2: not the article by its elements; 1: by a form, class name or place; 0: no sign of it
+    tree: list[int] = field(repr=False, compare=False, default_factory=list)  # of each container the one around it, -1 for the page's own
 
 
 @dataclass
@@ -135,6 +136,7 @@ class _Reader:
     heading: int = 0
     own_doubt: int = 0
     breaks: int = 0
+    tree: list[int] = field(default_factory=lambda: [-1])
 
     def read(self) -> list[Block]:
         page, at = self.page, 0
@@ -214,7 +216,7 @@ class _Reader:
             if whole:
                 top = self.stack[-1]
                 self._comments_follow(whole)
-                self.blocks.append(Block(whole, linked, self.heading, top.main, top.number, max(top.doubt, self.own_doubt, int(top.level > 0))))
+                self.blocks.append(Block(whole, linked, self.heading, top.main, top.number, max(top.doubt, self.own_doubt, int(top.level > 0)), self.tree))
             self.parts = []
         self.breaks = 0
 
@@ -259,6 +261,7 @@ class _Reader:
         inherited = max(top.doubt, int(top.level > 0))
         # What a wrapper's class name says doesn't hold for an article in it.
         inherited = 0 if inherited == 1 and main and not top.main and not doubt else inherited
+        self.tree.append(-1 if name in ("html", "body") else top.number)
         self.stack.append(_Open(name, self.number, main, max(doubt, inherited)))
         self.opened[name] = self.opened.get(name, 0) + 1
 
@@ -286,13 +289,37 @@ def page_blocks(page: str) -> list[Block]:
     return _Reader(page).read()
 
 
-def around_headline(blocks: list[Block]) -> list[Block]:
-    """Without an article element, the container of the first headline that has text beside it counts as one."""
+def around_headline(blocks: list[Block], wide: bool = False) -> list[Block]:
+    """Without an article element, the container of the first headline that has text beside it counts as one.
+
+    ``wide``: the least container around a headline that has text in it, at any depth.
+    """
     if any(b.main for b in blocks):
         return blocks
-    beside = {b.parent for b in blocks if not (b.heading or b.linked or b.doubt)}
-    found = next((b.parent for b in blocks if b.heading == 1 and not b.doubt and b.parent in beside), None)
-    return blocks if found is None else [replace(b, main=found) if b.parent == found else b for b in blocks]
+    heads = [b for b in blocks if b.heading == 1 and not b.doubt]
+    plain = {b.parent for b in blocks if not (b.heading or b.linked or b.doubt)}
+    if not wide:
+        found = next((b.parent for b in heads if b.parent in plain), None)
+        return blocks if found is None else [replace(b, main=found or -1) if b.parent == found else b for b in blocks]  # -1: in no container
+    if not heads:
+        return blocks
+    tree, level, at = heads[0].tree, {}, heads[0].parent
+    while at > 0 and tree[at] >= 0:  # not the page's own
+        level[at] = len(level)
+        at = tree[at]
+    known: dict[int, int] = {}
+
+    def reached(n: int) -> int:
+        """How far up from the headline the first container around ``n`` and it is."""
+        path = []
+        while n not in known and n not in level and n > 0 and tree[n] >= 0:
+            path.append(n)
+            n = tree[n]
+        known.update(dict.fromkeys(path, known[n] if n in known else level.get(n, len(level))))
+        return known[path[0]] if path else known[n] if n in known else level.get(n, len(level))
+
+    least = min((reached(n) for n in plain), default=len(level))
+    return [replace(b, main=heads[0].parent or 1) if least < len(level) and reached(b.parent) <= least else b for b in blocks]
 
 
 def outside_article(blocks: list[Block], doubts: int) -> set[int]:
@@ -301,7 +328,7 @@ def outside_article(blocks: list[Block], doubts: int) -> set[int]:
     for b in blocks:
         if b.doubt < doubts:
             plain = len(b.text) - b.linked
-            inside, outside = inside + plain * (b.main > 0), outside + plain * (not b.main)
+            inside, outside = inside + plain * bool(b.main), outside + plain * (not b.main)
     marked = inside >= outside or inside > HIGH
     return {k for k, b in enumerate(blocks) if marked and inside and not b.main}
 
@@ -380,13 +407,15 @@ def second_pass(blocks: list[Block], kinds: list[str]) -> list[bool]:
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The main text of a page, a line for each block; empty for null, empty and pages without any.
 
-    Where class names, forms or nested articles would leave nothing, they aren't believed.
+    Where nothing is left, the container around the headline is taken for the article; where that leaves nothing, class
+    names, forms and nested articles are no longer believed.
     """
-    blocks = around_headline(page_blocks(page)) if page else []
-    for doubts in (1, 2):
-        kept = second_pass(blocks, first_pass(blocks, stop_words, doubts))
+    blocks = page_blocks(page) if page else []
+    for wide, doubts in ((False, 1), (True, 1), (False, 2)):
+        around = around_headline(blocks, wide)
+        kept = second_pass(around, first_pass(around, stop_words, doubts))
         if any(kept):
-            return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
+            return "\n".join(b.text for b, keep in zip(around, kept) if keep)
     return ""
 
 

@@ -61,6 +61,14 @@ def test_rules_without_headline_or_article():
     assert h.second_pass(blocks, kinds) == [True, True, True, True, True, False, False]
 
 
+@pytest.mark.parametrize("page", [
+    "{nav}<h1>T</h1><p>Short.</p><p>Also short.</p>{foot}", "<body>{nav}<h1>T</h1><p>Short.</p><p>Also short.</p>{foot}", "<html><body>{nav}<div id=main><h1>T</h1><div><p>Short.</p><p>Also short.</p></div></div>{foot}",
+    "<body>{nav}<div><div><h1>T</h1></div><div><div><p>Short.</p></div><div><p>Also short.</p></div></div></div><div>other</div>{foot}", "{nav}" + "<div>" * 2000 + "<h1>T</h1><p>Short.</p><p>Also short.</p>" + "</div>" * 2000 + "{foot}",
+])
+def test_short_articles_stand_around_their_headline(page):
+    assert h.main_text(page.format(nav=PARTS["menu"], foot=PARTS["footer"])) == "T\nShort.\nAlso short."
+
+
 def test_a_language_without_stop_words_goes_by_length():
     line = "Ala makotaikotmaalę któragodrapie oraz gryzie wieczoremprzyokniebezkońca " * 4
     assert h.main_text(f"<ul><li><a href=a>menuxyz</a></ul><div><p>{line}</p><p>{line}</p></div>") == "\n".join([line.strip()] * 2)
