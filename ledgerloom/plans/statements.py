@@ -61,10 +61,10 @@ def statement_headers(v: Views):
     total, least = money(minor), money(F.floor(minor / 20))
     day = lambda n, form: F.date_format(F.date_add(d, n), form)
     mask = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
-    beside = F.concat(F.lit("HDFC Bank Credit Card No.      526873XXXXXX"), mask, F.lit("\nStatement Date        "), day(0, "dd MMM, yyyy"), F.lit("\nTOWN 211011    Billing Period    "), day(-30, "dd MMM, yyyy"), F.lit(" - "), day(-1, "dd MMM, yyyy"),
+    beside = F.concat(F.lit("HDFC Bank Credit Card No.      411122XXXXXX"), mask, F.lit("\nStatement Date        "), day(0, "dd MMM, yyyy"), F.lit("\nTOWN 100200    Billing Period    "), day(-30, "dd MMM, yyyy"), F.lit(" - "), day(-1, "dd MMM, yyyy"),
                       F.lit("\nPayment Due Date: "), day(18, "dd/MM/yyyy"), F.lit("   VISA\nTotal Amount Due Rs. "), total)
     after = F.concat(F.lit("SBI RuPay Card Number\nXXXX XXXX XXXX "), mask, F.lit("\nfor Statement Period: "), day(-30, "dd MMM yy"), F.lit(" to "), day(-1, "dd MMM yy"), F.lit("\n*Total Amount Due ( ` )\n"), total, F.lit("\n**Minimum Amount Due ( ` )\n"), least)
-    below = F.concat(F.lit("Axis Bank  Card No: 533467******"), mask, F.lit("\nTotal Payment Due      Minimum Payment Due      Payment Due Date\n"), F.rpad(total, 23, " "), F.rpad(least, 25, " "), day(18, "dd/MM/yyyy"))
+    below = F.concat(F.lit("Axis Bank  Card No: 511133******"), mask, F.lit("\nTotal Payment Due      Minimum Payment Due      Payment Due Date\n"), F.rpad(total, 23, " "), F.rpad(least, 25, " "), day(18, "dd/MM/yyyy"))
     text = F.when(k == 0, beside).when(k == 1, after).otherwise(below)
     # Split over two pages behind a cover for some.
     pages = v.table("orders").select(F.col("o_orderkey").alias("statement_id"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), F.when(F.col("o_orderkey") % 5 == 0, "cover").otherwise(text).alias("text")), F.struct(F.lit(2).alias("page_no"), F.when(F.col("o_orderkey") % 5 == 0, text).otherwise("Card No. XXXX 0000").alias("text")))).alias("p"))

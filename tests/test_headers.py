@@ -13,7 +13,7 @@ def read(spark, text):
 
 
 @pytest.mark.parametrize(("text", "mask"), [
-    ("Credit Card No.       526873XXXXXX0364", "0364"), ("Card No:    533467******9740     Name  A B", "9740"), ("Credit Card No. 4147XXXXXXXX7480)", "7480"), ("Statement for YES BANK Card Number 3561XXXXXXXX2982", "2982"),
+    ("Credit Card No.       411122XXXXXX0364", "0364"), ("Card No:    511133******9740     Name  A B", "9740"), ("Credit Card No. 4222XXXXXXXX7480)", "7480"), ("Statement for YES BANK Card Number 3444XXXXXXXX2982", "2982"),
     ("Credit Card Number\nXXXX XXXX XXXX XX03", "03"), ("Card Number: XXXX 3620", "3620"), ("nothing", None), ("", None), (None, None),
 ])
 def test_accounts(spark, text, mask):
@@ -21,17 +21,17 @@ def test_accounts(spark, text, mask):
 
 
 def test_values_beside_their_labels(spark):
-    got = read(spark, "A B HDFC Bank          Credit Card No.        526873XXXXXX0364\nStatement Date                        13 May, 2026\nCITY 211011       Billing Period      14 Apr, 2026 - 13 May, 2026\nVisa Signature\n")
+    got = read(spark, "A B HDFC Bank          Credit Card No.        411122XXXXXX0364\nStatement Date                        13 May, 2026\nTOWN 100200       Billing Period      14 Apr, 2026 - 13 May, 2026\nVisa Signature\n")
     assert (got["issuer"], got["period_start"], got["period_end"], got["statement_date"], got["network"]) == ("HDFC", dt.date(2026, 4, 14), dt.date(2026, 5, 13), dt.date(2026, 5, 13), "VISA")
-    got = read(spark, "for Statement Period: 10 Jun 26 to 09 Jul 26\n*Total Amount Due ( ` )\n3,567.00\n**Minimum Amount Due ( ` )\n200.00\n")
-    assert (got["period_start"], got["period_end"], got["total_minor"], got["minimum_minor"]) == (dt.date(2026, 6, 10), dt.date(2026, 7, 9), 356_700, 20_000)
+    got = read(spark, "for Statement Period: 10 Jun 26 to 09 Jul 26\n*Total Amount Due ( ` )\n4,321.00\n**Minimum Amount Due ( ` )\n200.00\n")
+    assert (got["period_start"], got["period_end"], got["total_minor"], got["minimum_minor"]) == (dt.date(2026, 6, 10), dt.date(2026, 7, 9), 432_100, 20_000)
     got = read(spark, "Billing from: 01/02/2026 Billing to: 28/02/2026 Mastercard")
     assert (got["period_start"], got["period_end"], got["network"]) == (dt.date(2026, 2, 1), dt.date(2026, 2, 28), "MasterCard")
 
 
 def test_values_in_the_column_below(spark):
-    got = read(spark, "Total Payment Due      Minimum Payment Due      Payment Due Date\n16,188.72              15,612.00                01/08/2026\n")
-    assert (got["total_minor"], got["minimum_minor"], got["due_date"]) == (1_618_872, 1_561_200, dt.date(2026, 8, 1))
+    got = read(spark, "Total Payment Due      Minimum Payment Due      Payment Due Date\n27,199.83              14,501.00                01/08/2026\n")
+    assert (got["total_minor"], got["minimum_minor"], got["due_date"]) == (2_719_983, 1_450_100, dt.date(2026, 8, 1))
     # A line between them, and a column that is too far off.
     got = read(spark, "Total Payment Due      Minimum Payment Due\n\n                        5.00\n")
     assert (got["total_minor"], got["minimum_minor"]) == (500, 500)
@@ -44,8 +44,8 @@ def test_values_in_the_column_below(spark):
 
 
 def test_what_is_no_value(spark):
-    assert read(spark, "STMT No.        : A26070900725\n**Minimum Amount Due ( ` )\nSTMT No.        : A26070900725\n")["minimum_minor"] is None
-    assert read(spark, "Payment Due Date: 03/08/2026          YES ONLINE\nStatement Date : 14/07/2026\n")["due_date"] == dt.date(2026, 8, 3)
+    assert read(spark, "STMT No.        : A11223344556\n**Minimum Amount Due ( ` )\nSTMT No.        : A11223344556\n")["minimum_minor"] is None
+    assert read(spark, "Payment Due Date: 03/08/2026          PAY ONLINE\nStatement Date : 14/07/2026\n")["due_date"] == dt.date(2026, 8, 3)
     assert set(read(spark, None).values()) == {None}
 
 

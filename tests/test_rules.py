@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import extraction, rules
 
-CARD = "Dear Cardholder, Rs.245.43 spent on your SBI Credit Card ending 7603 at RAZ*SWIGGY LIMITE BANGALORE on 01/07/26. Not you? Call 18001234."
-NEXT = "Dear Cardholder, Rs.1,020.00 spent on your SBI Credit Card ending 4412 at RAZ*YULU BIKES on 14/07/26. Not you? Call 18009999."
+CARD = "Dear customer, Rs.245.43 was spent on your card of First Bank ending 7603 at PAY*CORNER FOODS NORTHTOWN on 01/07/26. Not you? Call 1800 555."
+NEXT = "Dear customer, Rs.1,020.00 was spent on your card of First Bank ending 4412 at PAY*CITY BIKES on 14/07/26. Not you? Call 1800 777."
 
 
 def made(spark, field, source, value):
@@ -30,9 +30,9 @@ def test_relaxed_text(spark):
 
 
 @pytest.mark.parametrize(("field", "value", "there", "following"), [
-    ("merchant", "RAZ*SWIGGY LIMITE BANGALORE", "RAZ*SWIGGY LIMITE BANGALORE", "RAZ*YULU BIKES"), ("amount", "24543", "245.43", "1,020.00"),
+    ("merchant", "PAY*CORNER FOODS NORTHTOWN", "PAY*CORNER FOODS NORTHTOWN", "PAY*CITY BIKES"), ("amount", "24543", "245.43", "1,020.00"),
     ("event_time", "2026-07-01 00:00:00", "01/07/26", ""),  # the merchant stands before the date: it isn't the same next time
-    ("merchant", "raz*swiggy limite bangalore", "RAZ*SWIGGY LIMITE BANGALORE", "RAZ*YULU BIKES"),
+    ("merchant", "pay*corner foods northtown", "PAY*CORNER FOODS NORTHTOWN", "PAY*CITY BIKES"),
 ])
 def test_a_rule_reads_the_next_message(spark, field, value, there, following):
     r = made(spark, field, CARD, value)
@@ -42,7 +42,7 @@ def test_a_rule_reads_the_next_message(spark, field, value, there, following):
 
 
 @pytest.mark.parametrize(("field", "source", "value"), [
-    ("merchant", CARD, "ZOMATO"), ("notes", CARD, "SBI"), ("direction", CARD, "sideways"), ("currency", CARD, "not-a-code"), ("merchant", "Amazon", "Amazon"),
+    ("merchant", CARD, "ELSEWHERE"), ("notes", CARD, "First"), ("direction", CARD, "sideways"), ("currency", CARD, "not-a-code"), ("merchant", "Amazon", "Amazon"),
     ("reference_id", "Ref 123456789012", "123456789012"),  # nothing behind it tells where it ends
     ("merchant", CARD, ""), ("merchant", CARD, None), ("merchant", None, "x"), (None, CARD, "x"), ("amount", CARD, "99999"),
 ])
@@ -53,7 +53,7 @@ def test_no_rule_is_better_than_a_wrong_one(spark, field, source, value):
 def test_overrides_and_references(spark):
     assert made(spark, "direction", CARD, " Credit ").asDict() == {"pattern": None, "override": "credit"}
     assert made(spark, "currency", CARD, "usd").asDict() == {"pattern": None, "override": "USD"}
-    body = "UPI txn of Rs 500 to Zomato. Ref 123456789012 on 02/07/26."
+    body = "UPI txn of Rs 500 to Elsewhere. Ref 123456789012 on 02/07/26."
     assert capture(spark, made(spark, "reference_id", body, "123456789012").pattern, body) == "123456789012"
 
 
@@ -96,10 +96,10 @@ def test_only_the_latest_messages_count(spark):
 
 
 def test_learned_rules_are_applied(spark):
-    corrections = spark.createDataFrame([("b", "merchant", CARD, "RAZ*SWIGGY LIMITE BANGALORE"), ("b", "merchant", NEXT, "RAZ*YULU BIKES"), ("b", "amount", CARD, "24543"), ("c", "amount", CARD, "760300"), (None, "amount", CARD, "24543")], "bank string, field string, source string, value string")
+    corrections = spark.createDataFrame([("b", "merchant", CARD, "PAY*CORNER FOODS NORTHTOWN"), ("b", "merchant", NEXT, "PAY*CITY BIKES"), ("b", "amount", CARD, "24543"), ("c", "amount", CARD, "760300"), (None, "amount", CARD, "24543")], "bank string, field string, source string, value string")
     settled = spark.createDataFrame([("m", "c", "amount", CARD, "24543", 1)], "msg_id string, bank string, field string, source string, value string, at long")
     learned = rules.learn_rules(corrections, settled)
     assert sorted((r.bank, r.field, r.successes) for r in learned.collect()) == [("b", "amount", 1), ("b", "merchant", 2)]
-    body = "Dear Cardholder, Rs.9.00 spent on your SBI Credit Card ending 1 at CAFE on 03/08/26. Not you? Call 18001234."
+    body = "Dear customer, Rs.9.00 was spent on your card of First Bank ending 1 at CAFE on 03/08/26. Not you? Call 1800 555."
     messages = spark.createDataFrame([("x", "b", body, None)], "msg_id string, bank string, body string, template string")
     assert sorted((r.field, r.value) for r in extraction.learned(messages, learned).collect()) == [("amount", "9.00"), ("merchant", "CAFE")]
