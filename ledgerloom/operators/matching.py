@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,27 +145,81 @@ def merged(rows: DataFrame, gain: float = 0.15) -> DataFrame:
         F.when((mix == "email_only") & F.max(statement), "merged").when((mix == "statement_only") & F.max(email), "merged").otherwise(mix).alias("source_mix"))
 
 
+#: Letters from the rarest to the most frequent; other characters count as rarer.
+_OFTEN = "zqxjkvbpygfwmucldrhsnioate "
+#: A text meets others under so many keys of a length at most.
+KEYS_OF_A_LENGTH = 64
+
+
 def _letters(text: Column) -> Column:
-    """The characters of a text, each with its number among its like: sets of them share what the texts share."""
+    """The characters of a text, each with its number among its like: sets of them share what the texts share. Rare ones come first, in one order for all texts."""
     chars = F.split(text, "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
+    numbered = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c))).alias("n"), F.position(c, F.lit(_OFTEN)).alias("often"), c.alias("c")))
+    return F.transform(F.array_sort(numbered), lambda t: F.concat(t["c"], t["n"].cast("string")))
+
+
+def _taken(left_out: int) -> int:
+    """The most characters of a key, for ``left_out`` that can be missing, with no more than ``KEYS_OF_A_LENGTH`` keys."""
+    k = 1
+    while math.comb(left_out + k + 1, k + 1) <= KEYS_OF_A_LENGTH and k < 10_000:
+        k += 1
+    return k
+
+
+def _keyed(texts: DataFrame, sizes: DataFrame, jaro: float) -> DataFrame:
+    """``texts`` (_low, _letters, _own) once for each key under which they meet texts of the length ``_other``.
+
+    Texts of lengths a and b need m = (3 jaro - 1) a b / (a + b) characters in common. Then of the a - m + k rarest ones of
+    the first and the b - m + k rarest ones of the second at least k are the same: the keys are all choices of k of them.
+    """
+    least = max(0.0, 3 * jaro - 2)
+    a, b = F.col("_own"), F.col("_other")
+    near = F.filter(F.col("_sizes"), lambda n: (n >= a * least - 1e-4) & (n * least <= a + 1e-4))
+    spread = texts.crossJoin(F.broadcast(sizes.agg(F.collect_set("_own").alias("_sizes")))).select("*", F.explode(near).alias("_other"))  # the few lengths of the other side
+    need = F.greatest(F.ceil((3 * jaro - 1 - 1e-4) * a * b / (a + b)), F.lit(1)).cast("int")
+    most = F.greatest(a, b) - F.col("_need")
+    few = [_taken(n) for n in range(KEYS_OF_A_LENGTH)]  # one character, if more are missing
+    take = F.least(F.col("_need"), F.coalesce(F.get(F.array(*map(F.lit, few)), most), F.lit(1)))
+    rows = spread.withColumn("_need", need).filter(F.col("_need") <= F.least(a, b)).withColumn("_skip", a - F.col("_need")).withColumn("_take", take)
+    begun = F.array(F.struct(F.lit(0).alias("taken"), F.lit(0).alias("skipped"), F.lit("").alias("key")))
+
+    def longer(keys: Column, letter: Column) -> Column:
+        with_it = F.transform(F.filter(keys, lambda k: k["taken"] < F.col("_take")), lambda k: F.struct((k["taken"] + 1).alias("taken"), k["skipped"].alias("skipped"), F.concat(k["key"], letter).alias("key")))
+        return F.concat(with_it, F.transform(F.filter(keys, lambda k: k["skipped"] < F.col("_skip")), lambda k: F.struct(k["taken"].alias("taken"), (k["skipped"] + 1).alias("skipped"), k["key"].alias("key"))))
+
+    made = F.aggregate(F.slice("_letters", 1, F.col("_skip") + F.col("_take")), begun, longer)  # all have taken and skipped as many
+    return rows.select("_low", "_own", "_other", F.explode(F.array_distinct(F.transform(made, lambda k: F.xxhash64(k["key"])))).alias("_key"))
+
+
+def close_pairs(texts: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(_low, _name): at least the pairs of distinct ``_low`` of both sides with a Jaro-Winkler similarity at or over the threshold.
+
+    With m common characters and t transpositions Jaro is (m/a + m/b + (m - t)/m) / 3, and the first four characters add at
+    most 0.4 of what is missing to 1. Pairs meet by keys of their common characters, and stay if their edits leave the threshold possible: t transpositions, if any, are 2 t + 1 substitutions at most.
+    """
+    jaro = (threshold - 0.4) / 0.6
+    sized = lambda rows: rows.select("_low").distinct().filter(F.length("_low") > 0).withColumn("_letters", _letters(F.col("_low"))).withColumn("_own", F.length("_low"))
+    left, right = sized(texts), sized(names)
+    met = _keyed(left, right.select("_own").distinct(), jaro).join(
+        _keyed(right, left.select("_own").distinct(), jaro).select(F.col("_low").alias("_name"), F.col("_own").alias("_other"), F.col("_other").alias("_own"), "_key"), ["_own", "_other", "_key"])
+    a, b = F.col("_own"), F.col("_other")
+    m, need = F.least(a, b), F.greatest(F.ceil((3 * jaro - 1 - 1e-4) * a * b / (a + b)), F.lit(1))
+    swaps = F.floor(m * (m / a + m / b + 1 - 3 * jaro + 1e-4))
+    edits = a + b - 2 * need + F.when(swaps > 0, 2 * swaps + 1).otherwise(0)
+    return met.filter(F.levenshtein("_low", "_name") <= edits).select("_low", "_name").distinct()
 
 
 def fuzzy_merchants(raw: DataFrame, merchants: DataFrame, threshold: float = 0.92) -> DataFrame:
     """raw, the best merchant by Jaro-Winkler at or over the threshold (ties: the least name), and the score.
 
-    Blocked without loss: with m common characters Jaro is at most (m/|a| + m/|b| + 1) / 3, and the first four
-    characters add at most 0.4 of what is missing to 1. For a score s the shorter length is therefore at least
-    3 (s - 0.4) / 0.6 - 2 of the longer one, and the join is on the lengths that this leaves; of the pairs only those go
-    to Python that have so many characters in common.
+    A text that is a name but for its case is settled by that: no other name has its score. The others are compared with
+    the names that ``close_pairs`` leaves possible, each pair of lower-case texts once.
     """
-    jaro = (threshold - 0.4) / 0.6
-    least = max(0.0, 3 * jaro - 2)
-    names = merchants.select("name").distinct().withColumn("_size", F.length("name")).withColumn("_b", _letters(F.lower("name")))
-    texts = raw.select("raw").distinct().filter(F.length("raw") > 0).withColumn("_a", _letters(F.lower("raw")))
-    sizes = F.explode(F.sequence(F.ceil(F.length("raw") * least).cast("int"), F.floor(F.length("raw") / max(least, 0.1)).cast("int"))).alias("_size")
-    pairs = texts.select("raw", "_a", sizes).join(names, "_size")
-    common = F.size(F.array_intersect("_a", "_b"))
-    pairs = pairs.filter(common / F.size("_a") + common / F.size("_b") + 1 >= 3 * jaro - 1e-6).select("raw", "name")
-    good = pairs.withColumn("score", F.round(jaro_winkler(F.lower("raw"), F.lower("name")), 6)).filter(F.col("score") >= threshold)
-    return good.groupBy("raw").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("name"))).alias("m")).select("raw", "m.name", "m.score")
+    texts = raw.select("raw").distinct().filter(F.length("raw") > 0).withColumn("_low", F.lower("raw"))
+    names = merchants.filter("name IS NOT NULL").groupBy(F.lower("name").alias("_low")).agg(F.min("name").alias("name"))
+    short = F.length("_low") < 100_000  # of longer texts, one swap is less than a score's last digit
+    same = texts.filter(short).join(names, "_low").select("raw", "name", F.lit(1.0).alias("score"))
+    rest = texts.join(names.filter(short).select("_low"), "_low", "left_anti")
+    pairs = close_pairs(rest, names, threshold).withColumn("score", F.round(jaro_winkler("_low", "_name"), 6)).filter(F.col("score") >= threshold)
+    named = pairs.join(names.withColumnRenamed("_low", "_name"), "_name").groupBy("_low").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("name"))).alias("m"))
+    return rest.join(named, "_low").select("raw", "m.name", "m.score").unionByName(same)
