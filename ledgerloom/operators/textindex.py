@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.tables import tokens
+from ledgerloom.session import shared_path
 
 #: Postings of a file, on average.
 FILE_POSTINGS = 20_000_000
@@ -57,18 +58,38 @@ def phrase_keys(spark: SparkSession, path: str, phrase: str) -> DataFrame:
     return every.groupBy("_key", "_column", "_begin").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(words)).select("_key").distinct()
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """A small table of phrases, written so that its size is known to the joins."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def search_phrases(spark: SparkSession, path: str, phrases: DataFrame, *, phrase_id: str = "phrase_id", phrase: str = "phrase") -> DataFrame:
-    """(``phrase_id``, _key) for a table of phrases; phrases without a word have no rows. Ids that repeat are one phrase each time."""
+    """(``phrase_id``, _key) for a table of phrases; phrases without a word have no rows. Ids that repeat are one phrase each time.
+
+    A phrase begins only where its rarest word stands: the other words are looked up at the places that this leaves, and a
+    place that many phrases ask for goes to them once.
+    """
     found, known = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/tokens")
     listed = phrases.select(F.col(phrase_id).alias("_id"), tokens(F.col(phrase)).alias("_ws")).filter(F.size("_ws") > 0).distinct().withColumn("_p", F.xxhash64("_id", "_ws"))
-    words = listed.select("_id", "_p", F.size("_ws").alias("_k"), F.posexplode("_ws").alias("_i", "_word"))
-    whole = words.filter(F.col("_i") < F.col("_k") - 1).select("_id", "_p", "_k", "_i", F.col("_word").alias("_token"))
-    lasts = words.filter(F.col("_i") == F.col("_k") - 1)
+    words = listed.select("_id", "_p", F.size("_ws").alias("_k"), F.posexplode("_ws").alias("_i", "_word")).withColumn("_open", F.col("_i") == F.col("_k") - 1)
+    asked = words.select("_word", "_open").distinct()
+    lasts = asked.filter("_open")
     sizes = lasts.select(F.length("_word").alias("_size")).distinct()
     # Each token by its beginnings of the lengths that are asked for: an equality join with the last words.
     longest = lasts.agg(F.coalesce(F.max(F.length("_word")), F.lit(0))).first()[0]
-    cut = known.select("_token", F.explode(F.sequence(F.lit(1), F.least(F.length("_token"), F.lit(max(1, longest))))).alias("_size")).join(sizes, "_size", "left_semi")
-    begun = cut.withColumn("_word", F.expr("left(_token, _size)")).select("_token", "_word")
-    every = whole.unionByName(lasts.join(begun, "_word").select("_id", "_p", "_k", "_i", "_token"))
-    places = found.join(every, "_token").groupBy("_id", "_p", "_k", "_key", "_column", (F.col("_at") - F.col("_i")).alias("_begin")).agg(F.count("*").alias("_n"))
-    return places.filter("_n = _k").select(F.col("_id").alias(phrase_id), "_key").distinct()
+    cut = known.select("_token", "_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_token"), F.lit(max(1, longest))))).alias("_size")).join(sizes, "_size", "left_semi")
+    begun = cut.withColumn("_word", F.expr("left(_token, _size)")).select("_token", "_n", "_word")
+    whole = asked.filter("NOT _open").join(known.withColumn("_word", F.col("_token")), "_word")
+    read = _written(whole.select("_word", "_open", "_token", "_n").unionByName(lasts.join(begun, "_word").select("_word", "_open", "_token", "_n")), "asked")
+    often = read.groupBy("_word", "_open").agg(F.sum("_n").alias("_often"))
+    ordered = words.join(often, ["_word", "_open"], "left").groupBy("_id", "_p", "_k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_i", "_word", "_open"))).alias("_ws"))
+    ordered = _written(ordered, "phrases")
+    rarest = ordered.select("_id", "_p", "_k", F.get("_ws", F.lit(0)).alias("w")).select("_id", "_p", "_k", "w._i", "w._word", "w._open")
+    others = ordered.select(F.col("_id").alias("_id2"), F.col("_p").alias("_p2"), F.explode(F.slice("_ws", 2, F.greatest(F.col("_k") - 1, F.lit(1)))).alias("w")).select("_id2", "_p2", "w._i", "w._word", "w._open")
+    places = found.join(read.drop("_n"), "_token").select("_word", "_open", "_key", "_column", "_at")
+    starts = places.join(rarest, ["_word", "_open"]).select("_id", "_p", "_k", "_key", "_column", (F.col("_at") - F.col("_i")).alias("_begin"))
+    needed = starts.join(others, (F.col("_p") == F.col("_p2")) & F.col("_id").eqNullSafe(F.col("_id2"))).withColumn("_at", F.col("_begin") + F.col("_i"))
+    met = needed.join(places, ["_word", "_open", "_key", "_column", "_at"], "left_semi").groupBy("_id", "_p", "_k", "_key", "_column", "_begin").agg(F.size(F.collect_set("_i")).alias("_n")).filter("_n = _k - 1")
+    return starts.filter("_k = 1").select("_id", "_key").unionByName(met.select("_id", "_key")).select(F.col("_id").alias(phrase_id), "_key").distinct()

@@ -43,3 +43,20 @@ def test_a_search_reads_its_range_only(spark, tmp_path, monkeypatch):
 def test_an_index_of_no_rows(spark, tmp_path):
     textindex.write_index(rows_of(spark).limit(0), str(tmp_path / "i"), key="id", columns=["name"])
     assert textindex.phrase_keys(spark, str(tmp_path / "i"), "a").count() == 0
+
+
+def test_a_common_last_word_is_no_row_for_each_phrase(spark, tmp_path):
+    path = str(tmp_path / "index")
+    texts = spark.range(400).select("id", F.concat(F.lit("word" + " common" * 50 + " rare"), "id", F.lit(" common")).alias("text"))
+    textindex.write_index(texts, path, key="id", columns=["text"])
+    asked = spark.range(40).select(F.col("id").alias("phrase_id"), F.concat(F.lit("rare"), "id", F.lit(" co")).alias("phrase"))
+    found = textindex.search_phrases(spark, path, asked)
+    assert sorted((r.phrase_id, r._key) for r in found.collect()) == [(n, n) for n in range(40)]
+    rows, nodes = 0, [found._jdf.queryExecution().executedPlan()]
+    while nodes:  # of all joins of the plan, the most rows that one made
+        node = nodes.pop()
+        children = [node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        nodes += children
+        if "Join" in node.nodeName():
+            rows = max(rows, node.metrics().apply("numOutputRows").value())
+    assert rows <= 2 * 400 * 52  # the places themselves, not those of each phrase
