@@ -174,8 +174,8 @@ def _keyed(texts: DataFrame, sizes: DataFrame, jaro: float) -> DataFrame:
     """
     least = max(0.0, 3 * jaro - 2)
     a, b = F.col("_own"), F.col("_other")
-    near = F.filter(F.col("_sizes"), lambda n: (n >= a * least - 1e-4) & (n * least <= a + 1e-4))
-    spread = texts.crossJoin(F.broadcast(sizes.agg(F.collect_set("_own").alias("_sizes")))).select("*", F.explode(near).alias("_other"))  # the few lengths of the other side
+    near = F.sequence(F.greatest(F.ceil(a * least - 1e-4), F.lit(1)).cast("int"), F.floor(a / max(least, 0.1) + 1e-4).cast("int"))
+    spread = texts.select("*", F.explode(near).alias("_other")).join(sizes.withColumnRenamed("_own", "_other"), "_other", "left_semi")
     need = F.greatest(F.ceil((3 * jaro - 1 - 1e-4) * a * b / (a + b)), F.lit(1)).cast("int")
     most = F.greatest(a, b) - F.col("_need")
     few = [_taken(n) for n in range(KEYS_OF_A_LENGTH)]  # one character, if more are missing
