@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ CREDIT_VERBS = ["credited", "received", "refunded", "deposited"]
 VERB = f"(?i)({'|'.join([*DEBIT_VERBS, *CREDIT_VERBS])})"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def group(text: Column, pattern: str, index: int = 1) -> Column:
     """A group of the first match, null without a match; the match is made once."""
     return F.get(F.filter(F.array(F.regexp_extract(text, pattern, index)), lambda s: s != ""), F.lit(0))
@@ -27,8 +34,7 @@ def group(text: Column, pattern: str, index: int = 1) -> Column:
 def amount_minor(text: Column) -> Column:
     """Digits and points of an amount as minor units, half away from zero; null over 1e15 or if it is none."""
     digits = F.rtrim(F.regexp_replace(text, "[^0-9.]", ""), F.lit("."))
-    value = F.round(digits.try_cast("double") * 100)
-    return F.when(value <= 1e15, value.cast("long"))
+    return bound(F.round(digits.try_cast("double") * 100), lambda value: F.when(value <= 1e15, value.cast("long")))
 
 
 def parse_amount(text: Column) -> Column:
@@ -42,7 +48,7 @@ def parse_date(text: Column, formats: list[str]) -> Column:
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     """A date of whole numbers, null for none; years of two digits are 1969 to 2068."""
-    whole = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    whole = bound(year, lambda y: F.when(y < 69, y + 2000).when(y < 100, y + 1900).otherwise(y))
     return F.try_make_timestamp(whole, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
@@ -51,11 +57,8 @@ _MONTHS = "january february march april may june july august september october n
 
 def month_number(name: Column, long: bool = False) -> Column:
     """The month of an English name, of three letters or (``long``) whole; null for another text."""
-    low, out = F.lower(name), None
-    for k, month in enumerate(_MONTHS, 1):
-        fits = low.isin(month, month[:3]) if long else low == month[:3]
-        out = F.when(fits, k) if out is None else out.when(fits, k)
-    return out
+    named = {n: k for k, month in enumerate(_MONTHS, 1) for n in ({month, month[:3]} if long else {month[:3]})}
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in named.items() for v in pair)), F.lower(name))
 
 
 def parts(text: Column, pattern: str, count: int) -> Column:
@@ -92,9 +95,12 @@ def currency_code(mark: Column) -> Column:
 
 def mask_digits(text: Column) -> Column:
     """Digits behind the last mask character, else the last four digits; addresses with an @ stay."""
-    behind = F.regexp_extract(text, r"[Xx*]([^Xx*]*)$", 1)
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.when(text.contains("@"), text).when(text.rlike("[Xx*]"), F.regexp_replace(behind, "[^0-9]", "")).otherwise(F.right(digits, F.lit(4)))
+
+    def digits(t: Column) -> Column:
+        behind = F.regexp_extract(t, r"[Xx*]([^Xx*]*)$", 1)
+        return F.when(t.contains("@"), t).when(t.rlike("[Xx*]"), F.regexp_replace(behind, "[^0-9]", "")).otherwise(F.right(F.regexp_replace(t, "[^0-9]", ""), F.lit(4)))
+
+    return bound(text, digits)
 
 
 def html_text(html: Column) -> Column:

@@ -7,11 +7,12 @@ layout of their text. All is column expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as x
-from ledgerloom.functions.classify import bound
 from ledgerloom.operators.statements import statement_date
 
 #: A value begins at most so many characters beside its label's beginning, on one of so many lines below.
@@ -32,6 +33,9 @@ LEAST = r"\*{0,2}min(?:imum)?\s+(?:amount\s+|payment\s+)?due"
 TOTAL = r"\*{0,2}(?:total\s+(?:amount|payment)\s+due|outstanding\s+balance|current\s+balance|closing\s+balance|amount\s+payable)"
 ACCOUNT = [r"card\s+(?:ending|number|no\.?)", r"a/c\s+(?:no\.?|number|ending)", r"account\s+(?:no\.?|number|ending)"]
 NETWORKS = [("VISA", r"\bvisa\b"), ("MasterCard", r"\bmaster\s?card\b"), ("RuPay", r"\brupay\b"), ("AMEX", r"\b(?:amex|american express)\b")]
+# Of each label the words, in lower case, that stand wherever it does; any of the lists will do.
+PERIOD_WORDS, PRINTED_WORDS, LEAST_WORDS = [["period"]], [["statement", "date"]], [["min", "due"]]
+DUE_WORDS, TOTAL_WORDS, ACCOUNT_WORDS = [["due", "date"], ["pay", "by"]], [["total", "due"], ["balance"], ["payable"]], [[["card"]], [["a/c"]], [["account"]]]
 
 _DAY, _SHORT_YEAR = r"[0-9]{1,2}", r"[0-9]{2,4}"
 DATE = rf"(?:{_DAY}[-/.]{_DAY}[-/.]{_SHORT_YEAR}|{_DAY}[\s/-][A-Za-z]{{3}}[\s/-]?,?\s?{_SHORT_YEAR})"
@@ -41,36 +45,41 @@ CURRENCY = r"(?:\(\s*[`₹]?\s*\)|INR|Rs\.?|[`₹])?"
 MASKED = r"([0-9Xx*][0-9Xx*\s-]{3,24}[0-9])"
 
 
-def _first(text: Column, patterns: list[str]) -> Column:
-    """The first group of the first pattern that is found."""
-    return F.coalesce(*(x.group(text, f"(?i){p}") for p in patterns))
+def _has(low: Column, words: list[list[str]]) -> Column:
+    """Whether the words of one of the lists are all in a text of lower case; a search for them is far cheaper than for a pattern."""
+    return reduce(Column.__or__, (reduce(Column.__and__, (low.contains(w) for w in ws)) for ws in words))
+
+
+def _first(text: Column, low: Column, patterns: list[tuple[str, list[list[str]]]]) -> Column:
+    """The first group of the first pattern that is found; each comes with the words without which it can't be."""
+    return F.coalesce(*(F.when(_has(low, words), x.group(text, f"(?i){p}")) for p, words in patterns))
 
 
-def _columns(line: Column, value: str) -> Column:
-    """array of struct(distance-free column, text) of the values on a line."""
-    found = F.struct(F.regexp_extract_all(line, F.lit(f"(?i)({value})"), 1).alias("v"), F.split(line, f"(?i){value}").alias("gaps"))
+def _nearest(line: Column, value: str, column: Column) -> Column:
+    """The value on a line that begins nearest to a column, the left of two as near; null if none is within reach."""
 
-    def placed(f: Column) -> Column:
-        before = lambda k: F.aggregate(F.slice(f["gaps"], 1, k + 1), F.lit(0), lambda n, s: n + F.length(s)) + F.aggregate(F.slice(f["v"], 1, k), F.lit(0), lambda n, s: n + F.length(s))
-        return F.transform(f["v"], lambda v, k: F.struct(before(k).alias("column"), v.alias("text")))
+    def closer(best: Column, piece: Column) -> Column:
+        at = best["end"] + F.length(piece["gap"])
+        off = F.abs(at - column)
+        taken = piece["v"].isNotNull() & (off < best["off"])
+        return F.struct((at + F.coalesce(F.length(piece["v"]), F.lit(0))).alias("end"), F.when(taken, off).otherwise(best["off"]).alias("off"), F.when(taken, piece["v"]).otherwise(best["text"]).alias("text"))
 
-    return bound(found, placed)
+    pieces = F.zip_with(F.split(line, f"(?i){value}"), F.regexp_extract_all(line, F.lit(f"(?i)({value})"), 1), lambda gap, v: F.struct(gap.alias("gap"), v.alias("v")))
+    none = F.struct(F.lit(0).alias("end"), F.lit(REACH + 1).alias("off"), F.lit(None).cast("string").alias("text"))
+    return F.aggregate(pieces, none, closer, lambda best: best["text"])
 
 
 def below_label(lines: Column, label: str, value: str) -> Column:
     """The value below the first label that has none beside it and one below; ``lines`` is an array of lines."""
 
     def under(line: Column, k: Column) -> Column:
-        start = F.regexp_instr(line, F.lit(f"(?i){label}"))
-        rest = F.substring(line, start + F.length(F.regexp_extract(line, f"(?i){label}", 0)), F.length(line))
-        asked = (start > 0) & ~rest.rlike(f"(?i){value}")
+        def beneath(start: Column) -> Column:
+            rest = F.substring(line, start + F.length(F.regexp_extract(line, f"(?i){label}", 0)), F.length(line))
 
-        def nearest(below: Column) -> Column:
-            near = F.transform(_columns(below, value), lambda v: F.struct(F.abs(v["column"] - (start - 1)).alias("off"), v["column"].alias("column"), v["text"].alias("text")))
-            return F.array_min(F.filter(near, lambda v: v["off"] <= REACH))["text"]
+            nexts = (F.get(lines, k + n) for n in range(1, LINES_BELOW + 1))
+            return F.when((start > 0) & ~rest.rlike(f"(?i){value}"), F.coalesce(*(F.when(n.isNotNull(), _nearest(n, value, start - 1)) for n in nexts)))
 
-        nexts = (F.get(lines, k + n) for n in range(1, LINES_BELOW + 1))
-        return F.when(asked, F.coalesce(*(F.when(n.isNotNull(), nearest(n)) for n in nexts)))
+        return x.bound(F.regexp_instr(line, F.lit(f"(?i){label}")), beneath)
 
     return F.get(F.filter(F.transform(lines, under), lambda v: v.isNotNull()), F.lit(0))
 
@@ -79,25 +88,25 @@ def header(text: Column) -> Column:
     """struct of issuer, period_start, period_end, statement_date, due_date, minimum_minor, total_minor, mask, network; null where not said."""
 
     def read(t: Column) -> Column:
-        whole, lines = t["text"], t["lines"]
-        beside = lambda label, value: rf"{label}\s*:?\s+({value})"
-        date = lambda label, *more: statement_date(F.coalesce(_first(whole, [beside(label, DATE), *more]), below_label(lines, label, DATE)))
-        amount = lambda label: x.amount_minor(F.coalesce(_first(whole, [rf"{label}\s*{CURRENCY}\s*:?\s*{CURRENCY}\s*({AMOUNT})"]), below_label(lines, label, AMOUNT)))
-        plain = lambda word: [rf"billing\s+{word}[:\s]+({NUMBERS})", rf"{word}\s+date[:\s]+({NUMBERS})", rf"period\s+{word}[:\s]+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})"]
-        low = F.lower(whole)
+        whole, low, lines = t["text"], t["low"], t["lines"]
+        below = lambda label, words, value: F.when(_has(low, words), below_label(lines, label, value))
+        beside = lambda label, words: (rf"{label}\s*:?\s+({DATE})", words)
+        date = lambda label, words, *more: statement_date(F.coalesce(_first(whole, low, [beside(label, words), *more]), below(label, words, DATE)))
+        amount = lambda label, words: x.amount_minor(F.coalesce(_first(whole, low, [(rf"{label}\s*{CURRENCY}\s*:?\s*{CURRENCY}\s*({AMOUNT})", words)]), below(label, words, AMOUNT)))
+        plain = lambda word: [(rf"billing\s+{word}[:\s]+({NUMBERS})", [["billing", word]]), (rf"{word}\s+date[:\s]+({NUMBERS})", [[word, "date"]]), (rf"period\s+{word}[:\s]+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})", [["period", word]])]
         issuer = network = None
         for name, of in ISSUERS:
             issuer = F.when(low.contains(name), of) if issuer is None else issuer.when(low.contains(name), of)
         for name, pattern in NETWORKS:
             network = F.when(low.rlike(pattern), name) if network is None else network.when(low.rlike(pattern), name)
-        account = _first(whole, [*(rf"{label}\s*:?\s*{MASKED}" for label in ACCOUNT), r"([Xx*]{2,}[0-9Xx*\s-]*[0-9]{2,4})\b"])
+        account = F.coalesce(_first(whole, low, [(rf"{label}\s*:?\s*{MASKED}", words) for label, words in zip(ACCOUNT, ACCOUNT_WORDS)]), x.group(whole, r"(?i)([Xx*]{2,}[0-9Xx*\s-]*[0-9]{2,4})\b"))
+        ends = (rf"{PERIOD}\s*:?\s+{DATE}\s*(?:-|–|—|to)\s*({DATE})", PERIOD_WORDS)
         return F.struct(
-            issuer.alias("issuer"), date(PERIOD, *plain("from")).alias("period_start"),
-            statement_date(_first(whole, [rf"{PERIOD}\s*:?\s+{DATE}\s*(?:-|–|—|to)\s*({DATE})", *plain("to")])).alias("period_end"),
-            date(PRINTED).alias("statement_date"), date(DUE).alias("due_date"), amount(LEAST).alias("minimum_minor"), amount(TOTAL).alias("total_minor"),
-            F.nullif(x.mask_digits(account), F.lit("")).alias("mask"), network.alias("network"))
+            issuer.alias("issuer"), date(PERIOD, PERIOD_WORDS, *plain("from")).alias("period_start"), statement_date(_first(whole, low, [ends, *plain("to")])).alias("period_end"),
+            date(PRINTED, PRINTED_WORDS).alias("statement_date"), date(DUE, DUE_WORDS).alias("due_date"), amount(LEAST, LEAST_WORDS).alias("minimum_minor"), amount(TOTAL, TOTAL_WORDS).alias("total_minor"),
+            x.bound(x.mask_digits(account), lambda m: F.nullif(m, F.lit(""))).alias("mask"), network.alias("network"))
 
-    return bound(F.struct(text.alias("text"), F.split(text, r"\r?\n").alias("lines")), read)
+    return x.bound(F.struct(text.alias("text"), F.lower(text).alias("low"), F.split(text, r"\r?\n").alias("lines")), read)
 
 
 def statement_headers(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as x
-from ledgerloom.functions.classify import bound
 
 # A word in the issuer's name, the kind of instrument (null: any), the grammar; the first that fits counts.
 ISSUERS = [
@@ -48,20 +47,28 @@ EXCLUDED_WHOLE = ["", "date", "description", "amount", "dr", "cr"]
 _DATE_NUMBERS = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{2}|[0-9]{4})$"
 _DATE_NAMED = r"^([0-9]{1,2})(?:([ /-])([A-Za-z]{3})\2|\s([A-Za-z]{3}),\s)([0-9]{4}|[0-9]{2})$"
 _DATE_ISO = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
+#: The same shapes, but for years of four digits that begin with a zero.
+_YEAR = "([1-9][0-9]{3}|[0-9]{2})$"
+_NUMBERS_PLAIN, _NAMED_PLAIN = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2" + _YEAR, r"^([0-9]{1,2})(?:([ /-])([A-Za-z]{3})\2|\s([A-Za-z]{3}),\s)" + _YEAR
 _ALONE = r"^\s*(?:[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}|[0-9]{2}-[A-Za-z]{3}-[0-9]{4})"
 
 
 def statement_date(text: Column) -> Column:
     """A date of any of the shapes; months in any case; years of two digits are 1969 to 2068."""
-    return bound(F.trim(text), _read_date)
+    return x.bound(F.trim(text), _read_date)
 
 
 def _read_date(t: Column) -> Column:
     whole = lambda p, k: F.get(p, F.lit(k)).try_cast("int")
     name = lambda p: x.month_number(F.concat(F.get(p, F.lit(2)), F.get(p, F.lit(3))))
-    return (F.when(t.rlike(_DATE_NUMBERS), bound(x.parts(t, _DATE_NUMBERS, 4), lambda p: x.calendar_date(whole(p, 3), whole(p, 2), whole(p, 0))))
-            .when(t.rlike(_DATE_NAMED), bound(x.parts(t, _DATE_NAMED, 5), lambda p: x.calendar_date(whole(p, 4), name(p), whole(p, 0))))
-            .when(t.rlike(_DATE_ISO), bound(x.parts(t, _DATE_ISO, 3), lambda p: x.calendar_date(whole(p, 0), whole(p, 1), whole(p, 2)))))
+    # Nearly all dates are of these shapes, which a cast reads from year, month and day.
+    short = F.right(t, F.lit(2))
+    year = F.when(t.rlike("[0-9]{4}$"), F.right(t, F.lit(4))).otherwise(F.concat(F.when(short < "69", "20").otherwise("19"), short))
+    plain = lambda month: F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"), F.regexp_extract(t, "^[0-9]{1,2}", 0)).try_cast("date")
+    return (F.when(t.rlike(_NUMBERS_PLAIN), plain(F.regexp_replace(t, _NUMBERS_PLAIN, "$3"))).when(t.rlike(_NAMED_PLAIN), plain(x.month_number(F.regexp_replace(t, _NAMED_PLAIN, "$3$4"))))
+            .when(t.rlike(_DATE_NUMBERS), x.bound(x.parts(t, _DATE_NUMBERS, 4), lambda p: x.calendar_date(whole(p, 3), whole(p, 2), whole(p, 0))))
+            .when(t.rlike(_DATE_NAMED), x.bound(x.parts(t, _DATE_NAMED, 5), lambda p: x.calendar_date(whole(p, 4), name(p), whole(p, 0))))
+            .when(t.rlike(_DATE_ISO), x.bound(x.parts(t, _DATE_ISO, 3), lambda p: x.calendar_date(whole(p, 0), whole(p, 1), whole(p, 2)))))
 
 
 def _month_first(day: Column) -> Column:
@@ -72,7 +79,7 @@ def _month_first(day: Column) -> Column:
 def excluded(description: Column) -> Column:
     """Balances, totals, limits, points and headings."""
     words = F.trim(F.regexp_replace(F.lower(description), r"[^\p{L}\p{N}]+", " "))
-    return bound(words, lambda w: reduce(Column.__or__, (w.contains(text) for text in EXCLUDED), w.isin(*EXCLUDED_WHOLE)))
+    return x.bound(words, lambda w: reduce(Column.__or__, (w.contains(text) for text in EXCLUDED), w.isin(*EXCLUDED_WHOLE)))
 
 
 def reference(text: Column) -> Column:
@@ -116,7 +123,7 @@ def _by_grammar(line: Column) -> Column:
     for name, cells in GRAMMARS.items():
         pattern = "^" + "".join(f"{gap}({what})" if cell else f"{gap}(?:{what})" for cell, what, gap in cells) + r"\s*$"
         read = [cell for cell, _, _ in cells if cell]
-        found = bound(x.parts(line, pattern, len(read)), _cells({c: k for k, c in enumerate(read)}))
+        found = x.bound(x.parts(line, pattern, len(read)), _cells({c: k for k, c in enumerate(read)}))
         out = F.when(F.col("grammar") == name, found) if out is None else out.when(F.col("grammar") == name, found)
     return out
 
@@ -152,9 +159,9 @@ def _universal_cells(line: Column) -> Column:
             fields = {"day": F.get(head, F.lit(0)), "text": F.regexp_replace(before, SIGN + CURRENCY, ""), "sign": F.regexp_extract(before, SIGN + CURRENCY, 1), "amount": F.get(tail, F.lit(1)), "mark": F.get(tail, F.lit(2))}
             return F.when(tail.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))
 
-        return bound(x.parts(F.get(head, F.lit(1)), PRICED, 3), described)
+        return x.bound(x.parts(F.get(head, F.lit(1)), PRICED, 3), described)
 
-    return bound(x.parts(line, DATED, 2), priced)
+    return x.bound(x.parts(line, DATED, 2), priced)
 
 
 def _universal(rows: DataFrame) -> DataFrame:

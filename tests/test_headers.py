@@ -53,3 +53,16 @@ def test_pages(spark):
     rows = [("a", 2, "Card No. XXXX 1111"), ("a", 1, "Statement of the month, Card No. XXXX 2222"), ("b", 1, "cover"), ("b", 2, "Card No. XXXX 3333"), ("c", 1, None)]
     got = {r.statement_id: r.mask for r in headers.statement_headers(spark.createDataFrame(rows, "statement_id string, page_no int, text string")).collect()}
     assert got == {"a": "2222", "b": "3333", "c": None}
+
+
+def test_each_pattern_stands_once(spark):
+    text = spark.createDataFrame([("",)], "t string").select(headers.header(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count(headers.MASKED) == len(headers.ACCOUNT)  # one for each label, however often the account is used
+    assert text.count(headers.TOTAL + r"\s*") == 1
+
+
+def test_dates_of_all_shapes(spark):
+    rows = ["1/2/2026", "01-02-26", "1.2.69", "1 Feb 2026", "01-FEB-26", "1 feb, 2026", "1/Feb/68", "2026-2-1", "01/02/0026", "31/02/2026", "1 Fob 2026", "1/2-2026", "", None]
+    day = dt.date(2026, 2, 1)
+    got = [r.d for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").select("k", headers.statement_date(F.col("t")).alias("d")).orderBy("k").collect()]
+    assert got == [day, day, dt.date(1969, 2, 1), day, day, day, dt.date(2068, 2, 1), day, day, None, None, None, None, None]
