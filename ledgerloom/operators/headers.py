@@ -92,7 +92,7 @@ def header(text: Column) -> Column:
         below = lambda label, words, value: F.when(_has(low, words), below_label(lines, label, value))
         beside = lambda label, words: (rf"{label}\s*:?\s+({DATE})", words)
         date = lambda label, words, *more: statement_date(F.coalesce(_first(whole, low, [beside(label, words), *more]), below(label, words, DATE)))
-        amount = lambda label, words: x.amount_minor(F.coalesce(_first(whole, low, [(rf"{label}\s*{CURRENCY}\s*:?\s*{CURRENCY}\s*({AMOUNT})", words)]), below(label, words, AMOUNT)))
+        amount = lambda label, words: x.bound(F.coalesce(_first(whole, low, [(rf"{label}\s*{CURRENCY}\s*:?\s*{CURRENCY}\s*({AMOUNT})", words)]), below(label, words, AMOUNT)), x.amount_minor)
         plain = lambda word: [(rf"billing\s+{word}[:\s]+({NUMBERS})", [["billing", word]]), (rf"{word}\s+date[:\s]+({NUMBERS})", [[word, "date"]]), (rf"period\s+{word}[:\s]+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})", [["period", word]])]
         issuer = network = None
         for name, of in ISSUERS:
@@ -104,7 +104,7 @@ def header(text: Column) -> Column:
         return F.struct(
             issuer.alias("issuer"), date(PERIOD, PERIOD_WORDS, *plain("from")).alias("period_start"), statement_date(_first(whole, low, [ends, *plain("to")])).alias("period_end"),
             date(PRINTED, PRINTED_WORDS).alias("statement_date"), date(DUE, DUE_WORDS).alias("due_date"), amount(LEAST, LEAST_WORDS).alias("minimum_minor"), amount(TOTAL, TOTAL_WORDS).alias("total_minor"),
-            x.bound(x.mask_digits(account), lambda m: F.nullif(m, F.lit(""))).alias("mask"), network.alias("network"))
+            x.bound(account, lambda a: F.nullif(x.mask_digits(a), F.lit(""))).alias("mask"), network.alias("network"))
 
     return x.bound(F.struct(text.alias("text"), F.lower(text).alias("low"), F.split(text, r"\r?\n").alias("lines")), read)
 
