@@ -147,7 +147,7 @@ def statement_rows(lines: DataFrame) -> DataFrame:
     good = F.col("own").isNotNull() & ~excluded(F.col("own.description")) & F.col("own.entry_date").isNotNull() & F.col("own.amount_minor").isNotNull()
     statement = Window.partitionBy("statement_id")
     read = read.withColumn("own", F.when(good, F.col("own"))).withColumn("_known", F.count("own").over(statement) > 0)
-    return read.filter("_known AND own IS NOT NULL").select("statement_id", "line_no", "own.*").unionByName(_universal(read.filter("NOT _known")))
+    return _universal(read).filter("own IS NOT NULL").select("statement_id", "line_no", "own.*")
 
 
 def _universal_cells(line: Column) -> Column:
@@ -165,16 +165,18 @@ def _universal_cells(line: Column) -> Column:
 
 
 def _universal(rows: DataFrame) -> DataFrame:
-    """The same columns by the universal grammar."""
+    """Rows whose ``own`` is filled by the universal grammar where ``_known`` doesn't hold."""
     near = Window.partitionBy("statement_id").orderBy("line_no")
     line = F.col("line")
-    read = rows.withColumn("_u", _universal_cells(line))
-    usable = F.when(F.col("_u").isNull() & ~line.rlike(r"[0-9][0-9,]*\.[0-9]{2}") & (_letters(line) >= 2), line)
+    read = rows.withColumn("_u", F.when(~F.col("_known"), _universal_cells(line)))
+    usable = F.when(~F.col("_known") & F.col("_u").isNull() & ~line.rlike(r"[0-9][0-9,]*\.[0-9]{2}") & (_letters(line) >= 2), line)
     seen = read.withColumn("_usable", usable).withColumn("_beside", F.concat_ws(" ", F.lag("_usable").over(near), F.lead("_usable").over(near)))
-    found = seen.filter("_u IS NOT NULL").select("statement_id", "line_no", "_beside", "_u.*").withColumn("text", F.when(F.col("text") == "", F.col("_beside")).otherwise(F.trim("text")))
+    found = seen.filter("_known OR _u IS NOT NULL").select("statement_id", "line_no", "own", "_known", "_beside", "_u.*").withColumn("text", F.when(F.col("text") == "", F.col("_beside")).otherwise(F.trim("text")))
     first = F.trim(F.get(F.filter(F.split("text", "   "), lambda s: F.trim(s) != ""), F.lit(0)))  # the first column of the description
     direction = F.when(F.upper("mark").isin("CR", "C"), "credit").when(F.upper("mark").isin("DR", "D"), "debit").when(F.col("sign") == "+", "credit").otherwise("debit")
-    out = found.filter(~excluded(F.col("text")) & (_letters(F.col("text")) >= 3)).select(
-        "statement_id", "line_no", statement_date(F.col("day")).alias("entry_date"), F.when(_letters(first) >= 3, first).otherwise(F.trim("text")).alias("description"),
+    by_token = F.struct(
+        statement_date(F.col("day")).alias("entry_date"), F.when(_letters(first) >= 3, first).otherwise(F.trim("text")).alias("description"),
         x.amount_minor(F.col("amount")).alias("amount_minor"), direction.alias("direction"), reference(F.col("text")).alias("reference_id"))
-    return out.filter("entry_date IS NOT NULL AND amount_minor IS NOT NULL")
+    asked = found.withColumn("_t", F.when(~F.col("_known") & ~excluded(F.col("text")) & (_letters(F.col("text")) >= 3), by_token))
+    whole = F.col("_t.entry_date").isNotNull() & F.col("_t.amount_minor").isNotNull()
+    return asked.withColumn("own", F.when(F.col("_known"), F.col("own")).when(whole, F.col("_t")))

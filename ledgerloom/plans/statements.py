@@ -35,7 +35,7 @@ SELECT statement_id, issuer, kind, n * 10 + l.at AS line_no, l.line FROM numbere
 
 def statement_lines(v: Views) -> DataFrame:
     """statement_id, issuer, kind, line_no, line."""
-    numbered = v.spark.sql(_NUMBERED.replace("FROM live", "FROM {live}").format(issuer=_ISSUERS, amount=_AMOUNT, live="{live}"), live=v.live)
+    numbered = v.spark.sql(_NUMBERED.replace("FROM live", "FROM {live}").format(issuer=_ISSUERS, amount=_AMOUNT, live="{live}"), live=v.live).withColumn("statement_id", F.col("order_id"))  # the key by which the rows are already dealt out
     return v.spark.sql(_LINES.replace("FROM numbered", "FROM {numbered}"), numbered=numbered)
 
 
