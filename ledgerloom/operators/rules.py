@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.messages import grouped_digits
+from ledgerloom.functions.text import bound
 
 #: Characters of the source on each side of the value that a pattern holds on to.
 ANCHOR = 24
@@ -42,9 +43,8 @@ def printed_forms(field: Column, value: Column) -> Column:
     whole = F.floor(minor / 100)
     both = lambda number: F.concat(number, F.lit("."), F.lpad((minor % 100).cast("string"), 2, "0"))
     amounts = F.array_distinct(F.array(both(grouped_digits(whole)), both(whole.cast("string")), grouped_digits(whole), whole.cast("string")))
-    day = F.try_to_timestamp(F.substring_index(v, " ", 1), F.lit("yyyy-MM-dd"))
-    dates = F.array(*(F.date_format(day, f) for f in DATE_FORMS))
-    known = F.when(field.isin(AMOUNTS) & minor.isNotNull(), amounts).when(field.isin(DATES) & day.isNotNull(), dates).otherwise(F.array(v))
+    dates = bound(F.try_to_timestamp(F.substring_index(v, " ", 1), F.lit("yyyy-MM-dd")), lambda day: F.when(day.isNotNull(), F.array(*(F.date_format(day, f) for f in DATE_FORMS))))
+    known = F.when(field.isin(AMOUNTS) & minor.isNotNull(), amounts).when(field.isin(DATES), F.coalesce(dates, F.array(v))).otherwise(F.array(v))
     return F.when(v == "", F.array().cast("array<string>")).otherwise(known)
 
 
@@ -65,17 +65,24 @@ def span_pattern(source: Column, form: Column) -> Column:
     return F.when((at > 0) & (F.length(form) > 0) & ~alone, F.concat(F.lit("(?isu)"), F.when(at > 1, relaxed(before)).otherwise(""), F.lit(f"(.{{1,{CAPTURE}}}?)"), relaxed(after)))
 
 
+def pattern_words(pattern: Column) -> Column:
+    """The runs of two or more letters a to z that a text with a match of ``span_pattern`` has, in lower case, longest first."""
+    fixed = F.regexp_replace(pattern, rf"^\(\?isu\)|\\d\+|\\s\+|\(\.\{{1,{CAPTURE}\}}\?\)", " ")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(fixed), F.lit("[a-z]{2,}"), F.lit(0)))
+    return F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
+
+
 def synthesized(field: Column, source: Column, value: Column) -> Column:
     """struct(pattern, override) of the first printed form whose pattern finds that form in its own source; null without one."""
-    tried = F.transform(printed_forms(field, value), lambda n: F.struct(n.alias("form"), span_pattern(source, n).alias("pattern")))
-    good = F.get(F.filter(tried, lambda t: t["pattern"].isNotNull() & _alike(_captured(source, t["pattern"]), t["form"])), F.lit(0))["pattern"]
+    own = lambda form: bound(span_pattern(source, form), lambda p: F.when(p.isNotNull() & _alike(_captured(source, p), form), p))
+    good = F.aggregate(printed_forms(field, value), F.lit(None).cast("string"), lambda found, form: F.when(found.isNotNull(), found).otherwise(own(form)))
     override = None
     for name, allowed in OVERRIDES.items():
         fits = (field == name) & F.trim(value).rlike(f"^(?:{allowed})$")
         normal = F.upper(F.trim(value)) if name == "currency" else F.lower(F.trim(value))
         override = F.when(fits, normal) if override is None else override.when(fits, normal)
-    pattern = F.when(field.isin(SPANS), good)
-    return F.when(pattern.isNotNull() | override.isNotNull(), F.struct(pattern.alias("pattern"), override.alias("override")))
+    found = F.struct(F.when(field.isin(SPANS), good).alias("pattern"), override.alias("override"))
+    return bound(found, lambda r: F.when(r["pattern"].isNotNull() | r["override"].isNotNull(), r))
 
 
 def agrees(field: Column, captured: Column, settled: Column) -> Column:
@@ -88,8 +95,9 @@ def synthesize_rules(corrections: DataFrame) -> DataFrame:
 
     ``corrections`` has bank, field, source and value; nulls in any of them give no rule.
     """
-    made = corrections.select("bank", "field", synthesized(F.col("field"), F.col("source"), F.col("value")).alias("r")).filter("r IS NOT NULL AND bank IS NOT NULL")
-    return made.groupBy("bank", "field", "r.pattern", "r.override").agg(F.count("*").alias("corrections"))
+    rule = synthesized(F.col("field"), F.col("source"), F.col("value"))
+    made = corrections.filter("bank IS NOT NULL").select("bank", "field", F.inline(F.array_compact(F.array(rule))))  # a generator: a filter would have the rule made again
+    return made.groupBy("bank", "field", "pattern", "override").agg(F.count("*").alias("corrections"))
 
 
 def latest_samples(settled: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -116,6 +124,6 @@ def regression_checked(rules: DataFrame, settled: DataFrame, samples: int = SAMP
 
 
 def learn_rules(corrections: DataFrame, settled: DataFrame) -> DataFrame:
-    """Rules that passed both checks, as ``extraction.learned`` takes them: rule_id, bank, field, pattern, rule_template, rule_confidence, successes."""
+    """Rules that passed both checks, as ``extraction.learned`` takes them: rule_id, bank, field, pattern, rule_template, rule_confidence, successes, words."""
     good = regression_checked(synthesize_rules(corrections), settled).filter("accepted AND pattern IS NOT NULL")
-    return good.select(F.sha2(F.concat_ws("|", "bank", "field", "pattern"), 256).alias("rule_id"), "bank", "field", "pattern", F.lit(None).cast("string").alias("rule_template"), F.lit(LEARNED).alias("rule_confidence"), F.col("corrections").alias("successes"))
+    return good.select(F.sha2(F.concat_ws("|", "bank", "field", "pattern"), 256).alias("rule_id"), "bank", "field", "pattern", F.lit(None).cast("string").alias("rule_template"), F.lit(LEARNED).alias("rule_confidence"), F.col("corrections").alias("successes"), pattern_words(F.col("pattern")).alias("words"))

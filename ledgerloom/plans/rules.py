@@ -9,6 +9,7 @@ from ledgerloom.operators import extraction as e
 from ledgerloom.operators import rules as r
 from ledgerloom.plans.extraction import MESSAGES, messages
 from ledgerloom.plans.registry import query
+from ledgerloom.session import shared_path
 from ledgerloom.views import Views
 
 #: Users correct the messages of one order in seven.
@@ -38,7 +39,9 @@ UNION ALL SELECT msg_id, 'event_time', strftime(best_event_time, '%d-%m-%Y') FRO
 def rules_learned_apply(v: Views):
     """Rules made from some orders' corrections read the messages of all others."""
     settled = _settled(v)
-    learned = r.learn_rules(settled.filter(_CORRECTED).filter("value IS NOT NULL"), settled)
+    path = shared_path(v.spark, "rules")
+    r.learn_rules(settled.filter(_CORRECTED).filter("value IS NOT NULL"), settled).write.parquet(path)  # its size is known then, so the messages needn't be dealt out by bank
+    learned = v.spark.read.parquet(path)
     return e.learned(messages(v).filter(f"NOT {_CORRECTED}").withColumn("template", F.lit("t")), learned).select("msg_id", "field", F.trim("value").alias("value"))
 
 

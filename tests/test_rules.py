@@ -103,3 +103,19 @@ def test_learned_rules_are_applied(spark):
     body = "Dear customer, Rs.9.00 was spent on your card of First Bank ending 1 at CAFE on 03/08/26. Not you? Call 1800 555."
     messages = spark.createDataFrame([("x", "b", body, None)], "msg_id string, bank string, body string, template string")
     assert sorted((r.field, r.value) for r in extraction.learned(messages, learned).collect()) == [("amount", "9.00"), ("merchant", "CAFE")]
+
+
+def test_rules_are_tried_within_a_message(spark):
+    """One row for each message and field, without a window over all that matched; words are only asked for, the pattern decides."""
+    pattern = made(spark, "amount", "Rs.5.00 spent at Kiosk", "500").pattern
+    bodies = ["Rs.7.25 spent at KIOSK", "Rs.7.25 ſpent at Kİoſk", "Rs.7.25 kiosk at spent", "Rs.7.25 paid"]
+    messages = spark.createDataFrame([(k, "B", "t", body) for k, body in enumerate(bodies)], "msg_id long, bank string, template string, body string")
+    offered = spark.createDataFrame([("r3", "B", "amount", pattern, None, 0.9, 5), ("r1", "B", "amount", r"Rs\.(7)", None, 0.9, 5), ("r2", "B", "amount", r"(\w+)$", "t", 0.1, 1), ("r0", "B", "amount", None, "t", 1.0, 9), ("r4", "C", "amount", "(.+)", "t", 1.0, 9)],
+                                    "rule_id string, bank string, field string, pattern string, rule_template string, rule_confidence double, successes long")
+    got = extraction.learned(messages, offered)
+    assert sorted(map(tuple, got.collect())) == [(0, "amount", "KIOSK", "r2"), (1, "amount", "k", "r2"), (2, "amount", "spent", "r2"), (3, "amount", "paid", "r2")]
+    lone = offered.filter("rule_id = 'r3'").withColumn("words", rules.pattern_words(F.col("pattern")))
+    assert lone.first().words == ["spent", "kiosk", "rs", "at"]
+    found = extraction.learned(messages, lone)
+    assert sorted((r.msg_id, r.value) for r in found.collect()) == [(0, "7.25"), (1, "7.25")]
+    assert "Window" not in found._jdf.queryExecution().toString()
