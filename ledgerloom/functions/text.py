@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,11 +32,15 @@ def group(text: Column, pattern: str, index: int = 1) -> Column:
     return F.get(F.filter(F.array(F.regexp_extract(text, pattern, index)), lambda s: s != ""), F.lit(0))
 
 
+def group_with(text: Column, low: Column, words: list[str], pattern: str) -> Column:
+    """As ``group``, asked only where the text in lower case (``low``) has one of ``words``: without them the pattern can't match."""
+    return F.when(reduce(Column.__or__, (low.contains(w) for w in words)), group(text, pattern))
+
+
 def amount_minor(text: Column) -> Column:
     """Digits and points of an amount as minor units, half away from zero; null over 1e15 or if it is none."""
     digits = F.rtrim(F.regexp_replace(text, "[^0-9.]", ""), F.lit("."))
-    value = F.round(digits.try_cast("double") * 100)
-    return F.when(value <= 1e15, value.cast("long"))
+    return bound(F.round(digits.try_cast("double") * 100), lambda value: F.when(value <= 1e15, value.cast("long")))
 
 
 def parse_amount(text: Column) -> Column:
@@ -68,15 +73,16 @@ def parts(text: Column, pattern: str, count: int) -> Column:
     return F.get(F.transform(F.filter(F.array(joined), lambda s: s.startswith("\x01")), lambda s: F.slice(F.split(s, "\x01"), 2, count)), F.lit(0))
 
 
-def direction(text: Column) -> Column:
-    """The earliest verb decides; null without a verb."""
-    verb = F.lower(F.regexp_extract(text, VERB, 1))
-    return F.when(verb.isin(*DEBIT_VERBS), "debit").when(verb.isin(*CREDIT_VERBS), "credit")
+def direction(text: Column, low: Column | None = None) -> Column:
+    """The earliest verb decides; null without a verb. ``low`` is the text in lower case, if it is at hand."""
+    verb = F.lower(group_with(text, F.lower(text) if low is None else low, [*DEBIT_VERBS, *CREDIT_VERBS], VERB))
+    return bound(verb, lambda v: F.when(v.isin(*DEBIT_VERBS), "debit").when(v.isin(*CREDIT_VERBS), "credit"))
 
 
-def merchant(text: Column) -> Column:
+def merchant(text: Column, low: Column | None = None) -> Column:
     """Behind a sure label, else behind one that may name a person, else a payment address."""
-    return F.trim(F.coalesce(group(text, MERCHANT), group(text, MERCHANT_LOOSE), group(text, PAYMENT_ADDRESS)))
+    low = F.lower(text) if low is None else low
+    return F.trim(F.coalesce(group_with(text, low, [" at ", " towards "], MERCHANT), group_with(text, low, [" by ", " to ", " from "], MERCHANT_LOOSE), group_with(text, low, ["@"], PAYMENT_ADDRESS)))
 
 
 def strict_direction(marker: Column) -> Column:

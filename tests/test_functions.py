@@ -202,3 +202,12 @@ def test_dates_against_the_delivery(spark):
     rows = spark.createDataFrame([(k, *c[:3], k != "not") for k, c in cases.items()], "msg_id string, event_date date, delivered date, confidence double, ambiguous boolean")
     got = {r.msg_id: (r.event_date, r.check, r.confidence) for r in extraction.date_check(rows).collect()}
     assert got == {k: c[3:] for k, c in cases.items()}
+
+
+def test_each_text_is_matched_once(spark):
+    """Amount and direction ask their pattern once a row, whatever is made of the match; words stand before the pattern."""
+    df = spark.createDataFrame([("Rs 1,200.50. was Paid",), ("rs 7 repaİd, PAID",), ("no amount",), (None,)], "a string")
+    read = df.select(x.amount_minor(x.group(F.col("a"), x.AMOUNT_BEFORE)).alias("amount"), x.direction(F.col("a")).alias("side"), x.merchant(F.col("a")).alias("who"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count(x.VERB) == 1
+    assert [tuple(r) for r in read.collect()] == [(120050, "debit", None), (700, "debit", None), (None, None, None), (None, None, None)]
