@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.messages import address, auth_failed, domain, nfkc
 from ledgerloom.functions.similarity import damerau
+from ledgerloom.functions.text import bound
+from ledgerloom.session import shared_path
 
 SIMILAR = 0.85
 # Letters of other scripts and the Latin letters that they look like.
@@ -82,9 +84,30 @@ def sender_gate(messages: DataFrame, registry: DataFrame, names: DataFrame, appr
     domain that the user approved is not looked up; failed authentication undoes a good verdict; an override renames the
     bank of one and grants nothing.
     """
-    head = F.get("froms", F.lit(0))
-    read = messages.select("msg_id", "auth", F.size(F.coalesce("froms", F.array().cast("array<string>"))).alias("_n"), nfkc(F.lower(F.rtrim(domain(head), F.lit(".")))).alias("domain"),
-                           F.nullif(F.lower(F.trim(F.regexp_replace(head, r"<[^<>]*>", ""))), F.coalesce(address(head), F.lit(""))).alias("shown"), (F.trim(head) != "").alias("_filled"))
+    # Headers repeat: all that they tell is worked out once for each, and met with the messages in one join.
+    read = messages.select("msg_id", "auth", F.size(F.coalesce("froms", F.array().cast("array<string>"))).alias("_n"), F.get("froms", F.lit(0)).alias("_head"))
+    told = _written(_told(read.filter("_head IS NOT NULL").select("_head").distinct(), registry, names, approved, overrides), "senders")
+    rows = read.join(told, "_head", "left")
+    base = F.col("_base")
+    good = base.isin("transaction", "statement")
+    final = F.when(F.col("_n") > 1, "spoof_headers").when((F.col("_n") == 0) | base.isNull(), "invalid").when(good & F.coalesce(auth_failed(F.col("auth")), F.lit(False)), "spoof_auth").otherwise(base)
+    return rows.select("msg_id", "_bank", bound(final, lambda v: F.struct(v.alias("verdict"), v.isin("transaction", "statement").alias("good"))).alias("_v")).select("msg_id", "_v.verdict", F.when(F.col("_v.good"), F.col("_bank")).alias("bank"))
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder: read several times, made once, and of a size that the joins know."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _told(heads: DataFrame, registry: DataFrame, names: DataFrame, approved: DataFrame, overrides: DataFrame) -> DataFrame:
+    """_head, _base, _bank of distinct From headers: the verdict without authentication (null: no sender) and the bank's name."""
+    head = F.col("_head")
+    read = _written(heads, "headers").select("_head", F.lower(F.rtrim(domain(head), F.lit("."))).alias("_raw"), F.nullif(F.lower(F.trim(F.regexp_replace(head, r"<[^<>]*>", ""))), F.coalesce(address(head), F.lit(""))).alias("shown"), (F.trim(head) != "").alias("_filled"))
+    # Only what is not ASCII has another form.
+    plain, other = (read.filter(F.coalesce(F.col("_raw").rlike("[^\\x00-\\x7F]"), F.lit(False)) == odd) for odd in (False, True))
+    read = _written(plain.withColumn("domain", F.col("_raw")).unionByName(other.withColumn("domain", nfkc("_raw"))).drop("_raw"), "heads")
     looked = sender_verdicts(read.filter("domain IS NOT NULL").select("domain").distinct(), registry)
     claims = containing(read.filter("shown IS NOT NULL"), "shown", names).select("shown").distinct().withColumn("_claims", F.lit(True))
     listed = approved.select(F.lower(F.trim("domain")).alias("domain"), F.col("bank").alias("_approved"), (F.col("classification") == "statement_candidate").alias("_statement")).dropDuplicates(["domain"])
@@ -92,9 +115,7 @@ def sender_gate(messages: DataFrame, registry: DataFrame, names: DataFrame, appr
     rows = read.join(looked, "domain", "left").join(listed, "domain", "left").join(latest, "domain", "left").join(claims, "shown", "left")
     base = F.when(F.col("_approved").isNotNull(), F.when(F.col("_statement"), "statement").otherwise("transaction")).when(
         F.col("verdict").isNull() | ((F.col("verdict") == "unknown") & F.col("_claims").isNull()), "unknown").when(F.col("verdict") == "unknown", "spoof_name").otherwise(F.col("verdict"))
-    good = base.isin("transaction", "statement")
-    final = F.when(F.col("_n") > 1, "spoof_headers").when((F.col("_n") == 0) | ~F.coalesce("_filled", F.lit(False)) | F.col("domain").isNull(), "invalid").when(good & F.coalesce(auth_failed(F.col("auth")), F.lit(False)), "spoof_auth").otherwise(base)
-    return rows.select("msg_id", final.alias("verdict"), F.when(final.isin("transaction", "statement"), F.coalesce("_renamed", "_approved", "bank")).alias("bank"))
+    return rows.select("_head", F.when(F.col("_filled") & F.col("domain").isNotNull(), base).alias("_base"), F.coalesce("_renamed", "_approved", "bank").alias("_bank"))
 
 
 def latest_overrides(reports: DataFrame) -> DataFrame:

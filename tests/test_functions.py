@@ -211,3 +211,18 @@ def test_each_text_is_matched_once(spark):
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1 and plan.count(x.VERB) == 1
     assert [tuple(r) for r in read.collect()] == [(120050, "debit", None), (700, "debit", None), (None, None, None), (None, None, None)]
+
+
+def test_senders_are_judged_once_a_header(spark):
+    """Messages meet what is known of their header in one join, and no Python runs over them."""
+    from ledgerloom.operators import senders
+
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    heads = [["A <x@bank.example>"], ["x@ｂank.example"], ["x@other.example"], ["Bank One <x@other.example>"], ["x@bank.example", "y"], [""], [], None, ["none"], [None]]
+    messages = of([(k, h, None) for k, h in enumerate(heads * 3)], "msg_id long, froms array<string>, auth string")
+    registry, listed = of([("bank.example", "B", "transaction_candidate")], "domain string, bank string, classification string"), "domain string, bank string, classification string"
+    out = senders.sender_gate(messages, registry, of([("bank one",)], "name string"), of([], listed), of([("bank.example", "BB", 1)], "domain string, bank string, set_at long"))
+    told = ["transaction", "transaction", "unknown", "spoof_name", "spoof_headers", "invalid", "invalid", "invalid", "invalid", "invalid"]
+    assert sorted((x.msg_id, x.verdict, x.bank) for x in out.collect()) == [(k, v, "BB" if v == "transaction" else None) for k, v in enumerate(told * 3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "EvalPython" not in plan
