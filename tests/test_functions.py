@@ -213,6 +213,18 @@ def test_each_text_is_matched_once(spark):
     assert [tuple(r) for r in read.collect()] == [(120050, "debit", None), (700, "debit", None), (None, None, None), (None, None, None)]
 
 
+def test_phrases_are_looked_for_behind_a_shared_word(spark):
+    """Any of the phrases, as if each were looked for; most texts are asked for a few words only."""
+    r = random.Random(3)
+    for phrases in (c.TRANSACTION_VERBS, c.CANCELLED_PHRASES, c.REGISTERED_PHRASES, c.FAILURE_PHRASES, ["a b", "b", "c"]):
+        groups = c._by_word(phrases)
+        assert sorted(p for _, ps in groups for p in ps) == sorted(set(phrases)) and all(w in p for w, ps in groups for p in ps) and len(groups) < len(phrases)
+        words = [w for p in phrases for w in p.split()]
+        texts = [*phrases, *(" ".join(r.choices(words, k=4)) for _ in range(60)), ""]
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", c._any(F.col("t"), phrases).alias("has")).collect()
+        assert all(x.has == any(p in x.t for p in phrases) for x in got)
+
+
 def test_senders_are_judged_once_a_header(spark):
     """Messages meet what is known of their header in one join, and no Python runs over them."""
     from ledgerloom.operators import senders
