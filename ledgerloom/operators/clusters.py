@@ -11,35 +11,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAYS = 3
+SPAN = 20
 KEYS = ["instrument_id", "amount_minor", "direction"]
 MEMBER = ["cluster_id", "obs_id", *KEYS, "event_time"]
 
 
-def grow(members: DataFrame, fresh: DataFrame, *, days: int = DAYS) -> DataFrame:
+def grow(members: DataFrame, fresh: DataFrame, *, days: int = DAYS, sparing: bool = True) -> DataFrame:
     """Members (``MEMBER``) of the open clusters after a batch: ``members`` as they were, and ``fresh`` observations (without cluster_id).
 
-    Only clusters whose keys the batch has are worked on. A key's times are first brought down to the first and last of each
-    stretch of ``days``, which are always of one cluster; chains are made of these, so a busy key is many rows in
-    parallel and few in a row. An observation that is a member already stays one. Observations with a null key or time are clusters
-    of their own. The id of a new cluster is a hash of its first member.
+    Members and new observations meet in one shuffle, by key and span of ``SPAN`` times ``days``, and are chained within it. Only chains
+    that come within ``days`` of a border of their span are held against each other, two at most a span, so a busy key is
+    many spans in parallel and few rows in a row. ``sparing`` leaves clusters alone whose keys the batch hasn't: for batches
+    that are small beside the members; with large ones it costs a shuffle of all members and spares few. An observation that is a member
+    already stays one. Observations with a null key or time are clusters of their own. The id of a new cluster is a hash of its
+    first member.
     """
-    width = days * 86_400_000
-    new = fresh.join(members.select("obs_id"), "obs_id", "left_anti").dropDuplicates(["obs_id"]).select(F.lit(None).cast("string").alias("cluster_id"), *MEMBER[1:])
+    width = days * 86_400_000_000
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    named = lambda head: F.sha2(F.concat_ws("|", F.lit("cluster"), head).cast("binary"), 256)
+    first = F.row_number().over(Window.partitionBy("obs_id").orderBy("event_time", *KEYS))
+    new = fresh.join(members.select("obs_id"), "obs_id", "left_anti").withColumn("_n", first).filter("_n = 1").select(F.lit(None).cast("string").alias("cluster_id"), *MEMBER[1:])
     bare = F.col("event_time").isNull()
     for k in KEYS:
         bare |= F.col(k).isNull()
-    touched = new.filter(~bare).select(*KEYS).distinct()
-    same = members.filter(~bare).join(touched, KEYS, "left_semi")
-    rows = same.select(*MEMBER).unionByName(new.filter(~bare)).withColumn("_at", F.unix_millis(F.col("event_time").cast("timestamp"))).withColumn("_slot", F.floor(F.col("_at") / width))
-    slots = rows.groupBy(*KEYS, "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.min("cluster_id").alias("_old"), F.min(F.struct("_at", "obs_id")).alias("_head"))
-    order = Window.partitionBy(*KEYS).orderBy("_slot")
-    begins = F.coalesce(F.col("_first") - F.lag("_last").over(order) > width, F.lit(True))
-    chained = slots.withColumn("_begins", begins.cast("int")).withColumn("_chain", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy(*KEYS, "_chain")
-    named = chained.withColumn("_id", F.coalesce(F.min("_old").over(chain), F.sha2(F.concat_ws("|", F.lit("cluster"), (F.min("_head").over(chain))["obs_id"]).cast("binary"), 256)))
-    grown = rows.drop("cluster_id").join(named.select(*KEYS, "_slot", F.col("_id").alias("cluster_id")), [*KEYS, "_slot"]).select(*MEMBER)
-    alone = new.filter(bare).withColumn("cluster_id", F.sha2(F.concat_ws("|", F.lit("cluster"), "obs_id").cast("binary"), 256)).select(*MEMBER)
-    others = members.join(touched.withColumn("_t", F.lit(True)), KEYS, "left").filter(F.col("_t").isNull() | bare).select(*MEMBER)
+    same, others = members.select(*MEMBER).filter(~bare), members.select(*MEMBER).filter(bare)
+    if sparing:
+        marked = same.join(new.filter(~bare).select(*KEYS).distinct().withColumn("_t", F.lit(True)), KEYS, "left")
+        same, others = marked.filter(F.col("_t").isNotNull()).select(*MEMBER), others.unionByName(marked.filter(F.col("_t").isNull()).select(*MEMBER))
+    start = at(F.col("event_time")) - F.pmod(at(F.col("event_time")), F.lit(SPAN * width))
+    # Both branches below must ask the shuffle for the same rows and columns, or it is done twice: hence times as they are, and no nulls.
+    rows = same.unionByName(new.filter(~bare)).withColumn("_span", start).filter(F.col("_span").isNotNull())
+    order = Window.partitionBy(*KEYS, "_span").orderBy("event_time", "obs_id")
+    apart = lambda last: F.coalesce(at(F.col("event_time")) - at(last) > width, F.lit(True)).cast("int")
+    upto = (Window.unboundedPreceding, 0)
+    chained = rows.withColumn("_begins", apart(F.lag("event_time").over(order))).withColumn("_chain", F.sum("_begins").over(order.rowsBetween(*upto)))
+    chain = Window.partitionBy(*KEYS, "_span", "_chain")
+    local = chained.withColumn("_old", F.min("cluster_id").over(chain)).withColumn("_head", F.min(F.struct("event_time", "obs_id")).over(chain)).withColumn("_last", F.max("event_time").over(chain))
+    near = (at(F.col("event_time")) - F.col("_span") <= width) | (F.col("_span") + SPAN * width - at(F.col("_last")) <= width)
+    ends = local.filter((F.col("_begins") == 1) & near).select(*KEYS, "_span", "_chain", "event_time", "obs_id", "_last", "_old")
+    along = Window.partitionBy(*KEYS).orderBy("event_time")
+    lined = ends.withColumn("_begins", apart(F.lag("_last").over(along))).withColumn("_line", F.sum("_begins").over(along.rowsBetween(*upto)))
+    line = Window.partitionBy(*KEYS, "_line")
+    tied = lined.withColumn("_n", F.count("*").over(line)).withColumn("_low", F.min("_old").over(line)).withColumn("_head", F.min(F.struct("event_time", "obs_id")).over(line)).filter("_n > 1")
+    ties = tied.groupBy(*KEYS, "_span").agg(F.map_from_entries(F.collect_list(F.struct("_chain", F.coalesce("_low", named(F.col("_head.obs_id")))))).alias("_ties"))
+    grown = local.join(ties, [*KEYS, "_span"], "left").withColumn("cluster_id", F.coalesce(F.try_element_at("_ties", F.col("_chain")), "_old", named(F.col("_head.obs_id")))).select(*MEMBER)
+    alone = new.filter(bare).withColumn("cluster_id", named(F.col("obs_id"))).select(*MEMBER)
     return others.unionByName(grown).unionByName(alone)
 
 

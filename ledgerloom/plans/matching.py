@@ -329,10 +329,12 @@ def cluster_growth(v: Views):
     rows = v.observations.select("obs_id", "instrument_id", (F.col("order_id") % 3).alias("amount_minor"), "direction", "event_time", "order_id")
     members = v.spark.createDataFrame([], rows.select(F.lit("").alias("cluster_id"), *clusters.MEMBER[1:]).schema)
     for batch in range(3):
-        path = shared_path(v.spark, "clusters")
-        clusters.grow(members, rows.filter(F.col("order_id") * 5 % 7 % 3 == batch).drop("order_id")).write.parquet(path)
-        members = v.spark.read.parquet(path)
-    whole = Window.partitionBy("cluster_id")
+        members = clusters.grow(members, rows.filter(F.col("order_id") * 5 % 7 % 3 == batch).drop("order_id"), sparing=False)
+        if batch < 2:
+            path = shared_path(v.spark, "clusters")
+            members.write.option("compression", "zstd").parquet(path)
+            members = v.spark.read.parquet(path)
+    whole = Window.partitionBy(F.unhex("cluster_id"))
     return members.select("obs_id", F.min("obs_id").over(whole).alias("first_id"), F.count("*").over(whole).alias("n_members"))
 
 

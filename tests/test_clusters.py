@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from ledgerloom.catalog import QUERIES
 from ledgerloom.operators import clusters as c
 
 START = dt.datetime(2024, 1, 1)
@@ -64,6 +65,45 @@ def test_a_bridge_and_a_repeated_batch(spark):
     assert sets(third) == sets(again) == {frozenset("abm"), frozenset(["far"]), frozenset(["other"])}
 
 
+@pytest.mark.parametrize("sparing", [True, False])
+def test_chains_over_borders_of_spans(spark, sparing):
+    day = lambda n: START + dt.timedelta(days=n)
+    chain = [(f"k{n}", 1, 5, "debit", day(3 * n)) for n in range(80)]
+    border = dt.datetime(1970, 1, 1) + dt.timedelta(days=c.SPAN * c.DAYS * 330)  # the one before lies just in the span before
+    tight = [(f"t{n}", 2, 5, "debit", border + dt.timedelta(days=3 * n, microseconds=-1)) for n in range(2)]
+    loose = [("l0", 3, 5, "debit", border), ("l1", 3, 5, "debit", border + dt.timedelta(days=3, microseconds=400))]
+    odd = [("n0", None, 5, "debit", border), ("n1", 1, None, "debit", border), ("n2", 1, 5, None, border), ("n3", 1, 5, "debit", None), ("n4", 1, 5, "debit", None)]
+    schema = "cluster_id string, " + SEEN
+    members = spark.createDataFrame([], schema)
+    history = []
+    for part in (chain[::2] + odd[:3] + tight[:1], odd + loose + chain[:6:2], chain[1:41:2] * 2 + tight, chain[41::2]):
+        members = spark.createDataFrame(c.grow(members, spark.createDataFrame(part, SEEN), sparing=sparing).collect(), schema)
+        history.append(members)
+    rows = chain + odd + tight + loose
+    assert sets(history[0]) == {frozenset([r[0]]) for r in chain[::2] + odd[:3] + tight[:1]}
+    assert sets(history[2]) == brute([*chain[:41], *chain[42::2], *odd, *tight, *loose])
+    assert sets(members) == brute(rows) and members.count() == len(rows)
+    assert {r.cluster_id for r in members.filter("obs_id = 'k79'").collect()} == {min(r.cluster_id for r in history[0].filter("obs_id like 'k%'").collect())}
+
+
+def test_growth_shuffles_a_row_twice_a_batch(spark):
+    """By observation, then by key; where nothing is small enough to be sent to all tasks, as at size."""
+    context, kept = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = max(stages(), default=-1)
+        n = len(QUERIES["cluster_growth"](spark, "/root/testdata/sf0.01").collect())
+        assert n == 15000 and 0 < sum(size for k, size in stages().items() if k > last) / n < 330
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_bulk_resolution_is_whole_or_not_at_all(spark):
     rows = spark.createDataFrame([(k, "open" if k != 3 else "confirmed", "x") for k in range(7)], "cluster_id long, status string, note string")
     asked = spark.createDataFrame([(1, 0, "confirmed"), (1, 1, "rejected"), (2, 2, "confirmed"), (2, 3, "confirmed"), (3, 1, "confirmed"), (3, 4, "confirmed"), (4, 5, "rejected"), (5, 6, "rejected"), (5, 99, "rejected")], "request_id long, cluster_id long, status string")
