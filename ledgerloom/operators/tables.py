@@ -39,8 +39,13 @@ def search(rows: DataFrame, term: str, columns: list[str]) -> DataFrame:
     return rows.filter(reduce(Column.__or__, conditions))
 
 
+def spaced(text: Column) -> Column:
+    """The tokens of a text, with one blank between them."""
+    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def phrase_prefix(rows: DataFrame, phrase: str, columns: list[str]) -> DataFrame:

@@ -60,3 +60,42 @@ def test_a_common_last_word_is_no_row_for_each_phrase(spark, tmp_path):
         if "Join" in node.nodeName():
             rows = max(rows, node.metrics().apply("numOutputRows").value())
     assert rows <= 2 * 400 * 52  # the places themselves, not those of each phrase
+
+
+def test_two_common_words_are_no_row_for_each_place(spark, tmp_path):
+    path = str(tmp_path / "index")
+    text = F.concat(F.repeat(F.lit("blue the red of "), 30), F.when(F.col("id") % 100 == 0, "blue offer").otherwise("red"))
+    textindex.write_index(spark.range(400).select("id", text.alias("text")), path, key="id", columns=["text"])
+    found = textindex.search_phrases(spark, path, spark.createDataFrame([(1, "of blue of"), (2, "red offe")], "phrase_id long, phrase string"))
+    assert sorted((r.phrase_id, r._key) for r in found.collect()) == [(1, k) for k in range(0, 400, 100)]
+    rows, nodes = 0, [found._jdf.queryExecution().executedPlan()]
+    while nodes:  # of all joins of the plan, the most rows that one made
+        node = nodes.pop()
+        children = [node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        nodes += children
+        if "Join" in node.nodeName():
+            rows = max(rows, node.metrics().apply("numOutputRows").value())
+    assert rows <= 16  # not 400 * 30, the places of "blue" and "of"
+
+
+def test_an_index_takes_few_bytes_for_each_token(spark, tmp_path):
+    path = tmp_path / "index"
+    word = lambda n: F.conv(F.hash("id", F.lit(n)) % 5000, 10, 26)
+    texts = spark.range(0, 2000, 1, 4).select("id", F.concat_ws(" ", *(word(n) for n in range(100))).alias("text"))
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    textindex.write_index(texts, str(path), key="id", columns=["text"])
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    written = sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    assert shuffled() - before + written < 20 * 2000 * 100
+
+
+def test_a_pair_that_is_everywhere_fills_rows_and_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "FILE_POSTINGS", 1000)
+    path = str(tmp_path / "index")
+    texts = spark.range(500).select("id", F.lit("same " * 20 + "end").alias("text"))
+    textindex.write_index(texts, path, key="id", columns=["text"])
+    rows = spark.read.parquet(f"{path}/postings").select("_token", F.size("_places").alias("n"), F.input_file_name().alias("f")).collect()
+    assert sum(r.n for r in rows) == 500 * 21 and max(r.n for r in rows) <= 1024 and len({r.f for r in rows if r._token == "same"}) >= 8
+    found = textindex.search_phrases(spark, path, spark.createDataFrame([(1, "same same en"), (2, "end same")], "phrase_id long, phrase string"))
+    assert sorted((r.phrase_id, r._key) for r in found.collect()) == [(1, k) for k in range(500)]
